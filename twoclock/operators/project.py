@@ -168,8 +168,8 @@ def _partial_sums(view, spec):
         of_class = F.col(type_columns[model.type_slot(rule.over).key]).isin(
             model.descendants(rule.over))
         contributions.append(F.when(of_class, F.struct(*fields)))
-    spread = (wide.select(F.explode(F.array_compact(F.array(*contributions))).alias("_c"))
-              .select("_c.*"))
+    spread = (wide.select(F.explode(F.array(*contributions)).alias("_c"))
+              .where("_c IS NOT NULL").select("_c.*"))
     at = [c for c in spread.columns if c != "_m"]
     return spread.groupBy(*at).agg(F.sum("_m").alias("_m")), checks, conversions
 

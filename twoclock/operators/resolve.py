@@ -9,8 +9,8 @@ Two plans answer the same question and the caller picks by shape of the result:
 * `standing` keeps one row per (subject, slot). Its `row_number() = 1` filter
   gives a `WindowGroupLimit` on the map side, so of a hot pair only one row per
   map task is shuffled.
-* `standing_wide` resolves and pivots in a single aggregation by subject:
-  `max_by` per wanted slot, combined on the map side, one shuffle for both steps
+* `standing_wide` resolves and pivots in a single aggregation by subject: the
+  largest (rank, value) per wanted slot, combined on the map side, one shuffle for both steps
   and one row per subject and map task whatever the subject's size.
 """
 
@@ -145,10 +145,9 @@ def clock_grid(claims, clocks, slots=None) -> DataFrame:
 def standing_wide(claims, slots: dict, valid_at, as_of) -> DataFrame:
     """One row per subject, one text column per entry of `slots` (column -> slot)."""
     held = candidates(claims, valid_at, as_of, sorted(set(slots.values())))
-    rank = F.struct(*RANK)
+    newest = F.struct(*RANK, "value")
     return held.groupBy("subject").agg(*[
-        F.max_by(F.when(F.col("slot") == slot, F.col("value")),
-                 F.when(F.col("slot") == slot, rank)).alias(name)
+        F.max(F.when(F.col("slot") == slot, newest)).getField("value").alias(name)
         for name, slot in slots.items()])
 
 

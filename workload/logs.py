@@ -26,6 +26,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _all_cores(df):
+    """A scan of fewer splits than there are cores is spread out before work that
+    multiplies its rows; a large table has splits enough and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- events ---------------------------------------------------------------
 
 def event_log(spark, sf_dir):
@@ -60,25 +67,34 @@ def event_intents(spark, sf_dir):
 
 # ---- stock ----------------------------------------------------------------
 
-def _cell(subject, slot, value, kind, ordinal, valid_from, recorded_at, revokes=None):
-    return F.struct(
-        F.md5(F.concat_ws("|", subject, F.lit(slot), F.lit(kind))).alias("id"),
-        F.lit(ordinal).alias("ordinal"),
-        subject.alias("subject"), F.lit(slot).alias("slot"),
-        value.cast("string").alias("value"),
-        valid_from.alias("valid_from"), recorded_at.alias("recorded_at"),
-        (F.md5(F.concat_ws("|", subject, F.lit(slot), F.lit(revokes))) if revokes
-         else F.lit(None).cast("string")).alias("revokes"))
+def _cell(subject, slot, value, kind, ordinal):
+    return F.struct(F.lit(ordinal).alias("ordinal"), subject.alias("subject"),
+                    F.lit(slot).alias("slot"), value.cast("string").alias("value"),
+                    F.lit(kind).alias("kind"))
+
+
+def _spread(rows, cells, seq, valid_from, recorded_at):
+    """One pass: each row to its cells, those with neither value nor target dropped.
+    A `fix` or `drop` cell withdraws the `base` cell of its pair. What all cells share
+    is computed after they are spread, which keeps the generated code small."""
+    def digest(kind):
+        return F.md5(F.concat_ws("|", "subject", "slot", kind))
+
+    withdraws = F.col("kind").isin("fix", "drop")
+    spread = (rows.withColumn("_seq", seq)
+              .select("_seq", *_inputs(rows), F.explode(F.array(*cells)).alias("c"))
+              .where("c IS NOT NULL").select("_seq", *_inputs(rows), "c.*")
+              .where(F.col("value").isNotNull() | withdraws))
+    return spread.select(
+        digest(F.col("kind")).alias("id"), (F.col("_seq") + F.col("ordinal")).alias("seq"),
+        "subject", "slot", "value", valid_from.alias("valid_from"),
+        recorded_at.alias("recorded_at"),
+        F.when(withdraws, digest(F.lit("base"))).alias("revokes"))
 
 
-def _spread(rows, cells, seq):
-    """One pass: each row to its cells, those with neither value nor target dropped."""
-    return (rows.select(seq.alias("_seq"), F.explode(F.array_compact(F.array(*cells)))
-                        .alias("c"))
-            .where("c.value IS NOT NULL OR c.revokes IS NOT NULL")
-            .select("c.id", (F.col("_seq") + F.col("c.ordinal")).alias("seq"),
-                    "c.subject", "c.slot", "c.value", "c.valid_from", "c.recorded_at",
-                    "c.revokes"))
+def _inputs(rows):
+    """The clock columns a spread still needs."""
+    return [c for c in rows.columns if c in ("l_shipdate", "l_linenumber")]
 
 
 def _start():
@@ -87,11 +103,18 @@ def _start():
 
 def _movements(spark, sf_dir):
     l, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    l = _all_cores(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                            "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus",
+                            "l_tax", "l_discount"))
     rows = (l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                       F.col("l_quantity").cast("int"), F.date_format("l_shipdate", "yyyyMMdd"))
-    mov, cnt = F.concat(F.lit("mov:"), key), F.concat(F.lit("count:"), key)
+    # Named columns, so that each text is built once a row and not once a cell.
+    rows = (rows.withColumn("_key", key)
+            .withColumn("_mov", F.concat(F.lit("mov:"), "_key"))
+            .withColumn("_cnt", F.concat(F.lit("count:"), "_key")))
+    mov, cnt = F.col("_mov"), F.col("_cnt")
     part = F.concat(F.lit("part:"), "l_partkey")
     nation = F.concat(F.lit("nation:"), "c_nationkey")
     supplier = F.concat(F.lit("supplier:"), "l_suppkey")
@@ -102,27 +125,28 @@ def _movements(spark, sf_dir):
     quantity = F.col("l_quantity").cast("bigint")
     vf = F.col("l_shipdate")
     ra = vf + F.make_dt_interval(days=F.col("l_linenumber"))
-    later = ra + F.make_dt_interval(days=F.lit(10))
+    ra = F.when(F.col("kind") == "base", ra).otherwise(ra + F.make_dt_interval(days=F.lit(10)))
     cells = [
-        _cell(mov, TYPE_SLOT, F.lit("StockMovement"), "base", 1, vf, ra),
-        _cell(mov, "movement_ingredient", part, "base", 2, vf, ra),
-        _cell(mov, "movement_into", into, "base", 3, vf, ra),
-        _cell(mov, "movement_out_of", out_of, "base", 4, vf, ra),
-        _cell(mov, "movement_quantity", quantity, "base", 5, vf, ra),
-        _cell(mov, "movement_unit", unit, "base", 6, vf, ra),
+        _cell(mov, TYPE_SLOT, F.lit("StockMovement"), "base", 1),
+        _cell(mov, "movement_ingredient", part, "base", 2),
+        _cell(mov, "movement_into", into, "base", 3),
+        _cell(mov, "movement_out_of", out_of, "base", 4),
+        _cell(mov, "movement_quantity", quantity, "base", 5),
+        _cell(mov, "movement_unit", unit, "base", 6),
         F.when(F.col("l_tax") == 0.08,
-               _cell(mov, "movement_quantity", quantity + 1, "fix", 21, vf, later, "base")),
+               _cell(mov, "movement_quantity", quantity + 1, "fix", 21)),
         F.when((F.col("l_tax") == 0) & (F.col("l_discount") == 0),
-               _cell(mov, "movement_quantity", F.lit(None), "drop", 22, vf, later, "base")),
+               _cell(mov, "movement_quantity", F.lit(None), "drop", 22)),
     ]
     counted = F.col("l_linestatus") == "F"
     cells += [F.when(counted, c) for c in (
-        _cell(cnt, TYPE_SLOT, F.lit("StockCountLine"), "base", 11, vf, ra),
-        _cell(cnt, "count_line_ingredient", part, "base", 12, vf, ra),
-        _cell(cnt, "count_line_where", nation, "base", 13, vf, ra),
-        _cell(cnt, "count_line_quantity", quantity, "base", 14, vf, ra),
-        _cell(cnt, "count_line_unit", unit, "base", 15, vf, ra))]
-    return _spread(rows, cells, F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100)
+        _cell(cnt, TYPE_SLOT, F.lit("StockCountLine"), "base", 11),
+        _cell(cnt, "count_line_ingredient", part, "base", 12),
+        _cell(cnt, "count_line_where", nation, "base", 13),
+        _cell(cnt, "count_line_quantity", quantity, "base", 14),
+        _cell(cnt, "count_line_unit", unit, "base", 15))]
+    return _spread(rows, cells, F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100,
+                   vf, ra)
 
 
 def _parts(spark, sf_dir):
@@ -134,27 +158,29 @@ def _parts(spark, sf_dir):
     price = F.col("p_retailprice").cast("decimal(18,2)")
     cells = [
         _cell(uri, TYPE_SLOT, F.when(F.col("p_size") > 10, "Ingredient").otherwise("BoughtItem"),
-              "base", 1, t0, t0),
-        _cell(uri, "item_name", F.col("p_name"), "base", 2, t0, t0),
-        _cell(uri, "item_base_unit", F.lit("unit:base"), "base", 3, t0, t0),
+              "base", 1),
+        _cell(uri, "item_name", F.col("p_name"), "base", 2),
+        _cell(uri, "item_base_unit", F.lit("unit:base"), "base", 3),
         _cell(uri, "item_counted_in", F.when(F.col("p_type").isin("SMALL", "MEDIUM"), "unit:A")
-              .otherwise("unit:R"), "base", 4, t0, t0),
-        _cell(uri, "item_price", price, "base", 5, t0, t0),
+              .otherwise("unit:R"), "base", 4),
+        _cell(uri, "item_price", price, "base", 5),
         _cell(uri, "item_reorder_level", F.when(F.col("p_size") >= 20, F.col("p_size") * 10),
-              "base", 6, t0, t0),
+              "base", 6),
         F.when(F.col("p_type") == "ECONOMY",
-               _cell(uri, "item_price", price + F.lit(5), "change", 7, changed, changed)),
+               _cell(uri, "item_price", price + F.lit(5), "change", 7)),
         F.when(F.col("p_type") == "PROMO",
-               _cell(uri, TYPE_SLOT, F.lit("BoughtItem"), "change", 8, retyped, retyped)),
+               _cell(uri, TYPE_SLOT, F.lit("BoughtItem"), "change", 8)),
     ]
     for i, flag in enumerate(("A", "R")):
         cv = F.concat(F.lit("conv:"), "p_partkey", F.lit(f"-{flag}"))
         cells += [
-            _cell(cv, TYPE_SLOT, F.lit("UnitConversion"), "base", 11 + 10 * i, t0, t0),
-            _cell(cv, "conversion_ingredient", uri, "base", 12 + 10 * i, t0, t0),
-            _cell(cv, "conversion_unit", F.lit(f"unit:{flag}"), "base", 13 + 10 * i, t0, t0),
-            _cell(cv, "conversion_factor", 1 + F.col("p_size") % 5, "base", 14 + 10 * i, t0, t0)]
-    return _spread(p, cells, F.col("p_partkey") * 1000)
+            _cell(cv, TYPE_SLOT, F.lit("UnitConversion"), "base", 11 + 10 * i),
+            _cell(cv, "conversion_ingredient", uri, "base", 12 + 10 * i),
+            _cell(cv, "conversion_unit", F.lit(f"unit:{flag}"), "base", 13 + 10 * i),
+            _cell(cv, "conversion_factor", 1 + F.col("p_size") % 5, "base", 14 + 10 * i)]
+    at = (F.when((F.col("kind") == "change") & (F.col("slot") == "item_price"), changed)
+          .when(F.col("kind") == "change", retyped).otherwise(t0))
+    return _spread(p, cells, F.col("p_partkey") * 1000, at, at)
 
 
 def _places(spark, sf_dir):
@@ -162,18 +188,18 @@ def _places(spark, sf_dir):
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     nu, su = F.concat(F.lit("nation:"), "n_nationkey"), F.concat(F.lit("supplier:"), "s_suppkey")
     kind = F.when(F.col("n_regionkey") < 3, "InternalLocation").otherwise("Location")
-    nations = _spread(n, [_cell(nu, TYPE_SLOT, kind, "base", 1, t0, t0),
-                          _cell(nu, "location_name", F.col("n_name"), "base", 2, t0, t0)],
-                      F.col("n_nationkey").cast("bigint") * 1000)
-    suppliers = _spread(s, [_cell(su, TYPE_SLOT, F.lit("Supplier"), "base", 1, t0, t0),
-                            _cell(su, "location_name", F.col("s_name"), "base", 2, t0, t0)],
-                        F.col("s_suppkey") * 1000)
+    nations = _spread(n, [_cell(nu, TYPE_SLOT, kind, "base", 1),
+                          _cell(nu, "location_name", F.col("n_name"), "base", 2)],
+                      F.col("n_nationkey").cast("bigint") * 1000, t0, t0)
+    suppliers = _spread(s, [_cell(su, TYPE_SLOT, F.lit("Supplier"), "base", 1),
+                            _cell(su, "location_name", F.col("s_name"), "base", 2)],
+                        F.col("s_suppkey") * 1000, t0, t0)
     flags = table(spark, sf_dir, "lineitem").select("l_returnflag").distinct()
     uu = F.concat(F.lit("unit:"), "l_returnflag")
-    units = _spread(flags, [_cell(uu, TYPE_SLOT, F.lit("Unit"), "base", 1, t0, t0),
+    units = _spread(flags, [_cell(uu, TYPE_SLOT, F.lit("Unit"), "base", 1),
                             _cell(uu, "unit_name",
-                                  F.concat(F.lit("Flag "), "l_returnflag"), "base", 2, t0, t0)],
-                    F.ascii("l_returnflag").cast("bigint") * 1000)
+                                  F.concat(F.lit("Flag "), "l_returnflag"), "base", 2)],
+                    F.ascii("l_returnflag").cast("bigint") * 1000, t0, t0)
     return nations.unionByName(suppliers).unionByName(units)
 
 
