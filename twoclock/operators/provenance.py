@@ -13,6 +13,8 @@ from .resolve import RANK
 
 
 def with_intent(claims, intents) -> DataFrame:
+    if intents is None:
+        return claims
     acts = intents.select(F.col("id").alias("intent_id"), "actor_id", "action_name",
                           "occurred_at", "note")
     return claims.join(acts, "intent_id")
@@ -176,7 +178,7 @@ def known_actors(intents, people) -> DataFrame:
             .select(F.coalesce("actor_id", "_first").alias("actor"), "label", "entity_uri"))
 
 
-def evidence(cells, claims, intents) -> DataFrame:
+def evidence(cells, claims, intents=None) -> DataFrame:
     """The claims behind derived cells: `cells` carries (subject, slot) pairs and the
     row and column they fill."""
     history_ = history(claims, intents, cells.select("subject", "slot"))

@@ -10,13 +10,17 @@ NAME_WEIGHT = 6
 # Scores are sums of weight / paragraphs-with-the-word. Whole units of 1e-12 add up
 # the same in any order, so equal paragraphs tie exactly.
 UNIT = 1_000_000_000_000
+# Fixed value: every white-space character, as a regular-expression class body.
+SPACE = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+         r"\x{202f}\x{205f}\x{3000}")
 
 
 def paragraphs(texts, key="doc_id") -> DataFrame:
     """(key, position, paragraph): blocks between blank lines, trimmed, empty ones
     dropped and positions counted over what is left."""
-    blocks = F.filter(F.transform(F.split("text", r"\n\s*\n"),
-                                  lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")),
+    blocks = F.filter(F.transform(F.split("text", rf"\n[{SPACE}]*\n"),
+                                  lambda b: F.regexp_replace(
+                                      b, rf"^[{SPACE}]+|[{SPACE}]+$", "")),
                       lambda b: b != "")
     return texts.select(key, F.posexplode(blocks).alias("position", "paragraph")) \
         .withColumn("position", F.col("position").cast("bigint"))

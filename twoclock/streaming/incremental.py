@@ -32,6 +32,8 @@ def refresh_state(batch, claims, path, valid_at, as_of, buckets) -> None:
     whole = bucketed(claims, buckets).join(touched, "bucket", "left_semi")
     pairs = whole.select("subject", "slot").distinct()
     won = bucketed(standing_of(claims, pairs, valid_at, as_of), buckets)
+    # A bucket left with nothing standing must still replace what it held before.
+    won = touched.join(won, "bucket", "left").select(*won.columns)
     (won.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))
 
@@ -51,7 +53,7 @@ def maintain(stream, read_claims, state_path, checkpoint, valid_at, as_of, bucke
 
 
 def current_state(spark, path) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return spark.read.parquet(path).where("subject IS NOT NULL").drop("bucket")
 
 
 def rebuild(claims, path, valid_at, as_of, buckets=64):

@@ -60,7 +60,7 @@ def event_intents(spark, sf_dir):
     return e.select(
         F.concat(F.lit("act:"), "event_id").alias("id"),
         F.col("ts").alias("occurred_at"),
-        F.concat(F.lit("clerk "), F.regexp_extract("props", "[0-9]+", 0)).alias("actor_id"),
+        F.concat(F.lit("clerk"), F.regexp_extract("props", "[0-9]+", 0)).alias("actor_id"),
         F.concat(F.lit("submit_"), "event_type").alias("action_name"),
         F.when(F.col("event_type") == "error", "withdrawn").alias("note"))
 
