@@ -24,7 +24,7 @@ def _plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(value + 0.0)
+        return "nan" if math.isnan(value) else repr(value)
     return repr(value)
 
 
@@ -33,6 +33,18 @@ def _rows(names, rows):
     return sorted(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
+_KIND = {"tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "int",
+         "hugeint": "huge", "varchar": "string", "timestamp_ntz": "timestamp", "float": "float"}
+
+
+def _kinds(pairs):
+    out = {}
+    for name, kind in pairs:
+        kind = str(kind).lower().split("(")[0]
+        out[name] = _KIND.get(kind, kind)
+    return out
+
+
 def differences(spark, con, name, query, sql, sf_dir):
     """(problem or None, rows, seconds)."""
     start = time.time()
@@ -46,6 +58,10 @@ def differences(spark, con, name, query, sql, sf_dir):
     theirs = cur.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} / {sorted(names)}", len(ours), took
+    kinds = _kinds(df.dtypes), _kinds((c[0], c[1]) for c in cur.description)
+    if kinds[0] != kinds[1]:
+        odd = {n: (kinds[0][n], kinds[1][n]) for n in names if kinds[0][n] != kinds[1][n]}
+        return f"types {odd}", len(ours), took
     a, b = _rows(df.columns, ours), _rows(names, theirs)
     if a == b:
         return None, len(ours), took

@@ -211,13 +211,19 @@ def derive_stock(spark, sf_dir):
 _written = {}
 
 
-def stock_log(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, str(sf_dir))
+def _at_rest(spark, sf_dir, name, write):
+    """Path of a log written once per session and folder."""
+    key = (spark.sparkContext.applicationId, str(sf_dir), name)
     if key not in _written:
-        path = scratch_path(spark, "stock", sf_dir)
-        append_claims(derive_stock(spark, sf_dir), path)
+        path = scratch_path(spark, name, sf_dir)
+        write(path)
         _written[key] = path
-    return read_claims(spark, _written[key])
+    return _written[key]
+
+
+def stock_log(spark, sf_dir):
+    return read_claims(spark, _at_rest(
+        spark, sf_dir, "stock", lambda path: append_claims(derive_stock(spark, sf_dir), path)))
 
 
 # ---- the same master data under entity ids --------------------------------
@@ -232,6 +238,13 @@ def master_claims(spark, sf_dir):
 
 
 def master_assertions(spark, sf_dir):
+    """The assertion table of `derive_assertions`, written once."""
+    path = _at_rest(spark, sf_dir, "assertions",
+                    lambda path: derive_assertions(spark, sf_dir).write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def derive_assertions(spark, sf_dir):
     """`master_claims` keyed by entity id, with the registry's own claims. Suppliers
     were registered twice; the first registration names them."""
     c = master_claims(spark, sf_dir)
