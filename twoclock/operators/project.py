@@ -1,9 +1,9 @@
 """Derived tables from the state at two clocks.
 
-A view answers three reads: `wide(slots)`, one row per subject; `members(...)`, the
-subjects of a class; `facts(slot)`, one slot's (subject, value). `LogView` answers
-them from the claims, `StatedView` from an already resolved (subject, slot, value)
-frame such as a written snapshot.
+A view answers two reads: `wide(slots)`, one row per subject with a column per slot,
+and `of_class(…)`, the same for the subjects of a class. `LogView` answers them from
+the claims, `StatedView` from an already resolved (subject, slot, value) frame such as
+a written snapshot.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import arithmetic
 from ..plans.spec import IDENTITY, EntitySpec, GroupedSpec
-from .resolve import standing, standing_wide
+from .resolve import standing_wide
 
 
 class LogView:
@@ -25,9 +25,25 @@ class LogView:
     def wide(self, slots):
         return standing_wide(self.claims, slots, self.valid_at, self.as_of)
 
-    def facts(self, *slots):
-        return standing(self.claims, self.valid_at, self.as_of, slots).select(
-            "subject", "slot", "value")
+    def of_class(self, type_slot, classes, slots):
+        """Rows of the subjects whose class at the clocks is one of `classes`.
+
+        Every entity has a class claim, so most of that slot is about others. Who was
+        never said to be of the class cannot be: other class claims count only for
+        subjects that have one naming it. A small class is broadcast, and the rest of
+        the slot goes no further than its scan.
+        """
+        c = self.claims
+        names_it = F.col("value").isin(list(classes))
+        typed = F.col("slot") == type_slot
+        ever = c.where(typed & names_it).select("subject").distinct()
+        others = c.where(typed & ~names_it).join(ever, "subject", "left_semi")
+        kept = (c.where((F.col("slot").isin(sorted(set(slots.values()) - {type_slot})))
+                        | (typed & names_it)).select(*c.columns)
+                .unionByName(others.select(*c.columns)))
+        won = standing_wide(kept, {**slots, "_type": type_slot}, self.valid_at, self.as_of,
+                            revoking=c)
+        return won.where(F.col("_type").isin(list(classes))).drop("_type")
 
 
 class StatedView:
@@ -40,16 +56,15 @@ class StatedView:
             F.max(F.when(F.col("slot") == slot, F.col("value"))).alias(name)
             for name, slot in slots.items()])
 
-    def facts(self, *slots):
-        return self.stated.where(F.col("slot").isin(list(slots))).select(
-            "subject", "slot", "value")
+    def of_class(self, type_slot, classes, slots):
+        won = self.wide({**slots, "_type": type_slot})
+        return won.where(F.col("_type").isin(list(classes))).drop("_type")
 
 
 def members(view, model, class_name) -> DataFrame:
     """Subjects that are of the class, or of one below it, at the clocks."""
-    slot = model.type_slot(class_name).key
-    return (view.facts(slot).where(F.col("value").isin(model.descendants(class_name)))
-            .select("subject"))
+    return view.of_class(model.type_slot(class_name).key, model.descendants(class_name),
+                         {}).select("subject")
 
 
 # ---- entity lists ---------------------------------------------------------
@@ -58,9 +73,8 @@ def entities(view, spec: EntitySpec, safe_cast=False) -> DataFrame:
     """One row per entity; unstated cells NULL. The class test is made on the pivoted
     row, so a single aggregation gives both the rows and their cells."""
     model = spec.model
-    slots = {s.name: s.key for s in spec.columns}
-    type_column = spec.type_slot.name
-    held = view.wide(slots).where(F.col(type_column).isin(spec.classes))
+    held = view.of_class(spec.type_slot.key, spec.classes,
+                         {s.name: s.key for s in spec.columns})
     return held.select(F.col("subject").alias(IDENTITY), *[
         _cast(F.col(s.name), model.column_type(s), safe_cast).alias(s.name)
         for s in spec.columns])
@@ -258,9 +272,8 @@ def conversion_table(view, model, cv) -> DataFrame:
     nothing. Two rows for one match multiply the rows they meet, as stated facts do:
     `quality.unique_violations` is the guard."""
     slots = {name: model.slot_of(cv.using, name, "convert").key for name in [*cv.on, cv.factor]}
-    held = view.wide({**slots, "_type": model.type_slot(cv.using).key})
-    return (held.where(F.col("_type").isin(model.descendants(cv.using)))
-            .select(*cv.on, F.col(cv.factor).cast(cv.factor_type).alias("_factor"))
+    held = view.of_class(model.type_slot(cv.using).key, model.descendants(cv.using), slots)
+    return (held.select(*cv.on, F.col(cv.factor).cast(cv.factor_type).alias("_factor"))
             .where(reduce(lambda a, b: a & b,
                           [F.col(c).isNotNull() for c in [*cv.on, "_factor"]])))
 
@@ -354,9 +367,9 @@ def labels_of(view, model, class_name) -> DataFrame:
     if slot is None:
         return members(view, model, class_name).select(
             F.col("subject").alias(IDENTITY), F.lit(None).cast("string").alias("label"))
-    held = view.wide({"_type": model.type_slot(class_name).key, "label": slot.key})
-    return (held.where(F.col("_type").isin(model.descendants(class_name)))
-            .select(F.col("subject").alias(IDENTITY), "label"))
+    held = view.of_class(model.type_slot(class_name).key, model.descendants(class_name),
+                         {"label": slot.key})
+    return held.select(F.col("subject").alias(IDENTITY), "label")
 
 
 def user_sort(df, column, descending=False, ties=()) -> DataFrame:

@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def _failures(df, check, subject, detail):
     return df.select(F.lit(check).alias("check"), subject.cast("string").alias("subject"),
@@ -99,7 +101,7 @@ def unmentioned(names, bodies) -> DataFrame:
     """
     lowered = names.select("name", F.lower("name").alias("_low")).distinct()
     split = lowered.withColumn("_w", F.split("_low", " ")).withColumn("_k", F.size("_w"))
-    low = bodies.select("id", F.lower("text").alias("_text")).withColumn(
+    low = spread(bodies).select("id", F.lower("text").alias("_text")).withColumn(
         "_w", F.split("_text", " "))
     kinds = {r["k"] for r in split.select(F.least("_k", F.lit(3)).alias("k"))
              .distinct().collect()}
@@ -124,22 +126,28 @@ def _inside_a_word(split, low):
     return single.join(pieces.distinct(), "_low", "left_semi").select("name")
 
 
-def _pairs_of_words(low):
-    return (low.where(F.size("_w") > 1)
-            .select(F.explode(F.arrays_zip(
-                F.expr("slice(_w, 1, size(_w) - 1)").alias("a"),
-                F.expr("slice(_w, 2, size(_w) - 1)").alias("b"))).alias("p"))
-            .select("p.a", "p.b").distinct())
-
-
 def _across_two_words(split, low):
+    """The words that end or start as some name does are found among distinct words;
+    only neighbours whose first word is one of them are looked at as a pair."""
     double = split.where("_k = 2").select(
         "name", F.col("_w")[0].alias("_end"), F.col("_w")[1].alias("_start"))
-    tails = (_pairs_of_words(low)
-             .select("a", "b", F.explode(F.sequence(F.lit(1), F.length("a") + 1)).alias("_at"))
-             .select("b", F.expr("substring(a, _at)").alias("_end")))
-    return (double.join(tails, "_end").where(F.col("b").startswith(F.col("_start")))
-            .select("name").distinct())
+    vocabulary = low.select(F.explode("_w").alias("_word")).distinct()
+    tails = (vocabulary.select(F.col("_word").alias("a"), F.explode(F.sequence(
+                 F.lit(1), F.length("_word") + 1)).alias("_at"))
+             .select("a", F.expr("substring(a, _at)").alias("_end"))
+             .join(double.select("_end").distinct(), "_end", "left_semi"))
+    heads = (vocabulary.select(F.col("_word").alias("b"), F.explode(F.sequence(
+                 F.lit(0), F.length("_word"))).alias("_at"))
+             .select("b", F.expr("substring(b, 1, _at)").alias("_start"))
+             .join(double.select("_start").distinct(), "_start", "left_semi"))
+    pairs = (low.where(F.size("_w") > 1)
+             .select(F.explode(F.arrays_zip(
+                 F.expr("slice(_w, 1, size(_w) - 1)").alias("a"),
+                 F.expr("slice(_w, 2, size(_w) - 1)").alias("b"))).alias("p"))
+             .select("p.a", "p.b").join(tails.select("a").distinct(), "a", "left_semi")
+             .distinct())
+    met = pairs.join(tails, "a").join(heads, "b").select("_end", "_start").distinct()
+    return double.join(met, ["_end", "_start"], "left_semi").select("name").distinct()
 
 
 def _across_many_words(split, low):
@@ -148,7 +156,7 @@ def _across_many_words(split, low):
                .select("name", "_low", F.size(inner).alias("_n"),
                        F.concat_ws(" ", inner).alias("_anchor")))
     shingles = []
-    for n in (1, 2, 3):
+    for n in sorted(r["_n"] for r in anchors.select("_n").distinct().collect()):
         columns = [F.expr(f"slice(_w, {i + 1}, size(_w) - {n - 1})").alias(f"w{i}")
                    for i in range(n)]
         runs = (low.where(F.size("_w") >= n)
@@ -201,7 +209,7 @@ def sold_nowhere(prices, key, price) -> DataFrame:
 
 def forbidden_phrases(texts, key, phrases) -> DataFrame:
     """(key, line, phrase): every line on which a phrase pattern occurs, case aside."""
-    lines = texts.select(F.col(key).alias("key"),
+    lines = spread(texts).select(F.col(key).alias("key"),
                          F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
     hits = F.array(*[F.when(F.col("_line").rlike("(?i)" + p), F.lit(p)) for p in phrases])
     # One alternation settles most lines before the phrases are tried apart.

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def item_metadata(items, units, conversions) -> DataFrame:
     """Each item with the unit it is counted in and that unit's factor; every item
@@ -78,7 +80,9 @@ def worst_first(items):
 
 def top_losses(items, k=6) -> DataFrame:
     """The k largest losses, each as a share of the whole variance and of the largest
-    loss. The two totals are scalars, so no window spans the table."""
+    loss. The two totals are scalars, so no window spans the table; the items, read
+    three times, are computed once and kept in the shared folder."""
+    items = kept(items.select("ingredient", "place", "name", "variance_value"))
     whole = F.abs(items.agg(F.sum("variance_value")).scalar())
     deepest = F.abs(items.where("variance_value < 0").agg(F.min("variance_value")).scalar())
     loss = F.abs(F.col("variance_value"))
@@ -92,7 +96,9 @@ def top_losses(items, k=6) -> DataFrame:
 
 
 def alerts(items) -> DataFrame:
-    """One row per anomaly and per reorder; every breach, whatever the item."""
+    """One row per anomaly and per reorder; every breach, whatever the item. The items
+    are computed once for their total and their rows."""
+    items = kept(items)
     whole = F.abs(items.agg(F.sum("variance_value")).scalar())
     kinds = F.array(
         F.when(F.col("is_anomaly"), F.struct(

@@ -57,12 +57,14 @@ def revoked_ids(claims: DataFrame, as_of) -> DataFrame:
             .select(F.col("revokes").alias("id")).distinct())
 
 
-def candidates(claims, valid_at, as_of, slots=None) -> DataFrame:
+def candidates(claims, valid_at, as_of, slots=None, revoking=None) -> DataFrame:
     """Claims in the running at the two clocks. `slots` reaches the scan, where a
-    log laid out by slot prunes whole folders."""
+    log laid out by slot prunes whole folders. Where `claims` is only part of a log,
+    `revoking` is the whole of it: any row may revoke any other."""
     wanted = claims if slots is None else claims.where(F.col("slot").isin(list(slots)))
     return (wanted.where(visible(claims, valid_at, as_of) & states_something(claims))
-            .join(revoked_ids(claims, as_of), "id", "left_anti"))
+            .join(revoked_ids(claims if revoking is None else revoking, as_of), "id",
+                  "left_anti"))
 
 
 def _newest(keys):
@@ -142,9 +144,9 @@ def clock_grid(claims, clocks, slots=None) -> DataFrame:
             .where("_place = 1").drop("_place"))
 
 
-def standing_wide(claims, slots: dict, valid_at, as_of) -> DataFrame:
+def standing_wide(claims, slots: dict, valid_at, as_of, revoking=None) -> DataFrame:
     """One row per subject, one text column per entry of `slots` (column -> slot)."""
-    held = candidates(claims, valid_at, as_of, sorted(set(slots.values())))
+    held = candidates(claims, valid_at, as_of, sorted(set(slots.values())), revoking)
     newest = F.struct(*RANK, "value")
     return held.groupBy("subject").agg(*[
         F.max(F.when(F.col("slot") == slot, newest)).getField("value").alias(name)

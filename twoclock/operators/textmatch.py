@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SHORTEST_WORD, words
+from ..session import kept, spread
 
 # Fixed value: what a word of the name counts against one of the description.
 NAME_WEIGHT = 6
@@ -22,7 +23,7 @@ def paragraphs(texts, key="doc_id") -> DataFrame:
                                   lambda b: F.regexp_replace(
                                       b, rf"^[{SPACE}]+|[{SPACE}]+$", "")),
                       lambda b: b != "")
-    return texts.select(key, F.posexplode(blocks).alias("position", "paragraph")) \
+    return spread(texts).select(key, F.posexplode(blocks).alias("position", "paragraph")) \
         .withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -41,7 +42,7 @@ def word_starts(texts, vocabulary, longest) -> DataFrame:
     """(index, word) for every vocabulary word some token of the paragraph starts with.
     Tokens are made distinct inside the row; a token offers its own beginnings."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))
-    starts = (texts.select("index", F.explode(tokens).alias("token"))
+    starts = (spread(texts).select("index", F.explode(tokens).alias("token"))
               .where(F.length("token") >= SHORTEST_WORD)
               .select("index", "token", F.explode(F.sequence(
                   F.lit(SHORTEST_WORD), F.least(F.length("token"), F.lit(longest)))).alias("n"))
@@ -62,10 +63,11 @@ def best_paragraph(subjects, texts, rare=1000) -> DataFrame:
     wanted = wanted_words(subjects)
     vocabulary = wanted.select("word").distinct()
     longest = vocabulary.agg(F.max(F.length("word"))).head()[0] or SHORTEST_WORD
-    held = word_starts(texts, vocabulary, longest)
+    # Read several times below: texts are cut into words once, and the pairs kept.
+    held = kept(word_starts(texts, vocabulary, longest))
     common = held.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    terms = wanted.join(common, "word").select(
-        "key", "word", "_df", F.expr(f"weight * {UNIT} div _df").alias("units"))
+    terms = kept(wanted.join(common, "word").select(
+        "key", "word", "_df", F.expr(f"weight * {UNIT} div _df").alias("units")))
     few, many = terms.where(F.col("_df") <= rare), terms.where(F.col("_df") > rare)
 
     partial = (few.join(held, "word").groupBy("key", "index")

@@ -6,7 +6,7 @@ A triples frame has `s, p, o`; blank nodes start with `_:`.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import kept
 
 TYPE, SUBCLASS = "rdf:type", "rdfs:subClassOf"
 DOMAIN, RANGE = "rdfs:domain", "rdfs:range"
@@ -106,17 +106,17 @@ def closure(edges, rounds=40) -> DataFrame:
     """(ancestor, descendant), each class with itself, of parent edges (parent, child).
 
     Path lengths double each round, so a tree of depth d takes about log2(d) joins.
-    Every round is checkpointed: plans stay short and a lost executor costs one round.
+    Every round is written down: plans stay short and a lost executor costs one round.
     """
     edges = edges.where("parent IS NOT NULL").select("parent", "child").distinct()
-    paths = checkpointed(edges.select(F.col("parent").alias("ancestor"),
+    paths = kept(edges.select(F.col("parent").alias("ancestor"),
                                       F.col("child").alias("descendant")))
     known = paths.count()
     for _ in range(rounds):
         longer = (paths.select("ancestor", F.col("descendant").alias("_mid"))
                   .join(paths.select(F.col("ancestor").alias("_mid"), "descendant"), "_mid")
                   .select("ancestor", "descendant"))
-        grown = checkpointed(paths.unionByName(longer).distinct())
+        grown = kept(paths.unionByName(longer).distinct())
         now = grown.count()
         if now == known:
             break

@@ -7,7 +7,7 @@ by slot, and every query reads the written log.
 
 from pyspark.sql import functions as F
 
-from twoclock.session import scratch_path
+from twoclock.session import scratch_path, spread
 from twoclock.sources import append_claims, read_claims
 
 URI_SLOT = "sys:uri"
@@ -26,13 +26,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _all_cores(df):
-    """A scan of fewer splits than there are cores is spread out before work that
-    multiplies its rows; a large table has splits enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # ---- events ---------------------------------------------------------------
 
 def event_log(spark, sf_dir):
@@ -103,7 +96,7 @@ def _start():
 
 def _movements(spark, sf_dir):
     l, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    l = _all_cores(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    l = spread(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                             "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus",
                             "l_tax", "l_discount"))
     rows = (l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
