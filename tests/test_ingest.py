@@ -121,6 +121,16 @@ def test_positions_in_a_hot_group(spark):
         by_key.setdefault(r.k, []).append((r.v, r.id, r.position))
     for held in by_key.values():
         assert [p for *_, p in sorted(held)] == list(range(1, len(held) + 1))
+    # Most of the order column one value: the next column cuts it.
+    flat = df.withColumn("v", F.when(F.col("id") % 4 == 0, F.col("v")).otherwise(5))
+    sizes = (ranking.with_piece(flat, ["v", "id"], 16).groupBy("_piece").count()
+             .agg(F.max("count")).first()[0])
+    assert sizes < 1500
+    crowded = {}
+    for r in ranking.position(flat, ["k"], ["v", "id"], pieces=16).collect():
+        crowded.setdefault(r.k, []).append((r.v, r.id, r.position))
+    for held in crowded.values():
+        assert [p for *_, p in sorted(held)] == list(range(1, len(held) + 1))
     tops = ranking.running_max_before(df, ["k"], ["id"], "v", "m", pieces=16)
     seen = {}
     for r in tops.orderBy("id").collect():

@@ -1,41 +1,57 @@
 """Positions inside groups of any size.
 
 A window over a whole group puts the group in one task. Here a group is first cut
-along its leading order column at a few boundaries taken from the data, each piece
-is ranked on its own, and the sizes of the earlier pieces are added. Boundaries
-are literals by the time rows are assigned, so every pass cuts the same way.
+along its order at boundaries taken from the data, each piece is ranked on its own,
+and the sizes of the earlier pieces are added. A value so common that several
+boundaries fall on it is a piece of its own, cut further along the next order column.
+Boundaries are literals by the time rows are assigned, so every pass cuts the same way.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def boundaries(df, column, pieces):
-    """At most `pieces - 1` cut points of a numeric or timestamp column, as numbers."""
-    number = _number(df, column)
-    cuts = df.agg(F.percentile_approx(
-        number, [i / pieces for i in range(1, pieces)], 10_000).alias("c")).head()["c"]
-    return sorted(set(cuts or []))
-
-
 def _number(df, column):
+    """The column as a number in the same order, or None if it has none."""
     kind = df.schema[column].dataType.typeName()
     if kind == "timestamp_ntz":
         return F.unix_micros(F.col(column).cast("timestamp"))
     if kind == "timestamp":
         return F.unix_micros(F.col(column))
-    return F.col(column)
+    return F.col(column) if kind in ("long", "integer", "short", "byte") else None
+
+
+def _below(number, values, low, high):
+    """How many of the sorted values are less, by halving: a row is compared with a
+    few of them however many there are."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(number > values[mid], _below(number, values, mid + 1, high)).otherwise(
+        _below(number, values, low, mid))
 
 
-def with_piece(df, column, pieces, name="_piece"):
-    """Adds the number of the piece each row falls in; pieces follow the order of
-    `column`."""
-    cuts = boundaries(df, column, pieces)
-    if not cuts:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    above = F.array(*[F.lit(c) for c in cuts])
-    number = _number(df, column)
-    return df.withColumn(name, F.size(F.filter(above, lambda c: c <= number)).cast("bigint"))
+def with_piece(df, order, pieces, name="_piece"):
+    """Adds the number of the piece each row falls in; pieces follow `order`."""
+    tied, code = F.lit(True), F.lit(0).cast("bigint")
+    for column in order:
+        number = _number(df, column)
+        if number is None:
+            break
+        cuts = df.where(tied).agg(F.percentile_approx(
+            number, [i / pieces for i in range(1, pieces)], max(10_000, 10 * pieces))
+            .alias("c")).head()["c"] or []
+        values = sorted(set(cuts))
+        if not values:
+            break
+        # Even between boundaries, odd on one: rows on a boundary are by themselves.
+        spot = 2 * _below(number, values, 0, len(values)) + number.isin(values).cast("int")
+        code = code * (2 * pieces + 2) + F.when(tied, F.coalesce(spot, F.lit(0))).otherwise(0)
+        crowded = [v for v in values if cuts.count(v) > 1]
+        if not crowded:
+            break
+        tied = tied & number.isin(crowded)
+    return df.withColumn(name, code)
 
 
 def position(df, keys, order, name="position", start=1, pieces=None):
@@ -43,7 +59,7 @@ def position(df, keys, order, name="position", start=1, pieces=None):
     ascending. With no keys, one dense numbering of the whole frame."""
     spark = df.sparkSession
     pieces = pieces or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = with_piece(df, order[0], pieces)
+    cut = with_piece(df, order, pieces)
     at = [*keys, "_piece"]
     sizes = cut.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
     if keys:
@@ -72,7 +88,7 @@ def running_max_before(df, keys, order, value, name, pieces=None):
     first; same cutting as `position`."""
     spark = df.sparkSession
     pieces = pieces or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = with_piece(df, order[0], pieces)
+    cut = with_piece(df, order, pieces)
     at = [*keys, "_piece"]
     tops = cut.groupBy(*at).agg(F.max(value).alias("_top"))
     earlier = tops.withColumn("_sofar", F.max("_top").over(

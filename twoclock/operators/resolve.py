@@ -167,6 +167,12 @@ def registry(assertions, registry_uri) -> DataFrame:
             .agg(F.min_by("value_literal", "seq").alias("uri")))
 
 
+def _spread_nulls():
+    """`value_ref` to join on. Most claims are literals; their NULLs would all hash to
+    one task, so each meets nothing under a key of its own."""
+    return F.coalesce("value_ref", F.concat(F.lit("\u0000"), "id"))
+
+
 def stated(assertions, registry_uri, valid_at, as_of, slots=None) -> DataFrame:
     """(subject_id, subject, slot, value) standing at the clocks, ids as URIs.
 
@@ -192,9 +198,9 @@ def stated(assertions, registry_uri, valid_at, as_of, slots=None) -> DataFrame:
     won = (held.withColumn("_place", F.row_number().over(
                _newest(["subject_id", "predicate_id"])))
            .where("_place = 1"))
-    return (won.join(slot_names, "predicate_id")
-            .join(names.select(F.col("entity_id").alias("value_ref"),
-                               F.col("uri").alias("_ref")), "value_ref", "left")
+    return (won.join(slot_names, "predicate_id").withColumn("_points_at", _spread_nulls())
+            .join(names.select(F.col("entity_id").alias("_points_at"),
+                               F.col("uri").alias("_ref")), "_points_at", "left")
             .join(names.select(F.col("entity_id").alias("subject_id"),
                                F.col("uri").alias("subject")), "subject_id", "left")
             .select("subject_id", "subject", F.col("_slot").alias("slot"),
@@ -237,8 +243,9 @@ def replay(assertions, label_literal, valid_at, as_of) -> DataFrame:
         return (df.join(side, column, "left").withColumn(
             out, F.coalesce(out, F.concat(F.lit("<"), column, F.lit(">")))))
 
-    out = named(named(named(won, "subject", "subject_label"), "slot", "slot_label"),
-                "value_ref", "ref_label")
+    out = named(named(named(won.withColumn("_points_at", _spread_nulls()), "subject",
+                            "subject_label"), "slot", "slot_label"),
+                "_points_at", "ref_label")
     return out.select(
         F.col("subject_label").alias("subject"), F.col("slot_label").alias("predicate"),
         F.when(F.col("value_ref").isNotNull(), F.concat(F.lit("-> "), "ref_label"))
