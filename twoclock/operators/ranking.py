@@ -21,14 +21,20 @@ def _number(df, column):
     return F.col(column) if kind in ("long", "integer", "short", "byte") else None
 
 
-def _below(number, values, low, high):
-    """How many of the sorted values are less, by halving: a row is compared with a
-    few of them however many there are."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(number > values[mid], _below(number, values, mid + 1, high)).otherwise(
-        _below(number, values, low, mid))
+def _with_below(df, number, values, name):
+    """Adds how many of the sorted values are less than `number`: a binary search of a
+    constant array, one projection a step, so the plan grows with the logarithm of
+    the boundaries and so does the work a row costs."""
+    size = 1 << len(values).bit_length()
+    padded = values + [2 ** 63 - 1] * (size - len(values))
+    table = F.array(*[F.lit(v).cast("bigint") for v in padded])
+    df = df.withColumn(name, F.lit(0))
+    step = size // 2
+    while step:
+        further = F.get(table, F.col(name) + (step - 1)) < number
+        df = df.withColumn(name, F.col(name) + F.when(further, step).otherwise(0))
+        step //= 2
+    return df
 
 
 def with_piece(df, order, pieces, name="_piece"):
@@ -45,13 +51,14 @@ def with_piece(df, order, pieces, name="_piece"):
         if not values:
             break
         # Even between boundaries, odd on one: rows on a boundary are by themselves.
-        spot = 2 * _below(number, values, 0, len(values)) + number.isin(values).cast("int")
+        df = _with_below(df, number, values, f"_below_{column}")
+        spot = 2 * F.col(f"_below_{column}") + number.isin(values).cast("int")
         code = code * (2 * pieces + 2) + F.when(tied, F.coalesce(spot, F.lit(0))).otherwise(0)
         crowded = [v for v in values if cuts.count(v) > 1]
         if not crowded:
             break
         tied = tied & number.isin(crowded)
-    return df.withColumn(name, code)
+    return df.withColumn(name, code).drop(*[f"_below_{c}" for c in order])
 
 
 def position(df, keys, order, name="position", start=1, pieces=None):
