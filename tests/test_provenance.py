@@ -11,7 +11,7 @@ def _log(claims):
 
 def _intents(spark, n=8):
     return spark.createDataFrame(
-        [(f"i{k}", day("2026-01-01"), "marina" if k % 2 else "dan", f"submit_{k % 3}", None)
+        [(f"i{k}", day("2026-01-01"), "ada" if k % 2 else "ben", f"submit_{k % 3}", None)
          for k in range(1, n + 1)],
         "id string, occurred_at timestamp_ntz, actor_id string, action_name string, note string")
 
@@ -22,7 +22,7 @@ def test_history_hides_nothing(claims, spark):
         provenance.history(_log(claims), _intents(spark), pairs)).collect()
     assert [r.value for r in rows] == ["5000000", "5500000", None, "6000000"]
     assert [r.revoked_by for r in rows] == [None, "c3", None, None]
-    assert rows[0].actor_id == "marina"
+    assert rows[0].actor_id == "ada"
     steps = provenance.steps(_log(claims))
     assert [r.step for r in steps.orderBy("valid_from", "recorded_at", "seq").collect()] == [
         1, 2, 3, 4]
@@ -50,7 +50,7 @@ def test_ledger(claims, spark):
 
     assert ids(k=2) == ["c3", "c2"] and ids(k=2, offset=1) == ["c2", "c1"]
     assert ids(kind="revocations") == ["c3", "c1"]
-    assert ids(actor="dan") == ["c3", "c1"]
+    assert ids(actor="ben") == ["c3", "c1"]
     assert ids(search="5500") == ["c1"] and ids(search="FEE", k=1) == ["c3"]
     assert ids(kind="g", action_groups={"g": ["submit_1"]}) == ["c3", "c0"]
 
@@ -74,7 +74,7 @@ def test_window_and_actors(claims, spark):
     got = provenance.log_window(_log(claims), _intents(spark)).first()
     assert (got.assertions, got.revocations, got.intents) == (4, 1, 8)
     assert got.first_valid_from == day("2026-01-01") and got.last_recorded_at == day("2026-03-10")
-    people = spark.createDataFrame([("p1", "Marina Devlin"), ("p2", "Aoife Byrne")],
+    people = spark.createDataFrame([("p1", "Ada Brown"), ("p2", "Eve Green")],
                                    "entity_uri string, label string")
     assert {(r.actor, r.label) for r in provenance.known_actors(_intents(spark), people)
-            .collect()} == {("marina", "Marina Devlin"), ("dan", None), ("aoife", "Aoife Byrne")}
+            .collect()} == {("ada", "Ada Brown"), ("ben", None), ("eve", "Eve Green")}
