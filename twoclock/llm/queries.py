@@ -2,10 +2,23 @@
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontam, linededup, simhash
 from .common import table
 
 
+def op4_decontamination(spark, sf_dir):
+    """Words of every document inside any benchmark window."""
+    return decontam.digest(decontam.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_line_dedup(spark, sf_dir):
+    """Every document less its later repeated runs of lines, as counts and digest."""
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed",
+                       F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op10_simhash(spark, sf_dir):
     """SimHash fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -15,7 +28,38 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
+    "op8_line_dedup": op8_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES = {}
+_LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz')")
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP4 = f"""
+with item as (select item_id, {_WORDS} w from benchmark),
+doc as materialized (select doc_id, {_WORDS} w from documents),
+sized as (select item_id, w, least(10, len(w)) n from item where len(w) > 0),
+spots as (select item_id, w, n, unnest(range(1, len(w) - n + 2)) i from sized),
+pattern as materialized (
+    select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') k from spots),
+lengths as (select distinct n from pattern),
+places as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i
+           from doc, lengths where len(w) >= n),
+cut as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') k from places),
+found as materialized (select doc_id, c.n, i, item_id from cut c join pattern p
+                       on c.n = p.n and c.k = p.k),
+covered as (select doc_id, count(distinct word) n_hit from
+            (select doc_id, unnest(range(i, i + n)) word from found) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(id, ',' order by id) ids from
+          (select distinct doc_id, cast(item_id as varchar) id from found) group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit,
+       cast(coalesce(n_items, 0) as bigint) n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from doc left join covered using (doc_id) left join items using (doc_id)
+"""
+
+ORACLES = {
+    "op4_decontamination": _OP4,
+}
