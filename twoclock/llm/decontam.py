@@ -133,37 +133,38 @@ def _searched(shared, window, first):
     return run
 
 
-def contamination(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id",
-                  item_text="text", window=10, block_bytes=8_000_000, carry=()):
-    """For each row of `docs`: doc_id, the columns named in `carry`, n_words, `runs` (the
-    disjoint runs [first, end) of words inside any occurrence of a benchmark window) and
-    `items` (the ids, as sorted strings, of the items with an occurring window).
-
-    A window is `window` consecutive words of an item; an item of fewer words, but not
-    none, is one window. Null and wordless texts, of documents or items, have no words
-    and no hits; an item without an id counts under "". The benchmark is read in blocks
-    of at most `block_bytes` of text, each broadcast by itself and searched in a pass of
-    its own over whole documents, so what is broadcast has a bound and no item is left
-    out.
-    """
-    spark = docs.sparkSession
-    state = docs.select(F.col(text).cast("binary").alias(OWN + "text"), doc_id,
-                        *[c for c in carry if c != doc_id])
+def _search_all(state, benchmark, item_id, item_text, window, block_bytes):
+    """`state`, whose first column is a text as binary, with the words, hit runs and items
+    of every row in columns of our own."""
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
     first = True
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
-        if not first:
-            state = kept(state)
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema
-                          if not f.name[len(OWN):] in ("words", "runs", "items")
-                          or not f.name.startswith(OWN))
-        state = state.mapInArrow(
+        shared = state.sparkSession.sparkContext.broadcast(block)
+        state = (state if first else kept(state)).mapInArrow(
             _searched(shared, window, first),
-            f"{kinds}, `{OWN}words` long, `{OWN}runs` array<array<long>>, "
+            f"{given}, `{OWN}words` long, `{OWN}runs` array<array<long>>, "
             f"`{OWN}items` array<string>")
         first = False
-    return state.select(doc_id, *[c for c in carry if c != doc_id],
-                        F.col(OWN + "words").alias("n_words"),
+    return state
+
+
+def contamination(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id",
+                  item_text="text", window=10, block_bytes=8_000_000):
+    """For each row of `docs`: doc_id, n_words, `runs` (the disjoint runs [first, end) of
+    words inside any occurrence of a benchmark window) and `items` (the ids, as sorted
+    strings, of the items with an occurring window).
+
+    A window is `window` consecutive words of an item; an item of fewer words, but not
+    none, is one window. Null and wordless texts, of documents or items, have no words
+    and no hits; an item without an id counts under "". Rows without a doc_id and
+    repeated rows are searched like any other; further columns are left aside. The
+    benchmark is read in blocks of at most `block_bytes` of text, each broadcast by
+    itself and searched in a pass of its own over whole documents, so what is broadcast
+    has a bound and no item is left out.
+    """
+    state = docs.select(F.col(text).cast("binary").alias(OWN + "text"), doc_id)
+    found = _search_all(state, benchmark, item_id, item_text, window, block_bytes)
+    return found.select(doc_id, F.col(OWN + "words").alias("n_words"),
                         F.col(OWN + "runs").alias("runs"), F.col(OWN + "items").alias("items"))
 
 
@@ -176,15 +177,13 @@ def digest(found, doc_id="doc_id"):
         (hit > 0).alias("contaminated"))
 
 
-def clean_documents(docs, benchmark, doc_id="doc_id", text="text", window=10,
-                    block_bytes=8_000_000):
+def clean_documents(docs, benchmark, text="text", item_id="item_id", item_text="text",
+                    window=10, block_bytes=8_000_000):
     """The rows of `docs` in which no benchmark window occurs."""
-    carried = docs.select(F.col(text).alias(OWN + "whole"),
-                          *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    found = contamination(carried, benchmark, doc_id, OWN + "whole", window=window,
-                          block_bytes=block_bytes, carry=carried.columns)
-    return found.where(F.size("runs") == 0).select(
-        *[F.col(OWN + "whole").alias(c) if c == text else F.col(f"`{c}`")
+    state = docs.select(F.col(text).cast("binary").alias(OWN + "text"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    found = _search_all(state, benchmark, item_id, item_text, window, block_bytes)
+    return found.where(F.size(OWN + "runs") == 0).select(
+        *[F.col(OWN + "text").cast("string").alias(c) if c == text else F.col(f"`{c}`")
           for c in docs.columns])
 
 

@@ -146,8 +146,9 @@ def _without(text, runs):
     lines = text.split("\n")
     left, at = [], 0
     for first, last in sorted(runs):
-        if first > at:
-            left.extend(lines[at:first])
+        between = lines[at:first]
+        if at == 0 or any(line.strip() for line in between):
+            left.extend(between)
         at = max(at, last + 1)
     left.extend(lines[at:])
     return "\n".join(left), len(lines), len(lines) - len(left)
@@ -174,8 +175,8 @@ def dedup_lines(docs, doc_id="doc_id", text="text", min_words=10,
     stands at an earlier place (doc_id, then line), and two more columns: the lines
     before, and the lines deleted. Columns of those names are replaced.
 
-    Ids are whole numbers. Lines are equal if their words are; a run deleted takes the
-    blank lines inside it along. Null texts stay null with 0 lines; an empty text is one
+    Ids are whole numbers. Lines are equal if their words are; blank lines between two
+    deleted lines go too. Null texts stay null with 0 lines; an empty text is one
     empty line, and is never a repeat. Rows with no doc_id come after all others. Rows
     alike in doc_id and text are one place and get the same result. Texts may be of any
     length.
