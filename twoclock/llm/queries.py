@@ -2,8 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, simhash
-from .common import table
+from . import decontam, linededup, quality, simhash, toxicity
+from .common import bucket_of, table
+
+
+def _judged(found, modulus, held_out, least):
+    fold = F.coalesce(bucket_of(F.col("doc_id"), modulus) == held_out, F.lit(False))
+    return found.select("doc_id", fold.alias("held_out"), "score",
+                        (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _judged(found, 5, 0, 0.5)
 
 
 def op4_decontamination(spark, sf_dir):
@@ -12,6 +24,13 @@ def op4_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_quality(spark, sf_dir):
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return _judged(quality.scored(docs, model), 4, 2, 0.7)
+
+
 def op8_line_dedup(spark, sf_dir):
     """Every document less its later repeated runs of lines, as counts and digest."""
     done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -28,7 +47,9 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op6_quality": op6_quality,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash": op10_simhash,
 }
