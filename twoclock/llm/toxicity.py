@@ -175,15 +175,16 @@ class LabelModel:
             post /= post.sum(axis=1, keepdims=True)
         return post
 
-    def fit(self, votes, weights, anchor, rounds=25, tie=0.25):
+    def fit(self, votes, weights, anchor, rounds=25, tie=0.15):
         """`votes`: patterns; `weights`: documents of each; `anchor`: of those, how many
         are labelled clean and toxic in the training fold."""
         n = len(votes[0])
+        anchor = anchor * (weights.sum() / max(anchor.sum(), 1))  # labels weigh as the rest
         self.groups = [(k,) for k in range(n)]
         post = self._fit(votes, weights, anchor, rounds)
         v, near = np.array(votes, float), np.zeros((n, n))
         for y in (0, 1):
-            w = post[:, y] * weights
+            w = post[:, y] * weights + anchor[:, y]
             if w.sum() < 10:
                 continue
             mean = (w[:, None] * v).sum(axis=0) / w.sum()
@@ -213,7 +214,7 @@ class Linear:
         at = [0] + [1 + 2 * k + (v < 0) for k, v in enumerate(votes) if v]
         return at + [1 + 2 * self.n_votes + t for t in tokens]
 
-    def fit(self, rows, target, weights, steps=200, rate=0.1, decay=1e-3):
+    def fit(self, rows, target, weights, steps=300, rate=0.1, decay=1e-4):
         cols = [self._columns(*r) for r in rows]
         sizes = [len(c) for c in cols]
         flat, starts = np.concatenate(cols), np.cumsum([0] + sizes[:-1])
@@ -316,5 +317,5 @@ def _fitted(seen, patterns, n_tokens, sample):
             rows.append((r["votes"], r["tokens"]))
             target.append(post[tuple(r["votes"])])
             weights.append(total / max(len(drawn), 1))
-    weights = np.sqrt(np.array(weights))  # half-way between the corpus and equal classes
+    weights = np.array(weights)
     return linear.fit(rows, np.array(target), weights)
