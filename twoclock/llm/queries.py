@@ -1,8 +1,11 @@
 """The registered queries of this subpackage, each over its whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, quality, simhash, toxicity
+from twoclock.session import scratch_path
+
+from . import decontam, linededup, pieces, quality, simhash, tokenfile, toxicity
 from .common import bucket_of, table
 
 
@@ -24,6 +27,17 @@ def op4_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    """Piece ids of every document, decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5(
+        F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    back = pieces.decode(pieces.encode(docs, model), model)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", "text_md5",
+        (F.md5(F.col("text").cast("binary")) == F.col("text_md5")).alias("restored"))
+
+
 def op6_quality(spark, sf_dir):
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +52,14 @@ def op8_line_dedup(spark, sf_dir):
                        F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op9_token_file(spark, sf_dir):
+    """Token ids of every document written to a file and read back."""
+    path = scratch_path(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path,
+                    public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read(spark, path)
+
+
 def op10_simhash(spark, sf_dir):
     """SimHash fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -49,8 +71,10 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_file": op9_token_file,
     "op10_simhash": op10_simhash,
 }
 
