@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from twoclock.session import scratch_path
 
-from . import decontam, linededup, pieces, quality, simhash, tokenfile, toxicity
+from . import decontam, linededup, pieces, quality, simhash, tokenfile, toxicity, vectors
 from .common import bucket_of, table
 
 
@@ -45,6 +45,11 @@ def op6_quality(spark, sf_dir):
     return _judged(quality.scored(docs, model), 4, 2, 0.7)
 
 
+def op7_embedding_neardup(spark, sf_dir):
+    """Links and component of every embedding."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark, sf_dir):
     """Every document less its later repeated runs of lines, as counts and digest."""
     done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_file": op9_token_file,
     "op10_simhash": op10_simhash,
