@@ -3,9 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from twoclock.session import scratch_path
+from twoclock.session import kept, scratch_path
 
-from . import decontam, linededup, pieces, quality, simhash, tokenfile, toxicity, vectors
+from . import decontam, fixity, licenses, linededup, pieces, quality, simhash, tokenfile, toxicity, vectors
 from .common import bucket_of, table
 
 
@@ -21,6 +21,32 @@ def op1_toxicity(spark, sf_dir):
     return _judged(found, 5, 0, 0.5)
 
 
+def op2_license_scan(spark, sf_dir):
+    """License of every document, its own or of the nearest directory above. A document
+    stands at source/lang/doc_id div 64; those of at most three lines are licence files."""
+    name = F.when(F.size(F.split("text", "\n")) <= 3, F.lit("LICENSE-")).otherwise(F.lit("text-"))
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat(folder, F.lit("/"), name, F.col("doc_id")).alias("path"))
+    return licenses.scan(docs, carry=["doc_id"]).withColumn("score", F.round("score", 6))
+
+
+def op3_fixity_audit(spark, sf_dir):
+    """Faults of a replica of the WARC records of all pages: in it, the body is altered
+    where the md5 of the page_id begins with 00 or 7f, and the last three records are lost."""
+    middle = F.floor(F.length("html") / 2).cast("int")
+    other = F.when(F.substring("html", middle + 1, F.lit(1)) == "x", "y").otherwise("x")
+    rotten = F.concat(F.substring("html", F.lit(1), middle), other,
+                      F.substring("html", middle + 2, F.length("html")))
+    hit = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2).isin("00", "7f")
+    both = fixity.archived(table(spark, sf_dir, "pages"),
+                           also={"replica": F.when(hit, rotten).otherwise(F.col("html"))})
+    both = kept(fixity.with_offsets(both))
+    last = both.agg(F.max("position").alias("p")).head()["p"] or 0
+    replica = both.where(F.col("position") <= last - 3).drop("digest")
+    return fixity.audit(both.drop("replica"), replica.withColumnRenamed("replica", "digest"))
+
+
 def op4_decontamination(spark, sf_dir):
     """Words of every document inside any benchmark window."""
     return decontam.digest(decontam.contamination(
@@ -75,6 +101,8 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
+    "op3_fixity_audit": op3_fixity_audit,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
@@ -111,6 +139,70 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
 from doc left join covered using (doc_id) left join items using (doc_id)
 """
 
+_NOTICES = ", ".join("('{}', {}, '{}')".format(name, rank, notice.replace("'", "''"))
+                     for rank, (name, notice) in enumerate(licenses.TEMPLATES))
+_OP2 = rf"""
+with d as materialized (
+    select doc_id, lower(text) t, source || '/' || lang || '/' || cast(doc_id // 64 as varchar) folder,
+           case when len(string_split(text, chr(10))) <= 3 then 'LICENSE-' else 'text-' end
+           || cast(doc_id as varchar) file from documents),
+n as (select count(*) n from d),
+notice(license, rank, words) as (values {_NOTICES}),
+tw as (select license, rank, term, count(*) tf from
+       (select license, rank, unnest(regexp_split_to_array(lower(words), '[^a-z0-9]+')) term
+        from notice) where term <> '' group by all),
+dw as materialized (select doc_id, unnest(list_distinct(
+       regexp_split_to_array(t, '[^a-z0-9]+'))) term from d),
+df as (select v.term, count(doc_id) c from (select distinct term from tw) v
+       left join dw on dw.term = v.term group by v.term),
+idf as materialized (select term, ln((n + 1) / (c + 1)) + 1 w from df, n),
+raw as (select license, rank, term, tf * w v from tw join idf using (term)),
+unit as materialized (select license, rank, term, v / sqrt(sum(v * v) over (partition by license)) u from raw),
+part as (select doc_id, 0 pos, t passage from d union all
+         select doc_id, unnest(range(1, len(s) + 1)), unnest(s) from
+         (select doc_id, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) s from d)),
+pw as materialized (select doc_id, pos, term, count(*) tf from (select doc_id, pos,
+       unnest(regexp_split_to_array(passage, '[^a-z0-9]+')) term from part)
+       where term <> '' group by all),
+pv as (select doc_id, pos, pw.term, tf * coalesce(w, ln((select n from n) + 1) + 1) v
+       from pw left join idf on idf.term = pw.term),
+size as (select doc_id, pos, sqrt(sum(v * v)) norm from pv group by all),
+cosine as (select doc_id, pos, license, rank, sum(v * u) dot from pv join unit using (term) group by all),
+scored as (select doc_id, license, rank, round(dot / norm, 9) score from cosine join size using (doc_id, pos)),
+own as materialized (select doc_id, license, score from scored where score >= 0.8 qualify row_number()
+       over (partition by doc_id order by score desc, rank) = 1),
+spoken as (select folder place, license, score, folder || '/' || file from_path from own join d using (doc_id)
+           where file like 'LICENSE-%' qualify row_number() over (partition by folder
+           order by score desc, license, folder || '/' || file) = 1),
+up as (select doc_id, folder place, 3 depth from d union all
+       select doc_id, regexp_extract(folder, '^(.*)/[^/]*$', 1), 2 from d union all
+       select doc_id, regexp_extract(folder, '^([^/]*)/', 1), 1 from d union all select doc_id, '', 0 from d),
+near as (select doc_id, license, score, from_path from up join spoken using (place)
+         qualify row_number() over (partition by doc_id order by depth desc) = 1)
+select folder || '/' || file path, d.doc_id, coalesce(o.license, i.license) license,
+       round(coalesce(o.score, i.score), 6) score,
+       case when o.license is not null then 'own' when i.license is not null then 'inherited' else 'none' end origin,
+       case when o.license is null then i.from_path end from_path
+from d left join own o on o.doc_id = d.doc_id left join near i on i.doc_id = d.doc_id
+"""
+
+_CRLF = "chr(13) || chr(10)"
+_OP3 = f"""
+with p as (select page_id, strlen('WARC/1.0' || {_CRLF} || 'WARC-Type: response' || {_CRLF}
+           || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF} || 'WARC-Record-ID: <urn:page:'
+           || page_id || '>' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, ''))
+           || {_CRLF} || {_CRLF} || coalesce(html, '') || {_CRLF} || {_CRLF}) length,
+           row_number() over (order by page_id) - 1 as position, count(*) over () n,
+           substr(md5(cast(page_id as varchar)), 1, 2) in ('00', '7f') hit from pages),
+placed as (select *, position // 4096 archive, coalesce(sum(length) over (partition by position // 4096
+           order by position rows between unbounded preceding and 1 preceding), 0) start from p)
+select position, cast(archive as bigint) archive, page_id, cast(start as bigint) "offset",
+       cast(length as bigint) length, case when position >= n - 3 then 'missing' else 'altered' end fault
+from placed where hit or position >= n - 3
+"""
+
 ORACLES = {
+    "op2_license_scan": _OP2,
+    "op3_fixity_audit": _OP3,
     "op4_decontamination": _OP4,
 }
