@@ -79,13 +79,19 @@ _UPPER = [bytes([c]) for c in range(65, 91)]
 _NOT_LETTERS = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122))
 
 
-def _labelled(docs, labels, doc_id, text, label, modulus, held_out):
+def _labelled(docs, labels, doc_id, text, label, modulus, held_out, most):
+    """(text, label) of at most a little over `most` labelled rows of the training fold;
+    their ids, which that number bounds, are broadcast, so no text is shuffled."""
     named = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()
                           & (bucket_of(F.col(doc_id), modulus) != held_out))
              .groupBy(doc_id).agg(F.max(label).cast("int").alias(OWN + "label")))
+    n = named.count()
+    if n > most:
+        named = named.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20))
+                            < int((1 << 20) * most / n))
     return (docs.select(F.col(doc_id), F.col(text).cast("binary").alias(OWN + "text"))
-            .join(named, doc_id).select(F.col(OWN + "text").alias("text"),
-                                        F.col(OWN + "label").alias("label")))
+            .join(F.broadcast(named), doc_id).select(F.col(OWN + "text").alias("text"),
+                                                     F.col(OWN + "label").alias("label")))
 
 
 def _counted(wanted):
@@ -258,15 +264,15 @@ def _rated(linear):
 
 
 def toxicity(docs, labels, doc_id="doc_id", text="text", label="toxic", modulus=5, held_out=0,
-             sample=6000):
+             labelled=20_000, sample=6000):
     """(doc_id, score) for every row of `docs`: 0 to 1, higher is likelier toxic.
 
-    Lexicon and pattern voters, given and mined from the training fold (crc32 of the id
-    as text, modulo `modulus`, is not `held_out`), vote on every whole text. The label
-    model is fitted on the counts of all vote patterns of the corpus, with the training
-    labels as a prior; a linear classifier is fitted on the posterior labels of about
-    `sample` documents, half of them likely toxic, and scores all. The bound holds for
-    that fit alone.
+    Lexicon and pattern voters, given and mined from about `labelled` rows of the
+    training fold (crc32 of the id as text, modulo `modulus`, is not `held_out`), vote on
+    every whole text. The label model is fitted on the counts of all vote patterns of the
+    corpus, with all training labels as a prior; a linear classifier is fitted on the
+    posterior labels of about `sample` documents, half of them likely toxic, and scores
+    all. The two bounds hold for fitting alone.
 
     Null and empty texts have no words and score like any text without a hit. Rows with
     no doc_id are scored and never used as labelled. Repeated rows give repeated results.
@@ -275,7 +281,7 @@ def toxicity(docs, labels, doc_id="doc_id", text="text", label="toxic", modulus=
     """
     spark = docs.sparkSession
     mined = spark.sparkContext.broadcast(
-        mine(_labelled(docs, labels, doc_id, text, label, modulus, held_out)))
+        mine(_labelled(docs, labels, doc_id, text, label, modulus, held_out, labelled)))
     kind = docs.schema[doc_id].dataType.simpleString()
     seen = kept(docs.select(F.col(text).cast("binary").alias(OWN + "text"),
                             F.col(doc_id).alias("doc_id"))
