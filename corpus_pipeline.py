@@ -35,8 +35,8 @@ def decontamination(spark, docs, sf_dir):
 
 def sentencepiece(spark, docs, sf_dir):
     """doc_id, the piece ids with their crc32 and number, and the text they decode to."""
-    encoded = pieces.encode(docs.select("doc_id", "text"), MODEL_FILE)
-    return pieces.decode(encoded, MODEL_FILE).select(
+    encoded = pieces.encode(docs.select("doc_id", "text"), MODEL_FILE, decoded="text")
+    return encoded.select(
         "doc_id", "ids", "ids_crc32", F.size("ids").cast("long").alias("n_pieces"), "text")
 
 

@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import OWN
 
-_CHUNK = re.compile(" *[^ ]+| +")
+_CHUNK = re.compile("\n| *[^ \n]+| +")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _CONTROL = ("<unk>", "<s>", "</s>", "<pad>")
 
@@ -38,15 +39,17 @@ class PieceCodec:
     A space goes before the text, as SentencePiece has it. A character that no piece
     spells alone may stand for itself at 640 below the lowest score, and becomes its
     UTF-8 bytes' pieces. Of paths that tie, each end keeps its longest last piece. No
-    piece goes from a non-space over into a space, so the best path is that of each chunk
-    of spaces and non-spaces by itself; the results of short chunks are kept, at most
+    piece goes from a non-space over into a space, or holds a line end, so the best path
+    is that of each chunk of spaces and non-spaces, or line end, by itself; the results of short chunks are kept, about
     `memory` of them.
     """
 
-    def __init__(self, pieces, scores=None, memory=200_000):
+    def __init__(self, pieces, scores=None, memory=400_000):
         scores = zipf_scores(pieces) if scores is None else scores
         self.automaton, self.single = ahocorasick.Automaton(), set()
         self.bytes_of, self.of_byte = [], {}
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        self.score = np.array([scores.get(k, 0) for k in range(len(pieces))], np.int64)
         for k, piece in enumerate(pieces):
             byte = _BYTE.fullmatch(piece)
             self.bytes_of.append(bytes([int(byte[1], 16)]) if byte else
@@ -54,9 +57,9 @@ class PieceCodec:
             if byte:
                 self.of_byte[int(byte[1], 16)] = k
             if k in scores:
-                if re.search("[^ ] ", piece):
-                    raise ValueError(f"piece {piece!r} crosses into a space")
-                self.automaton.add_word(piece, (len(piece), scores[k], k))
+                if re.search("[^ ] |\n", piece):
+                    raise ValueError(f"piece {piece!r} crosses into a space or a new line")
+                self.automaton.add_word(piece, k)
                 if len(piece) == 1:
                     self.single.add(piece)
         if len(self.of_byte) < 256:
@@ -66,56 +69,100 @@ class PieceCodec:
         self.memory, self.known = memory, {}
 
     def _best_path(self, chunk):
-        """The single pass: at each end the automaton's state gives the pieces that end
-        there, by output links from the longest to the shortest, and each relaxes the
-        best score of that end."""
-        low = -math.inf
-        best, last = [0] + [low] * len(chunk), [None] * (len(chunk) + 1)
-        done = 0
-
-        def fallback(upto):
-            for end in range(done + 1, upto + 1):
-                if chunk[end - 1] not in self.single:
-                    score = best[end - 1] + self.unknown
-                    if score > best[end]:
-                        best[end], last[end] = score, (1, None)
-        for at, (size, score, k) in self.automaton.iter(chunk):
-            end = at + 1
-            if end > done:
-                fallback(end - 1)
-                done = max(done, end - 1)
-            score += best[end - size]
-            if score > best[end]:
-                best[end], last[end] = score, (size, k)
-        # An end may take both pieces and the fallback; the ends above were settled once
-        # a later one was reached, the rest are settled here.
-        fallback(len(chunk))
-        ids, end = [], len(chunk)
+        """The single pass over one chunk: at each end the automaton's state gives the
+        pieces that end there, by output links from the longest to the shortest, and each
+        relaxes the best score of that end."""
+        n, matches = len(chunk), [[] for _ in range(len(chunk) + 1)]
+        for at, k in self.automaton.iter(chunk):
+            matches[at + 1].append(k)
+        best, last = [0] + [-math.inf] * n, [None] * (n + 1)
+        for end in range(1, n + 1):
+            for k in matches[end]:
+                score = best[end - int(self.size[k])] + int(self.score[k])
+                if score > best[end]:
+                    best[end], last[end] = score, k
+            if chunk[end - 1] not in self.single and best[end - 1] + self.unknown > best[end]:
+                best[end], last[end] = best[end - 1] + self.unknown, None
+        ids, end = [], n
         while end:
-            size, k = last[end]
-            if k is None:
+            if last[end] is None:
                 ids.extend(self.of_byte[b] for b in reversed(chunk[end - 1].encode()))
+                end -= 1
             else:
-                ids.append(k)
-            end -= size
+                ids.append(last[end])
+                end -= int(self.size[last[end]])
         ids.reverse()
         return ids
 
+    def _best_paths(self, chunks):
+        """The same for many short chunks of known characters at once: one run of the
+        automaton over all of them, parted by line ends, which are in no piece; then the
+        ends at the same distance from their starts are relaxed together."""
+        sizes = np.array([len(c) for c in chunks])
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("\n".join(chunks))),
+                            np.int64).reshape(-1, 2)
+        chunk = np.repeat(np.arange(len(chunks)), sizes + 1)[found[:, 0]]
+        end = found[:, 0] - starts[chunk] + 1
+        order = np.argsort(end.astype(np.int16), kind="stable")
+        chunk, end, piece = chunk[order], end[order], found[order, 1]
+        best = np.full((int(sizes.max()) + 1, len(chunks)), -(1 << 40), np.int64)
+        last = np.zeros(best.shape, np.int32)
+        best[0] = 0
+        cuts = np.searchsorted(end, np.arange(1, len(best) + 1))
+        for e in range(1, len(best)):
+            at = slice(cuts[e - 1], cuts[e])
+            c, k = chunk[at], piece[at]
+            if not len(c):
+                continue
+            score = best[e - self.size[k], c] + self.score[k]
+            new = np.flatnonzero(np.append(True, c[1:] != c[:-1]))  # one group an end
+            top = np.maximum.reduceat(score, new)
+            hit = score == np.repeat(top, np.diff(np.append(new, len(c))))
+            c, k, score = c[hit][::-1], k[hit][::-1], score[hit][::-1]
+            best[e, c], last[e, c] = score, k  # of equals the longest is written last
+        paths, left = [], sizes.copy()
+        rows = np.arange(len(chunks))
+        while len(rows):
+            k = last[left[rows], rows]
+            paths.append((rows, k))
+            left[rows] -= self.size[k]
+            rows = rows[left[rows] > 0]
+        owner = np.concatenate([r for r, _ in paths[::-1]])
+        flat = np.concatenate([k for _, k in paths[::-1]])
+        order = np.argsort(owner, kind="stable")
+        data = flat[order].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(chunks)))).tolist()
+        return [data[a:b] for a, b in zip([0] + ends, ends)]
+
+    def _learn(self, chunks):
+        """Adds the ids of chunks not met before."""
+        plain = []
+        for chunk in chunks:
+            if len(chunk) <= 64 and self.single.issuperset(chunk):
+                plain.append(chunk)
+            else:
+                self.known[chunk] = np.array(self._best_path(chunk), "<i4").tobytes()
+        for lo in range(0, len(plain), 20_000):
+            part = plain[lo:lo + 20_000]
+            self.known.update(zip(part, self._best_paths(part), strict=True))
+
+    def encode_all(self, texts):
+        """Piece ids of each text as int32 arrays; none for an empty or null one."""
+        cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        missing = {c for chunks in cut for c in chunks} - self.known.keys()
+        if len(self.known) + len(missing) > self.memory:
+            self.known.clear()
+            missing = {c for chunks in cut for c in chunks}
+        self._learn(missing)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<i4")
+               for chunks in cut]
+        for chunk in [c for c in missing if len(c) > 64]:
+            del self.known[chunk]
+        return out
+
     def encode(self, text):
-        """Piece ids of a text; none for an empty or null one."""
-        if not text:
-            return np.zeros(0, "<i4")
-        known, out = self.known, []
-        for chunk in _CHUNK.findall(" " + text):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = np.array(self._best_path(chunk), "<i4").tobytes()
-                if len(chunk) <= 64:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids):
         """The text of piece ids: exact for whatever `encode` gave."""
@@ -123,19 +170,20 @@ class PieceCodec:
         return whole.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _encoded(shared):
+def _encoded(shared, back):
     def run(batches):
         codec = PieceCodec(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids = [codec.encode(t) for t in part.column(0).to_pylist()]
+                ids = codec.encode_all(part.column(0).to_pylist())
                 ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, "<i4")
+                texts = [pa.array([codec.decode(i.tolist()) for i in ids], pa.string())] * back
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                     pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64())],
-                    [*part.schema.names[1:], OWN + "ids", OWN + "crc"])
+                     pa.array([zlib.crc32(i) for i in ids], pa.int64()), *texts],
+                    [*part.schema.names[1:], OWN + "ids", OWN + "crc", *[OWN + "text"] * back])
     return run
 
 
@@ -154,17 +202,22 @@ def _kinds(df):
     return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
 
 
-def encode(docs, model_file, text="text", ids="ids", crc="ids_crc32"):
+def encode(docs, model_file, text="text", ids="ids", crc="ids_crc32", decoded=None):
     """`docs` with the piece ids of every whole text, array<int>, in place of the text,
-    and the crc32 of the ids as little-endian 32-bit integers. Null and empty texts have
-    no ids. Columns of those names are replaced. The vocabulary is broadcast; its size is
-    that of the model file."""
+    and the crc32 of the ids as little-endian 32-bit integers; with `decoded`, also a
+    column of that name with the text the ids decode to, in the same pass. Null and empty
+    texts have no ids. Columns of those names are replaced. The vocabulary is broadcast;
+    its size is that of the model file."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))
-    others = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, ids, crc)])
+    others = docs.select(*[F.col(f"`{c}`") for c in docs.columns
+                           if c not in (text, ids, crc, decoded)])
     state = docs.select(F.col(text).alias(OWN + "text"), *[F.col(f"`{c}`") for c in others.columns])
-    done = state.mapInArrow(_encoded(shared), ", ".join(
-        [*_kinds(others), f"`{OWN}ids` array<int>", f"`{OWN}crc` long"]))
-    return done.withColumnsRenamed({OWN + "ids": ids, OWN + "crc": crc})
+    back = int(decoded is not None)
+    done = state.mapInArrow(_encoded(shared, back), ", ".join(
+        [*_kinds(others), f"`{OWN}ids` array<int>", f"`{OWN}crc` long"]
+        + [f"`{OWN}text` string"] * back))
+    names = {OWN + "ids": ids, OWN + "crc": crc}
+    return done.withColumnsRenamed(names | ({OWN + "text": decoded} if back else {}))
 
 
 def decode(encoded, model_file, ids="ids", text="text"):

@@ -58,7 +58,7 @@ def op5_sentencepiece(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5(
         F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
-    back = pieces.decode(pieces.encode(docs, model), model)
+    back = pieces.encode(docs, model, decoded="text")
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", "text_md5",
         (F.md5(F.col("text").cast("binary")) == F.col("text_md5")).alias("restored"))
