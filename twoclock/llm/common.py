@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 
 import os
+import sys
+import types
 import zlib
 
 import pandas as pd
@@ -37,6 +39,16 @@ def crc_fold(value, modulus):
     return zlib.crc32(str(value).encode()) % modulus
 
 
+def per_worker(key, make):
+    """`make()`, once in the life of a Python worker: what costs time to load or learns
+    as it goes is there for the worker's later tasks too. It must not change results."""
+    home = sys.modules.setdefault("_twoclock_worker", types.ModuleType("_twoclock_worker"))
+    held = home.__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def _spanning_stars(batches):
     """The edges of one partition as (larger id, smallest id it reaches here)."""
     parent = {}

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import OWN, per_worker
 
 _CHUNK = re.compile("\n| *[^ \n]+| +")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -44,7 +44,7 @@ class PieceCodec:
     `memory` of them.
     """
 
-    def __init__(self, pieces, scores=None, memory=400_000):
+    def __init__(self, pieces, scores=None, memory=300_000):
         scores = zipf_scores(pieces) if scores is None else scores
         self.automaton, self.single = ahocorasick.Automaton(), set()
         self.bytes_of, self.of_byte = [], {}
@@ -170,9 +170,13 @@ class PieceCodec:
         return whole.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _codec(shared):
+    return per_worker(("pieces", tuple(shared.value)), lambda: PieceCodec(shared.value))
+
+
 def _encoded(shared, back):
     def run(batches):
-        codec = PieceCodec(shared.value)
+        codec = _codec(shared)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -189,7 +193,7 @@ def _encoded(shared, back):
 
 def _decoded(shared):
     def run(batches):
-        codec = PieceCodec(shared.value)
+        codec = _codec(shared)
         for batch in batches:
             texts = [None if i is None else codec.decode(i) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(

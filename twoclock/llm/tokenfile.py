@@ -13,6 +13,8 @@ doc_id order over the blocks of a part and over the parts:
     first_id, keys   smallest doc_id, and Elias-Fano code of the doc_ids less it
 """
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import OWN
+from .common import OWN, per_worker
 
 SAMPLE = 64
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
@@ -96,18 +98,21 @@ class ChunkedEncoder:
     """The ids a tokenizer gives a whole text, from those of its chunks.
 
     A byte-level tokenizer cuts a text before a space that a non-space follows, so the
-    chunks from one such space to the next are encoded by themselves; the ids of short
-    ones are kept, at most `memory` of them.
+    chunks from one such space to the next are encoded by themselves, many new ones in
+    one string; the ids of short chunks are kept, about `memory` of them.
     """
 
-    def __init__(self, file, width, memory=300_000):
+    def __init__(self, file, width, memory=250_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.kind, self.memory, self.known = f"<u{width}", memory, {}
+        self.kind, self.width, self.memory, self.known = f"<u{width}", width, memory, {}
 
     @staticmethod
     def chunks(text):
+        if "\0" not in text and not _SPACED.search(text):
+            return text.replace(" ", "\0 ").split("\0")
         parts = text.split(" ")
         out = [parts[0]]
         for part in parts[1:]:
@@ -117,18 +122,41 @@ class ChunkedEncoder:
                 out[-1] += " " + part
         return out
 
+    def _learn(self, chunks):
+        """Adds the ids of chunks not met before. Those that start with a space go into
+        one string, and a token is of the chunk its first character is in."""
+        spaced = [c for c in chunks if c[0] == " "]
+        for lo in range(0, len(spaced), 5000):
+            part = spaced[lo:lo + 5000]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            sizes = np.array([len(c) for c in part])
+            first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            cuts = np.searchsorted(first, np.cumsum(sizes)) * self.width
+            data = np.array(found.ids, self.kind).tobytes()
+            ends = cuts.tolist()
+            self.known.update(zip(part, [data[a:b] for a, b in zip([0] + ends, ends)],
+                                  strict=True))
+        for chunk in chunks:
+            if chunk[0] != " ":
+                found = self.tokenizer.encode(chunk, add_special_tokens=False)
+                self.known[chunk] = np.array(found.ids, self.kind).tobytes()
+
     def encode(self, texts):
         """The ids of each text as little-endian bytes."""
-        known = self.known
-        cut = [self.chunks(t) if t else [] for t in texts]
-        missing = list({c for parts in cut for c in parts if c not in known})
-        if len(known) + len(missing) > self.memory:
-            known.clear()
-            missing = list({c for parts in cut for c in parts})
-        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(
-                missing, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        cut = [[c for c in self.chunks(t) if c] if t else [] for t in texts]
+        missing = set().union(*cut) - self.known.keys()
+        if len(self.known) + len(missing) > self.memory:
+            self.known.clear()
+            missing = set().union(*cut)
+        self._learn(missing)
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for chunk in [c for c in missing if len(c) > 64]:
+            del self.known[chunk]
+        return out
+
+
+#: A space before another space, a tab, a line end or the end: no plain cut.
+_SPACED = re.compile(r" (?=\s|\Z)")
 
 
 def _block(part, number, before, keys, ids, width):
@@ -152,7 +180,8 @@ _BLOCK_SQL = ("part int, block int, part_start long, n_docs long, n_null long, n
 
 def _blocks(file, end_id, width, block_tokens):
     def run(batches):
-        coder, part = ChunkedEncoder(file, width), TaskContext.get().partitionId()
+        coder = per_worker(("tokens", file, width), lambda: ChunkedEncoder(file, width))
+        part = TaskContext.get().partitionId()
         end = np.array([end_id], f"<u{width}").tobytes()
         number, before, keys, ids, size = 0, 0, [], [], 0
 
