@@ -168,3 +168,38 @@ def test_registry_and_stated(spark, tmp_path):
                for r in stated(log, "sys:uri", "2026-02-01", "2026-02-01", slots).collect()
                if r.slot == "slot"}
         assert got == {("thing", "slot", "other")}
+
+
+def test_ids_survive_a_retry_after_other_appends(spark):
+    batch = spark.range(5).select(F.col("id").alias("batch_order"), F.lit("s").alias("subject_id"),
+                                  F.lit("p").alias("predicate_id"), F.lit("v").alias("value_literal"))
+    first, again = (ingest.append_batch(batch, intent_id="i", occurred_at="2026-01-01",
+                                        last_seq=n) for n in (0, 90))
+    assert {r.id for r in first.collect()} == {r.id for r in again.collect()}
+    intent, entities, rows = ingest.append_act(batch, intent_id="i", actor_id="a",
+                                               action_name="x", occurred_at="2026-01-01")
+    assert (intent.count(), entities.count(), rows.count()) == (1, 1, 5)
+
+
+def test_pieces_of_any_orderable_type(spark):
+    from twoclock.operators.ranking import position, with_piece
+    df = spark.range(4000).select(
+        F.col("id"), F.md5(F.col("id").cast("string")).alias("text"),
+        (F.rand(3) * 10 - 5).alias("real"), (F.rand(4) * 100).cast("decimal(12,6)").alias("exact"),
+        F.date_add(F.lit("2020-01-01"), F.col("id").cast("int") % 900).alias("date"))
+    for column in ("text", "real", "exact", "date"):
+        assert with_piece(df, [column], 8).select("_piece").distinct().count() >= 8
+        got = position(df, [], [column, "id"], pieces=8).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(1, 4001))
+        assert [(r[column], r.id) for r in got] == sorted((r[column], r.id) for r in got)
+
+
+def test_correct_by_id(claims, spark):
+    log = claims([("s", "p", "1", "2026-01-01", "2026-01-02", None)])
+    fixes = spark.createDataFrame([("c0", "2", None, "r"), ("c9", "2", None, "r")],
+                                  "claim_id string, value string, valid_from timestamp_ntz, reason string")
+    made, rejects = ingest.correct_by_id(fixes, log, recorded_at="2026-02-01")
+    row = made.collect()[0]
+    assert (row.subject, row.slot, row.value, row.revokes) == ("s", "p", "2", "c0")
+    assert row.valid_from == day("2026-01-01")
+    assert [r.claim_id for r in rejects.collect()] == ["c9"]

@@ -27,6 +27,14 @@ def test_balances(spark):
     inputs = spark.createDataFrame([(1, 4.0, 1.0), (2, 5.9, None)],
                                    "batch int, input double, allowance double")
     assert [r.batch for r in quality.mass_balance(outputs, weights, inputs).collect()] == [2]
+    more = outputs.union(spark.createDataFrame([(3, "tin", 10, 1.0), (4, "pan", 1, 1.0)], outputs.schema))
+    more = quality.mass_balance(more, weights, inputs.union(
+        spark.createDataFrame([(3, 1.0, None)], inputs.schema))).collect()
+    assert {r.batch: r.reason for r in more} == {2: "too much", 3: "no weight", 4: "no input"}
+    held = spark.createDataFrame([("a",), ("b",), ("x",)], "key string")
+    known = spark.createDataFrame([("a",), ("b",)], "key string")
+    stale = quality.stale_exemptions(held, known, known.where("key = 'b'")).collect()
+    assert {r.key: r.reason for r in stale} == {"x": "unknown", "b": "used"}
     parts = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.0), ("c", 9.0)],
                                   "key string, amount double")
     totals = spark.createDataFrame([("a", 3.004), ("b", 2.0), ("c", 1.0), ("d", 1.0)],
@@ -112,3 +120,9 @@ def test_reports(spark):
         ("anomaly", "a", 6.0), ("reorder", "b", 5.0)}
     assert {(r.location, r["items"]) for r in report.zone_rollup(items).collect()} == {
         ("Dry", 2), ("Cold", 1)}
+
+
+def test_every_name_length_is_searched(spark):
+    names = spark.createDataFrame([("n" * k,) for k in range(1, 1102)], "name string")
+    bodies = spark.createDataFrame([(1, "n" * 1101)], "id int, text string")
+    assert quality.unmentioned(names, bodies).count() == 0

@@ -32,9 +32,9 @@ def fresh_id():
 
 
 def json_row(*cols):
-    """One row as JSON text; decimals, dates and ids render as their text."""
-    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols]),
-                     {"ignoreNullFields": "false"})
+    """One row as JSON text: numbers and booleans stay what they are, dates and times
+    render in ISO form, NULL is null."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
 def words(text):

@@ -46,19 +46,27 @@ def melt(df, subject, fields, refs=(), type_slot=None, class_name=None) -> DataF
 def corrections(fixes, standing_) -> DataFrame:
     """Corrections and retractions. `fixes` has subject, slot, value: the claim now
     standing is withdrawn, with a replacement where `value` is given and with
-    nothing in its place where it is NULL. Pairs where nothing stands are refused
-    by the join."""
+    nothing in its place where it is NULL. Pairs where nothing stands are refused:
+    `correction_rejects` gives them."""
     target = standing_.select("subject", "slot", F.col("id").alias("revokes"))
     return (fixes.join(target, ["subject", "slot"])
             .withColumn("id", stable_id("revokes", F.coalesce("value", F.lit("")),
                                         F.lit("correction"))))
 
 
+def correction_rejects(fixes, standing_) -> DataFrame:
+    """The rows of `fixes` whose pair has no standing claim to withdraw."""
+    return fixes.join(standing_.select("subject", "slot").distinct(), ["subject", "slot"],
+                      "left_anti")
+
+
 def append_batch(batch, *, intent_id, occurred_at, recorded_at=None, last_seq=0,
                  batch_order="batch_order", source="imported",
                  ontology_version="v1") -> DataFrame:
     """Assertion rows for one act. `valid_from` defaults to when the act happened,
-    `recorded_at` to now; `seq` continues from `last_seq` in batch order."""
+    `recorded_at` to now; `seq` continues from `last_seq` in batch order. Ids come from
+    the act and the batch order, unique in a batch, so a retry after other appends makes
+    the same ids, whatever `seq` it gets."""
     when = instant_column(occurred_at)
     rows = batch.withColumn(
         "valid_from", F.coalesce("valid_from", when) if "valid_from" in batch.columns else when)
@@ -71,13 +79,47 @@ def append_batch(batch, *, intent_id, occurred_at, recorded_at=None, last_seq=0,
     if "source" not in rows.columns:
         rows = rows.withColumn("source", F.lit(source))
     return rows.select(
-        stable_id(F.lit(intent_id), "seq").alias("id"), "seq", "subject_id", "predicate_id",
+        stable_id(F.lit(intent_id), F.col(batch_order).cast("string")).alias("id"), "seq", "subject_id", "predicate_id",
         "value_literal", "value_ref", "valid_from", "recorded_at", "revokes",
         F.lit(intent_id).alias("intent_id"), "source", "confidence", "authority",
         F.lit(ontology_version).alias("ontology_version"),
         F.lit(None).cast("string").alias("subject_key_id"))
 
 
+def append_act(batch, *, intent_id, actor_id, action_name, occurred_at, reason_code=None,
+               note=None, agent_id=None, **append):
+    """(intent, entities, assertions) of one act, to be written in that order: the intent
+    as one row, an entity for each subject of `batch` (rows with a true `mint`, or all if
+    there is no such column), and the rows of `append_batch`."""
+    spark, when = batch.sparkSession, instant_column(occurred_at)
+    intent = spark.range(1).select(
+        F.lit(intent_id).alias("id"), when.alias("occurred_at"), F.lit(actor_id).alias("actor_id"),
+        F.lit(agent_id).cast("string").alias("agent_id"),
+        F.lit(action_name).alias("action_name"),
+        F.lit(reason_code).cast("string").alias("reason_code"),
+        F.lit(note).cast("string").alias("note"))
+    minted = batch.where(F.col("mint")) if "mint" in batch.columns else batch
+    entities = minted.select(F.col("subject_id").alias("id")).distinct().select(
+        "id", when.alias("minted_at"), F.lit(intent_id).alias("intent_id"))
+    return intent, entities, append_batch(batch.drop("mint"), intent_id=intent_id,
+                                          occurred_at=occurred_at, **append)
+
+
+def correct_by_id(fixes, claims, *, recorded_at=None):
+    """(corrections, rejects) of claims named by their id. `fixes`: claim_id, value (NULL
+    withdraws), valid_from (NULL: the target's own), reason. A correction says the same of
+    the same pair and revokes its target; a fix whose claim is unknown is a reject."""
+    target = claims.select(F.col("id").alias("claim_id"), "subject", "slot",
+                           F.col("valid_from").alias("_was"))
+    found = fixes.join(target, "claim_id")
+    made = found.select(
+        stable_id("claim_id", F.coalesce("value", F.lit("")), F.lit("correction")).alias("id"),
+        "subject", "slot", "value", F.coalesce("valid_from", "_was").alias("valid_from"),
+        instant_column(recorded_at).alias("recorded_at"), F.col("claim_id").alias("revokes"),
+        "reason")
+    return made, fixes.join(target.select("claim_id"), "claim_id", "left_anti")
+
+
 def assign_seq(batch, batch_order, last_seq=0) -> DataFrame:
     """Dense `seq` in batch order; pieces of the order are numbered side by side."""
     return position(batch, [], [batch_order], name="seq", start=last_seq + 1)

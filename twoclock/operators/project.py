@@ -129,7 +129,8 @@ def _total(col, spec, name):
 
 
 def _measure_type(spec):
-    """One type for all contributions: doubles only if some measure is one."""
+    """One type for all contributions: doubles only if some measure is one; of decimals
+    one that holds the whole digits and the places of each, within 38."""
     types = set()
     for rule in spec.aggregates.values():
         if rule.operator == "sum":
@@ -137,8 +138,14 @@ def _measure_type(spec):
             types.add(spec.model.column_type(slot))
     if "double" in types:
         return "double"
-    decimals = sorted(t for t in types if t.startswith("decimal"))
-    return decimals[-1] if decimals else "bigint"
+    sizes = [tuple(map(int, t[8:-1].split(","))) for t in types if t.startswith("decimal")]
+    if not sizes:
+        return "bigint"
+    if "bigint" in types:
+        sizes.append((19, 0))
+    places = max(s for _, s in sizes)
+    whole = max(p - s for p, s in sizes)
+    return f"decimal({min(38, whole + places)},{places})"
 
 
 def _partial_sums(view, spec):

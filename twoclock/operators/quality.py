@@ -6,8 +6,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 
 def _failures(df, check, subject, detail):
     return df.select(F.lit(check).alias("check"), subject.cast("string").alias("subject"),
@@ -16,17 +14,22 @@ def _failures(df, check, subject, detail):
 
 def mass_balance(outputs, weights, inputs, tolerance=0.005) -> DataFrame:
     """Batches putting out more than went in: Σ units · weight · share against input
-    plus allowance. `outputs`: batch, format, units, share; `weights`: format, weight;
-    `inputs`: batch, input, allowance. Outputs are summed per format before weights are
-    met."""
+    plus allowance, as (batch, out, allowed, reason). A batch with a format of no weight
+    fails as `no weight`, with no sum; one with no input as `no input`. `outputs`: batch,
+    format, units, share; `weights`: format, weight; `inputs`: batch, input, allowance.
+    Outputs are summed per format before weights are met."""
     made = (outputs.groupBy("batch", "format")
             .agg(F.sum(F.col("units") * F.col("share")).alias("_units"))
-            .join(weights, "format")
-            .groupBy("batch").agg(F.sum(F.col("_units") * F.col("weight")).alias("out")))
-    return (made.join(inputs, "batch")
+            .join(weights, "format", "left")
+            .groupBy("batch").agg(F.sum(F.col("_units") * F.col("weight")).alias("out"),
+                                  F.count_if(F.col("weight").isNull()).alias("_bare")))
+    reason = (F.when(F.col("_bare") > 0, "no weight").when(F.col("input").isNull(), "no input")
+              .when(F.col("out") - F.col("allowed") > tolerance, "too much"))
+    return (made.join(inputs, "batch", "left")
             .withColumn("allowed", F.col("input") + F.coalesce("allowance", F.lit(0)))
-            .where(F.col("out") - F.col("allowed") > tolerance)
-            .select("batch", "out", "allowed"))
+            .withColumn("reason", reason).where("reason IS NOT NULL")
+            .select("batch", F.when(F.col("_bare") == 0, F.col("out")).alias("out"),
+                    "allowed", "reason"))
 
 
 def parts_against_total(parts, totals, exempt=None, tolerance=0.005) -> DataFrame:
@@ -90,6 +93,17 @@ def orphans(parents, children, exempt=None) -> DataFrame:
     return left
 
 
+def stale_exemptions(exempt, parents, children) -> DataFrame:
+    """(key, reason) of exemptions that exempt nothing: `unknown` names no parent, `used`
+    names one that a child uses after all."""
+    return (exempt.select("key").distinct()
+            .join(parents.select("key", F.lit(True).alias("_is")).distinct(), "key", "left")
+            .join(children.select("key", F.lit(True).alias("_used")).distinct(), "key", "left")
+            .select("key", F.when(F.col("_is").isNull(), "unknown")
+                    .when(F.col("_used"), "used").alias("reason"))
+            .where("reason IS NOT NULL"))
+
+
 def unmentioned(names, bodies) -> DataFrame:
     """Names (name) that occur in no body (id, text), case aside, as substrings.
 
@@ -101,7 +115,7 @@ def unmentioned(names, bodies) -> DataFrame:
     """
     lowered = names.select("name", F.lower("name").alias("_low")).distinct()
     split = lowered.withColumn("_w", F.split("_low", " ")).withColumn("_k", F.size("_w"))
-    low = spread(bodies).select("id", F.lower("text").alias("_text")).withColumn(
+    low = bodies.select("id", F.lower("text").alias("_text")).withColumn(
         "_w", F.split("_text", " "))
     kinds = {r["k"] for r in split.select(F.least("_k", F.lit(3)).alias("k"))
              .distinct().collect()}
@@ -115,10 +129,8 @@ def unmentioned(names, bodies) -> DataFrame:
 def _inside_a_word(split, low):
     single = split.where("_k = 1")
     vocabulary = low.select(F.explode("_w").alias("_word")).distinct()
-    # Every piece of a word that is as long as some name; words are short.
-    lengths = single.select(F.length("_low").alias("n")).distinct()
-    sizes = F.lit(sorted(r["n"] for r in lengths.limit(1000).collect()))
-    pieces = (vocabulary.select("_word", F.explode(sizes).alias("_n"))
+    # Every piece of a word that is as long as some name.
+    pieces = (vocabulary.select("_word", F.explode(_lengths(single, "_low")).alias("_n"))
               .where(F.col("_n") <= F.length("_word"))
               .select("_word", "_n", F.explode(F.sequence(
                   F.lit(1), F.length("_word") - F.col("_n") + 1)).alias("_at"))
@@ -126,19 +138,28 @@ def _inside_a_word(split, low):
     return single.join(pieces.distinct(), "_low", "left_semi").select("name")
 
 
+def _lengths(df, column):
+    """All lengths of a column as a literal array: as many as the longest text at most."""
+    held = df.select(F.length(column).alias("n")).distinct().collect()
+    return F.lit(sorted(r["n"] for r in held) or [0])
+
+
 def _across_two_words(split, low):
     """The words that end or start as some name does are found among distinct words;
     only neighbours whose first word is one of them are looked at as a pair."""
     double = split.where("_k = 2").select(
         "name", F.col("_w")[0].alias("_end"), F.col("_w")[1].alias("_start"))
     vocabulary = low.select(F.explode("_w").alias("_word")).distinct()
-    tails = (vocabulary.select(F.col("_word").alias("a"), F.explode(F.sequence(
-                 F.lit(1), F.length("_word") + 1)).alias("_at"))
-             .select("a", F.expr("substring(a, _at)").alias("_end"))
+    # Only endings and beginnings as long as some name's are cut, one of each length.
+    tails = (vocabulary.select(F.col("_word").alias("a"),
+                               F.explode(_lengths(double, "_end")).alias("_n"))
+             .where(F.col("_n") <= F.length("a"))
+             .select("a", F.expr("substring(a, length(a) - _n + 1)").alias("_end"))
              .join(double.select("_end").distinct(), "_end", "left_semi"))
-    heads = (vocabulary.select(F.col("_word").alias("b"), F.explode(F.sequence(
-                 F.lit(0), F.length("_word"))).alias("_at"))
-             .select("b", F.expr("substring(b, 1, _at)").alias("_start"))
+    heads = (vocabulary.select(F.col("_word").alias("b"),
+                               F.explode(_lengths(double, "_start")).alias("_n"))
+             .where(F.col("_n") <= F.length("b"))
+             .select("b", F.expr("substring(b, 1, _n)").alias("_start"))
              .join(double.select("_start").distinct(), "_start", "left_semi"))
     pairs = (low.where(F.size("_w") > 1)
              .select(F.explode(F.arrays_zip(
@@ -209,7 +230,7 @@ def sold_nowhere(prices, key, price) -> DataFrame:
 
 def forbidden_phrases(texts, key, phrases) -> DataFrame:
     """(key, line, phrase): every line on which a phrase pattern occurs, case aside."""
-    lines = spread(texts).select(F.col(key).alias("key"),
+    lines = texts.select(F.col(key).alias("key"),
                          F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
     hits = F.array(*[F.when(F.col("_line").rlike("(?i)" + p), F.lit(p)) for p in phrases])
     # One alternation settles most lines before the phrases are tried apart.

@@ -222,7 +222,7 @@ def replay(assertions, label_literal, valid_at, as_of) -> DataFrame:
     """
     labelling = (assertions.where((F.col("subject_id") == F.col("predicate_id"))
                                   & (F.col("value_literal") == label_literal))
-                 .select("subject_id").distinct().limit(1).scalar())
+                 .agg(F.min_by("subject_id", "seq").alias("id")).scalar())
     won = standing(as_claims(assertions), valid_at, as_of)
     labels = (standing(as_claims(assertions.where(F.col("predicate_id") == labelling)
                                  .unionByName(assertions.where(

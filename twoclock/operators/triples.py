@@ -102,25 +102,28 @@ def with_inferred(triples, inferred_) -> DataFrame:
     return triples.unionByName(said)
 
 
-def closure(edges, rounds=40) -> DataFrame:
+def closure(edges) -> DataFrame:
     """(ancestor, descendant), each class with itself, of parent edges (parent, child).
 
-    Path lengths double each round, so a tree of depth d takes about log2(d) joins.
-    Every round is written down: plans stay short and a lost executor costs one round.
+    Paths found in a round are joined with all known ones at both ends, so lengths double
+    and a tree of depth d takes about log2(d) rounds; rounds go on until one finds nothing.
+    Only new paths are joined and written: plans stay short, and a lost executor costs
+    one round. Jobs run while the frame is built.
     """
     edges = edges.where("parent IS NOT NULL").select("parent", "child").distinct()
     paths = kept(edges.select(F.col("parent").alias("ancestor"),
                                       F.col("child").alias("descendant")))
-    known = paths.count()
-    for _ in range(rounds):
-        longer = (paths.select("ancestor", F.col("descendant").alias("_mid"))
-                  .join(paths.select(F.col("ancestor").alias("_mid"), "descendant"), "_mid")
+    found = paths
+    while found.head(1):
+        known = paths.select(F.col("ancestor").alias("_mid"), "descendant")
+        after = (found.select("ancestor", F.col("descendant").alias("_mid")).join(known, "_mid")
+                 .select("ancestor", "descendant"))
+        before = (paths.select("ancestor", F.col("descendant").alias("_mid"))
+                  .join(found.select(F.col("ancestor").alias("_mid"), "descendant"), "_mid")
                   .select("ancestor", "descendant"))
-        grown = kept(paths.unionByName(longer).distinct())
-        now = grown.count()
-        if now == known:
-            break
-        paths, known = grown, now
+        found = kept(after.unionByName(before).distinct()
+                     .join(paths, ["ancestor", "descendant"], "left_anti"))
+        paths = paths.unionByName(found)
     selves = (edges.select(F.explode(F.array("parent", "child")).alias("ancestor")).distinct()
               .withColumn("descendant", F.col("ancestor")))
     return paths.unionByName(selves).distinct()

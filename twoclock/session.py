@@ -42,13 +42,6 @@ def shared_dir(spark):
     return named
 
 
-def spread(df):
-    """A scan of fewer splits than there are cores, dealt out before work that
-    multiplies its rows; a large table has splits enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def kept(df):
     """`df` computed once and read back from a table in the shared folder: lineage is
     cut, and a lost executor costs no recomputation of what is above."""

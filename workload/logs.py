@@ -7,7 +7,7 @@ by slot, and every query reads the written log.
 
 from pyspark.sql import functions as F
 
-from twoclock.session import scratch_path, spread
+from twoclock.session import scratch_path
 from twoclock.sources import append_claims, read_claims
 
 URI_SLOT = "sys:uri"
@@ -96,9 +96,8 @@ def _start():
 
 def _movements(spark, sf_dir):
     l, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    l = spread(l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                            "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus",
-                            "l_tax", "l_discount"))
+    l = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                 "l_shipdate", "l_returnflag", "l_linestatus", "l_tax", "l_discount")
     rows = (l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",

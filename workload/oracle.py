@@ -487,6 +487,25 @@ f AS (SELECT 'part:' || p_partkey AS subject, 'item_price' AS slot,
 SELECT f.subject, f.slot, f.value, s.id AS revokes,
        md5(s.id || '|' || coalesce(f.value, '') || '|correction') AS id
 FROM f JOIN s ON s.subject = f.subject AND s.slot = f.slot"""
+    out["correction_rejects"] = """
+SELECT 'supplier:' || s_suppkey AS subject, 'item_price' AS slot, '1' AS value FROM supplier"""
+    fixes = """
+WITH f AS (SELECT CAST(event_id AS VARCHAR) AS claim_id, value AS v, ts FROM events
+           WHERE event_type = 'error'
+           UNION ALL SELECT 'none-' || user_id, 1, NULL FROM events GROUP BY user_id)"""
+    out["correct_by_id"] = fixes + """
+SELECT md5(claim_id || '|' || CASE WHEN v >= 50 THEN '0.00' ELSE '' END || '|correction') AS id,
+       'user:' || user_id AS subject, event_type AS slot, CASE WHEN v >= 50 THEN '0.00' END AS value,
+       CASE WHEN v >= 80 THEN f.ts - INTERVAL 1 DAY ELSE e.ts END AS valid_from,
+       TIMESTAMP '2024-03-01 12:00:00' AS recorded_at, claim_id AS revokes, 'typing error' AS reason
+FROM f JOIN events e ON CAST(event_id AS VARCHAR) = claim_id"""
+    out["correct_by_id_rejects"] = fixes + "SELECT claim_id FROM f WHERE claim_id LIKE 'none-%'"
+    out["append_act"] = """
+SELECT 'intent' AS kind, 'act:suppliers' AS id, TIMESTAMP '1995-01-01 09:00:00' AS occurred_at
+UNION ALL SELECT 'entity', md5('supplier:' || s_suppkey), TIMESTAMP '1995-01-01 09:00:00'
+FROM supplier WHERE s_acctbal > 0
+UNION ALL SELECT 'assertion', md5('act:suppliers|' || s_suppkey), TIMESTAMP '1995-01-01 09:00:00'
+FROM supplier"""
     out["register_uris"] = """
 WITH said AS (SELECT 'supplier:' || l_suppkey AS uri FROM lineitem
               UNION SELECT 'customer:' || o_custkey FROM orders)
@@ -527,7 +546,7 @@ SELECT event_id AS batch_order, user_id, 1000 + row_number() OVER (ORDER BY even
 FROM events"""
     out["append_batch"] = """
 WITH b AS (SELECT *, 500 + row_number() OVER (ORDER BY s_suppkey) AS seq FROM supplier)
-SELECT md5('act:suppliers|' || seq) AS id, seq, md5('supplier:' || s_suppkey) AS subject_id,
+SELECT md5('act:suppliers|' || s_suppkey) AS id, seq, md5('supplier:' || s_suppkey) AS subject_id,
        md5('location_name') AS predicate_id, s_name AS value_literal,
        CAST(NULL AS VARCHAR) AS value_ref, TIMESTAMP '1995-01-01 09:00:00' AS valid_from,
        TIMESTAMP '1995-01-02 09:00:00' AS recorded_at, CAST(NULL AS VARCHAR) AS revokes,
@@ -724,12 +743,22 @@ SELECT count(*) AS assertions, count(revokes) AS revoking,
     out["dq_mass_balance"] = """
 WITH o AS (SELECT l_orderkey AS batch, sum(CAST(l_quantity AS DECIMAL(12,2))
              * (1 - CAST(l_discount AS DECIMAL(6,2)))
-             * CAST(p_retailprice AS DECIMAL(12,2))) AS out
-           FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+             * CAST(p_retailprice AS DECIMAL(12,2))) AS out,
+             count(*) FILTER (p_partkey IS NULL) AS bare
+           FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 1 GROUP BY 1),
 i AS (SELECT o_orderkey AS batch, CAST(o_totalprice AS DECIMAL(14,2))
-        + CASE WHEN o_orderpriority = '1-URGENT' THEN 1000 ELSE 0 END AS allowed FROM orders)
-SELECT batch, round(CAST(out AS DOUBLE), 4) AS out, round(CAST(allowed AS DOUBLE), 4) AS allowed
-FROM o JOIN i USING (batch) WHERE out - allowed > 0.005"""
+        + CASE WHEN o_orderpriority = '1-URGENT' THEN 1000 ELSE 0 END AS allowed FROM orders
+      WHERE o_totalprice >= 1000)
+SELECT batch, CASE WHEN bare = 0 THEN round(CAST(out AS DOUBLE), 4) END AS out,
+       round(CAST(allowed AS DOUBLE), 4) AS allowed,
+       CASE WHEN bare > 0 THEN 'no weight' WHEN allowed IS NULL THEN 'no input'
+            ELSE 'too much' END AS reason
+FROM o LEFT JOIN i USING (batch) WHERE bare > 0 OR allowed IS NULL OR out - allowed > 0.005"""
+    out["dq_stale_exemptions"] = """
+SELECT DISTINCT doc_id AS key, CASE WHEN doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')
+       THEN 'unknown' ELSE 'used' END AS reason
+FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')
+   OR doc_id IN (SELECT conv_id FROM conversations)"""
     out["dq_parts_vs_total"] = _with(_TILL) + "SELECT key, " + _round("total", "worked") + \
         " FROM till"
     out["dq_rule_vs_observed"] = """
@@ -821,8 +850,13 @@ wt AS (SELECT key, word, sum(w) AS weight FROM (
          UNION ALL
          SELECT key, unnest(list_distinct({_words('text')})), 1 FROM q) GROUP BY ALL),
 vocab AS (SELECT DISTINCT word FROM wt),
+blocks AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x:
+        regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '') AS ps
+        FROM documents),
+para AS (SELECT doc_id * 1000000 + generate_subscripts(ps, 1) - 1 AS doc_id, unnest(ps) AS text
+         FROM blocks),
 tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))
-          AS token FROM documents),
+          AS token FROM para),
 dt AS (SELECT DISTINCT token FROM tok),
 tw AS (SELECT token, word FROM dt JOIN vocab
        ON substr(token, 1, 4) = substr(word, 1, 4) AND starts_with(token, word)),
@@ -861,8 +895,8 @@ SELECT o_orderkey, CASE WHEN o_orderstatus = 'F'
   THEN date_trunc('day', o_orderdate) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND
   ELSE o_orderdate END AS clock FROM orders"""
     out["json_rows"] = """
-SELECT o_orderkey, '{"o_orderkey":"' || o_orderkey || '","total":"'
-  || CAST(o_totalprice AS DECIMAL(14,2)) || '","day":"' || strftime(o_orderdate, '%Y-%m-%d')
+SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"total":'
+  || CAST(o_totalprice AS DECIMAL(14,2)) || ',"day":"' || strftime(o_orderdate, '%Y-%m-%d')
   || '","status":' || CASE WHEN o_orderstatus = 'P' THEN 'null'
                            ELSE '"' || o_orderstatus || '"' END || '}' AS row FROM orders"""
     return out

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from twoclock.functions import end_of_day, json_row, uri_slug
 from twoclock.operators import (ingest, project, provenance, quality, report, resolve,
                                 textmatch, triples)
+from twoclock.session import kept
 from twoclock.sources import load_versions
 
 from . import stock
@@ -163,6 +164,63 @@ def corrections(spark, d):
     return ingest.corrections(fixes, now)
 
 
+@query
+def correction_rejects(spark, d):
+    """Price fixes for every part and one for every supplier, which has no price."""
+    fixes = (table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("subject"))
+             .union(table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey"))))
+    fixes = fixes.select("subject", F.lit("item_price").alias("slot"), F.lit("1").alias("value"))
+    now = resolve.standing(stock_log(spark, d), ST_VALID, ST_KNOWN, ["item_price"])
+    return ingest.correction_rejects(fixes, now)
+
+
+def _named_fixes(spark, d):
+    """Every error event is corrected by its id, and so is one claim beyond each user's."""
+    e = table(spark, d, "events")
+    known = e.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("claim_id"),
+                                                   F.col("value"), F.col("ts"))
+    unknown = e.select("user_id").distinct().select(
+        F.concat(F.lit("none-"), "user_id").alias("claim_id"), F.lit(1.0).alias("value"),
+        F.lit(None).cast("timestamp_ntz").alias("ts"))
+    return known.unionByName(unknown).select(
+        "claim_id", F.when(F.col("value") >= 50, "0.00").alias("value"),
+        F.when(F.col("value") >= 80, F.col("ts") - F.make_dt_interval(days=F.lit(1)))
+        .alias("valid_from"), F.lit("typing error").alias("reason"))
+
+
+@query
+def correct_by_id(spark, d):
+    made, _ = ingest.correct_by_id(_named_fixes(spark, d), event_log(spark, d),
+                                   recorded_at="2024-03-01 12:00:00")
+    return made
+
+
+@query
+def correct_by_id_rejects(spark, d):
+    return ingest.correct_by_id(_named_fixes(spark, d), event_log(spark, d))[1].select("claim_id")
+
+
+def _supplier_act(spark, d):
+    batch = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("batch_order"), (F.col("s_acctbal") > 0).alias("mint"),
+        F.md5(F.concat(F.lit("supplier:"), "s_suppkey")).alias("subject_id"),
+        F.md5(F.lit("location_name")).alias("predicate_id"), F.col("s_name").alias("value_literal"))
+    return ingest.append_act(batch, intent_id="act:suppliers", actor_id="importer",
+                             action_name="import", occurred_at="1995-01-01 09:00:00",
+                             recorded_at="1995-01-02 09:00:00", note="first load")
+
+
+@query
+def append_act(spark, d):
+    """Rows of the intent, the entities and the assertions of one act, as counted."""
+    intent, entities, rows = _supplier_act(spark, d)
+    return (intent.select(F.lit("intent").alias("kind"), "id", "occurred_at")
+            .unionByName(entities.select(F.lit("entity").alias("kind"), "id",
+                                         F.col("minted_at").alias("occurred_at")))
+            .unionByName(rows.select(F.lit("assertion").alias("kind"), "id",
+                                     F.col("valid_from").alias("occurred_at"))))
+
+
 @query
 def register_uris(spark, d):
     said = (table(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey")
@@ -561,10 +619,11 @@ def _mass_inputs(spark, d):
     outputs = l.select(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("format"),
                        F.col("l_quantity").cast("decimal(12,2)").alias("units"),
                        (1 - F.col("l_discount").cast("decimal(6,2)")).alias("share"))
-    weights = p.select(F.col("p_partkey").alias("format"),
+    # Parts of size 1 have no weight, and orders under a thousand no input.
+    weights = p.where("p_size > 1").select(F.col("p_partkey").alias("format"),
                        F.col("p_retailprice").cast("decimal(12,2)").alias("weight"))
-    inputs = o.select(F.col("o_orderkey").alias("batch"),
-                      F.col("o_totalprice").cast("decimal(14,2)").alias("input"),
+    inputs = o.where("o_totalprice >= 1000").select(
+                      F.col("o_orderkey").alias("batch"), F.col("o_totalprice").cast("decimal(14,2)").alias("input"),
                       F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1000))
                       .alias("allowance"))
     return outputs, weights, inputs
@@ -575,6 +634,15 @@ def dq_mass_balance(spark, d):
     return _money(quality.mass_balance(*_mass_inputs(spark, d)), "out", "allowed", digits=4)
 
 
+@query
+def dq_stale_exemptions(spark, d):
+    """Labels as exemptions of English documents no conversation is numbered after."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
+    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
+    talks = table(spark, d, "conversations").select(F.col("conv_id").alias("key"))
+    return quality.stale_exemptions(labels, docs, talks)
+
+
 def _till(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     parts = l.select(F.col("l_orderkey").alias("key"),
@@ -743,19 +811,25 @@ def cells_diff(spark, d):
 
 @query
 def replay_identical(spark, d):
-    def once():
-        return resolve.replay(master_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN)
-    return quality.same_rows(once(), once(), "replay")
+    """Two runs, each written down: the second over rows dealt out another way."""
+    log = master_assertions(spark, d)
+
+    def once(rows):
+        return kept(resolve.replay(rows, URI_SLOT, ST_VALID, ST_KNOWN))
+    return quality.same_rows(once(log), once(log.repartition(13, "predicate_id", "id")), "replay")
 
 
 # ---- text, triples --------------------------------------------------------
 
-@query
-def paragraphs(spark, d):
+def _transcripts(spark, d):
     """Documents as transcripts, a paragraph a line."""
-    docs = table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         "doc_id", F.regexp_replace("text", "\n", "\n \n").alias("text"))
-    return textmatch.paragraphs(docs)
+
+
+@query
+def paragraphs(spark, d):
+    return textmatch.paragraphs(_transcripts(spark, d))
 
 
 @query
@@ -763,7 +837,10 @@ def best_paragraph(spark, d):
     things = table(spark, d, "benchmark").select(
         F.col("item_id").alias("key"), F.split("text", " ")[0].alias("name"),
         F.col("text").alias("description"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), "text")
+    # Index: the paragraph's place, a million to a document.
+    docs = textmatch.paragraphs(_transcripts(spark, d)).select(
+        (F.col("doc_id") * 1_000_000 + F.col("position")).alias("index"),
+        F.col("paragraph").alias("text"))
     return textmatch.best_paragraph(things, docs)
 
 
