@@ -105,18 +105,18 @@ def test_reports(spark):
         [("a", "p", "A", "Dry", 10.0, 5.0, -60.0, -6.0, True, False, None, 4.0),
          ("b", "p", "B", "Dry", 1.0, 9.0, -20.0, -20.0, False, True, 8.0, 3.0),
          ("c", "q", "C", "Cold", 2.0, 0.0, 5.0, 2.5, False, False, None, 1.0)],
-        "ingredient string, place string, name string, location string, price double, "
-        "expected double, variance_value double, variance double, is_anomaly boolean, "
+        "part string, place string, name string, location string, list_price double, "
+        "remaining double, gap_value double, gap double, is_anomaly boolean, "
         "is_reorder boolean, reorder_base double, counted double").withColumn(
-        "stock_value", F.col("counted") * F.col("price"))
+        "counted_value", F.col("counted") * F.col("list_price"))
     k = report.kpi_totals(items).first()
-    assert (k.valuation, k.expected_valuation, k.variance_value) == (45.0, 59.0, -75.0)
+    assert (k.valuation, k.remaining_valuation, k.gap_value) == (45.0, 59.0, -75.0)
     assert report.kpi_totals(items.limit(0)).first().accuracy_pct == 100.0
     top = report.top_losses(items).collect()
-    assert [r.ingredient for r in top] == ["a", "b"]
+    assert [r.part for r in top] == ["a", "b"]
     assert [round(r.pct_of_total, 1) for r in top] == [80.0, 26.7]
     assert [round(r.pct_of_max, 1) for r in top] == [100.0, 33.3]
-    assert {(r.alert, r.ingredient, r.deficit) for r in report.alerts(items).collect()} == {
+    assert {(r.alert, r.part, r.deficit) for r in report.alerts(items).collect()} == {
         ("anomaly", "a", 6.0), ("reorder", "b", 5.0)}
     assert {(r.location, r["items"]) for r in report.zone_rollup(items).collect()} == {
         ("Dry", 2), ("Cold", 1)}

@@ -9,86 +9,86 @@ from ..session import kept
 def item_metadata(items, units, conversions) -> DataFrame:
     """Each item with the unit it is counted in and that unit's factor; every item
     stays, an unconverted one has factor 1."""
-    u = units.select(F.col("entity_uri").alias("_unit"), F.col("unit_name"))
-    c = conversions.select(F.col("conversion_ingredient").alias("_item"),
-                           F.col("conversion_unit").alias("_cunit"), "conversion_factor")
-    return (items.join(u, F.col("item_counted_in") == F.col("_unit"), "left")
+    u = units.select(F.col("entity_uri").alias("_holder"), F.col("container_label"))
+    c = conversions.select(F.col("packed_part").alias("_item"),
+                           F.col("packed_in").alias("_cunit"), "pieces_each")
+    return (items.join(u, F.col("part_container") == F.col("_holder"), "left")
             .join(c, (F.col("entity_uri") == F.col("_item"))
-                  & (F.col("item_counted_in") == F.col("_cunit")), "left")
-            .select("entity_uri", "item_name", "item_counted_in", "item_reorder_level",
-                    "item_price",
-                    F.coalesce("conversion_factor", F.lit(1)).cast("double").alias("factor"),
-                    "unit_name"))
+                  & (F.col("part_container") == F.col("_cunit")), "left")
+            .select("entity_uri", "part_name", "part_container", "floor_stock",
+                    "list_price",
+                    F.coalesce("pieces_each", F.lit(1)).cast("double").alias("factor"),
+                    "container_label"))
 
 
 def item_health(reconciliation, metadata, places, severe=-50.0) -> DataFrame:
     """One row per (item, place): quantities, money, and the two flags.
 
     An anomaly lost `severe` or more in value. A reorder is counted below the level in
-    base units while something was expected.
+    base units while something should remain.
     """
-    m = metadata.select(F.col("entity_uri").alias("ingredient"), "item_name", "factor",
-                        F.col("item_reorder_level").cast("double").alias("_level"),
-                        F.coalesce("unit_name", F.lit("units")).alias("pack_unit"))
-    p = places.select(F.col("entity_uri").alias("place"), "location_name")
+    m = metadata.select(F.col("entity_uri").alias("part"), "part_name", "factor",
+                        F.col("floor_stock").cast("double").alias("_level"),
+                        F.coalesce("container_label", F.lit("pieces")).alias("pack_unit"))
+    p = places.select(F.col("entity_uri").alias("place"), "place_name")
     money = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in
-             ("price", "expected", "counted", "variance")}
-    rows = (reconciliation.join(m, "ingredient", "left").join(p, "place", "left")
-            .select("ingredient", "place",
-                    F.coalesce("item_name", "ingredient").alias("name"),
-                    F.coalesce("location_name", "place").alias("location"),
-                    F.coalesce("pack_unit", F.lit("kg")).alias("pack_unit"),
+             ("list_price", "remaining", "counted", "gap")}
+    rows = (reconciliation.join(m, "part", "left").join(p, "place", "left")
+            .select("part", "place",
+                    F.coalesce("part_name", "part").alias("name"),
+                    F.coalesce("place_name", "place").alias("location"),
+                    F.coalesce("pack_unit", F.lit("pieces")).alias("pack_unit"),
                     F.coalesce("factor", F.lit(1.0)).alias("pack_factor"),
                     (F.col("_level") * F.coalesce("factor", F.lit(1.0))).alias("reorder_base"),
                     *[c.alias(n) for n, c in money.items()],
-                    F.col("stock_value").cast("double").alias("_sv"),
-                    F.col("variance_value").cast("double").alias("_vv")))
+                    F.col("counted_value").cast("double").alias("_sv"),
+                    F.col("gap_value").cast("double").alias("_vv")))
     return rows.select(
-        "ingredient", "place", "name", "location", "pack_unit", "pack_factor",
-        "reorder_base", "price", "expected", "counted", "variance",
+        "part", "place", "name", "location", "pack_unit", "pack_factor",
+        "reorder_base", "list_price", "remaining", "counted", "gap",
         F.round(F.when(F.col("pack_factor") != 0, F.col("counted") / F.col("pack_factor"))
                 .otherwise(F.col("counted")), 1).alias("counted_packs"),
-        F.coalesce("_sv", F.col("counted") * F.col("price")).alias("stock_value"),
-        F.coalesce("_vv", F.col("variance") * F.col("price")).alias("variance_value"),
-        (F.coalesce("_vv", F.col("variance") * F.col("price")) <= severe).alias("is_anomaly"),
+        F.coalesce("_sv", F.col("counted") * F.col("list_price")).alias("counted_value"),
+        F.coalesce("_vv", F.col("gap") * F.col("list_price")).alias("gap_value"),
+        (F.coalesce("_vv", F.col("gap") * F.col("list_price")) <= severe).alias("is_anomaly"),
         (F.col("reorder_base").isNotNull() & (F.col("counted") < F.col("reorder_base"))
-         & (F.col("expected") > 0)).alias("is_reorder"))
+         & (F.col("remaining") > 0)).alias("is_reorder"))
 
 
 def kpi_totals(items) -> DataFrame:
     totals = items.agg(
-        F.coalesce(F.sum("stock_value"), F.lit(0.0)).alias("valuation"),
-        F.coalesce(F.sum(F.col("expected") * F.col("price")), F.lit(0.0))
-        .alias("expected_valuation"),
-        F.coalesce(F.sum("variance_value"), F.lit(0.0)).alias("variance_value"),
-        F.coalesce(F.sum("variance"), F.lit(0.0)).alias("variance_qty"))
+        F.coalesce(F.sum("counted_value"), F.lit(0.0)).alias("valuation"),
+        F.coalesce(F.sum(F.col("remaining") * F.col("list_price")), F.lit(0.0))
+        .alias("remaining_valuation"),
+        F.coalesce(F.sum("gap_value"), F.lit(0.0)).alias("gap_value"),
+        F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gap_pieces"))
     return totals.withColumn(
         "accuracy_pct",
-        F.when(F.col("expected_valuation") == 0, F.lit(100.0))
-        .otherwise(F.col("valuation") / F.col("expected_valuation") * 100))
+        F.when(F.col("remaining_valuation") == 0, F.lit(100.0))
+        .otherwise(F.col("valuation") / F.col("remaining_valuation") * 100))
 
 
 def zone_rollup(items) -> DataFrame:
     return items.groupBy("location").agg(
-        F.count(F.lit(1)).alias("items"), F.sum("stock_value").alias("valuation"),
-        F.sum("variance_value").alias("variance_value"))
+        F.count(F.lit(1)).alias("items"), F.sum("counted_value").alias("valuation"),
+        F.sum("gap_value").alias("gap_value"))
 
 
 def worst_first(items):
-    return items.orderBy("variance_value", "name", "ingredient", "place")
+    return items.orderBy("gap_value", "name", "part", "place")
 
 
 def top_losses(items, k=6) -> DataFrame:
-    """The k largest losses, each as a share of the whole variance and of the largest
+    """The k largest losses, each as a share of the whole gap and of the largest
     loss. The two totals are scalars, so no window spans the table; the items, read
     three times, are computed once and kept in the shared folder."""
-    items = kept(items.select("ingredient", "place", "name", "variance_value"))
-    whole = F.abs(items.agg(F.sum("variance_value")).scalar())
-    deepest = F.abs(items.where("variance_value < 0").agg(F.min("variance_value")).scalar())
-    loss = F.abs(F.col("variance_value"))
-    return (items.where("variance_value < 0")
-            .orderBy("variance_value", "ingredient", "place").limit(k)
-            .select("ingredient", "place", "name", "variance_value",
+    items = kept(items.select("part", "place", "name", "gap_value"))
+    whole = F.abs(items.agg(F.sum("gap_value")).scalar())
+    deepest = F.abs(items.where("gap_value < 0").agg(F.min("gap_value")).scalar())
+    loss = F.abs(F.col("gap_value"))
+    return (items.where("gap_value < 0")
+            .orderBy("gap_value", "part", "place").limit(k)
+            .select("part", "place", "name", "gap_value",
                     F.when(whole != 0, loss / whole * 100).otherwise(0.0)
                     .alias("pct_of_total"),
                     F.least(F.lit(100.0), F.when(deepest > 0, loss / deepest * 100)
@@ -99,17 +99,17 @@ def alerts(items) -> DataFrame:
     """One row per anomaly and per reorder; every breach, whatever the item. The items
     are computed once for their total and their rows."""
     items = kept(items)
-    whole = F.abs(items.agg(F.sum("variance_value")).scalar())
+    whole = F.abs(items.agg(F.sum("gap_value")).scalar())
     kinds = F.array(
         F.when(F.col("is_anomaly"), F.struct(
-            F.lit("anomaly").alias("alert"), F.abs("variance").alias("deficit"),
-            F.when(whole != 0, F.abs("variance_value") / whole * 100).alias("share_pct"))),
+            F.lit("anomaly").alias("alert"), F.abs("gap").alias("deficit"),
+            F.when(whole != 0, F.abs("gap_value") / whole * 100).alias("share_pct"))),
         F.when(F.col("is_reorder"), F.struct(
             F.lit("reorder").alias("alert"),
             (F.col("reorder_base") - F.col("counted")).alias("deficit"),
             F.lit(None).cast("double").alias("share_pct"))))
-    return (items.select("ingredient", "place", "name", "location", F.explode(kinds).alias("k"))
-            .where("k IS NOT NULL").select("ingredient", "place", "name", "location", "k.*"))
+    return (items.select("part", "place", "name", "location", F.explode(kinds).alias("k"))
+            .where("k IS NOT NULL").select("part", "place", "name", "location", "k.*"))
 
 
 # ---- clock-free reads of the log ------------------------------------------
@@ -129,36 +129,29 @@ def attribute_pivot(claims, slots) -> DataFrame:
                 F.max(F.when(F.col("slot") == s, F.col("value"))).alias(s) for s in slots]))
 
 
-def balance(movements, conversions, places) -> DataFrame:
-    """Expected stock per (item, place): Σ in·factor − Σ out·factor, where positive.
+def place_totals(lines, packings, places) -> DataFrame:
+    """(part, place, total) of lines (part, container, place, pieces; signed or not) at
+    the places given, in single pieces: `packings` (part, container, factor) says how
+    many a container holds, 1 if it does not. Lines are summed before they meet either."""
+    summed = (lines.where("place IS NOT NULL").groupBy("part", "container", "place")
+              .agg(F.sum("pieces").alias("_n")))
+    return (summed.join(places.select("place").distinct(), "place")
+            .join(packings, ["part", "container"], "left")
+            .groupBy("part", "place")
+            .agg(F.sum(F.col("_n") * F.coalesce("factor", F.lit(1))).alias("total")))
 
-    `movements` has ingredient, unit, loc_into, loc_out, quantity. Both directions are
-    summed before any join, so the conversion and the places meet partial sums; the
-    full outer join of the two totals is a grouping of their union.
-    """
-    sides = F.array(F.struct(F.col("loc_into").alias("place"), F.lit(1).alias("sign")),
-                    F.struct(F.col("loc_out").alias("place"), F.lit(-1).alias("sign")))
-    moved = (movements.select("ingredient", "unit", "quantity", F.explode(sides).alias("s"))
-             .where("s.place IS NOT NULL")
-             .groupBy("ingredient", "unit", F.col("s.place").alias("place"))
-             .agg(F.sum(F.col("quantity") * F.col("s.sign")).alias("net")))
-    return (moved.join(places.select("place").distinct(), "place")
-            .join(conversions, ["ingredient", "unit"], "left")
-            .groupBy("ingredient", "place")
-            .agg(F.sum(F.col("net") * F.coalesce("factor", F.lit(1))).alias("expected"))
-            .where("expected > 0"))
-
-
-def in_and_out(ins, outs) -> DataFrame:
-    """The same totals from two ready tables (ingredient, place, total) by a full outer
-    join on coalesced keys."""
-    i = ins.withColumnRenamed("total", "_in")
-    o = outs.withColumnRenamed("total", "_out")
-    return (i.join(o, ["ingredient", "place"], "full_outer")
-            .select("ingredient", "place",
-                    (F.coalesce("_in", F.lit(0)) - F.coalesce("_out", F.lit(0)))
-                    .alias("expected"))
-            .where("expected > 0"))
+
+def balance(lines, packings, places) -> DataFrame:
+    """(part, place, remaining) where lines signed by their direction leave something."""
+    return (place_totals(lines, packings, places)
+            .select("part", "place", F.col("total").alias("remaining")).where("remaining > 0"))
+
+
+def in_and_out(delivered, returned) -> DataFrame:
+    """The same from two ready tables (part, place, total), by a full outer join."""
+    both = delivered.join(returned.withColumnRenamed("total", "_back"), ["part", "place"], "full")
+    left = F.coalesce("total", F.lit(0)) - F.coalesce("_back", F.lit(0))
+    return both.select("part", "place", left.alias("remaining")).where("remaining > 0")
 
 
 def class_counts(claims, type_slot) -> DataFrame:

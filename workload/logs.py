@@ -11,15 +11,14 @@ from twoclock.session import scratch_path
 from twoclock.sources import append_claims, read_claims
 
 URI_SLOT = "sys:uri"
-TYPE_SLOT = "entity_class"
+TYPE_SLOT = "kind_of_thing"
 
-REFS = ["item_base_unit", "item_counted_in", "conversion_ingredient", "conversion_unit",
-        "movement_ingredient", "movement_into", "movement_out_of", "movement_unit",
-        "count_line_ingredient", "count_line_where", "count_line_unit"]
+REFS = ["part_brand", "part_container", "packed_part", "packed_in", "delivered_part",
+        "delivered_to", "delivered_by", "delivered_in", "returned_part", "returned_from",
+        "returned_to", "returned_in", "counted_part", "counted_at", "counted_in"]
 
-MASTER_SLOTS = ["item_name", "item_base_unit", "item_counted_in", "item_price",
-                "item_reorder_level", "location_name", "unit_name",
-                "conversion_ingredient", "conversion_unit", "conversion_factor"]
+SLOTS = [*REFS, "part_name", "list_price", "floor_stock", "place_name", "container_label",
+         "pieces_each", "delivered_pieces", "returned_pieces", "counted_pieces"]
 
 
 def table(spark, sf_dir, name):
@@ -94,7 +93,11 @@ def _start():
     return F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
 
 
-def _movements(spark, sf_dir):
+def _line_items(spark, sf_dir):
+    """A delivery or a return a line, and the count of a finished one. Each tells of the
+    part, the buyer's nation, the supplier, and pieces in a container named by the flag;
+    lines of 13 pieces do not say where to. Lines at the highest tax are corrected by one
+    piece, and those with neither tax nor discount withdrawn, ten days later."""
     l, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     l = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                  "l_shipdate", "l_returnflag", "l_linestatus", "l_tax", "l_discount")
@@ -104,39 +107,39 @@ def _movements(spark, sf_dir):
                       F.col("l_quantity").cast("int"), F.date_format("l_shipdate", "yyyyMMdd"))
     # Named columns, so that each text is built once a row and not once a cell.
     rows = (rows.withColumn("_key", key)
-            .withColumn("_mov", F.concat(F.lit("mov:"), "_key"))
-            .withColumn("_cnt", F.concat(F.lit("count:"), "_key")))
-    mov, cnt = F.col("_mov"), F.col("_cnt")
+            .withColumn("_line", F.concat(F.lit("line:"), "_key"))
+            .withColumn("_count", F.concat(F.lit("count:"), "_key")))
+    line, count = F.col("_line"), F.col("_count")
     part = F.concat(F.lit("part:"), "l_partkey")
     nation = F.concat(F.lit("nation:"), "c_nationkey")
     supplier = F.concat(F.lit("supplier:"), "l_suppkey")
-    unit = F.concat(F.lit("unit:"), "l_returnflag")
-    back = F.col("l_returnflag") == "R"
-    into = F.when(F.col("l_quantity") != 13, F.when(back, supplier).otherwise(nation))
-    out_of = F.when(back, nation).otherwise(supplier)
-    quantity = F.col("l_quantity").cast("bigint")
+    container = F.concat(F.lit("container:"), "l_returnflag")
+    pieces = F.col("l_quantity").cast("bigint")
+    said = F.col("l_quantity") != 13
+    late = F.col("l_tax") == 0.08
+    dropped = (F.col("l_tax") == 0) & (F.col("l_discount") == 0)
     vf = F.col("l_shipdate")
     ra = vf + F.make_dt_interval(days=F.col("l_linenumber"))
     ra = F.when(F.col("kind") == "base", ra).otherwise(ra + F.make_dt_interval(days=F.lit(10)))
-    cells = [
-        _cell(mov, TYPE_SLOT, F.lit("StockMovement"), "base", 1),
-        _cell(mov, "movement_ingredient", part, "base", 2),
-        _cell(mov, "movement_into", into, "base", 3),
-        _cell(mov, "movement_out_of", out_of, "base", 4),
-        _cell(mov, "movement_quantity", quantity, "base", 5),
-        _cell(mov, "movement_unit", unit, "base", 6),
-        F.when(F.col("l_tax") == 0.08,
-               _cell(mov, "movement_quantity", quantity + 1, "fix", 21)),
-        F.when((F.col("l_tax") == 0) & (F.col("l_discount") == 0),
-               _cell(mov, "movement_quantity", F.lit(None), "drop", 22)),
-    ]
-    counted = F.col("l_linestatus") == "F"
-    cells += [F.when(counted, c) for c in (
-        _cell(cnt, TYPE_SLOT, F.lit("StockCountLine"), "base", 11),
-        _cell(cnt, "count_line_ingredient", part, "base", 12),
-        _cell(cnt, "count_line_where", nation, "base", 13),
-        _cell(cnt, "count_line_quantity", quantity, "base", 14),
-        _cell(cnt, "count_line_unit", unit, "base", 15))]
+
+    def facts(prefix, name, to, frm, frm_slot, to_slot):
+        return [_cell(line, TYPE_SLOT, F.lit(name), "base", 1),
+                _cell(line, f"{prefix}_part", part, "base", 2),
+                _cell(line, f"{prefix}_{to_slot}", F.when(said, to), "base", 3),
+                _cell(line, f"{prefix}_{frm_slot}", frm, "base", 4),
+                _cell(line, f"{prefix}_pieces", pieces, "base", 5),
+                _cell(line, f"{prefix}_in", container, "base", 6),
+                F.when(late, _cell(line, f"{prefix}_pieces", pieces + 1, "fix", 21)),
+                F.when(dropped, _cell(line, f"{prefix}_pieces", F.lit(None), "drop", 22))]
+    back = F.col("l_returnflag") == "R"
+    cells = [F.when(~back, c) for c in facts("delivered", "Delivery", nation, supplier, "by", "to")]
+    cells += [F.when(back, c) for c in facts("returned", "Return", supplier, nation, "from", "to")]
+    cells += [F.when(F.col("l_linestatus") == "F", c) for c in (
+        _cell(count, TYPE_SLOT, F.lit("Inventory"), "base", 11),
+        _cell(count, "counted_part", part, "base", 12),
+        _cell(count, "counted_at", nation, "base", 13),
+        _cell(count, "counted_pieces", pieces, "base", 14),
+        _cell(count, "counted_in", container, "base", 15))]
     return _spread(rows, cells, F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100,
                    vf, ra)
 
@@ -149,28 +152,28 @@ def _parts(spark, sf_dir):
     uri = F.concat(F.lit("part:"), "p_partkey")
     price = F.col("p_retailprice").cast("decimal(18,2)")
     cells = [
-        _cell(uri, TYPE_SLOT, F.when(F.col("p_size") > 10, "Ingredient").otherwise("BoughtItem"),
+        _cell(uri, TYPE_SLOT, F.when(F.col("p_size") > 10, "Part").otherwise("PromoPart"),
               "base", 1),
-        _cell(uri, "item_name", F.col("p_name"), "base", 2),
-        _cell(uri, "item_base_unit", F.lit("unit:base"), "base", 3),
-        _cell(uri, "item_counted_in", F.when(F.col("p_type").isin("SMALL", "MEDIUM"), "unit:A")
-              .otherwise("unit:R"), "base", 4),
-        _cell(uri, "item_price", price, "base", 5),
-        _cell(uri, "item_reorder_level", F.when(F.col("p_size") >= 20, F.col("p_size") * 10),
+        _cell(uri, "part_name", F.col("p_name"), "base", 2),
+        _cell(uri, "part_brand", F.concat(F.lit("brand:"), "p_brand"), "base", 3),
+        _cell(uri, "part_container", F.when(F.col("p_type").isin("SMALL", "MEDIUM"), "container:A")
+              .otherwise("container:R"), "base", 4),
+        _cell(uri, "list_price", price, "base", 5),
+        _cell(uri, "floor_stock", F.when(F.col("p_size") >= 20, F.col("p_size") * 10),
               "base", 6),
         F.when(F.col("p_type") == "ECONOMY",
-               _cell(uri, "item_price", price + F.lit(5), "change", 7)),
+               _cell(uri, "list_price", price + F.lit(5), "change", 7)),
         F.when(F.col("p_type") == "PROMO",
-               _cell(uri, TYPE_SLOT, F.lit("BoughtItem"), "change", 8)),
+               _cell(uri, TYPE_SLOT, F.lit("PromoPart"), "change", 8)),
     ]
     for i, flag in enumerate(("A", "R")):
-        cv = F.concat(F.lit("conv:"), "p_partkey", F.lit(f"-{flag}"))
+        cv = F.concat(F.lit("packing:"), "p_partkey", F.lit(f"-{flag}"))
         cells += [
-            _cell(cv, TYPE_SLOT, F.lit("UnitConversion"), "base", 11 + 10 * i),
-            _cell(cv, "conversion_ingredient", uri, "base", 12 + 10 * i),
-            _cell(cv, "conversion_unit", F.lit(f"unit:{flag}"), "base", 13 + 10 * i),
-            _cell(cv, "conversion_factor", 1 + F.col("p_size") % 5, "base", 14 + 10 * i)]
-    at = (F.when((F.col("kind") == "change") & (F.col("slot") == "item_price"), changed)
+            _cell(cv, TYPE_SLOT, F.lit("Packing"), "base", 11 + 10 * i),
+            _cell(cv, "packed_part", uri, "base", 12 + 10 * i),
+            _cell(cv, "packed_in", F.lit(f"container:{flag}"), "base", 13 + 10 * i),
+            _cell(cv, "pieces_each", 1 + F.col("p_size") % 5, "base", 14 + 10 * i)]
+    at = (F.when((F.col("kind") == "change") & (F.col("slot") == "list_price"), changed)
           .when(F.col("kind") == "change", retyped).otherwise(t0))
     return _spread(p, cells, F.col("p_partkey") * 1000, at, at)
 
@@ -179,24 +182,24 @@ def _places(spark, sf_dir):
     t0 = _start()
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     nu, su = F.concat(F.lit("nation:"), "n_nationkey"), F.concat(F.lit("supplier:"), "s_suppkey")
-    kind = F.when(F.col("n_regionkey") < 3, "InternalLocation").otherwise("Location")
+    kind = F.when(F.col("n_regionkey") < 3, "HomeNation").otherwise("Place")
     nations = _spread(n, [_cell(nu, TYPE_SLOT, kind, "base", 1),
-                          _cell(nu, "location_name", F.col("n_name"), "base", 2)],
+                          _cell(nu, "place_name", F.col("n_name"), "base", 2)],
                       F.col("n_nationkey").cast("bigint") * 1000, t0, t0)
     suppliers = _spread(s, [_cell(su, TYPE_SLOT, F.lit("Supplier"), "base", 1),
-                            _cell(su, "location_name", F.col("s_name"), "base", 2)],
+                            _cell(su, "place_name", F.col("s_name"), "base", 2)],
                         F.col("s_suppkey") * 1000, t0, t0)
     flags = table(spark, sf_dir, "lineitem").select("l_returnflag").distinct()
-    uu = F.concat(F.lit("unit:"), "l_returnflag")
-    units = _spread(flags, [_cell(uu, TYPE_SLOT, F.lit("Unit"), "base", 1),
-                            _cell(uu, "unit_name",
+    uu = F.concat(F.lit("container:"), "l_returnflag")
+    units = _spread(flags, [_cell(uu, TYPE_SLOT, F.lit("Container"), "base", 1),
+                            _cell(uu, "container_label",
                                   F.concat(F.lit("Flag "), "l_returnflag"), "base", 2)],
                     F.ascii("l_returnflag").cast("bigint") * 1000, t0, t0)
     return nations.unionByName(suppliers).unionByName(units)
 
 
 def derive_stock(spark, sf_dir):
-    return (_movements(spark, sf_dir).unionByName(_parts(spark, sf_dir))
+    return (_line_items(spark, sf_dir).unionByName(_parts(spark, sf_dir))
             .unionByName(_places(spark, sf_dir)))
 
 
@@ -218,18 +221,9 @@ def stock_log(spark, sf_dir):
         spark, sf_dir, "stock", lambda path: append_claims(derive_stock(spark, sf_dir), path)))
 
 
-# ---- the same master data under entity ids --------------------------------
-
-def master_claims(spark, sf_dir):
-    """Parts, places, units and conversions, with their class claims."""
-    log = stock_log(spark, sf_dir)
-    of_master = (F.col("slot").isin(MASTER_SLOTS)
-                 | ((F.col("slot") == TYPE_SLOT)
-                    & ~F.col("value").isin("StockMovement", "StockCountLine")))
-    return log.where(of_master)
-
+# ---- the same log under entity ids --------------------------------
 
-def master_assertions(spark, sf_dir):
+def stock_assertions(spark, sf_dir):
     """The assertion table of `derive_assertions`, written once."""
     path = _at_rest(spark, sf_dir, "assertions",
                     lambda path: derive_assertions(spark, sf_dir).write.parquet(path))
@@ -237,9 +231,9 @@ def master_assertions(spark, sf_dir):
 
 
 def derive_assertions(spark, sf_dir):
-    """`master_claims` keyed by entity id, with the registry's own claims. Suppliers
+    """The whole stock log keyed by entity id, with the registry's own claims. Suppliers
     were registered twice; the first registration names them."""
-    c = master_claims(spark, sf_dir)
+    c = stock_log(spark, sf_dir)
     ref = F.col("slot").isin(REFS)
     facts = c.select(
         "id", "seq", F.md5("subject").alias("subject_id"), F.md5("slot").alias("predicate_id"),

@@ -41,12 +41,12 @@ _STOCK = f"""
 mv AS (
   SELECT l.*, c_nationkey, l_shipdate AS vf, l_shipdate + to_days(l_linenumber) AS ra,
          l_orderkey * 1000 + l_linenumber * 100 AS base,
-         'mov:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
-           || '-' || CAST(l_quantity AS INTEGER) || '-' || strftime(l_shipdate, '%Y%m%d') AS mov,
+         'line:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
+           || '-' || CAST(l_quantity AS INTEGER) || '-' || strftime(l_shipdate, '%Y%m%d') AS line,
          'count:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
            || '-' || CAST(l_quantity AS INTEGER) || '-' || strftime(l_shipdate, '%Y%m%d') AS cnt,
          'part:' || l_partkey AS part, 'nation:' || c_nationkey AS nation,
-         'supplier:' || l_suppkey AS supp, 'unit:' || l_returnflag AS unit,
+         'supplier:' || l_suppkey AS supp, 'container:' || l_returnflag AS held,
          CAST(l_quantity AS BIGINT) AS qty
   FROM lineitem l JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey),
@@ -56,75 +56,71 @@ na AS (SELECT *, 'nation:' || n_nationkey AS uri, CAST(n_nationkey AS BIGINT) *
               {_T0} AS vf, {_T0} AS ra FROM nation),
 su AS (SELECT *, 'supplier:' || s_suppkey AS uri, s_suppkey * 1000 AS base,
               {_T0} AS vf, {_T0} AS ra FROM supplier),
-un AS (SELECT DISTINCT 'unit:' || l_returnflag AS uri, 'Flag ' || l_returnflag AS name,
+un AS (SELECT DISTINCT 'container:' || l_returnflag AS uri, 'Flag ' || l_returnflag AS name,
               CAST(ascii(l_returnflag) AS BIGINT) * 1000 AS base, {_T0} AS vf, {_T0} AS ra
        FROM lineitem),
 st AS (
 """ + "\nUNION ALL\n".join([
-    _claim("mv", "mov", "entity_class", "'StockMovement'", 1),
-    _claim("mv", "mov", "movement_ingredient", "part", 2),
-    _claim("mv", "mov", "movement_into",
-           "CASE WHEN l_quantity = 13 THEN NULL WHEN l_returnflag = 'R' THEN supp ELSE nation END",
-           3),
-    _claim("mv", "mov", "movement_out_of",
-           "CASE WHEN l_returnflag = 'R' THEN nation ELSE supp END", 4),
-    _claim("mv", "mov", "movement_quantity", "qty", 5),
-    _claim("mv", "mov", "movement_unit", "unit", 6),
-    _claim("mv", "mov", "movement_quantity", "qty + 1", 21, "'fix'", ra=_DAY10,
-           where="l_tax = 0.08", revokes="base"),
-    _claim("mv", "mov", "movement_quantity", "NULL", 22, "'drop'", ra=_DAY10,
-           where="l_tax = 0 AND l_discount = 0", revokes="base"),
-    _claim("mv", "cnt", "entity_class", "'StockCountLine'", 11, where="l_linestatus = 'F'"),
-    _claim("mv", "cnt", "count_line_ingredient", "part", 12, where="l_linestatus = 'F'"),
-    _claim("mv", "cnt", "count_line_where", "nation", 13, where="l_linestatus = 'F'"),
-    _claim("mv", "cnt", "count_line_quantity", "qty", 14, where="l_linestatus = 'F'"),
-    _claim("mv", "cnt", "count_line_unit", "unit", 15, where="l_linestatus = 'F'"),
-    _claim("pt", "uri", "entity_class",
-           "CASE WHEN p_size > 10 THEN 'Ingredient' ELSE 'BoughtItem' END", 1),
-    _claim("pt", "uri", "item_name", "p_name", 2),
-    _claim("pt", "uri", "item_base_unit", "'unit:base'", 3),
-    _claim("pt", "uri", "item_counted_in",
-           "CASE WHEN p_type IN ('SMALL','MEDIUM') THEN 'unit:A' ELSE 'unit:R' END", 4),
-    _claim("pt", "uri", "item_price", "price", 5),
-    _claim("pt", "uri", "item_reorder_level", "CASE WHEN p_size >= 20 THEN p_size * 10 END", 6),
-    _claim("pt", "uri", "item_price", "price + 5", 7, "'change'",
+    *[_claim("mv", "line", slot, value, n, kind, ra=ra, revokes=revokes,
+             where=f"(l_returnflag = 'R') = {back} AND {cond}")
+      for back, name, prefix, to, by in [("FALSE", "Delivery", "delivered", ("to", "nation"), ("by", "supp")),
+                                         ("TRUE", "Return", "returned", ("to", "supp"), ("from", "nation"))]
+      for slot, value, n, kind, ra, revokes, cond in [
+          ("kind_of_thing", f"'{name}'", 1, "'base'", "ra", "NULL", "TRUE"),
+          (f"{prefix}_part", "part", 2, "'base'", "ra", "NULL", "TRUE"),
+          (f"{prefix}_{to[0]}", to[1], 3, "'base'", "ra", "NULL", "l_quantity <> 13"),
+          (f"{prefix}_{by[0]}", by[1], 4, "'base'", "ra", "NULL", "TRUE"),
+          (f"{prefix}_pieces", "qty", 5, "'base'", "ra", "NULL", "TRUE"),
+          (f"{prefix}_in", "held", 6, "'base'", "ra", "NULL", "TRUE"),
+          (f"{prefix}_pieces", "qty + 1", 21, "'fix'", _DAY10, "base", "l_tax = 0.08"),
+          (f"{prefix}_pieces", "NULL", 22, "'drop'", _DAY10, "base",
+           "l_tax = 0 AND l_discount = 0")]],
+    _claim("mv", "cnt", "kind_of_thing", "'Inventory'", 11, where="l_linestatus = 'F'"),
+    _claim("mv", "cnt", "counted_part", "part", 12, where="l_linestatus = 'F'"),
+    _claim("mv", "cnt", "counted_at", "nation", 13, where="l_linestatus = 'F'"),
+    _claim("mv", "cnt", "counted_pieces", "qty", 14, where="l_linestatus = 'F'"),
+    _claim("mv", "cnt", "counted_in", "held", 15, where="l_linestatus = 'F'"),
+    _claim("pt", "uri", "kind_of_thing",
+           "CASE WHEN p_size > 10 THEN 'Part' ELSE 'PromoPart' END", 1),
+    _claim("pt", "uri", "part_name", "p_name", 2),
+    _claim("pt", "uri", "part_brand", "'brand:' || p_brand", 3),
+    _claim("pt", "uri", "part_container",
+           "CASE WHEN p_type IN ('SMALL','MEDIUM') THEN 'container:A' ELSE 'container:R' END", 4),
+    _claim("pt", "uri", "list_price", "price", 5),
+    _claim("pt", "uri", "floor_stock", "CASE WHEN p_size >= 20 THEN p_size * 10 END", 6),
+    _claim("pt", "uri", "list_price", "price + 5", 7, "'change'",
            vf="TIMESTAMP '1999-06-08 00:00:00'", ra="TIMESTAMP '1999-06-08 00:00:00'",
            where="p_type = 'ECONOMY'"),
-    _claim("pt", "uri", "entity_class", "'BoughtItem'", 8, "'change'",
+    _claim("pt", "uri", "kind_of_thing", "'PromoPart'", 8, "'change'",
            vf="TIMESTAMP '1997-01-01 00:00:00'", ra="TIMESTAMP '1997-01-01 00:00:00'",
            where="p_type = 'PROMO'"),
-    *[_claim("pt", f"('conv:' || p_partkey || '-{flag}')", slot, value, n + 10 * i)
+    *[_claim("pt", f"('packing:' || p_partkey || '-{flag}')", slot, value, n + 10 * i)
       for i, flag in enumerate("AR")
-      for n, slot, value in [(11, "entity_class", "'UnitConversion'"),
-                             (12, "conversion_ingredient", "uri"),
-                             (13, "conversion_unit", f"'unit:{flag}'"),
-                             (14, "conversion_factor", "1 + p_size % 5")]],
-    _claim("na", "uri", "entity_class",
-           "CASE WHEN n_regionkey < 3 THEN 'InternalLocation' ELSE 'Location' END", 1),
-    _claim("na", "uri", "location_name", "n_name", 2),
-    _claim("su", "uri", "entity_class", "'Supplier'", 1),
-    _claim("su", "uri", "location_name", "s_name", 2),
-    _claim("un", "uri", "entity_class", "'Unit'", 1),
-    _claim("un", "uri", "unit_name", "name", 2),
+      for n, slot, value in [(11, "kind_of_thing", "'Packing'"),
+                             (12, "packed_part", "uri"),
+                             (13, "packed_in", f"'container:{flag}'"),
+                             (14, "pieces_each", "1 + p_size % 5")]],
+    _claim("na", "uri", "kind_of_thing",
+           "CASE WHEN n_regionkey < 3 THEN 'HomeNation' ELSE 'Place' END", 1),
+    _claim("na", "uri", "place_name", "n_name", 2),
+    _claim("su", "uri", "kind_of_thing", "'Supplier'", 1),
+    _claim("su", "uri", "place_name", "s_name", 2),
+    _claim("un", "uri", "kind_of_thing", "'Container'", 1),
+    _claim("un", "uri", "container_label", "name", 2),
 ]) + ")"
 
-_REFS = ("'item_base_unit','item_counted_in','conversion_ingredient','conversion_unit',"
-         "'movement_ingredient','movement_into','movement_out_of','movement_unit',"
-         "'count_line_ingredient','count_line_where','count_line_unit'")
-_MASTER_SLOTS = ("'item_name','item_base_unit','item_counted_in','item_price',"
-                 "'item_reorder_level','location_name','unit_name','conversion_ingredient',"
-                 "'conversion_unit','conversion_factor'")
-
-_MASTER = f"""
-ms AS (SELECT * FROM st WHERE slot IN ({_MASTER_SLOTS})
-       OR (slot = 'entity_class' AND value NOT IN ('StockMovement','StockCountLine'))),
-uris AS (SELECT subject AS uri FROM ms UNION SELECT value FROM ms WHERE slot IN ({_REFS})
-         UNION SELECT slot FROM ms UNION SELECT 'sys:uri'),
+_REFS = ("'part_brand','part_container','packed_part','packed_in','delivered_part','delivered_to',"
+         "'delivered_by','delivered_in','returned_part','returned_from','returned_to',"
+         "'returned_in','counted_part','counted_at','counted_in'")
+
+_REGISTERED = f"""
+uris AS (SELECT subject AS uri FROM st UNION SELECT value FROM st WHERE slot IN ({_REFS})
+         UNION SELECT slot FROM st UNION SELECT 'sys:uri'),
 asr AS (
   SELECT id, seq + 1000 AS seq, md5(subject) AS subject_id, md5(slot) AS predicate_id,
          CASE WHEN slot NOT IN ({_REFS}) THEN value END AS value_literal,
          CASE WHEN slot IN ({_REFS}) THEN md5(value) END AS value_ref,
-         valid_from, recorded_at, revokes FROM ms
+         valid_from, recorded_at, revokes FROM st
   UNION ALL
   SELECT md5(uri || '|registered'), 1, md5(uri), md5('sys:uri'), uri, NULL, {_T0}, {_T0}, NULL
   FROM uris
@@ -162,18 +158,18 @@ _GRID = [("2024-01-10 00:00:00", "2024-01-12 00:00:00"), EV,
          (EV[0], "2024-02-03 00:00:00"), ("2024-02-01 00:00:00", "2024-02-05 00:00:00")]
 
 _WIDE_SLOTS = {
-    "mvw": ["movement_ingredient", "movement_into", "movement_out_of", "movement_quantity",
-            "movement_unit"],
-    "cnw": ["count_line_ingredient", "count_line_where", "count_line_quantity",
-            "count_line_unit"],
-    "cvw": ["conversion_ingredient", "conversion_unit", "conversion_factor"],
-    "ing": ["item_name", "item_base_unit", "item_counted_in", "item_price",
-            "item_reorder_level"],
-    "loc": ["location_name"], "unt": ["unit_name"],
+    "dlw": ["delivered_part", "delivered_to", "delivered_pieces", "delivered_in"],
+    "rtw": ["returned_part", "returned_from", "returned_to", "returned_pieces", "returned_in"],
+    "cnw": ["counted_part", "counted_at", "counted_pieces",
+            "counted_in"],
+    "cvw": ["packed_part", "packed_in", "pieces_each"],
+    "ing": ["part_name", "part_brand", "part_container", "list_price",
+            "floor_stock"],
+    "loc": ["place_name"], "unt": ["container_label"],
 }
-_CLASSES = {"mvw": "'StockMovement'", "cnw": "'StockCountLine'", "cvw": "'UnitConversion'",
-            "ing": "'Ingredient','BoughtItem'",
-            "loc": "'Location','InternalLocation','Supplier'", "unt": "'Unit'"}
+_CLASSES = {"dlw": "'Delivery'", "rtw": "'Return'", "cnw": "'Inventory'", "cvw": "'Packing'",
+            "ing": "'Part','PromoPart'",
+            "loc": "'Place','HomeNation','Supplier'", "unt": "'Container'"}
 
 
 def _wide(name, sd="sd"):
@@ -183,98 +179,91 @@ def _wide(name, sd="sd"):
     joins = " ".join(f"LEFT JOIN {sd} {s} ON {s}.subject = r.subject AND {s}.slot = '{s}'"
                      for s in slots)
     return f"""
-{name} AS (SELECT r.subject, r.value AS entity_class, {selects} FROM {sd} r {joins}
-  WHERE r.slot = 'entity_class' AND r.value IN ({_CLASSES[name]}))"""
+{name} AS (SELECT r.subject, r.value AS kind_of_thing, {selects} FROM {sd} r {joins}
+  WHERE r.slot = 'kind_of_thing' AND r.value IN ({_CLASSES[name]}))"""
 
 
 def _total(name, src, ing, place, qty, unit, scoped=True, third=None, converted=True):
     scope = f"""
-  JOIN sd wp ON wp.subject = r.{place} AND wp.slot = 'entity_class'
-       AND wp.value = 'InternalLocation'
-  JOIN sd wi ON wi.subject = r.{ing} AND wi.slot = 'entity_class'
-       AND wi.value IN ('Ingredient','BoughtItem')""" if scoped else ""
+  JOIN sd wp ON wp.subject = r.{place} AND wp.slot = 'kind_of_thing'
+       AND wp.value = 'HomeNation'
+  JOIN sd wi ON wi.subject = r.{ing} AND wi.slot = 'kind_of_thing'
+       AND wi.value IN ('Part','PromoPart')""" if scoped else ""
     conv = f"""
-  LEFT JOIN cvw cv ON cv.conversion_ingredient = r.{ing} AND cv.conversion_unit = r.{unit}
-       AND cv.conversion_factor IS NOT NULL""" if converted else ""
-    factor = "coalesce(CAST(cv.conversion_factor AS DECIMAL(12,6)), 1)" if converted else "1"
-    extra = f", r.{third} AS unit" if third else ""
+  LEFT JOIN cvw cv ON cv.packed_part = r.{ing} AND cv.packed_in = r.{unit}
+       AND cv.pieces_each IS NOT NULL""" if converted else ""
+    factor = "coalesce(CAST(cv.pieces_each AS DECIMAL(12,6)), 1)" if converted else "1"
+    extra = f", r.{third} AS container" if third else ""
     return f"""
-{name} AS (SELECT r.{ing} AS ingredient, r.{place} AS place{extra},
+{name} AS (SELECT r.{ing} AS part, r.{place} AS place{extra},
     sum(CAST(r.{qty} AS DECIMAL(18,6)) * {factor}) AS q, count(r.{qty}) AS n
   FROM {src} r {scope} {conv} GROUP BY ALL)"""
 
 
+_DELIVERED = ("dlw", "delivered_part", "delivered_to", "delivered_pieces", "delivered_in")
+_SENT_BACK = ("rtw", "returned_part", "returned_from", "returned_pieces", "returned_in")
+_TAKEN_BACK = ("rtw", "returned_part", "returned_to", "returned_pieces", "returned_in")
+_COUNTED = ("cnw", "counted_part", "counted_at", "counted_pieces", "counted_in")
+
+
 def _recon_ctes(clocks):
-    return [_EVENTS, _STOCK, _standing("sd", "st", clocks), _wide("mvw"), _wide("cnw"),
-            _wide("cvw"),
-            _total("tin", "mvw", "movement_ingredient", "movement_into", "movement_quantity",
-                   "movement_unit"),
-            _total("tout", "mvw", "movement_ingredient", "movement_out_of",
-                   "movement_quantity", "movement_unit"),
-            _total("tcnt", "cnw", "count_line_ingredient", "count_line_where",
-                   "count_line_quantity", "count_line_unit"),
-            """
-grp AS (SELECT ingredient, place FROM tin UNION SELECT ingredient, place FROM tout
-        UNION SELECT ingredient, place FROM tcnt),
-rec0 AS (
-  SELECT g.ingredient, g.place, u.value AS unit, CAST(p.value AS DECIMAL(18,6)) AS price,
-         CAST(o.value AS DECIMAL(18,6)) AS reorder_level,
-         coalesce(tin.q, 0) AS arrived, coalesce(tout.q, 0) AS departed,
-         coalesce(tcnt.q, 0) AS counted
-  FROM grp g
-  LEFT JOIN tin ON tin.ingredient IS NOT DISTINCT FROM g.ingredient
-       AND tin.place IS NOT DISTINCT FROM g.place
-  LEFT JOIN tout ON tout.ingredient IS NOT DISTINCT FROM g.ingredient
-       AND tout.place IS NOT DISTINCT FROM g.place
-  LEFT JOIN tcnt ON tcnt.ingredient IS NOT DISTINCT FROM g.ingredient
-       AND tcnt.place IS NOT DISTINCT FROM g.place
-  LEFT JOIN sd u ON u.subject = g.ingredient AND u.slot = 'item_base_unit'
-  LEFT JOIN sd p ON p.subject = g.ingredient AND p.slot = 'item_price'
-  LEFT JOIN sd o ON o.subject = g.ingredient AND o.slot = 'item_reorder_level'),
+    """Each total with the others' columns at 0, all under one another, then added up."""
+    return [_EVENTS, _STOCK, _standing("sd", "st", clocks), _wide("dlw"), _wide("rtw"),
+            _wide("cnw"), _wide("cvw"), _total("tin", *_DELIVERED), _total("tout", *_SENT_BACK),
+            _total("tcnt", *_COUNTED), """
+stacked AS (SELECT part, place, coalesce(q, 0) AS delivered, 0 AS sent_back, 0 AS counted FROM tin
+            UNION ALL SELECT part, place, 0, coalesce(q, 0), 0 FROM tout
+            UNION ALL SELECT part, place, 0, 0, coalesce(q, 0) FROM tcnt),
+added AS (SELECT part, place, sum(delivered) AS delivered, sum(sent_back) AS sent_back,
+                 sum(counted) AS counted FROM stacked GROUP BY part, place),
+facts AS (SELECT subject, max(value) FILTER (slot = 'part_brand') AS brand,
+                 CAST(max(value) FILTER (slot = 'list_price') AS DOUBLE) AS list_price,
+                 CAST(max(value) FILTER (slot = 'floor_stock') AS DOUBLE) AS floor_stock
+          FROM sd GROUP BY subject),
 rec AS (
-  SELECT ingredient, place, unit, CAST(price AS DOUBLE) AS price,
-         CAST(reorder_level AS DOUBLE) AS reorder_level, CAST(arrived AS DOUBLE) AS arrived,
-         CAST(departed AS DOUBLE) AS departed, CAST(arrived - departed AS DOUBLE) AS expected,
-         CAST(counted AS DOUBLE) AS counted, CAST(counted AS DOUBLE) * price AS stock_value,
-         CAST(counted - (arrived - departed) AS DOUBLE) AS variance,
-         CAST(counted - (arrived - departed) AS DOUBLE) * price AS variance_value
-  FROM rec0)"""]
+  SELECT part, place, brand, list_price, floor_stock, CAST(delivered AS DOUBLE) AS delivered,
+         CAST(sent_back AS DOUBLE) AS sent_back, CAST(counted AS DOUBLE) AS counted,
+         CAST(delivered - sent_back AS DOUBLE) AS remaining,
+         CAST(counted AS DOUBLE) * list_price AS counted_value,
+         CAST(counted - delivered + sent_back AS DOUBLE) AS gap,
+         CAST(counted - delivered + sent_back AS DOUBLE) * list_price AS gap_value
+  FROM added LEFT JOIN facts ON subject = part)"""]
 
 
 def _round(*columns, digits=2):
     return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in columns)
 
 
-_REC_SELECT = "SELECT ingredient, place, unit, " + _round(
-    "price", "reorder_level", "arrived", "departed", "expected", "counted", "stock_value",
-    "variance", "variance_value") + " FROM rec"
+_REC_SELECT = "SELECT part, place, brand, " + _round(
+    "list_price", "floor_stock", "delivered", "sent_back", "remaining", "counted",
+    "counted_value", "gap", "gap_value") + " FROM rec"
 
 _META = """
-meta AS (SELECT i.subject AS entity_uri, i.item_name, i.item_counted_in,
-    CAST(i.item_reorder_level AS DOUBLE) AS item_reorder_level,
-    CAST(i.item_price AS DOUBLE) AS item_price,
-    CAST(coalesce(CAST(c.conversion_factor AS DOUBLE), 1) AS DOUBLE) AS factor, u.unit_name
-  FROM ing i LEFT JOIN unt u ON u.subject = i.item_counted_in
-  LEFT JOIN cvw c ON c.conversion_ingredient = i.subject
-       AND c.conversion_unit = i.item_counted_in)"""
+meta AS (SELECT i.subject AS entity_uri, i.part_name, i.part_container,
+    CAST(i.floor_stock AS DOUBLE) AS floor_stock,
+    CAST(i.list_price AS DOUBLE) AS list_price,
+    CAST(coalesce(CAST(c.pieces_each AS DOUBLE), 1) AS DOUBLE) AS factor, u.container_label
+  FROM ing i LEFT JOIN unt u ON u.subject = i.part_container
+  LEFT JOIN cvw c ON c.packed_part = i.subject
+       AND c.packed_in = i.part_container)"""
 
 _ITEMS = """
 items AS (
-  SELECT r.ingredient, r.place, coalesce(m.item_name, r.ingredient) AS name,
-         coalesce(l.location_name, r.place) AS location,
-         CASE WHEN m.entity_uri IS NULL THEN 'kg' ELSE coalesce(m.unit_name, 'units') END
+  SELECT r.part, r.place, coalesce(m.part_name, r.part) AS name,
+         coalesce(l.place_name, r.place) AS location,
+         coalesce(m.container_label, 'pieces')
            AS pack_unit,
          coalesce(m.factor, 1.0) AS pack_factor,
-         m.item_reorder_level * coalesce(m.factor, 1.0) AS reorder_base,
-         coalesce(r.price, 0) AS price, r.expected, r.counted, r.variance,
+         m.floor_stock * coalesce(m.factor, 1.0) AS reorder_base,
+         coalesce(r.list_price, 0) AS list_price, r.remaining, r.counted, r.gap,
          round(r.counted / coalesce(m.factor, 1.0), 1) AS counted_packs,
-         coalesce(r.stock_value, 0) AS stock_value,
-         coalesce(r.variance_value, 0) AS variance_value,
-         coalesce(r.variance_value, 0) <= -50 AS is_anomaly,
-         coalesce(r.counted < m.item_reorder_level * coalesce(m.factor, 1.0)
-                  AND r.expected > 0, FALSE) AS is_reorder
-  FROM rec r LEFT JOIN meta m ON m.entity_uri = r.ingredient
-  LEFT JOIN loc l ON l.subject = r.place AND l.entity_class = 'InternalLocation')"""
+         coalesce(r.counted_value, 0) AS counted_value,
+         coalesce(r.gap_value, 0) AS gap_value,
+         coalesce(r.gap_value, 0) <= -50 AS is_anomaly,
+         coalesce(r.counted < m.floor_stock * coalesce(m.factor, 1.0)
+                  AND r.remaining > 0, FALSE) AS is_reorder
+  FROM rec r LEFT JOIN meta m ON m.entity_uri = r.part
+  LEFT JOIN loc l ON l.subject = r.place AND l.kind_of_thing = 'HomeNation')"""
 
 
 def _items(select):
@@ -298,16 +287,18 @@ LEFT JOIN ev rb ON rb.revokes = e.id
 WHERE {where} ORDER BY e.seq DESC LIMIT {k} OFFSET {offset}"""
 
 
-_STATED = [_STOCK, _MASTER, _standing("sa", "asr", ST, keys="subject_id, predicate_id",
+_STATED = [_STOCK, _REGISTERED, _standing("sa", "asr", ST, keys="subject_id, predicate_id",
                                       value="(value_literal IS NULL) <> (value_ref IS NULL)"),
            """
 reg AS (SELECT subject_id AS entity_id, arg_min(value_literal, seq) AS uri FROM asr
         WHERE predicate_id = md5('sys:uri') GROUP BY 1),
-sdk AS (SELECT s.subject_id, e.uri AS subject, p.uri AS slot,
-               coalesce(o.uri, s.value_literal) AS value
-        FROM sa s JOIN reg p ON p.entity_id = s.predicate_id
-        LEFT JOIN reg e ON e.entity_id = s.subject_id
-        LEFT JOIN reg o ON o.entity_id = s.value_ref)"""]
+spelt AS (
+  SELECT subject_id, (SELECT uri FROM reg WHERE entity_id = sa.subject_id) AS subject,
+         (SELECT uri FROM reg WHERE entity_id = sa.predicate_id) AS slot,
+         CASE WHEN value_ref IS NULL THEN value_literal
+              ELSE (SELECT uri FROM reg WHERE entity_id = sa.value_ref) END AS value
+  FROM sa),
+named_facts AS (SELECT * FROM spelt WHERE slot IS NOT NULL)"""]
 
 _LIVE = """
 gone AS (SELECT DISTINCT revokes AS id FROM st WHERE revokes IS NOT NULL),
@@ -321,29 +312,23 @@ def _live_pivot(name, slots):
 {name} AS (SELECT subject, {cells} FROM live WHERE slot IN ({names}) GROUP BY 1)"""
 
 
-_MOVED = ["movement_ingredient", "movement_unit", "movement_into", "movement_out_of",
-          "movement_quantity"]
-_BALANCE = _with(_STOCK, _LIVE, _live_pivot("m", _MOVED),
-                 _live_pivot("cv", ["conversion_ingredient", "conversion_unit",
-                                    "conversion_factor"]), """
-pl AS (SELECT DISTINCT subject AS place FROM live
-       WHERE slot = 'entity_class' AND value = 'InternalLocation'),
-ins AS (SELECT movement_ingredient AS ingredient, movement_into AS place,
-          sum(CAST(movement_quantity AS DECIMAL(18,2))
-              * coalesce(CAST(conversion_factor AS DECIMAL(12,2)), 1)) AS q
-        FROM m LEFT JOIN cv ON conversion_ingredient = movement_ingredient
-             AND conversion_unit = movement_unit
-        WHERE movement_into IN (SELECT place FROM pl) GROUP BY ALL),
-outs AS (SELECT movement_ingredient AS ingredient, movement_out_of AS place,
-          sum(CAST(movement_quantity AS DECIMAL(18,2))
-              * coalesce(CAST(conversion_factor AS DECIMAL(12,2)), 1)) AS q
-        FROM m LEFT JOIN cv ON conversion_ingredient = movement_ingredient
-             AND conversion_unit = movement_unit
-        WHERE movement_out_of IN (SELECT place FROM pl) GROUP BY ALL)""") + """
-SELECT coalesce(i.ingredient, o.ingredient) AS ingredient, coalesce(i.place, o.place) AS place,
-       round(CAST(coalesce(i.q, 0) - coalesce(o.q, 0) AS DOUBLE), 2) AS expected
-FROM ins i FULL OUTER JOIN outs o ON o.ingredient = i.ingredient AND o.place = i.place
-WHERE coalesce(i.q, 0) - coalesce(o.q, 0) > 0"""
+_BALANCE = _with(_STOCK, _LIVE,
+                 _live_pivot("dl", ["delivered_part", "delivered_to", "delivered_in",
+                                    "delivered_pieces"]),
+                 _live_pivot("rt", ["returned_part", "returned_from", "returned_in",
+                                    "returned_pieces"]),
+                 _live_pivot("pk", ["packed_part", "packed_in", "pieces_each"]), """
+lines AS (
+  SELECT delivered_part AS part, delivered_to AS place, delivered_in AS held,
+         CAST(delivered_pieces AS DECIMAL(18,2)) AS n FROM dl
+  UNION ALL
+  SELECT returned_part, returned_from, returned_in, -CAST(returned_pieces AS DECIMAL(18,2)) FROM rt)
+""") + """
+SELECT part, place,
+       round(CAST(sum(n * coalesce(CAST(pieces_each AS DECIMAL(12,2)), 1)) AS DOUBLE), 2) AS remaining
+FROM lines LEFT JOIN pk ON (packed_part, packed_in) = (part, held)
+WHERE place IN (SELECT subject FROM live WHERE slot = 'kind_of_thing' AND value = 'HomeNation')
+GROUP BY part, place HAVING sum(n * coalesce(CAST(pieces_each AS DECIMAL(12,2)), 1)) > 0"""
 
 _SPACE = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
           r"\x{205f}\x{3000}")
@@ -454,17 +439,17 @@ SELECT coalesce(a.label, '<' || s.subject_id || '>') AS subject,
 FROM sa s LEFT JOIN lab a ON a.subject_id = s.subject_id
 LEFT JOIN lab b ON b.subject_id = s.predicate_id LEFT JOIN lab c ON c.subject_id = s.value_ref"""
     out["registry"] = _with(*_STATED) + "SELECT entity_id, uri FROM reg"
-    out["stated"] = _with(*_STATED) + "SELECT subject_id, subject, slot, value FROM sdk"
+    out["stated"] = _with(*_STATED) + "SELECT subject_id, subject, slot, value FROM named_facts"
     out["stated_slots"] = out["stated"] + \
-        " WHERE slot IN ('item_price', 'conversion_ingredient')"
+        " WHERE slot IN ('list_price', 'packed_part')"
     out["latest_class"] = _with(_STOCK) + """
 SELECT subject, arg_max(value, seq) AS class FROM st
-WHERE slot = 'entity_class' AND revokes IS NULL GROUP BY 1"""
+WHERE slot = 'kind_of_thing' AND revokes IS NULL GROUP BY 1"""
     out["version_asof"] = _version_case()
     out["ever_typed"] = _with(_STOCK, _standing("s", "st", ST)) + \
-        "SELECT subject FROM s WHERE slot = 'entity_class' AND value = 'BoughtItem'"
+        "SELECT subject FROM s WHERE slot = 'kind_of_thing' AND value = 'PromoPart'"
     out["class_members"] = _with(_STOCK, _standing("s", "st", ST)) + """
-SELECT subject FROM s WHERE slot = 'entity_class' AND value IN ('Ingredient', 'BoughtItem')"""
+SELECT subject FROM s WHERE slot = 'kind_of_thing' AND value IN ('Part', 'PromoPart')"""
 
     # ---- ingest
     order_cells = [("'order_customer'", "NULL", "'customer:' || o_custkey", "TRUE"),
@@ -474,13 +459,13 @@ SELECT subject FROM s WHERE slot = 'entity_class' AND value IN ('Ingredient', 'B
                    ("'order_total'",
                     "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)", "NULL",
                     "o_totalprice IS NOT NULL"),
-                   ("'entity_class'", "'Order'", "NULL", "TRUE")]
+                   ("'kind_of_thing'", "'Order'", "NULL", "TRUE")]
     out["melt_claims"] = " UNION ALL ".join(
         f"SELECT 'order:' || o_orderkey AS subject, o_orderdate AS valid_from, {slot} AS slot, "
         f"CAST({lit} AS VARCHAR) AS value_literal, CAST({ref} AS VARCHAR) AS value_ref "
         f"FROM orders WHERE {cond}" for slot, lit, ref, cond in order_cells)
     out["corrections"] = _with(_STOCK, _standing("s", "st", ST)) + """,
-f AS (SELECT 'part:' || p_partkey AS subject, 'item_price' AS slot,
+f AS (SELECT 'part:' || p_partkey AS subject, 'list_price' AS slot,
              CASE WHEN p_type = 'SMALL' THEN
                CAST(CAST(p_retailprice AS DECIMAL(18,2)) + 1 AS VARCHAR) END AS value
       FROM part WHERE p_type IN ('SMALL', 'LARGE'))
@@ -488,7 +473,7 @@ SELECT f.subject, f.slot, f.value, s.id AS revokes,
        md5(s.id || '|' || coalesce(f.value, '') || '|correction') AS id
 FROM f JOIN s ON s.subject = f.subject AND s.slot = f.slot"""
     out["correction_rejects"] = """
-SELECT 'supplier:' || s_suppkey AS subject, 'item_price' AS slot, '1' AS value FROM supplier"""
+SELECT 'supplier:' || s_suppkey AS subject, 'list_price' AS slot, '1' AS value FROM supplier"""
     fixes = """
 WITH f AS (SELECT CAST(event_id AS VARCHAR) AS claim_id, value AS v, ts FROM events
            WHERE event_type = 'error'
@@ -523,19 +508,20 @@ chk AS (SELECT id, CASE
     WHEN k < 10 THEN 'confidence_levels'
     WHEN k = 99 THEN 'source_known' END AS error FROM raw)
 SELECT id, error FROM chk WHERE error IS NOT NULL"""
-    out["fk_gate"] = _with(_STOCK, _MASTER) + """,
+    out["fk_gate"] = _with(_STOCK, _REGISTERED) + """,
 fa AS (SELECT * FROM asr WHERE predicate_id <> md5('sys:uri')),
 ent AS (SELECT subject_id AS id FROM fa UNION SELECT predicate_id FROM fa)
 SELECT 'value_ref' AS reference, id AS claim, value_ref AS missing FROM fa
 WHERE value_ref IS NOT NULL AND value_ref NOT IN (SELECT id FROM ent)
 UNION ALL
 SELECT 'intent_id', id, md5('intent|' || subject_id) FROM fa
-WHERE subject_id IN (SELECT md5(subject) FROM ms WHERE subject LIKE 'supplier:%')"""
-    out["fact_validation"] = _with(_STOCK, _MASTER) + f"""
-SELECT slot AS predicate, CASE WHEN slot <> 'unit_name' THEN slot IN ({_REFS}) END AS is_ref,
-       CASE WHEN slot = 'item_price' AND TRY_CAST(value AS DOUBLE) > 950 THEN 'bad_confidence'
-            WHEN slot = 'unit_name' THEN 'unknown_predicate' END AS error, count(*) AS facts
-FROM ms GROUP BY ALL"""
+WHERE subject_id IN (SELECT md5(subject) FROM st WHERE subject LIKE 'supplier:%')"""
+    out["fact_validation"] = _with(_STOCK, _REGISTERED) + f"""
+SELECT slot AS predicate, CASE WHEN slot <> 'container_label' THEN slot IN ({_REFS}) END AS is_ref,
+       CASE WHEN slot = 'list_price' AND TRY_CAST(value AS DOUBLE) > 950 THEN 'bad_confidence'
+            WHEN slot = 'container_label' THEN 'unknown_predicate'
+            WHEN value IS NULL THEN 'no_value' END AS error, count(*) AS facts
+FROM st GROUP BY ALL"""
     out["append_only_proof"] = _with(_EVENTS) + f"""
 SELECT 'append_only' AS "check", count(*) AS counted,
        CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM ev c WHERE c.id = p.id) THEN 0 ELSE 1 END)
@@ -547,7 +533,7 @@ FROM events"""
     out["append_batch"] = """
 WITH b AS (SELECT *, 500 + row_number() OVER (ORDER BY s_suppkey) AS seq FROM supplier)
 SELECT md5('act:suppliers|' || s_suppkey) AS id, seq, md5('supplier:' || s_suppkey) AS subject_id,
-       md5('location_name') AS predicate_id, s_name AS value_literal,
+       md5('place_name') AS predicate_id, s_name AS value_literal,
        CAST(NULL AS VARCHAR) AS value_ref, TIMESTAMP '1995-01-01 09:00:00' AS valid_from,
        TIMESTAMP '1995-01-02 09:00:00' AS recorded_at, CAST(NULL AS VARCHAR) AS revokes,
        'act:suppliers' AS intent_id, 'imported' AS source, CAST(NULL AS VARCHAR) AS confidence,
@@ -555,83 +541,75 @@ SELECT md5('act:suppliers|' || s_suppkey) AS id, seq, md5('supplier:' || s_suppk
        CAST(NULL AS VARCHAR) AS subject_key_id FROM b"""
 
     # ---- derived tables
-    price = _round("item_price", "item_reorder_level")
+    price = _round("list_price", "floor_stock")
     out["entities_part"] = _entities(
-        "ing", f"entity_class, item_name, item_base_unit, item_counted_in, {price}")
-    out["entities_location"] = _entities("loc", "entity_class, location_name")
+        "ing", f"kind_of_thing, part_name, part_brand, part_container, {price}")
+    out["entities_location"] = _entities("loc", "kind_of_thing, place_name")
     out["entities_from_stated"] = out["entities_location"]
-    on_hand = [_EVENTS, _STOCK, _standing("sd", "st", ST), _wide("mvw"), _wide("cvw"),
-               _total("tin", "mvw", "movement_ingredient", "movement_into",
-                      "movement_quantity", "movement_unit", scoped=False),
-               _total("tout", "mvw", "movement_ingredient", "movement_out_of",
-                      "movement_quantity", "movement_unit", scoped=False)]
-    out["on_hand"] = _with(*on_hand) + """,
-grp AS (SELECT ingredient, place FROM tin UNION SELECT ingredient, place FROM tout),
-oh AS (SELECT g.ingredient, g.place, u.value AS unit, coalesce(tin.q, 0) AS arrived,
-         coalesce(tout.q, 0) AS departed, coalesce(tin.q, 0) - coalesce(tout.q, 0) AS net,
-         o.value AS reorder_level, p.value AS price,
-         CAST(coalesce(tin.q, 0) - coalesce(tout.q, 0) AS DOUBLE) * CAST(p.value AS DOUBLE)
-           AS stock_value
-  FROM grp g
-  LEFT JOIN tin ON tin.ingredient IS NOT DISTINCT FROM g.ingredient
-       AND tin.place IS NOT DISTINCT FROM g.place
-  LEFT JOIN tout ON tout.ingredient IS NOT DISTINCT FROM g.ingredient
-       AND tout.place IS NOT DISTINCT FROM g.place
-  LEFT JOIN sd u ON u.subject = g.ingredient AND u.slot = 'item_base_unit'
-  LEFT JOIN sd p ON p.subject = g.ingredient AND p.slot = 'item_price'
-  LEFT JOIN sd o ON o.subject = g.ingredient AND o.slot = 'item_reorder_level')
-SELECT ingredient, place, unit, """ + _round(
-        "arrived", "departed", "net", "reorder_level", "price", "stock_value") + " FROM oh"
+    out["on_hand"] = _with(
+        _EVENTS, _STOCK, _standing("sd", "st", ST), _wide("dlw"), _wide("rtw"), _wide("cvw"),
+        *[_total(n, *t, scoped=False) for n, t in
+          (("tin", _DELIVERED), ("tout", _SENT_BACK), ("tback", _TAKEN_BACK))]) + """,
+stacked AS (SELECT part, place, coalesce(q, 0) AS delivered, 0 AS sent_back, 0 AS taken_back FROM tin
+            UNION ALL SELECT part, place, 0, coalesce(q, 0), 0 FROM tout
+            UNION ALL SELECT part, place, 0, 0, coalesce(q, 0) FROM tback),
+oh AS (SELECT part, place, sum(delivered) AS delivered, sum(sent_back) AS sent_back,
+              sum(taken_back) AS taken_back,
+              sum(delivered) + sum(taken_back) - sum(sent_back) AS net
+       FROM stacked GROUP BY part, place),
+facts AS (SELECT subject, max(value) FILTER (slot = 'part_brand') AS brand,
+                 CAST(max(value) FILTER (slot = 'list_price') AS DOUBLE) AS list_price,
+                 CAST(max(value) FILTER (slot = 'floor_stock') AS DOUBLE) AS floor_stock
+          FROM sd GROUP BY subject)
+SELECT part, place, brand, """ + _round("delivered", "sent_back", "taken_back", "net",
+                                        "floor_stock", "list_price") + """,
+       round(CAST(net AS DOUBLE) * list_price, 2) AS net_value
+FROM oh LEFT JOIN facts ON subject = part"""
     out["on_hand_by_unit"] = _with(
-        _EVENTS, _STOCK, _standing("sd", "st", ST), _wide("mvw"),
-        *[_total(n, "mvw", "movement_ingredient", place, "movement_quantity", "movement_unit",
-                 scoped=False, third="movement_unit", converted=False)
-          for n, place in (("tin", "movement_into"), ("tout", "movement_out_of"))]) + """
-SELECT ingredient, place, unit, round(CAST(coalesce(tin.q, 0) AS DOUBLE), 2) AS arrived,
-       round(CAST(coalesce(tout.q, 0) AS DOUBLE), 2) AS departed,
-       coalesce(tin.n, 0) AS moves,
-       round(CAST(coalesce(tin.q, 0) - coalesce(tout.q, 0) AS DOUBLE), 2) AS net
-FROM (SELECT ingredient, place, unit FROM tin UNION SELECT ingredient, place, unit FROM tout) g
-LEFT JOIN (SELECT ingredient AS i1, place AS p1, unit AS u1, q, n FROM tin) tin
-  ON i1 IS NOT DISTINCT FROM ingredient AND p1 IS NOT DISTINCT FROM place
-     AND u1 IS NOT DISTINCT FROM unit
-LEFT JOIN (SELECT ingredient AS i2, place AS p2, unit AS u2, q FROM tout) tout
-  ON i2 IS NOT DISTINCT FROM ingredient AND p2 IS NOT DISTINCT FROM place
-     AND u2 IS NOT DISTINCT FROM unit"""
-    out["counted"] = _with(*_recon_ctes(ST)) + """
-SELECT t.ingredient, t.place, u.value AS unit, round(CAST(coalesce(q, 0) AS DOUBLE), 2) AS counted
-FROM tcnt t LEFT JOIN sd u ON u.subject = t.ingredient AND u.slot = 'item_base_unit'"""
+        _EVENTS, _STOCK, _standing("sd", "st", ST), _wide("dlw"), _wide("rtw"),
+        _total("tin", *_DELIVERED, scoped=False, third="delivered_in", converted=False),
+        _total("tout", *_SENT_BACK, scoped=False, third="returned_in", converted=False)) + """
+SELECT part, place, container, round(CAST(sum(i) AS DOUBLE), 2) AS delivered,
+       round(CAST(sum(o) AS DOUBLE), 2) AS sent_back, CAST(sum(n) AS BIGINT) AS lines,
+       round(CAST(sum(i) - sum(o) AS DOUBLE), 2) AS net
+FROM (SELECT part, place, container, coalesce(q, 0) AS i, 0 AS o, n FROM tin
+      UNION ALL SELECT part, place, container, 0, coalesce(q, 0), 0 FROM tout)
+GROUP BY part, place, container"""
+    counted = _with(*_recon_ctes(ST), _wide("loc"), _wide("unt")) + """,
+about AS (SELECT subject, max(value) FILTER (slot = 'part_brand') AS brand,
+                 max(value) FILTER (slot = 'part_container') AS container
+          FROM sd GROUP BY subject)"""
+    out["counted"] = counted + """
+SELECT part, place, brand, container, round(CAST(q AS DOUBLE), 2) AS counted
+FROM tcnt LEFT JOIN about ON subject = part"""
     out["reconciliation"] = _with(*_recon_ctes(ST)) + _REC_SELECT
     out["reconciliation_asof"] = _with(*_recon_ctes(EARLY)) + _REC_SELECT
-    out["group_keys"] = _with(
-        _STOCK, _standing("sd", "st", ST)) + """,
-pairs AS (SELECT subject FROM sd WHERE slot IN ('movement_ingredient', 'movement_into',
-          'movement_out_of') GROUP BY 1)
-SELECT i.value AS ingredient, p.value AS place FROM pairs s
-LEFT JOIN sd i ON i.subject = s.subject AND i.slot = 'movement_ingredient'
-LEFT JOIN sd p ON p.subject = s.subject AND p.slot = 'movement_into'
-UNION
-SELECT i.value, p.value FROM pairs s
-LEFT JOIN sd i ON i.subject = s.subject AND i.slot = 'movement_ingredient'
-LEFT JOIN sd p ON p.subject = s.subject AND p.slot = 'movement_out_of'"""
-    out["projection_contains"] = _entities("ing", "item_name, entity_class") + \
-        " WHERE lower(item_name) LIKE '%bolt%' AND lower(item_base_unit) LIKE '%base%'"
-    out["projection_exact"] = _entities("ing", "item_name, item_counted_in") + \
-        " WHERE item_counted_in = 'unit:A'"
+    out["group_keys"] = _with(_STOCK, _standing("sd", "st", ST)) + ",".join(
+        f"""
+{n} AS (SELECT subject, max(value) FILTER (slot = '{p}_part') AS part,
+               max(value) FILTER (slot = '{p}_{to}') AS place
+        FROM sd WHERE slot IN ('{p}_part', '{p}_{to}') GROUP BY subject)"""
+        for n, p, to in (("", "", ""), ("dk", "delivered", "to"), ("rk", "returned", "from"))
+        if n or p).join([",", ""]) + """
+SELECT part, place FROM dk UNION SELECT part, place FROM rk"""
+    out["projection_contains"] = _entities("ing", "part_name, kind_of_thing") + \
+        " WHERE lower(part_name) LIKE '%bolt%' AND lower(part_brand) LIKE '%brand#1%'"
+    out["projection_exact"] = _entities("ing", "part_name, part_container") + \
+        " WHERE part_container = 'container:A'"
     out["choices"] = _with(_STOCK, _standing("sd", "st", ST), _wide("ing")) + " UNION ".join(
         f"SELECT '{c}' AS \"column\", {c} AS choice FROM ing WHERE {c} IS NOT NULL"
-        for c in ("entity_class", "item_base_unit", "item_counted_in"))
-    out["labelled"] = _with(*_recon_ctes(ST), _wide("loc"), _wide("unt")) + """
-SELECT t.ingredient, coalesce(l.location_name, t.place) AS place,
-       coalesce(un.unit_name, u.value) AS unit,
-       round(CAST(coalesce(q, 0) AS DOUBLE), 2) AS counted
-FROM tcnt t LEFT JOIN sd u ON u.subject = t.ingredient AND u.slot = 'item_base_unit'
-LEFT JOIN loc l ON l.subject = t.place LEFT JOIN unt un ON un.subject = u.value"""
-    out["user_sort"] = _entities("ing", _round("item_reorder_level"))
+        for c in ("kind_of_thing", "part_brand", "part_container"))
+    out["labelled"] = counted + """
+SELECT part, coalesce(l.place_name, place) AS place,
+       coalesce(un.container_label, a.container) AS container,
+       round(CAST(q AS DOUBLE), 2) AS counted
+FROM tcnt LEFT JOIN about a ON a.subject = part LEFT JOIN loc l ON l.subject = place
+LEFT JOIN unt un ON un.subject = a.container"""
+    out["user_sort"] = _entities("ing", _round("floor_stock"))
     out["cell_evidence"] = _with(_STOCK, _standing("sd", "st", ST), _wide("ing")) + """,
-cells AS (SELECT i.subject, s.slot FROM ing i CROSS JOIN (VALUES ('entity_class'),
-  ('item_name'), ('item_base_unit'), ('item_counted_in'), ('item_price'),
-  ('item_reorder_level')) s(slot))
+cells AS (SELECT i.subject, s.slot FROM ing i CROSS JOIN (VALUES ('kind_of_thing'),
+  ('part_name'), ('part_brand'), ('part_container'), ('list_price'),
+  ('floor_stock')) s(slot))
 SELECT c.subject AS entity_uri, c.slot AS "column", a.id, a.value, a.valid_from,
        (SELECT max(r.id) FROM st r WHERE r.revokes = a.id) AS revoked_by
 FROM cells c JOIN st a ON a.subject = c.subject AND a.slot = c.slot"""
@@ -688,48 +666,48 @@ FROM a FULL OUTER JOIN p ON lower(actor_id) = lower(split_part(label, ' ', 1))""
     # ---- reports
     out["item_metadata"] = _with(_STOCK, _standing("sd", "st", ST), _wide("ing"), _wide("unt"),
                                  _wide("cvw"), _META) + """
-SELECT entity_uri, item_name, item_counted_in, factor, unit_name, """ + _round(
-        "item_reorder_level", "item_price") + " FROM meta"
+SELECT entity_uri, part_name, part_container, factor, container_label, """ + _round(
+        "floor_stock", "list_price") + " FROM meta"
     out["item_health"] = _items("""
-SELECT ingredient, place, name, location, pack_unit, pack_factor, counted_packs, is_anomaly,
-       is_reorder, """ + _round("reorder_base", "price", "expected", "counted", "variance",
-                                "stock_value", "variance_value") + " FROM items")
+SELECT part, place, name, location, pack_unit, pack_factor, counted_packs, is_anomaly,
+       is_reorder, """ + _round("reorder_base", "list_price", "remaining", "counted", "gap",
+                                "counted_value", "gap_value") + " FROM items")
     out["kpi_totals"] = _items("SELECT " + _round(
-        "valuation", "expected_valuation", "variance_value", "variance_qty", "accuracy_pct",
+        "valuation", "remaining_valuation", "gap_value", "gap_pieces", "accuracy_pct",
         digits=1) + """ FROM (
-  SELECT *, CASE WHEN expected_valuation = 0 THEN 100.0
-                 ELSE valuation / expected_valuation * 100 END AS accuracy_pct
-  FROM (SELECT coalesce(sum(stock_value), 0) AS valuation,
-               coalesce(sum(expected * price), 0) AS expected_valuation,
-               coalesce(sum(variance_value), 0) AS variance_value,
-               coalesce(sum(variance), 0) AS variance_qty FROM items))""")
+  SELECT *, CASE WHEN remaining_valuation = 0 THEN 100.0
+                 ELSE valuation / remaining_valuation * 100 END AS accuracy_pct
+  FROM (SELECT coalesce(sum(counted_value), 0) AS valuation,
+               coalesce(sum(remaining * list_price), 0) AS remaining_valuation,
+               coalesce(sum(gap_value), 0) AS gap_value,
+               coalesce(sum(gap), 0) AS gap_pieces FROM items))""")
     out["zone_rollup"] = _items("SELECT location, items, " + _round(
-        "valuation", "variance_value", digits=1) + """ FROM (
-  SELECT location, count(*) AS items, sum(stock_value) AS valuation,
-         sum(variance_value) AS variance_value FROM items GROUP BY 1)""")
+        "valuation", "gap_value", digits=1) + """ FROM (
+  SELECT location, count(*) AS items, sum(counted_value) AS valuation,
+         sum(gap_value) AS gap_value FROM items GROUP BY 1)""")
     out["top_losses"] = _items("""
-SELECT ingredient, place, name, round(variance_value, 2) AS variance_value,
-       round(-variance_value / abs((SELECT sum(variance_value) FROM items)) * 100, 2)
+SELECT part, place, name, round(gap_value, 2) AS gap_value,
+       round(-gap_value / abs((SELECT sum(gap_value) FROM items)) * 100, 2)
          AS pct_of_total,
-       round(least(100, variance_value / (SELECT min(variance_value) FROM items) * 100), 2)
+       round(least(100, gap_value / (SELECT min(gap_value) FROM items) * 100), 2)
          AS pct_of_max
-FROM items WHERE variance_value < 0 ORDER BY items.variance_value, ingredient, place LIMIT 6""")
+FROM items WHERE gap_value < 0 ORDER BY items.gap_value, part, place LIMIT 6""")
     out["alerts"] = _items("""
-SELECT ingredient, place, name, location, 'anomaly' AS alert,
-       round(abs(variance), 4) AS deficit,
-       round(abs(variance_value) / abs((SELECT sum(variance_value) FROM items)) * 100, 4)
+SELECT part, place, name, location, 'anomaly' AS alert,
+       round(abs(gap), 4) AS deficit,
+       round(abs(gap_value) / abs((SELECT sum(gap_value) FROM items)) * 100, 4)
          AS share_pct FROM items WHERE is_anomaly
 UNION ALL
-SELECT ingredient, place, name, location, 'reorder', round(reorder_base - counted, 4), NULL
+SELECT part, place, name, location, 'reorder', round(reorder_base - counted, 4), NULL
 FROM items WHERE is_reorder""")
-    out["worst_first"] = _items("SELECT ingredient, place, name, "
-                                "round(variance_value, 2) AS variance_value FROM items")
-    out["attribute_pivot"] = _with(_STOCK, _LIVE, _live_pivot("m", _MOVED)) + "SELECT * FROM m"
+    out["worst_first"] = _items("SELECT part, place, name, "
+                                "round(gap_value, 2) AS gap_value FROM items")
+    out["attribute_pivot"] = _with(_STOCK, _LIVE, _live_pivot("m", ["delivered_part", "delivered_to", "delivered_in", "delivered_pieces"])) + "SELECT * FROM m"
     out["balance"] = _BALANCE
     out["balance_full_outer"] = _BALANCE
     out["class_counts"] = _with(_STOCK) + """
 SELECT value AS class, count(DISTINCT subject) AS subjects FROM st
-WHERE slot = 'entity_class' GROUP BY 1"""
+WHERE slot = 'kind_of_thing' GROUP BY 1"""
     out["log_shape"] = _with(_EVENTS) + """
 SELECT count(*) AS assertions, count(revokes) AS revoking,
        count(*) FILTER (value IS NULL) AS retractions,
@@ -809,7 +787,7 @@ SELECT p_partkey FROM part WHERE p_partkey NOT IN (
     out["dq_phrases"] = _with(_LINES) + "SELECT key, line, phrase FROM ph"
     out["dq_unique"] = _with(_DUP) + "SELECT l_orderkey, l_linenumber, rows FROM dup"
     out["dq_conversion_unique"] = _with(_STOCK, _standing("sd", "st", ST), _wide("cvw"), """
-bad AS (SELECT conversion_ingredient, conversion_unit FROM cvw GROUP BY 1, 2
+bad AS (SELECT packed_part, packed_in FROM cvw GROUP BY 1, 2
         HAVING count(*) > 1)""") + _check("one conversion per key", "cvw", "bad")
     out["dq_summary"] = _with(_EVENTS, _TILL, _ORPHANS, _LINES, _DUP, _WEEK) + \
         " UNION ALL ".join(_check(*c) for c in [
@@ -824,9 +802,9 @@ SELECT 'two paths' AS "check", count(*) AS counted, CAST(0 AS BIGINT) AS failed
         f"{x.format('a.' + c)} AS left_value, {x.format('b.' + c)} AS right_value "
         f"FROM i0 a FULL OUTER JOIN i1 b ON a.subject = b.subject "
         f"WHERE {x.format('a.' + c)} IS DISTINCT FROM {x.format('b.' + c)}"
-        for c, x in [("entity_class", "{}"), ("item_name", "{}"), ("item_base_unit", "{}"),
-                     ("item_counted_in", "{}"), ("item_price", "{}"),
-                     ("item_reorder_level",
+        for c, x in [("kind_of_thing", "{}"), ("part_name", "{}"), ("part_brand", "{}"),
+                     ("part_container", "{}"), ("list_price", "{}"),
+                     ("floor_stock",
                       "CAST(CAST({} AS DECIMAL(18,6)) AS VARCHAR)")])
     out["cells_diff"] = _with(
         _STOCK, _standing("sd0", "st", early), _standing("sd", "st", ST),

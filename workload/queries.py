@@ -9,8 +9,8 @@ from twoclock.session import kept
 from twoclock.sources import load_versions
 
 from . import stock
-from .logs import (MASTER_SLOTS, REFS, TYPE_SLOT, URI_SLOT, event_intents, event_log,
-                   master_assertions, master_claims, stock_log, table)
+from .logs import (REFS, SLOTS, TYPE_SLOT, URI_SLOT, event_intents, event_log,
+                   stock_assertions, stock_log, table)
 
 EV_VALID, EV_KNOWN = "2024-01-20 00:00:00", "2024-01-22 00:00:00"
 ST_VALID, ST_KNOWN = "2000-06-30", "2000-07-03 00:00:00"
@@ -79,23 +79,23 @@ def clock_grid(spark, d):
 @query
 def replay_labels(spark, d):
     # The registry's own predicate names things here, itself included.
-    return resolve.replay(master_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN)
+    return resolve.replay(stock_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN)
 
 
 @query
 def registry(spark, d):
-    return resolve.registry(master_assertions(spark, d), URI_SLOT)
+    return resolve.registry(stock_assertions(spark, d), URI_SLOT)
 
 
 @query
 def stated(spark, d):
-    return resolve.stated(master_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN)
+    return resolve.stated(stock_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN)
 
 
 @query
 def stated_slots(spark, d):
-    return resolve.stated(master_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN,
-                          ["item_price", "conversion_ingredient"])
+    return resolve.stated(stock_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN,
+                          ["list_price", "packed_part"])
 
 
 @query
@@ -128,12 +128,12 @@ def version_asof(spark, d):
 @query
 def ever_typed(spark, d):
     return resolve.ever_typed(stock_log(spark, d), TYPE_SLOT,
-                              stock.MODEL.descendants("BoughtItem"), ST_VALID, ST_KNOWN)
+                              stock.MODEL.descendants("PromoPart"), ST_VALID, ST_KNOWN)
 
 
 @query
 def class_members(spark, d):
-    return project.members(_view(spark, d), stock.MODEL, "Ingredient")
+    return project.members(_view(spark, d), stock.MODEL, "Part")
 
 
 # ---- ingest ---------------------------------------------------------------
@@ -157,10 +157,10 @@ def corrections(spark, d):
     p = table(spark, d, "part")
     fixes = p.where(F.col("p_type").isin("SMALL", "LARGE")).select(
         F.concat(F.lit("part:"), "p_partkey").alias("subject"),
-        F.lit("item_price").alias("slot"),
+        F.lit("list_price").alias("slot"),
         F.when(F.col("p_type") == "SMALL",
                (F.col("p_retailprice").cast("decimal(18,2)") + 1).cast("string")).alias("value"))
-    now = resolve.standing(stock_log(spark, d), ST_VALID, ST_KNOWN, ["item_price"])
+    now = resolve.standing(stock_log(spark, d), ST_VALID, ST_KNOWN, ["list_price"])
     return ingest.corrections(fixes, now)
 
 
@@ -169,8 +169,8 @@ def correction_rejects(spark, d):
     """Price fixes for every part and one for every supplier, which has no price."""
     fixes = (table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("subject"))
              .union(table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey"))))
-    fixes = fixes.select("subject", F.lit("item_price").alias("slot"), F.lit("1").alias("value"))
-    now = resolve.standing(stock_log(spark, d), ST_VALID, ST_KNOWN, ["item_price"])
+    fixes = fixes.select("subject", F.lit("list_price").alias("slot"), F.lit("1").alias("value"))
+    now = resolve.standing(stock_log(spark, d), ST_VALID, ST_KNOWN, ["list_price"])
     return ingest.correction_rejects(fixes, now)
 
 
@@ -204,7 +204,7 @@ def _supplier_act(spark, d):
     batch = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("batch_order"), (F.col("s_acctbal") > 0).alias("mint"),
         F.md5(F.concat(F.lit("supplier:"), "s_suppkey")).alias("subject_id"),
-        F.md5(F.lit("location_name")).alias("predicate_id"), F.col("s_name").alias("value_literal"))
+        F.md5(F.lit("place_name")).alias("predicate_id"), F.col("s_name").alias("value_literal"))
     return ingest.append_act(batch, intent_id="act:suppliers", actor_id="importer",
                              action_name="import", occurred_at="1995-01-01 09:00:00",
                              recorded_at="1995-01-02 09:00:00", note="first load")
@@ -256,26 +256,26 @@ def constraint_gate(spark, d):
 
 @query
 def fk_gate(spark, d):
-    a = (master_assertions(spark, d)
+    a = (stock_assertions(spark, d)
          .where(F.col("predicate_id") != F.md5(F.lit(URI_SLOT)))
          .withColumn("intent_id", F.md5(F.concat(F.lit("intent|"), "subject_id"))))
     entities = (a.select(F.col("subject_id").alias("id"))
                 .union(a.select("predicate_id")).distinct())
     # Suppliers were taken over from elsewhere, without an act of ours.
-    acts = (master_claims(spark, d).where(~F.col("subject").startswith("supplier:"))
+    acts = (stock_log(spark, d).where(~F.col("subject").startswith("supplier:"))
             .select(F.md5(F.concat(F.lit("intent|"), F.md5("subject"))).alias("id")).distinct())
     return ingest.dangling_references(a, entities, acts)
 
 
 @query
 def fact_validation(spark, d):
-    c = master_claims(spark, d)
+    c = stock_log(spark, d)
     facts = c.select(
         "subject", F.col("slot").alias("predicate"), "value",
-        F.when((F.col("slot") == "item_price") & (F.col("value").try_cast("double") > 950),
-               "certain").when(F.col("slot") == "item_price", "high").alias("confidence"))
+        F.when((F.col("slot") == "list_price") & (F.col("value").try_cast("double") > 950),
+               "certain").when(F.col("slot") == "list_price", "high").alias("confidence"))
     slots = spark.createDataFrame(
-        [(s, s in REFS) for s in [*MASTER_SLOTS, TYPE_SLOT] if s != "unit_name"],
+        [(s, s in REFS) for s in [*SLOTS, TYPE_SLOT] if s != "container_label"],
         "predicate string, is_ref boolean")
     return ingest.fact_errors(facts, slots).groupBy("predicate", "is_ref", "error").agg(
         F.count(F.lit(1)).alias("facts"))
@@ -299,7 +299,7 @@ def append_batch(spark, d):
     n = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("batch_order"),
         F.md5(F.concat(F.lit("supplier:"), "s_suppkey")).alias("subject_id"),
-        F.md5(F.lit("location_name")).alias("predicate_id"),
+        F.md5(F.lit("place_name")).alias("predicate_id"),
         F.col("s_name").alias("value_literal"))
     return ingest.append_batch(n, intent_id="act:suppliers", occurred_at="1995-01-01 09:00:00",
                                recorded_at="1995-01-02 09:00:00", last_seq=500)
@@ -309,31 +309,32 @@ def append_batch(spark, d):
 
 @query
 def entities_part(spark, d):
-    t = project.entities(_view(spark, d), stock.ENTITY_SPECS["Ingredient"])
-    return _money(t, "item_price", "item_reorder_level")
+    t = project.entities(_view(spark, d), stock.ENTITY_SPECS["Part"])
+    return _money(t, "list_price", "floor_stock")
 
 
 @query
 def entities_location(spark, d):
-    return project.entities(_view(spark, d), stock.ENTITY_SPECS["Location"])
+    return project.entities(_view(spark, d), stock.ENTITY_SPECS["Place"])
 
 
 @query
 def entities_from_stated(spark, d):
-    kept = resolve.stated(master_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN)
-    return project.entities(project.StatedView(kept), stock.ENTITY_SPECS["Location"])
+    kept = resolve.stated(stock_assertions(spark, d), URI_SLOT, ST_VALID, ST_KNOWN)
+    return project.entities(project.StatedView(kept), stock.ENTITY_SPECS["Place"])
 
 
 @query
 def on_hand(spark, d):
     t = project.grouped(_view(spark, d), stock.ON_HAND)
-    return _money(t, "arrived", "departed", "net", "reorder_level", "price", "stock_value")
+    return _money(t, "delivered", "sent_back", "taken_back", "net", "floor_stock", "list_price",
+                  "net_value")
 
 
 @query
 def on_hand_by_unit(spark, d):
     t = project.grouped(_view(spark, d), stock.ON_HAND_BY_UNIT)
-    return _money(t, "arrived", "departed", "net")
+    return _money(t, "delivered", "sent_back", "net")
 
 
 @query
@@ -341,8 +342,8 @@ def counted(spark, d):
     return _money(project.grouped(_view(spark, d), stock.COUNTED_ON_HAND), "counted")
 
 
-_RECON = ["price", "reorder_level", "arrived", "departed", "expected", "counted",
-          "stock_value", "variance", "variance_value"]
+_RECON = ["list_price", "floor_stock", "delivered", "sent_back", "remaining", "counted",
+          "counted_value", "gap", "gap_value"]
 
 
 @query
@@ -359,61 +360,60 @@ def reconciliation_asof(spark, d):
 @query
 def group_keys(spark, d):
     view = _view(spark, d)
-    moved = view.wide({"ingredient": "movement_ingredient", "place": "movement_into",
-                       "gone": "movement_out_of"})
-    return project.group_keys([moved.select("ingredient", "place"),
-                               moved.select("ingredient", F.col("gone").alias("place"))],
-                              ["ingredient", "place"])
+    sides = [view.wide({"part": f"{p}_part", "place": f"{p}_{to}"})
+             for p, to in (("delivered", "to"), ("returned", "from"))]
+    return project.group_keys([s.select("part", "place") for s in sides], ["part", "place"])
 
 
 def _ingredients(spark, d):
-    return project.entities(_view(spark, d), stock.ENTITY_SPECS["Ingredient"])
+    return project.entities(_view(spark, d), stock.ENTITY_SPECS["Part"])
 
 
 @query
 def projection_contains(spark, d):
     t = project.containing(_ingredients(spark, d),
-                           {"item_name": "BOLT", "item_base_unit": "base"})
-    return project.in_key_order(t.select("entity_uri", "item_name", "entity_class"),
+                           {"part_name": "BOLT", "part_brand": "BRAND#1"})
+    return project.in_key_order(t.select("entity_uri", "part_name", "kind_of_thing"),
                                 ["entity_uri"])
 
 
 @query
 def projection_exact(spark, d):
-    t = project.only(_ingredients(spark, d), {"item_counted_in": "unit:A", "item_name": ""})
-    return t.select("entity_uri", "item_name", "item_counted_in")
+    t = project.only(_ingredients(spark, d), {"part_container": "container:A", "part_name": ""})
+    return t.select("entity_uri", "part_name", "part_container")
 
 
 @query
 def choices(spark, d):
     return project.choices(_ingredients(spark, d),
-                           ["entity_class", "item_base_unit", "item_counted_in"])
+                           ["kind_of_thing", "part_brand", "part_container"])
 
 
 @query
 def labelled(spark, d):
     view = _view(spark, d)
-    t = project.grouped(view, stock.COUNTED_ON_HAND).select("ingredient", "place", "unit",
-                                                            "counted")
-    t = project.labelled(t, ["place"], project.labels_of(view, stock.MODEL, "Location"))
-    t = project.labelled(t, ["unit"], project.labels_of(view, stock.MODEL, "Unit"))
+    t = project.grouped(view, stock.COUNTED_ON_HAND).select("part", "place",
+                                                            "container", "counted")
+    t = project.labelled(t, ["place"], project.labels_of(view, stock.MODEL, "Place"))
+    t = project.labelled(t, ["container"],
+                         project.labels_of(view, stock.MODEL, "Container"))
     return _money(t, "counted")
 
 
 @query
 def user_sort(spark, d):
-    t = project.user_sort(_ingredients(spark, d), "item_reorder_level", descending=True,
+    t = project.user_sort(_ingredients(spark, d), "floor_stock", descending=True,
                           ties=["entity_uri"])
-    return _money(t.select("entity_uri", "item_reorder_level"), "item_reorder_level")
+    return _money(t.select("entity_uri", "floor_stock"), "floor_stock")
 
 
 @query
 def cell_evidence(spark, d):
     cells = project.cell_sources(
-        project.entities(_view(spark, d), stock.ENTITY_SPECS["Ingredient"]),
-        stock.ENTITY_SPECS["Ingredient"])
+        project.entities(_view(spark, d), stock.ENTITY_SPECS["Part"]),
+        stock.ENTITY_SPECS["Part"])
     wanted = stock_log(spark, d).where(F.col("slot").isin(
-        [s.key for s in stock.ENTITY_SPECS["Ingredient"].columns]))
+        [s.key for s in stock.ENTITY_SPECS["Part"].columns]))
     return provenance.evidence(cells, wanted).select(
         "entity_uri", "column", "id", "value", "valid_from", "revoked_by")
 
@@ -502,41 +502,41 @@ def known_actors(spark, d):
 def _items(spark, d):
     view = _view(spark, d)
     meta = _metadata(view)
-    places = project.entities(view, stock.ENTITY_SPECS["InternalLocation"])
+    places = project.entities(view, stock.ENTITY_SPECS["HomeNation"])
     return report.item_health(project.grouped(view, stock.RECONCILIATION), meta, places)
 
 
 def _metadata(view):
-    return report.item_metadata(project.entities(view, stock.ENTITY_SPECS["Ingredient"]),
-                                project.entities(view, stock.ENTITY_SPECS["Unit"]),
-                                project.entities(view, stock.ENTITY_SPECS["UnitConversion"]))
+    return report.item_metadata(project.entities(view, stock.ENTITY_SPECS["Part"]),
+                                project.entities(view, stock.ENTITY_SPECS["Container"]),
+                                project.entities(view, stock.ENTITY_SPECS["Packing"]))
 
 
 @query
 def item_metadata(spark, d):
-    return _money(_metadata(_view(spark, d)), "item_reorder_level", "item_price")
+    return _money(_metadata(_view(spark, d)), "floor_stock", "list_price")
 
 
 @query
 def item_health(spark, d):
-    return _money(_items(spark, d), "reorder_base", "price", "expected", "counted", "variance",
-                  "stock_value", "variance_value")
+    return _money(_items(spark, d), "reorder_base", "list_price", "remaining", "counted", "gap",
+                  "counted_value", "gap_value")
 
 
 @query
 def kpi_totals(spark, d):
-    return _money(report.kpi_totals(_items(spark, d)), "valuation", "expected_valuation",
-                  "variance_value", "variance_qty", "accuracy_pct", digits=1)
+    return _money(report.kpi_totals(_items(spark, d)), "valuation", "remaining_valuation",
+                  "gap_value", "gap_pieces", "accuracy_pct", digits=1)
 
 
 @query
 def zone_rollup(spark, d):
-    return _money(report.zone_rollup(_items(spark, d)), "valuation", "variance_value", digits=1)
+    return _money(report.zone_rollup(_items(spark, d)), "valuation", "gap_value", digits=1)
 
 
 @query
 def top_losses(spark, d):
-    return _money(report.top_losses(_items(spark, d)), "variance_value", "pct_of_total",
+    return _money(report.top_losses(_items(spark, d)), "gap_value", "pct_of_total",
                   "pct_of_max")
 
 
@@ -547,54 +547,51 @@ def alerts(spark, d):
 
 @query
 def worst_first(spark, d):
-    t = report.worst_first(_items(spark, d).select("ingredient", "place", "name",
-                                                   "variance_value"))
-    return _money(t, "variance_value")
+    t = report.worst_first(_items(spark, d).select("part", "place", "name",
+                                                   "gap_value"))
+    return _money(t, "gap_value")
 
 
-_MOVED = ["movement_ingredient", "movement_unit", "movement_into", "movement_out_of",
-          "movement_quantity"]
+_DELIVERED = ["delivered_part", "delivered_to", "delivered_in", "delivered_pieces"]
+_RETURNED = ["returned_part", "returned_from", "returned_in", "returned_pieces"]
 
 
 @query
 def attribute_pivot(spark, d):
-    return report.attribute_pivot(stock_log(spark, d), _MOVED)
+    return report.attribute_pivot(stock_log(spark, d), _DELIVERED)
 
 
-def _balance_inputs(spark, d):
+def _signed_lines(spark, d, slots, sign):
+    part, place, container, pieces = slots
+    return report.attribute_pivot(stock_log(spark, d), slots).select(
+        F.col(part).alias("part"), F.col(container).alias("container"),
+        F.col(place).alias("place"), (F.col(pieces).cast("decimal(18,2)") * sign).alias("pieces"))
+
+
+def _packings_and_homes(spark, d):
     log = stock_log(spark, d)
-    moved = report.attribute_pivot(log, _MOVED).select(
-        F.col("movement_ingredient").alias("ingredient"), F.col("movement_unit").alias("unit"),
-        F.col("movement_into").alias("loc_into"), F.col("movement_out_of").alias("loc_out"),
-        F.col("movement_quantity").cast("decimal(18,2)").alias("quantity"))
-    conv = report.attribute_pivot(log, ["conversion_ingredient", "conversion_unit",
-                                        "conversion_factor"]).select(
-        F.col("conversion_ingredient").alias("ingredient"),
-        F.col("conversion_unit").alias("unit"),
-        F.col("conversion_factor").cast("decimal(12,2)").alias("factor"))
-    places = (report.live(log.where((F.col("slot") == TYPE_SLOT)
-                                    & (F.col("value") == "InternalLocation")))
-              .select(F.col("subject").alias("place")))
-    return moved, conv, places
+    packings = report.attribute_pivot(log, ["packed_part", "packed_in", "pieces_each"]).select(
+        F.col("packed_part").alias("part"), F.col("packed_in").alias("container"),
+        F.col("pieces_each").cast("decimal(12,2)").alias("factor"))
+    homes = (report.live(log.where((F.col("slot") == TYPE_SLOT) & (F.col("value") == "HomeNation")))
+             .select(F.col("subject").alias("place")))
+    return packings, homes
 
 
 @query
 def balance(spark, d):
-    return _money(report.balance(*_balance_inputs(spark, d)), "expected")
+    lines = _signed_lines(spark, d, _DELIVERED, 1).unionByName(
+        _signed_lines(spark, d, _RETURNED, -1))
+    return _money(report.balance(lines, *_packings_and_homes(spark, d)), "remaining")
 
 
 @query
 def balance_full_outer(spark, d):
-    moved, conv, places = _balance_inputs(spark, d)
-
-    def side(column):
-        return (moved.groupBy("ingredient", "unit", F.col(column).alias("place"))
-                .agg(F.sum("quantity").alias("q")).join(places, "place", "left_semi")
-                .join(conv, ["ingredient", "unit"], "left")
-                .groupBy("ingredient", "place")
-                .agg(F.sum(F.col("q") * F.coalesce("factor", F.lit(1))).alias("total")))
-
-    return _money(report.in_and_out(side("loc_into"), side("loc_out")), "expected")
+    packings, homes = _packings_and_homes(spark, d)
+    delivered, returned = (
+        report.place_totals(_signed_lines(spark, d, slots, 1), packings, homes)
+        for slots in (_DELIVERED, _RETURNED))
+    return _money(report.in_and_out(delivered, returned), "remaining")
 
 
 @query
@@ -773,8 +770,8 @@ def dq_unique(spark, d):
 
 @query
 def dq_conversion_unique(spark, d):
-    conv = project.entities(_view(spark, d), stock.ENTITY_SPECS["UnitConversion"])
-    bad = quality.unique_violations(conv, ["conversion_ingredient", "conversion_unit"])
+    conv = project.entities(_view(spark, d), stock.ENTITY_SPECS["Packing"])
+    bad = quality.unique_violations(conv, ["packed_part", "packed_in"])
     return quality.summary([("one conversion per key", conv, bad)])
 
 
@@ -801,18 +798,18 @@ def two_path_diff(spark, d):
 @query
 def cells_diff(spark, d):
     """Entity lists at two moments, cell by cell."""
-    spec = stock.ENTITY_SPECS["Ingredient"]
+    spec = stock.ENTITY_SPECS["Part"]
     return quality.differing_cells(
         project.entities(_view(spark, d, "1996-01-01", "1996-01-01"), spec).withColumn(
-            "item_price", F.col("item_price").cast("decimal(18,2)")),
+            "list_price", F.col("list_price").cast("decimal(18,2)")),
         project.entities(_view(spark, d), spec).withColumn(
-            "item_price", F.col("item_price").cast("decimal(18,2)")), "entity_uri")
+            "list_price", F.col("list_price").cast("decimal(18,2)")), "entity_uri")
 
 
 @query
 def replay_identical(spark, d):
     """Two runs, each written down: the second over rows dealt out another way."""
-    log = master_assertions(spark, d)
+    log = stock_assertions(spark, d)
 
     def once(rows):
         return kept(resolve.replay(rows, URI_SLOT, ST_VALID, ST_KNOWN))

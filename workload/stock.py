@@ -1,120 +1,119 @@
-"""The stock model and the tables derived from it."""
+"""The trade model, in the terms of the given tables, and what is derived from it.
+
+A line item is a delivery of a part by a supplier to the buyer's nation, or, flagged R, a
+return from that nation to the supplier. Finished lines were counted on arrival. Packings
+say how many pieces of a part its containers hold.
+"""
 
 from twoclock.plans import (Aggregate, Convert, EntitySpec, Expression, GroupedSpec, Model,
                             Parameter)
 
+KIND = "kind_of_thing"
+
+_PART_SLOTS = ["part_name", "part_brand", "part_container", "list_price", "floor_stock"]
+_REFERENCES = {
+    "part_brand": None, "part_container": "Container",
+    "packed_part": "Part", "packed_in": "Container",
+    "delivered_part": "Part", "delivered_to": "Place", "delivered_by": "Supplier",
+    "delivered_in": "Container",
+    "returned_part": "Part", "returned_from": "Place", "returned_to": "Supplier",
+    "returned_in": "Container",
+    "counted_part": "Part", "counted_at": "Place", "counted_in": "Container",
+}
+_DECIMALS = ["list_price", "floor_stock", "pieces_each", "delivered_pieces",
+             "returned_pieces", "counted_pieces"]
+
+
+def _having(*slots, **more):
+    return {"slots": [KIND, *slots], **more}
+
+
 MODEL = Model.from_dict({
     "classes": {
-        "Ingredient": {"slots": ["entity_class", "item_name", "item_base_unit",
-                                 "item_counted_in", "item_price", "item_reorder_level"]},
-        "BoughtItem": {"is_a": "Ingredient"},
-        "Location": {"slots": ["entity_class", "location_name"]},
-        "InternalLocation": {"is_a": "Location"},
-        "Supplier": {"is_a": "Location"},
-        "Unit": {"slots": ["entity_class", "unit_name"]},
-        "UnitConversion": {"slots": ["entity_class", "conversion_ingredient",
-                                     "conversion_unit", "conversion_factor"]},
-        "StockMovement": {"slots": ["entity_class", "movement_ingredient", "movement_into",
-                                    "movement_out_of", "movement_quantity", "movement_unit"]},
-        "StockCountLine": {"slots": ["entity_class", "count_line_ingredient",
-                                     "count_line_where", "count_line_quantity",
-                                     "count_line_unit"]},
+        "Place": _having("place_name"),
+        "HomeNation": {"is_a": "Place"},
+        "Supplier": {"is_a": "Place"},
+        "Part": _having(*_PART_SLOTS),
+        "PromoPart": {"is_a": "Part"},
+        "Container": _having("container_label"),
+        "Packing": _having("packed_part", "packed_in", "pieces_each"),
+        "Delivery": _having("delivered_part", "delivered_to", "delivered_by",
+                            "delivered_pieces", "delivered_in"),
+        "Return": _having("returned_part", "returned_from", "returned_to",
+                          "returned_pieces", "returned_in"),
+        "Inventory": _having("counted_part", "counted_at", "counted_pieces", "counted_in"),
     },
     "slots": {
-        "entity_class": {"designates_type": True},
-        "item_name": {"identifier": True},
-        "item_base_unit": {"range": "Unit"},
-        "item_counted_in": {"range": "Unit"},
-        "item_price": {"range": "decimal"},
-        "item_reorder_level": {"range": "decimal"},
-        "location_name": {"identifier": True},
-        "unit_name": {"identifier": True},
-        "conversion_ingredient": {"range": "Ingredient"},
-        "conversion_unit": {"range": "Unit"},
-        "conversion_factor": {"range": "decimal"},
-        "movement_ingredient": {"range": "Ingredient"},
-        "movement_into": {"range": "Location"},
-        "movement_out_of": {"range": "Location"},
-        "movement_quantity": {"range": "decimal"},
-        "movement_unit": {"range": "Unit"},
-        "count_line_ingredient": {"range": "Ingredient"},
-        "count_line_where": {"range": "Location"},
-        "count_line_quantity": {"range": "decimal"},
-        "count_line_unit": {"range": "Unit"},
+        KIND: {"designates_type": True},
+        **{name: {"identifier": True} for name in ("part_name", "place_name", "container_label")},
+        **{name: {"range": kind} if kind else {} for name, kind in _REFERENCES.items()},
+        **{name: {"range": "decimal"} for name in _DECIMALS},
     },
 })
 
 
-def _convert(prefix):
-    return Convert("UnitConversion",
-                   {"conversion_ingredient": f"{prefix}_ingredient",
-                    "conversion_unit": f"{prefix}_unit"}, "conversion_factor")
-
-
-def _moved(place, *, scoped=True, converted=True, unit=False):
-    by = {"ingredient": "movement_ingredient", "place": place}
-    if unit:
-        by["unit"] = "movement_unit"
-    return Aggregate("StockMovement", "movement_quantity", by,
-                     where={place: "InternalLocation",
-                            "movement_ingredient": "Ingredient"} if scoped else {},
-                     convert=_convert("movement") if converted else None)
-
-
-_COUNTED = Aggregate(
-    "StockCountLine", "count_line_quantity",
-    {"ingredient": "count_line_ingredient", "place": "count_line_where"},
-    where={"count_line_where": "InternalLocation", "count_line_ingredient": "Ingredient"},
-    convert=_convert("count_line"))
-
-
-def _item(slot):
-    return Parameter("ingredient", slot, "Ingredient")
-
-
-RECONCILIATION = GroupedSpec(MODEL, "StockReconciliation", {
-    "ingredient": "key", "place": "key",
-    "unit": _item("item_base_unit"),
-    "price": _item("item_price"),
-    "reorder_level": _item("item_reorder_level"),
-    "arrived": _moved("movement_into"),
-    "departed": _moved("movement_out_of"),
-    "expected": Expression("{arrived} - {departed}"),
-    "counted": _COUNTED,
-    "stock_value": Expression("{counted} * {price}"),
-    "variance": Expression("{counted} - {expected}"),
-    "variance_value": Expression("{variance} * {price}"),
+def _sum_of(kind, prefix, place, home=True, in_pieces=True, container=False):
+    """Pieces of a class of line items by part and place, and by container if asked."""
+    part, held = f"{prefix}_part", f"{prefix}_in"
+    by = {"part": part, "place": place}
+    return Aggregate(
+        kind, f"{prefix}_pieces", {**by, "container": held} if container else by,
+        where={place: "HomeNation", part: "Part"} if home else {},
+        convert=Convert("Packing", {"packed_part": part, "packed_in": held}, "pieces_each")
+        if in_pieces else None)
+
+
+def _of_part(slot):
+    return Parameter("part", slot, "Part")
+
+
+_ARRIVALS_COUNTED = _sum_of("Inventory", "counted", "counted_at")
+
+# What home nations should still have of each part, against what was counted there.
+RECONCILIATION = GroupedSpec(MODEL, "TradeBalance", {
+    "part": "key", "place": "key",
+    "delivered": _sum_of("Delivery", "delivered", "delivered_to"),
+    "sent_back": _sum_of("Return", "returned", "returned_from"),
+    "counted": _ARRIVALS_COUNTED,
+    "brand": _of_part("part_brand"),
+    "list_price": _of_part("list_price"),
+    "floor_stock": _of_part("floor_stock"),
+    "remaining": Expression("{delivered} - {sent_back}"),
+    "counted_value": Expression("{counted} * {list_price}"),
+    "gap": Expression("{counted} - {remaining}"),
+    "gap_value": Expression("{gap} * {list_price}"),
 })
 
-# Every place, converted, unscoped: movements with no place have a NULL key.
-ON_HAND = GroupedSpec(MODEL, "IngredientOnHand", {
-    "ingredient": "key", "place": "key",
-    "unit": _item("item_base_unit"),
-    "arrived": _moved("movement_into", scoped=False),
-    "departed": _moved("movement_out_of", scoped=False),
-    "net": Expression("{arrived} - {departed}"),
-    "reorder_level": _item("item_reorder_level"),
-    "price": _item("item_price"),
-    "stock_value": Expression("{net} * {price}"),
+# Every place in pieces: lines with no place have a NULL key, suppliers get returns back.
+ON_HAND = GroupedSpec(MODEL, "PartFlow", {
+    "part": "key", "place": "key",
+    "delivered": _sum_of("Delivery", "delivered", "delivered_to", home=False),
+    "sent_back": _sum_of("Return", "returned", "returned_from", home=False),
+    "taken_back": _sum_of("Return", "returned", "returned_to", home=False),
+    "net": Expression("{delivered} + {taken_back} - {sent_back}"),
+    "brand": _of_part("part_brand"),
+    "floor_stock": _of_part("floor_stock"),
+    "list_price": _of_part("list_price"),
+    "net_value": Expression("{net} * {list_price}"),
 })
 
-# Not converted: the unit written down is a third key.
-ON_HAND_BY_UNIT = GroupedSpec(MODEL, "OnHandByUnit", {
-    "ingredient": "key", "place": "key", "unit": "key",
-    "arrived": _moved("movement_into", scoped=False, converted=False, unit=True),
-    "departed": _moved("movement_out_of", scoped=False, converted=False, unit=True),
-    "moves": Aggregate("StockMovement", "movement_quantity",
-                       {"ingredient": "movement_ingredient", "place": "movement_into",
-                        "unit": "movement_unit"}, operator="count"),
-    "net": Expression("{arrived} - {departed}"),
+# Not turned into pieces: the container is a third key.
+ON_HAND_BY_UNIT = GroupedSpec(MODEL, "PartFlowByContainer", {
+    "part": "key", "place": "key", "container": "key",
+    "delivered": _sum_of("Delivery", "delivered", "delivered_to", False, False, True),
+    "sent_back": _sum_of("Return", "returned", "returned_from", False, False, True),
+    "lines": Aggregate("Delivery", "delivered_pieces",
+                       {"part": "delivered_part", "place": "delivered_to",
+                        "container": "delivered_in"}, operator="count"),
+    "net": Expression("{delivered} - {sent_back}"),
 })
 
-COUNTED_ON_HAND = GroupedSpec(MODEL, "CountedOnHand", {
-    "ingredient": "key", "place": "key",
-    "unit": _item("item_base_unit"),
-    "counted": _COUNTED,
+COUNTED_ON_HAND = GroupedSpec(MODEL, "CountedParts", {
+    "part": "key", "place": "key",
+    "brand": _of_part("part_brand"),
+    "container": _of_part("part_container"),
+    "counted": _ARRIVALS_COUNTED,
 })
 
 ENTITY_SPECS = {c: EntitySpec(MODEL, c) for c in
-                ("Ingredient", "Location", "InternalLocation", "Supplier", "Unit",
-                 "UnitConversion")}
+                ("Part", "Place", "HomeNation", "Supplier", "Container", "Packing")}
