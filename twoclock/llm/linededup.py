@@ -147,7 +147,7 @@ def _without(text, runs):
     left, at = [], 0
     for first, last in sorted(runs):
         between = lines[at:first]
-        if at == 0 or any(line.strip() for line in between):
+        if at == 0 or any(line.strip(" \t\r\v\f") for line in between):
             left.extend(between)
         at = max(at, last + 1)
     left.extend(lines[at:])

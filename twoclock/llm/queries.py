@@ -201,7 +201,45 @@ select position, cast(archive as bigint) archive, page_id, cast(start as bigint)
 from placed where hit or position >= n - 3
 """
 
+_OP8 = r"""
+with line as materialized (
+    select doc_id, unnest(string_split(text, chr(10))) body,
+           generate_subscripts(string_split(text, chr(10)), 1) - 1 n from documents),
+cut as (select doc_id, n, regexp_extract_all(body, '[^ \t\r\x0b\x0c]+') w from line),
+worded as materialized (
+    select doc_id, n, array_to_string(w, ' ') norm,
+           row_number() over o k, sum(len(w)) over o upto, sum(len(w)) over o - len(w) before
+    from cut where len(w) > 0 window o as (partition by doc_id order by n)),
+ahead as (select a.doc_id, a.k, b.k j from (select *, before + 10 want from worded) a
+          asof join worded b on a.doc_id = b.doc_id and a.want <= b.upto),
+back as (select a.doc_id, b.k, a.k j from (select *, upto - 10 want from worded) a
+         asof join worded b on a.doc_id = b.doc_id and a.want >= b.before),
+span as (select * from ahead union select * from back),
+listed as (select doc_id, list(norm order by k) norms, list(n order by k) ns from worded group by doc_id),
+place as materialized (
+    select doc_id, ns[k] first, ns[j] last, array_to_string(norms[k:j], chr(10)) run
+    from span join listed using (doc_id)),
+kept as (select run, min(row(doc_id, first, last)) p from place group by run),
+later as (select doc_id, case when doc_id = p[1] then greatest(first, p[3] + 1) else first end first, last
+          from place join kept using (run) where (doc_id, first) <> (p[1], p[2])),
+gone as (select distinct l.doc_id, w.n from later l join worded w
+         on w.doc_id = l.doc_id and w.n between l.first and l.last),
+flagged as (select line.doc_id, line.n, body, w.n is not null worded, g.n is not null gone
+            from line left join worded w on (w.doc_id, w.n) = (line.doc_id, line.n)
+            left join gone g on (g.doc_id, g.n) = (line.doc_id, line.n)),
+around as (select *, last_value(case when worded then gone end ignore nulls) over (partition by doc_id
+           order by n rows between unbounded preceding and current row) above,
+           first_value(case when worded then gone end ignore nulls) over (partition by doc_id
+           order by n rows between current row and unbounded following) below from flagged),
+judged as (select doc_id, n, body, case when worded then gone else coalesce(above and below, false) end gone
+           from around)
+select doc_id, count(*) n_lines, count(*) filter (gone) n_removed,
+       md5(coalesce(string_agg(body, chr(10) order by n) filter (not gone), '')) text_md5
+from judged group by doc_id
+"""
+
 ORACLES = {
+    "op8_line_dedup": _OP8,
     "op2_license_scan": _OP2,
     "op3_fixity_audit": _OP3,
     "op4_decontamination": _OP4,
