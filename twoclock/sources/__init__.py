@@ -1,5 +1,5 @@
-from .log import (append_claims, load_versions, read_claims, read_jdbc, read_log, refresh_all,
-                  refresh_table, write_snapshot)
+from .log import (append_claims, load_versions, read_claims, read_jdbc, read_log,
+                  read_snapshot, refresh_all, refresh_table, write_snapshot)
 
 __all__ = ["append_claims", "load_versions", "read_claims", "read_jdbc", "read_log",
-           "refresh_all", "refresh_table", "write_snapshot"]
+           "read_snapshot", "refresh_all", "refresh_table", "write_snapshot"]

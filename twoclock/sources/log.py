@@ -48,7 +48,11 @@ def write_snapshot(stated, path) -> DataFrame:
     table derived from it reads only its own slots."""
     (stated.select("subject", "slot", "value").hint("rebalance", "slot")
      .write.mode("overwrite").partitionBy("slot").parquet(path))
-    spark = stated.sparkSession
+    return read_snapshot(stated.sparkSession, path)
+
+
+def read_snapshot(spark, path) -> DataFrame:
+    """A state written by `write_snapshot`."""
     return spark.read.parquet(path).withColumn("slot", F.col("slot").cast("string"))
 
 

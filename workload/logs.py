@@ -7,8 +7,9 @@ by slot, and every query reads the written log.
 
 from pyspark.sql import functions as F
 
+from twoclock.operators import resolve
 from twoclock.session import scratch_path
-from twoclock.sources import append_claims, read_claims
+from twoclock.sources import append_claims, read_claims, read_snapshot, write_snapshot
 
 URI_SLOT = "sys:uri"
 TYPE_SLOT = "kind_of_thing"
@@ -221,6 +222,20 @@ def stock_log(spark, sf_dir):
         spark, sf_dir, "stock", lambda path: append_claims(derive_stock(spark, sf_dir), path)))
 
 
+def stock_snapshot(spark, sf_dir, valid_at, as_of):
+    """What stood in the stock log at two clocks, by slot: resolved once, read by every
+    table derived at those clocks."""
+    path = _at_rest(spark, sf_dir, f"stated-{valid_at}-{as_of}", lambda path: write_snapshot(
+        resolve.standing(stock_log(spark, sf_dir), valid_at, as_of), path))
+    return read_snapshot(spark, path)
+
+
+def table_at_rest(spark, sf_dir, name, made):
+    """A derived table, `made()` once a session and folder."""
+    return spark.read.parquet(_at_rest(spark, sf_dir, name,
+                                       lambda path: made().write.parquet(path)))
+
+
 # ---- the same log under entity ids --------------------------------
 
 def stock_assertions(spark, sf_dir):

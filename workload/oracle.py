@@ -584,6 +584,22 @@ SELECT part, place, brand, container, round(CAST(q AS DOUBLE), 2) AS counted
 FROM tcnt LEFT JOIN about ON subject = part"""
     out["reconciliation"] = _with(*_recon_ctes(ST)) + _REC_SELECT
     out["reconciliation_asof"] = _with(*_recon_ctes(EARLY)) + _REC_SELECT
+    out["refresh_table"] = out["counted"]
+    out["refresh_all"] = _with(*_recon_ctes(ST), _wide("ing")) + """
+SELECT 'p_trade_balance' AS "table", count(*) AS rows FROM rec
+UNION ALL SELECT 'p_counted_parts', count(*) FROM tcnt
+UNION ALL SELECT 'p_part', count(*) FROM ing UNION ALL SELECT 'p_packing', count(*) FROM cvw"""
+    out["unfilled_columns"] = _with(_STOCK, _standing("sd", "st", ST), _wide("dlw"), _wide("rtw")) + """
+SELECT part, place, CAST(sum(i) AS BIGINT) AS lines, CAST(sum(o) AS BIGINT) AS back,
+       CAST(sum(i) AS BIGINT) // (CAST(sum(o) AS BIGINT) + 1) AS halves, CAST(NULL AS VARCHAR) AS note
+FROM (SELECT delivered_part AS part, delivered_to AS place,
+             CAST(delivered_pieces IS NOT NULL AS INTEGER) AS i, 0 AS o FROM dlw
+      UNION ALL SELECT returned_part, returned_from, 0,
+             CAST(returned_pieces IS NOT NULL AS INTEGER) FROM rtw) GROUP BY part, place"""
+    out["stated_cells"] = _with(_STOCK, _standing("sd", "st", ST), _wide("ing")) + """
+SELECT kind_of_thing, CAST((part_name IS NOT NULL)::INT + (part_brand IS NOT NULL)::INT
+       + (list_price IS NOT NULL)::INT + (floor_stock IS NOT NULL)::INT AS INTEGER) AS stated,
+       count(*) AS parts FROM ing GROUP BY ALL"""
     out["group_keys"] = _with(_STOCK, _standing("sd", "st", ST)) + ",".join(
         f"""
 {n} AS (SELECT subject, max(value) FILTER (slot = '{p}_part') AS part,

@@ -1,16 +1,22 @@
 """One Spark query per operator: name -> function of (session, data folder)."""
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from twoclock.functions import end_of_day, json_row, uri_slug
+from twoclock.functions import end_of_day, json_row, num_nonnulls, uri_slug
 from twoclock.operators import (ingest, project, provenance, quality, report, resolve,
                                 textmatch, triples)
-from twoclock.session import kept
+from twoclock.plans import Aggregate, Expression, GroupedSpec, Unfilled
+from twoclock.session import kept, scratch_path
 from twoclock.sources import load_versions
+from twoclock.sources import refresh_all as refresh_every
+from twoclock.sources import refresh_table as refresh_one
 
 from . import stock
 from .logs import (REFS, SLOTS, TYPE_SLOT, URI_SLOT, event_intents, event_log,
-                   stock_assertions, stock_log, table)
+                   stock_assertions, stock_log, stock_snapshot, table, table_at_rest)
 
 EV_VALID, EV_KNOWN = "2024-01-20 00:00:00", "2024-01-22 00:00:00"
 ST_VALID, ST_KNOWN = "2000-06-30", "2000-07-03 00:00:00"
@@ -33,7 +39,12 @@ def _money(df, *columns, digits=2):
     return df
 
 
-def _view(spark, d, valid_at=ST_VALID, as_of=ST_KNOWN):
+def _view(spark, d):
+    """The state at the usual clocks, resolved once for all tables derived from it."""
+    return project.StatedView(stock_snapshot(spark, d, ST_VALID, ST_KNOWN))
+
+
+def _log_view(spark, d, valid_at, as_of):
     return project.LogView(stock_log(spark, d), valid_at, as_of)
 
 
@@ -353,10 +364,53 @@ def reconciliation(spark, d):
 
 @query
 def reconciliation_asof(spark, d):
-    view = _view(spark, d, EARLY_VALID, EARLY_KNOWN)
+    view = _log_view(spark, d, EARLY_VALID, EARLY_KNOWN)
     return _money(project.grouped(view, stock.RECONCILIATION), *_RECON)
 
 
+@query
+def refresh_table(spark, d):
+    """The counted parts as a table, replaced whole and read back."""
+    made = _money(project.grouped(_view(spark, d), stock.COUNTED_ON_HAND), "counted")
+    return refresh_one(made, "counted_" + uuid.uuid4().hex[:12])
+
+
+@query
+def refresh_all(spark, d):
+    """Every derivable table from one state, each read back and counted."""
+    state = stock_snapshot(spark, d, ST_VALID, ST_KNOWN)
+    specs = [stock.RECONCILIATION, stock.COUNTED_ON_HAND, stock.ENTITY_SPECS["Part"],
+             stock.ENTITY_SPECS["Packing"]]
+    tables = refresh_every(state, specs, scratch_path(spark, "refresh", d),
+                           prefix=f"t{uuid.uuid4().hex[:12]}_")
+    counts = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows")
+              for n, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query
+def unfilled_columns(spark, d):
+    """A column the model cannot fill yet, and a whole-number quotient."""
+    spec = GroupedSpec(stock.MODEL, "Lines", {
+        "part": "key", "place": "key",
+        "lines": Aggregate("Delivery", "delivered_pieces",
+                           {"part": "delivered_part", "place": "delivered_to"}, operator="count"),
+        "back": Aggregate("Return", "returned_pieces",
+                          {"part": "returned_part", "place": "returned_from"}, operator="count"),
+        "halves": Expression("{lines} / ({back} + 1)"),
+        "note": Unfilled(),
+    })
+    return project.grouped(_view(spark, d), spec)
+
+
+@query
+def stated_cells(spark, d):
+    """How many of a part's cells are stated, by class."""
+    parts = project.entities(_view(spark, d), stock.ENTITY_SPECS["Part"])
+    n = num_nonnulls("part_name", "part_brand", "list_price", "floor_stock")
+    return parts.groupBy("kind_of_thing", n.alias("stated")).agg(F.count(F.lit(1)).alias("parts"))
+
+
 @query
 def group_keys(spark, d):
     view = _view(spark, d)
@@ -503,7 +557,9 @@ def _items(spark, d):
     view = _view(spark, d)
     meta = _metadata(view)
     places = project.entities(view, stock.ENTITY_SPECS["HomeNation"])
-    return report.item_health(project.grouped(view, stock.RECONCILIATION), meta, places)
+    balance_ = table_at_rest(spark, d, "trade-balance",
+                             lambda: project.grouped(view, stock.RECONCILIATION))
+    return report.item_health(balance_, meta, places)
 
 
 def _metadata(view):
@@ -800,7 +856,7 @@ def cells_diff(spark, d):
     """Entity lists at two moments, cell by cell."""
     spec = stock.ENTITY_SPECS["Part"]
     return quality.differing_cells(
-        project.entities(_view(spark, d, "1996-01-01", "1996-01-01"), spec).withColumn(
+        project.entities(_log_view(spark, d, "1996-01-01", "1996-01-01"), spec).withColumn(
             "list_price", F.col("list_price").cast("decimal(18,2)")),
         project.entities(_view(spark, d), spec).withColumn(
             "list_price", F.col("list_price").cast("decimal(18,2)")), "entity_uri")
