@@ -78,3 +78,23 @@ def test_window_and_actors(claims, spark):
                                    "entity_uri string, label string")
     assert {(r.actor, r.label) for r in provenance.known_actors(_intents(spark), people)
             .collect()} == {("ada", "Ada Brown"), ("ben", None), ("eve", "Eve Green")}
+
+
+def test_the_newest_rows_are_picked_before_any_join(spark, claims):
+    log = claims([("s", "p", str(n), "2026-01-01", "2026-01-02", n - 1 if n % 3 == 0 and n else None)
+                  for n in range(30)]).withColumn("intent_id", F.col("id"))
+    acts = log.select("id", F.lit("a").alias("actor_id"), F.lit("x").alias("action_name"),
+                      F.col("recorded_at").alias("occurred_at"), F.lit(None).cast("string").alias("note"),
+                      F.lit("bot").alias("agent_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = provenance.recent(log, acts, k=5, offset=2)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "TakeOrdered" in plan and "LeftSemi, BuildRight" in plan
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.seq for r in rows) == [24, 25, 26, 27, 28]
+    assert {r.seq: r.revoked_by for r in rows}[27] == "c27"
+    assert {r.agent_id for r in rows} == {"bot"}

@@ -16,7 +16,8 @@ def with_intent(claims, intents) -> DataFrame:
     if intents is None:
         return claims
     acts = intents.select(F.col("id").alias("intent_id"), "actor_id", "action_name",
-                          "occurred_at", "note")
+                          "occurred_at", "note",
+                          *[c for c in intents.columns if c == "agent_id"])
     return claims.join(acts, "intent_id")
 
 
@@ -83,15 +84,14 @@ def recent(claims, intents, k=40, offset=0, kind=None, actor=None, search=None,
 
     `kind` is "revocations" (revoking or revoked) or a name in `action_groups`.
     """
+    if not actor and kind is None:
+        return _newest_alone(claims, intents, k, offset, search)
     rows = with_intent(claims, intents)
     if action_groups and kind in action_groups:
         rows = rows.where(F.col("action_name").isin(list(action_groups[kind])))
     if actor:
         rows = rows.where(F.col("actor_id") == actor)
-    if search:
-        text = search.lower()
-        rows = rows.where(F.lower("subject").contains(text) | F.lower("slot").contains(text)
-                          | F.coalesce(F.lower("value").contains(text), F.lit(False)))
+    rows = _searched(rows, search)
     if kind == "revocations":
         rows = (with_revoked_by(rows, claims)
                 .where(F.col("revokes").isNotNull() | F.col("revoked_by").isNotNull()))
@@ -100,6 +100,28 @@ def recent(claims, intents, k=40, offset=0, kind=None, actor=None, search=None,
     return with_revoked_by(rows.orderBy(F.col("seq").desc()).offset(offset).limit(k), claims)
 
 
+def _searched(rows, search):
+    if not search:
+        return rows
+    text = search.lower()
+    return rows.where(F.lower("subject").contains(text) | F.lower("slot").contains(text)
+                      | F.coalesce(F.lower("value").contains(text), F.lit(False)))
+
+
+def _newest_alone(claims, intents, k, offset, search):
+    """The newest k where nothing depends on the intent: every claim has one, so the rows
+    are picked first, and only they meet intents and revokers. At most k rows are
+    broadcast; neither the log nor the intents are shuffled."""
+    rows = _searched(claims, search).orderBy(F.col("seq").desc()).offset(offset).limit(k)
+    if intents is not None:
+        acts = intents.join(F.broadcast(rows.select(F.col("intent_id").alias("id")).distinct()),
+                            "id", "left_semi")
+        rows = with_intent(rows, acts)
+    own = claims.where(F.col("revokes").isNotNull()).join(
+        F.broadcast(rows.select(F.col("id").alias("revokes")).distinct()), "revokes", "left_semi")
+    return with_revoked_by(rows, own)
+
+
 def status(rows) -> DataFrame:
     """Adds `status`, from `revoked_by`, `revokes` and `value`. A retraction always
     names what it revokes, so it is told apart before corrections are."""
