@@ -495,7 +495,7 @@ FROM supplier"""
 WITH said AS (SELECT 'supplier:' || l_suppkey AS uri FROM lineitem
               UNION SELECT 'customer:' || o_custkey FROM orders)
 SELECT md5(uri) AS entity_id, uri FROM said
-WHERE uri NOT IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_acctbal > 0)"""
+WHERE uri NOT IN (SELECT 'customer:' || c_custkey FROM customer)"""
     out["constraint_gate"] = _with(_EVENTS) + """,
 raw AS (SELECT ev.*, e.value AS amount, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k
         FROM ev JOIN events e ON e.event_id = ev.seq),
@@ -739,20 +739,19 @@ WITH o AS (SELECT l_orderkey AS batch, sum(CAST(l_quantity AS DECIMAL(12,2))
              * (1 - CAST(l_discount AS DECIMAL(6,2)))
              * CAST(p_retailprice AS DECIMAL(12,2))) AS out,
              count(*) FILTER (p_partkey IS NULL) AS bare
-           FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 1 GROUP BY 1),
+           FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1),
 i AS (SELECT o_orderkey AS batch, CAST(o_totalprice AS DECIMAL(14,2))
-        + CASE WHEN o_orderpriority = '1-URGENT' THEN 1000 ELSE 0 END AS allowed FROM orders
-      WHERE o_totalprice >= 1000)
+        + CASE WHEN o_orderpriority = '1-URGENT' THEN 1000 ELSE 0 END AS allowed FROM orders)
 SELECT batch, CASE WHEN bare = 0 THEN round(CAST(out AS DOUBLE), 4) END AS out,
        round(CAST(allowed AS DOUBLE), 4) AS allowed,
        CASE WHEN bare > 0 THEN 'no weight' WHEN allowed IS NULL THEN 'no input'
             ELSE 'too much' END AS reason
 FROM o LEFT JOIN i USING (batch) WHERE bare > 0 OR allowed IS NULL OR out - allowed > 0.005"""
     out["dq_stale_exemptions"] = """
-SELECT DISTINCT doc_id AS key, CASE WHEN doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')
+SELECT DISTINCT c_custkey AS key, CASE WHEN c_custkey NOT IN (SELECT doc_id FROM documents)
        THEN 'unknown' ELSE 'used' END AS reason
-FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')
-   OR doc_id IN (SELECT conv_id FROM conversations)"""
+FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM documents)
+   OR c_custkey IN (SELECT doc_id FROM labels)"""
     out["dq_parts_vs_total"] = _with(_TILL) + "SELECT key, " + _round("total", "worked") + \
         " FROM till"
     out["dq_rule_vs_observed"] = """
@@ -769,10 +768,9 @@ WHERE ((event_type = 'click' AND dayofweek(ts) IN (0, 6))
     out["dq_weekday"] = _with(_EVENTS, _WEEK) + "SELECT id, day, written FROM wk"
     out["dq_ref_coverage"] = """
 WITH first AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents),
-u AS (SELECT 'doc:' || l.doc_id AS name, 'doc:' || coalesce(f, l.doc_id) AS target
-      FROM labels l LEFT JOIN first USING (doc_id) WHERE toxic <> 1)
-SELECT name, target FROM u
-WHERE target NOT IN (SELECT 'doc:' || doc_id FROM documents WHERE lang = 'en')"""
+u AS (SELECT 'doc:' || doc_id AS name, 'doc:' || f AS target FROM first
+      WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT name, target FROM u WHERE target NOT IN (SELECT 'doc:' || doc_id FROM labels)"""
     out["dq_orphans"] = _with(_ORPHANS) + "SELECT key, source FROM orph"
     out["dq_mentions"] = """
 SELECT DISTINCT b.text AS name FROM benchmark b
@@ -792,14 +790,14 @@ SELECT doc_id, 'source' FROM documents WHERE source IS NULL
    OR NOT regexp_matches(source, '^src[0-9]$')"""
     out["dq_childless"] = """
 SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (
-  SELECT conv_id FROM conversations WHERE role = 'assistant' AND turn >= 3)"""
+  SELECT conv_id FROM conversations WHERE role = 'assistant')"""
     out["dq_vocabulary"] = """
 SELECT doc_id, lang, source FROM documents
 WHERE source IS NULL OR NOT (source IN ('src0', 'src1', 'src2', '—')
       OR regexp_matches(source, '^src1[0-9]$'))"""
     out["dq_sold_nowhere"] = """
 SELECT p_partkey FROM part WHERE p_partkey NOT IN (
-  SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 45)"""
+  SELECT l_partkey FROM lineitem)"""
     out["dq_phrases"] = _with(_LINES) + "SELECT key, line, phrase FROM ph"
     out["dq_unique"] = _with(_DUP) + "SELECT l_orderkey, l_linenumber, rows FROM dup"
     out["dq_conversion_unique"] = _with(_STOCK, _standing("sd", "st", ST), _wide("cvw"), """

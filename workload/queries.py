@@ -237,7 +237,7 @@ def register_uris(spark, d):
     said = (table(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey")
                                                .alias("uri"))
             .union(table(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey"))))
-    known = (table(spark, d, "customer").where("c_acctbal > 0")
+    known = (table(spark, d, "customer")
              .select(F.concat(F.lit("customer:"), "c_custkey").alias("uri")))
     return ingest.register_uris(said, known)
 
@@ -672,11 +672,10 @@ def _mass_inputs(spark, d):
     outputs = l.select(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("format"),
                        F.col("l_quantity").cast("decimal(12,2)").alias("units"),
                        (1 - F.col("l_discount").cast("decimal(6,2)")).alias("share"))
-    # Parts of size 1 have no weight, and orders under a thousand no input.
-    weights = p.where("p_size > 1").select(F.col("p_partkey").alias("format"),
+    weights = p.select(F.col("p_partkey").alias("format"),
                        F.col("p_retailprice").cast("decimal(12,2)").alias("weight"))
-    inputs = o.where("o_totalprice >= 1000").select(
-                      F.col("o_orderkey").alias("batch"), F.col("o_totalprice").cast("decimal(14,2)").alias("input"),
+    inputs = o.select(F.col("o_orderkey").alias("batch"),
+                      F.col("o_totalprice").cast("decimal(14,2)").alias("input"),
                       F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1000))
                       .alias("allowance"))
     return outputs, weights, inputs
@@ -689,11 +688,11 @@ def dq_mass_balance(spark, d):
 
 @query
 def dq_stale_exemptions(spark, d):
-    """Labels as exemptions of English documents no conversation is numbered after."""
+    """Customers' numbers as exemptions of documents from having a label."""
+    numbers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
-    docs = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
-    talks = table(spark, d, "conversations").select(F.col("conv_id").alias("key"))
-    return quality.stale_exemptions(labels, docs, talks)
+    return quality.stale_exemptions(numbers, docs, labels)
 
 
 def _till(spark, d):
@@ -748,8 +747,7 @@ def dq_weekday(spark, d):
 def dq_ref_coverage(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     name = F.concat(F.lit("doc:"), "doc_id")
-    used = labels.select(name.alias("name"))
-    known = docs.where("lang = 'en'").select(name.alias("name"))
+    used, known = docs.select(name.alias("name")), labels.select(name.alias("name"))
     # A copy stands for the first document with the same text.
     hashed = docs.select("doc_id", F.sha2("text", 256).alias("h"))
     first = hashed.groupBy("h").agg(F.min("doc_id").alias("first"))
@@ -793,7 +791,7 @@ def dq_completeness(spark, d):
 def dq_childless(spark, d):
     c = table(spark, d, "conversations")
     return quality.childless(c.select("conv_id").distinct(),
-                             c.where("role = 'assistant' AND turn >= 3"), "conv_id")
+                             c.where("role = 'assistant'"), "conv_id")
 
 
 @query
@@ -806,7 +804,7 @@ def dq_vocabulary(spark, d):
 @query
 def dq_sold_nowhere(spark, d):
     p = table(spark, d, "part").select("p_partkey")
-    sold = table(spark, d, "lineitem").where("l_returnflag = 'N' AND l_quantity >= 45").select(
+    sold = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("price"))
     return quality.sold_nowhere(p.join(sold, "p_partkey", "left"), "p_partkey", "price")
 
