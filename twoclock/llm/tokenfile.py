@@ -98,16 +98,22 @@ class ChunkedEncoder:
     """The ids a tokenizer gives a whole text, from those of its chunks.
 
     A byte-level tokenizer cuts a text before a space that a non-space follows, so the
-    chunks from one such space to the next are encoded by themselves, many new ones in
-    one string; the ids of short chunks are kept, about `memory` of them.
+    chunks from one such space to the next are encoded by themselves. Many new ones go
+    into one string, parted by a special token, whose id then parts their ids. The ids of
+    short chunks are kept in two generations, about `memory` of them: a full one becomes
+    the old one, and what is met again moves on to the new.
     """
 
-    def __init__(self, file, width, memory=250_000):
+    def __init__(self, file, width, memory=400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.kind, self.width, self.memory, self.known = f"<u{width}", width, memory, {}
+        self.kind, self.width, self.memory = f"<u{width}", width, memory
+        self.known, self.old = {}, {}
+        marks = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items()
+                 if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = min(marks, default=(None, None))
 
     @staticmethod
     def chunks(text):
@@ -123,31 +129,32 @@ class ChunkedEncoder:
         return out
 
     def _learn(self, chunks):
-        """Adds the ids of chunks not met before. Those that start with a space go into
-        one string, and a token is of the chunk its first character is in."""
-        spaced = [c for c in chunks if c[0] == " "]
-        for lo in range(0, len(spaced), 5000):
-            part = spaced[lo:lo + 5000]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            sizes = np.array([len(c) for c in part])
-            first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            cuts = np.searchsorted(first, np.cumsum(sizes)) * self.width
-            data = np.array(found.ids, self.kind).tobytes()
-            ends = cuts.tolist()
-            self.known.update(zip(part, [data[a:b] for a, b in zip([0] + ends, ends)],
-                                  strict=True))
-        for chunk in chunks:
-            if chunk[0] != " ":
-                found = self.tokenizer.encode(chunk, add_special_tokens=False)
-                self.known[chunk] = np.array(found.ids, self.kind).tobytes()
+        """Adds the ids of chunks not met before."""
+        alone = []
+        plain = [c for c in chunks if self.mark and self.mark not in c or alone.append(c)]
+        for lo in range(0, len(plain), 5000):
+            part = plain[lo:lo + 5000]
+            found = self.tokenizer.encode_batch_fast([self.mark.join(part)],
+                                                     add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.int64)
+            cuts = (np.flatnonzero(ids == self.mark_id) * self.width).tolist()
+            data = ids.astype(self.kind).tobytes()
+            self.known.update(zip(part, [data[a:b] for a, b in zip(
+                [0] + [c + self.width for c in cuts], cuts + [len(data)])], strict=True))
+        for chunk, found in zip(alone, self.tokenizer.encode_batch_fast(
+                alone, add_special_tokens=False), strict=True):
+            self.known[chunk] = np.array(found.ids, self.kind).tobytes()
 
     def encode(self, texts):
         """The ids of each text as little-endian bytes."""
         cut = [[c for c in self.chunks(t) if c] if t else [] for t in texts]
-        missing = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(missing) > self.memory:
-            self.known.clear()
-            missing = set().union(*cut)
+        wanted = set().union(*cut)
+        if len(self.known) > self.memory // 2:
+            self.known, self.old = {}, self.known
+        missing = wanted - self.known.keys()
+        again = missing & self.old.keys()
+        self.known.update((c, self.old[c]) for c in again)
+        missing -= again
         self._learn(missing)
         out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
         for chunk in [c for c in missing if len(c) > 64]:
