@@ -446,6 +446,8 @@ LEFT JOIN lab b ON b.subject_id = s.predicate_id LEFT JOIN lab c ON c.subject_id
 SELECT subject, arg_max(value, seq) AS class FROM st
 WHERE slot = 'kind_of_thing' AND revokes IS NULL GROUP BY 1"""
     out["version_asof"] = _version_case()
+    out["version_or_newest"] = (f"SELECT * REPLACE (coalesce(version, 'v6') AS version) "
+                                f"FROM ({_version_case()})")
     out["ever_typed"] = _with(_STOCK, _standing("s", "st", ST)) + \
         "SELECT subject FROM s WHERE slot = 'kind_of_thing' AND value = 'PromoPart'"
     out["class_members"] = _with(_STOCK, _standing("s", "st", ST)) + """

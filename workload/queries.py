@@ -124,8 +124,7 @@ VERSIONS = [
 ]
 
 
-@query
-def version_asof(spark, d):
+def _orders_and_versions(spark, d):
     dim = spark.createDataFrame(
         VERSIONS, "ordinal int, version string, valid_from string, sealed_at string, "
                   "supersedes string")
@@ -133,7 +132,18 @@ def version_asof(spark, d):
     o = table(spark, d, "orders").select(
         "o_orderkey", F.col("o_orderdate").alias("valid_at"),
         (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(90))).alias("as_of"))
-    return resolve.version_as_of(o, load_versions(dim), "valid_at", "as_of")
+    return o, load_versions(dim)
+
+
+@query
+def version_asof(spark, d):
+    return resolve.version_as_of(*_orders_and_versions(spark, d), "valid_at", "as_of")
+
+
+@query
+def version_or_newest(spark, d):
+    return resolve.version_as_of(*_orders_and_versions(spark, d), "valid_at", "as_of",
+                                 or_newest=True)
 
 
 @query
