@@ -97,14 +97,14 @@ class EliasFano:
 class ChunkedEncoder:
     """The ids a tokenizer gives a whole text, from those of its chunks.
 
-    A byte-level tokenizer cuts a text before a space that a non-space follows, so the
-    chunks from one such space to the next are encoded by themselves. Many new ones go
-    into one string, parted by a special token, whose id then parts their ids. The ids of
+    A byte-level tokenizer cuts a text before a space that a non-space follows, around a
+    lone line end, and between a letter or digit and a comma or full stop, so the chunks
+    between are encoded by themselves. Many new ones go into one string, parted by a special token, whose id then parts their ids. The ids of
     short chunks are kept in two generations, about `memory` of them: a full one becomes
     the old one, and what is met again moves on to the new.
     """
 
-    def __init__(self, file, width, memory=400_000):
+    def __init__(self, file, width, memory=1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -114,11 +114,13 @@ class ChunkedEncoder:
         marks = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items()
                  if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = min(marks, default=(None, None))
+        self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids,
+                                  self.kind).tobytes() for c in ",."}
 
     @staticmethod
     def chunks(text):
         if "\0" not in text and not _SPACED.search(text):
-            return text.replace(" ", "\0 ").split("\0")
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         parts = text.split(" ")
         out = [parts[0]]
         for part in parts[1:]:
@@ -130,8 +132,18 @@ class ChunkedEncoder:
 
     def _learn(self, chunks):
         """Adds the ids of chunks not met before."""
-        alone = []
-        plain = [c for c in chunks if self.mark and self.mark not in c or alone.append(c)]
+        alone, ended, whole = [], [], set()
+        for chunk in chunks:
+            if chunk[-1] in ",." and len(chunk) > 1 and chunk[-2].isalnum():
+                ended.append(chunk)
+                base = chunk[:-1]
+                if base in self.old and base not in self.known:
+                    self.known[base] = self.old[base]
+                if base not in self.known:
+                    whole.add(base)
+            else:
+                whole.add(chunk)
+        plain = [c for c in whole if self.mark and self.mark not in c or alone.append(c)]
         for lo in range(0, len(plain), 5000):
             part = plain[lo:lo + 5000]
             found = self.tokenizer.encode_batch_fast([self.mark.join(part)],
@@ -144,6 +156,8 @@ class ChunkedEncoder:
         for chunk, found in zip(alone, self.tokenizer.encode_batch_fast(
                 alone, add_special_tokens=False), strict=True):
             self.known[chunk] = np.array(found.ids, self.kind).tobytes()
+        for chunk in ended:
+            self.known[chunk] = self.known[chunk[:-1]] + self.stops[chunk[-1]]
 
     def encode(self, texts):
         """The ids of each text as little-endian bytes."""
@@ -162,8 +176,8 @@ class ChunkedEncoder:
         return out
 
 
-#: A space before another space, a tab, a line end or the end: no plain cut.
-_SPACED = re.compile(r" (?=\s|\Z)")
+#: White space beside white space, or a space at the end: no plain cut.
+_SPACED = re.compile(r"\s\s| \Z")
 
 
 def _block(part, number, before, keys, ids, width):
