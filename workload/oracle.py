@@ -798,8 +798,7 @@ SELECT doc_id, lang, source FROM documents
 WHERE source IS NULL OR NOT (source IN ('src0', 'src1', 'src2', '—')
       OR regexp_matches(source, '^src1[0-9]$'))"""
     out["dq_sold_nowhere"] = """
-SELECT p_partkey FROM part WHERE p_partkey NOT IN (
-  SELECT l_partkey FROM lineitem)"""
+SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"""
     out["dq_phrases"] = _with(_LINES) + "SELECT key, line, phrase FROM ph"
     out["dq_unique"] = _with(_DUP) + "SELECT l_orderkey, l_linenumber, rows FROM dup"
     out["dq_conversion_unique"] = _with(_STOCK, _standing("sd", "st", ST), _wide("cvw"), """

@@ -813,10 +813,11 @@ def dq_vocabulary(spark, d):
 
 @query
 def dq_sold_nowhere(spark, d):
-    p = table(spark, d, "part").select("p_partkey")
+    """Orders without a priced line."""
+    o = table(spark, d, "orders").select("o_orderkey")
     sold = table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("price"))
-    return quality.sold_nowhere(p.join(sold, "p_partkey", "left"), "p_partkey", "price")
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"))
+    return quality.sold_nowhere(o.join(sold, "o_orderkey", "left"), "o_orderkey", "price")
 
 
 PHRASES = [r"all rights reserved", r"licen[cs]e", r"copyright", r"api[_ ]key", r"password"]
