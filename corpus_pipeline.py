@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before kept.
 
-Documents that the quality classifier rejects go; later repeated runs of lines go, and
-documents of which nothing is left; one document of each near-duplicate group stays;
+Documents that the quality classifier rejects go; later repeated lines of any length
+go, and documents of which nothing is left; one document of each near-duplicate group stays;
 documents holding a benchmark window go; the rest are encoded to piece ids and decoded.
 """
 
@@ -21,7 +21,7 @@ def quality_classifier(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    left = linededup.without_repeats(docs)
+    left = linededup.without_repeats(docs, whole_lines=True)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -183,6 +183,42 @@ def test_line_dedup_keeps_the_first_and_drops_emptied(spark):
     assert sorted(map(tuple, places)) == [(0, 0, 1), (0, 0, 1)]
 
 
+@pytest.mark.parametrize("min_words", [4, 10])
+def test_line_dedup_of_whole_lines_matches_brute_force(spark, min_words):
+    rng = random.Random(min_words)
+    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 6)))
+            for _ in range(25)] + ["", "  ", "long line " * 6]
+    rows = [(k - 5, "\n".join([*(rng.choice(pool) for _ in range(rng.randrange(0, 14))), f"own {k}"]))
+            for k in range(60)]
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(
+        docs, min_words=min_words, whole_lines=True).collect()}
+    seen = set()
+    for i, text in rows:
+        lines = text.split("\n")
+        words = [tuple(x.split()) for x in lines]
+        gone = set()
+        for n, w in enumerate(words):
+            if w and w in seen:
+                gone.add(n)
+            seen.add(w)
+        worded = [n for n, w in enumerate(words) if w]
+        for a, b in zip(worded, worded[1:]):
+            if a in gone and b in gone:
+                gone.update(range(a, b))
+        assert got[i]["text"] == "\n".join(x for n, x in enumerate(lines) if n not in gone)
+        assert got[i]["n_removed"] == len(gone)
+
+
+def test_pipeline_line_stage_leaves_no_repeated_line(spark):
+    import corpus_pipeline
+    docs = docs_of(spark, ["menu\nfirst own text", "menu\nsecond own text", "menu"]) \
+        .withColumn("n_chars", F.length("text").cast("long"))
+    left = corpus_pipeline.line_dedup(spark, docs, None).collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left} == {
+        0: ("menu\nfirst own text", 19), 1: ("second own text", 15)}
+
+
 def plain_contamination(text, items, window):
     def words(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

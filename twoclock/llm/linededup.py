@@ -20,10 +20,12 @@ def lines_of(text):
     return out
 
 
-def windows_of(counts, min_words):
+def windows_of(counts, min_words, whole_lines=True):
     """(first, last) of the shortest windows of at least `min_words` words that begin or
-    end at each line; `counts` are the words of the lines."""
-    found, n = set(), len(counts)
+    end at each line, and with `whole_lines` of every single line whatever its length;
+    `counts` are the words of the lines."""
+    n = len(counts)
+    found = {(k, k) for k in range(n)} if whole_lines else set()
     end, total = 0, 0
     for first in range(n):
         while end < n and total < min_words:
@@ -45,13 +47,13 @@ def windows_of(counts, min_words):
     return sorted(found)
 
 
-def winnowed(text, min_words):
+def winnowed(text, min_words, whole_lines=False):
     """{fingerprint: [(digest of the window, its first and last line number)]}: each
     window selects the smallest line hash in it, and stands under that fingerprint."""
     lines = lines_of(text)
     hashes = [xxhash.xxh3_64_intdigest(line) - (1 << 63) for _, line, _ in lines]
     chosen = {}
-    for first, last in windows_of([n for _, _, n in lines], min_words):
+    for first, last in windows_of([n for _, _, n in lines], min_words, whole_lines):
         if first == last:
             digest, least = xxhash.xxh3_128_digest(lines[first][1]), hashes[first]
         else:
@@ -65,7 +67,7 @@ _WINNOWED = ("key binary, fingerprint long, again boolean, "
              "windows array<struct<digest:binary,first:int,last:int>>")
 
 
-def _selected(min_words):
+def _selected(min_words, whole_lines):
     """Rows of a document's fingerprints, each with its windows and whether two of them
     are alike."""
     def run(batches):
@@ -76,7 +78,8 @@ def _selected(min_words):
                 digests, firsts, lasts = [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(),
                                      strict=True):
-                    for fingerprint, windows in winnowed(text, min_words).items():
+                    for fingerprint, windows in winnowed(text, min_words,
+                                                           whole_lines).items():
                         keys.append(key)
                         prints.append(fingerprint)
                         again.append(len({w[0] for w in windows}) < len(windows))
@@ -105,12 +108,13 @@ def _row_key(doc_id, text):
     return F.unhex(F.concat(F.coalesce(number, F.lit("01" + "0" * 16)), digest))
 
 
-def repeated_runs(docs, doc_id="doc_id", text="text", min_words=10):
+def repeated_runs(docs, doc_id="doc_id", text="text", min_words=10, whole_lines=False):
     """(key, first, last, kept_key, kept_first): the lines to delete, with the earlier
     place that stays, named by its key and first line.
 
     A window is a shortest row of lines of `min_words` words or more; every run of that
-    many words is the union of the windows in it. A window stands under the smallest line
+    many words is the union of the windows in it. With `whole_lines` each single line is a
+    window too, so a repeated line goes however short it is. A window stands under the smallest line
     hash in it, so equal windows share a fingerprint: fingerprints that occur once in the
     corpus are dropped with all their windows, and the places of the others are joined.
     Of equal windows the first place stays whole, found by a map-side minimum, and never
@@ -119,7 +123,7 @@ def repeated_runs(docs, doc_id="doc_id", text="text", min_words=10):
     found = kept(docs.where(F.col(text).isNotNull())
                  .select(_row_key(doc_id, text).alias("key"),
                          F.col(text).cast("binary").alias("text"))
-                 .mapInArrow(_selected(min_words), _WINNOWED))
+                 .mapInArrow(_selected(min_words, whole_lines), _WINNOWED))
     several = (found.groupBy("fingerprint")
                .agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
                .where("n > 1 or again").select("fingerprint"))
@@ -170,10 +174,11 @@ def _deleted(batches):
 
 
 def dedup_lines(docs, doc_id="doc_id", text="text", min_words=10,
-                n_lines="n_lines", n_removed="n_removed"):
+                n_lines="n_lines", n_removed="n_removed", whole_lines=False):
     """`docs` with `text` less every run of lines of at least `min_words` words that also
     stands at an earlier place (doc_id, then line), and two more columns: the lines
-    before, and the lines deleted. Columns of those names are replaced.
+    before, and the lines deleted. Columns of those names are replaced. With `whole_lines`
+    every line that stands at an earlier place goes, of however few words.
 
     Ids are whole numbers. Lines are equal if their words are; blank lines between two
     deleted lines go too. Null texts stay null with 0 lines; an empty text is one
@@ -181,7 +186,7 @@ def dedup_lines(docs, doc_id="doc_id", text="text", min_words=10,
     alike in doc_id and text are one place and get the same result. Texts may be of any
     length.
     """
-    runs = (repeated_runs(docs, doc_id, text, min_words).groupBy("key")
+    runs = (repeated_runs(docs, doc_id, text, min_words, whole_lines).groupBy("key")
             .agg(F.collect_set(F.struct("first", "last")).alias(OWN + "runs"))
             .withColumnRenamed("key", OWN + "key"))
     others = [c for c in docs.columns if c not in (text, n_lines, n_removed)]
@@ -198,9 +203,10 @@ def dedup_lines(docs, doc_id="doc_id", text="text", min_words=10,
         F.col(OWN + "lines").alias(n_lines), F.col(OWN + "removed").alias(n_removed))
 
 
-def without_repeats(docs, doc_id="doc_id", text="text", min_words=10):
+def without_repeats(docs, doc_id="doc_id", text="text", min_words=10, whole_lines=False):
     """`docs` after `dedup_lines`, less the rows of which every line with words was
     deleted; rows whose text had no words before stay as they are."""
-    done = dedup_lines(docs, doc_id, text, min_words, OWN + "lines", OWN + "removed")
+    done = dedup_lines(docs, doc_id, text, min_words, OWN + "lines", OWN + "removed",
+                       whole_lines)
     emptied = (F.col(OWN + "removed") > 0) & ~F.coalesce(F.col(text), F.lit("")).rlike(r"\S")
     return done.where(~emptied).select(*[F.col(f"`{c}`") for c in docs.columns])
