@@ -1,14 +1,15 @@
 """The corpus pipeline: each stage works on all that the one before kept.
 
 Documents that the quality classifier rejects go; later repeated lines of any length
-go, and documents of which nothing is left; one document of each near-duplicate group stays;
+go, and documents of which nothing is left; one document of each near-duplicate group
+(SimHash, or 5-word shingles of Jaccard 0.8) stays;
 documents holding a benchmark window go; the rest are encoded to piece ids and decoded.
 """
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from twoclock.llm import decontam, linededup, pieces, quality, simhash
+from twoclock.llm import decontam, linededup, pieces, quality, similar
 from twoclock.llm.common import table
 from twoclock.session import kept
 
@@ -26,7 +27,7 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    return simhash.one_of_each_group(docs)
+    return similar.one_of_each_group(docs)
 
 
 def decontamination(spark, docs, sf_dir):

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from twoclock.llm import decontam, linededup, simhash
+from twoclock.llm import decontam, linededup, simhash, similar
 from twoclock.llm.common import components
 
 DOC = "doc_id long, text string, lang string, key string, fingerprint long"
@@ -112,6 +112,51 @@ def test_simhash_of_an_empty_table(spark):
     assert simhash.one_of_each_group(empty).count() == 0
 
 
+def test_similar_groups_match_brute_force(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    texts = [None, "", "one", "ONE", "a b c d e f", "a b c d e f " * 3]
+    for k in range(25):
+        base = [rng.choice(words) for _ in range(rng.randrange(12, 150))]
+        texts.append(" ".join(base))
+        for _ in range(30 if k == 3 else rng.randrange(4)):
+            near = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            texts.append(" ".join(near))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(3, "another text under a known id"), (3, texts[3])]
+
+    def cut(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets, prints = [cut(t) for _, t in rows], [plain_fingerprint(t) for _, t in rows]
+    alike, far = [], 0
+    for a in range(len(rows)):
+        for b in range(a):
+            bits = bin(prints[a] ^ prints[b]).count("1")
+            near = bool(sets[a]) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+            far += near and bits > 4
+            if near or bits <= 4:
+                alike.append((b, a))
+    assert far > 50
+    want = closure(range(len(rows)), alike)
+    order = {}
+    for k, group in want.items():
+        order.setdefault(group, set()).add(rows[k])
+    docs = docs_of(spark, [t for _, t in rows] + ["one"], [i for i, _ in rows] + [None])
+    stay = corpus_pipeline.near_dedup(spark, docs, None)
+    assert stay.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in stay.collect()]
+    assert left.count((None, "one")) == 1 and len(left) == len(order) + 1
+    for group in order.values():
+        least = min(i for i, _ in group)
+        assert sum(x in left for x in group) == 1
+        assert any(x in left for x in group if x[0] == least)
+    assert similar.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def plain_dedup(rows, min_words):
     """Every run of lines against every earlier run, in all lengths."""
     seen, out = {}, {}
