@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from twoclock.session import kept, scratch_path
 
-from . import decontam, fixity, licenses, linededup, pieces, quality, simhash, tokenfile, toxicity, vectors
+from . import (decontam, fixity, licenses, linededup, pieces, quality, search, simhash,
+               tokenfile, toxicity, urlfilter, vectors, wordruns)
 from .common import bucket_of, table
 
 
@@ -99,6 +100,53 @@ def op10_simhash(spark, sf_dir):
         "component_id")
 
 
+def op11_word_runs(spark, sf_dir):
+    """Runs of every document's words and what is left of them, some texts made periodic:
+    where crc32(doc_id) ends in 0, words from some place on repeat in a short period."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("__words")
+    a = F.pmod(g, F.greatest(n, F.lit(1)))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    words = F.regexp_extract_all("text", F.lit(wordruns.WORD_PATTERN), F.lit(0))
+    made = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.get(
+        F.col("__words"), F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+    periodic = F.coalesce(h % 10 == 0, F.lit(False))
+    docs = docs.withColumn("__words", F.when(periodic, words)).withColumn("text", F.when(
+        n > 0, F.array_join(made, " ")).otherwise(F.col("text"))).drop("__words")
+    found = wordruns.runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"),
+        (-r["period"]).alias("period"))))
+    found = found.withColumn("best", best)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    """The 20 documents that rank highest for each benchmark item."""
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The rules of op13, as its contract lists them.
+URL_RULES = [
+    urlfilter.Rule("allow", "com"), urlfilter.Rule("block", "example.com", "/en/"),
+    urlfilter.Rule("allow", "www.example.com", "/en/"),
+    urlfilter.Rule("block", "net", "/es/"), urlfilter.Rule("block", "net", "/fr/")]
+
+
+def op13_url_filter(spark, sf_dir):
+    """Verdict on the url of every page."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -110,6 +158,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_file": op9_token_file,
     "op10_simhash": op10_simhash,
+    "op11_word_runs": op11_word_runs,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_url_filter": op13_url_filter,
 }
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -238,7 +289,61 @@ select doc_id, count(*) n_lines, count(*) filter (gone) n_removed,
 from judged group by doc_id
 """
 
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(
+    string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)), lambda r, b:
+    list_reduce(list_prepend(xor(r, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, y:
+    case when x % 2 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)))"""
+
+_OP11 = rf"""
+with d as (select doc_id, {_CRC32} h, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w
+           from documents),
+g as (select *, h // 10 g, len(w) n from d),
+made as materialized (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i:
+         w[1 + case when i < g % n then i
+             else g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) end]) else w end w from g),
+word as (select doc_id, unnest(range(n)) i, unnest(w) v from made),
+same as (select a.doc_id, a.i, b.i - a.i q from word a join word b
+         on a.doc_id = b.doc_id and a.v = b.v and a.i < b.i),
+island as (select doc_id, q, min(i) s, count(*) + q as length from
+           (select *, i - row_number() over (partition by doc_id, q order by i) k from same)
+           group by doc_id, q, k having count(*) + q >= greatest(12, 2 * q)),
+run as materialized (select doc_id, s, length, min(q) q from island group by all),
+best as (select doc_id, s, length, q, row_number() over (partition by doc_id order by length desc, s, q) k,
+         count(*) over (partition by doc_id) n_runs from run),
+listed as (select doc_id, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) runs
+           from run group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + length)) i from run),
+left_over as (select doc_id, string_agg(v, ' ' order by i) words from word anti join gone
+              using (doc_id, i) group by doc_id)
+select doc_id, cast(coalesce(n_runs, 0) as bigint) n_runs, cast(s as bigint) as start,
+       cast(length as bigint) length, cast(q as bigint) period,
+       cast(1000 * length // q as bigint) exponent_milli, sha256(coalesce(runs, '')) runs_sha256,
+       sha256(coalesce(words, '')) collapsed_sha256
+from made left join (select * from best where k = 1) using (doc_id) left join listed using (doc_id)
+     left join left_over using (doc_id)
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12 = rf"""
+with doc as materialized (select doc_id, {_TERMS} t from documents),
+size as (select count(*) docs, sum(len(t)) words from doc where len(t) > 0),
+post as materialized (select doc_id, n, t, count(*) tf from
+        (select doc_id, len(t) n, unnest(t) t from doc) group by all),
+df as (select t, count(*) df from post group by t),
+ask as (select item_id, t, count(*) r from (select distinct item_id, text from benchmark),
+        unnest({_TERMS}) u(t) group by all),
+weighed as (select item_id, t, r * cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) w
+            from ask join df using (t), size),
+found as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 *
+          (75 + (25 * n * docs) // words)))) as bigint) score
+          from weighed join post using (t), size group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) rank,
+       doc_id, score from found where score > 0 qualify rank <= 20
+"""
+
 ORACLES = {
+    "op11_word_runs": _OP11,
+    "op12_lexical_search": _OP12,
     "op8_line_dedup": _OP8,
     "op2_license_scan": _OP2,
     "op3_fixity_audit": _OP3,
