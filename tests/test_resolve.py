@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -168,6 +169,55 @@ def test_versions(spark):
         assert version_as_of(rows, versions, "va", "ao").first()["version"] == expected
 
 
+def plain_version(versions, va, ao):
+    held = [(v[3], v[0], v[1]) for v in versions if v[3] <= ao and v[2] <= va]
+    return max(held)[2] if held else None
+
+
+@pytest.mark.parametrize("count,fanout", [(1, 2), (37, 2), (300, 64)])
+def test_version_tree_matches_brute_force(spark, count, fanout):
+    from twoclock.operators.versions import VersionTree, version_as_of
+    rng = random.Random(count * fanout)
+    at = day("2020-01-01")
+    versions = [(n, f"v{n}", at + timedelta(days=rng.randrange(40)),
+                 at + timedelta(days=rng.randrange(30))) for n in range(count)]
+    dim = spark.createDataFrame(versions, "ordinal int, version string, "
+                                "valid_from timestamp_ntz, sealed_at timestamp_ntz")
+    tree = VersionTree(dim, fanout)
+    rows = [(n, at + timedelta(days=rng.randrange(-1, 42)), at + timedelta(days=rng.randrange(-1, 32)))
+            for n in range(200)] + [(900, None, at), (901, at, None)]
+    frame = spark.createDataFrame(rows, "n int, va timestamp_ntz, ao timestamp_ntz")
+    got = {r["n"]: r["version"] for r in tree.choose(frame, "va", "ao").collect()}
+    assert got == {n: plain_version(versions, va, ao) if va and ao else None
+                   for n, va, ao in rows}
+    newest = max((v[3], v[0], v[1]) for v in versions)[2]
+    got = {r["n"]: r["version"] for r in version_as_of(frame, tree, "va", "ao", True).collect()}
+    assert got[900] == got[901] == newest
+
+
+def test_a_hundred_thousand_versions(spark):
+    from twoclock.operators.versions import VersionTree
+    day0 = F.lit("1990-01-01 00:00:00").cast("timestamp_ntz")
+    minutes = [F.pmod(F.col("id") * k, F.lit(m)).cast("int") for k, m in ((7919, 99991), (104729, 99989))]
+    dim = spark.range(100_000).select(
+        F.col("id").alias("ordinal"), F.col("id").cast("string").alias("version"),
+        (day0 + F.make_dt_interval(mins=minutes[0])).alias("valid_from"),
+        (day0 + F.make_dt_interval(mins=minutes[1])).alias("sealed_at"))
+    tree = VersionTree(dim)
+    assert len(tree.levels) == 3 and tree.levels[2].count() == 1
+    rows = spark.range(400).select("id", *[
+        (day0 + F.make_dt_interval(mins=F.pmod(F.col("id") * k, F.lit(100_000)).cast("int"))).alias(c)
+        for k, c in ((31337, "va"), (271, "ao"))])
+    held = [(k * 104729 % 99989, k, k * 7919 % 99991) for k in range(100_000)]
+    found = tree.choose(rows, "va", "ao")
+    for r in found.where("id % 10 = 3").collect():
+        va, ao = r["id"] * 31337 % 100_000, r["id"] * 271 % 100_000
+        best = max(((s, k) for s, k, v in held if s <= ao and v <= va), default=None)
+        assert r["version"] == (str(best[1]) if best else None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_version_rows_must_be_whole(spark):
     from twoclock.sources import load_versions
     dim = spark.createDataFrame(

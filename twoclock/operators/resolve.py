@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.clocks import instant_column
+from .versions import version_as_of  # noqa: F401  (part of this module's interface)
 
 RANK = ("valid_from", "recorded_at", "seq")
 
@@ -264,24 +265,3 @@ def ever_typed(claims, type_slot, classes, valid_at, as_of) -> DataFrame:
                       typed.select("subject", "slot"), valid_at, as_of)
     return won.where((F.col("slot") == type_slot)
                      & F.col("value").isin(list(classes))).select("subject")
-
-
-# ---- versions of the definitions ------------------------------------------
-
-def version_as_of(rows, versions, valid_at, as_of, or_newest=False) -> DataFrame:
-    """Adds `version`: of those sealed by `as_of` and in force at `valid_at`, the
-    one sealed last; equal seals go by their order. Where there is none, NULL, or with
-    `or_newest` the one sealed last of all.
-
-    `versions` is the small list `load_versions` returns, so the choice is a
-    projection: the first match in newest-first order, no join and no shuffle.
-    """
-    newest_first = sorted(enumerate(versions), key=lambda v: (v[1]["sealed_at"], v[0]),
-                          reverse=True)
-    picks = [F.when((instant_column(v["sealed_at"]) <= F.col(as_of))
-                    & (instant_column(v["valid_from"]) <= F.col(valid_at)),
-                    F.lit(v["version"])) for _, v in newest_first]
-    if or_newest and newest_first:
-        picks.append(F.lit(newest_first[0][1]["version"]))
-    return rows.withColumn("version", F.coalesce(*picks) if picks
-                           else F.lit(None).cast("string"))

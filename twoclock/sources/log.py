@@ -67,15 +67,13 @@ def refresh_all(stated, specs, path, prefix="") -> dict:
     return {s.table: refresh_table(project(view, s), prefix + s.table) for s in ordered}
 
 
-def load_versions(versions, at_most=10_000) -> list:
-    """The version dimension as a list, in `ordinal` order. Rows lacking a version,
-    `valid_from` or `sealed_at` are refused, and so is a table too long to be one."""
-    held = (versions.select("ordinal", "version", "valid_from", "sealed_at", "supersedes")
-            .orderBy("ordinal", "version").limit(at_most + 1).collect())
-    if len(held) > at_most:
-        raise ValueError(f"more than {at_most} versions; join them as a table instead")
-    for row in held:
-        for key in ("version", "valid_from", "sealed_at"):
-            if row[key] is None:
-                raise ValueError(f"version {row['version'] or row['ordinal']} has no {key}")
-    return [row.asDict() for row in held]
+def load_versions(versions) -> DataFrame:
+    """The version dimension (ordinal, version, valid_from, sealed_at, supersedes), of any
+    length. Rows lacking a version, `valid_from` or `sealed_at` are refused."""
+    held = versions.select("ordinal", "version", "valid_from", "sealed_at", "supersedes")
+    needed = ("version", "valid_from", "sealed_at")
+    lacking = held.where(" or ".join(f"{key} is null" for key in needed))
+    for row in lacking.orderBy("ordinal").limit(1).collect():
+        key = next(k for k in needed if row[k] is None)
+        raise ValueError(f"version {row['version'] or row['ordinal']} has no {key}")
+    return held

@@ -446,6 +446,18 @@ LEFT JOIN lab b ON b.subject_id = s.predicate_id LEFT JOIN lab c ON c.subject_id
 SELECT subject, arg_max(value, seq) AS class FROM st
 WHERE slot = 'kind_of_thing' AND revokes IS NULL GROUP BY 1"""
     out["version_asof"] = _version_case()
+    out["version_of_lines"] = """
+WITH ver AS MATERIALIZED (SELECT 'list:' || c_custkey AS version, c_custkey,
+       TIMESTAMP '1992-01-01 00:00:00' + to_days(CAST(c_custkey * 7919 % 2400 AS INT)) AS vf,
+       TIMESTAMP '1992-01-01 00:00:00' + to_days(CAST(c_custkey * 104729 % 2500 AS INT)) AS sealed
+       FROM customer),
+line AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate AS valid_at,
+       o_orderdate AS as_of FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+clock AS MATERIALIZED (SELECT DISTINCT valid_at, as_of FROM line),
+chosen AS (SELECT valid_at, as_of, arg_max(version, (sealed, c_custkey)) AS version
+       FROM clock JOIN ver ON sealed <= as_of AND vf <= valid_at GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, valid_at, as_of, version
+FROM line LEFT JOIN chosen USING (valid_at, as_of)"""
     out["version_or_newest"] = (f"SELECT * REPLACE (coalesce(version, 'v6') AS version) "
                                 f"FROM ({_version_case()})")
     out["ever_typed"] = _with(_STOCK, _standing("s", "st", ST)) + \

@@ -146,6 +146,28 @@ def version_or_newest(spark, d):
                                  or_newest=True)
 
 
+def _price_lists(spark, d):
+    """A price list a customer: in force from one day of 1992 to 1998, sealed on another.
+    Many are sealed after a later one came into force, or on the same day."""
+    day = F.lit("1992-01-01 00:00:00").cast("timestamp_ntz")
+    key = F.col("c_custkey")
+    return load_versions(table(spark, d, "customer").select(
+        key.alias("ordinal"), F.concat(F.lit("list:"), key).alias("version"),
+        (day + F.make_dt_interval(days=(key * 7919 % 2400).cast("int"))).alias("valid_from"),
+        (day + F.make_dt_interval(days=(key * 104729 % 2500).cast("int"))).alias("sealed_at"),
+        F.lit(None).cast("string").alias("supersedes")))
+
+
+@query
+def version_of_lines(spark, d):
+    """The price list behind every line item, as known when its order was placed."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("as_of"))
+    rows = (table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
+                                               F.col("l_shipdate").alias("valid_at"))
+            .join(o, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
+    return resolve.version_as_of(rows, _price_lists(spark, d), "valid_at", "as_of")
+
+
 @query
 def ever_typed(spark, d):
     return resolve.ever_typed(stock_log(spark, d), TYPE_SLOT,
