@@ -132,6 +132,101 @@ def test_against_brute_force_and_prefix(spark, rows, va, ao):
     assert cells == expected
 
 
+def _random_log(rng, size):
+    at = [f"2026-01-{1 + k:02d}" for k in range(12)]
+    rows = []
+    for n in range(size):
+        revokes = rng.randrange(size) if rng.random() < 0.4 else None
+        value = None if revokes is not None and rng.random() < 0.5 else f"v{n}"
+        rows.append((rng.choice("st"), rng.choice("xyz"), value, rng.choice(at), rng.choice(at),
+                     revokes))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grid_and_index_match_point_reads(claims, seed, spark, tmp_path):
+    from twoclock.sources import revocations_of
+    rng = random.Random(seed)
+    log = claims(_random_log(rng, 70))
+    index = revocations_of(log).cache()
+    clocks = [(f"2026-01-{rng.randrange(1, 13):02d}T00:00", f"2026-01-{rng.randrange(1, 13):02d}T00:00")
+              for _ in range(7)]
+    clocks.append(clocks[0])
+    grid = resolve.clock_grid(log, clocks)
+    assert grid.columns == [*log.columns, "valid_at", "as_of"]
+    got, again = ({(str(r["valid_at"]), str(r["as_of"]), r["subject"], r["slot"]): r["id"]
+                   for r in g.collect()}
+                  for g in (grid, resolve.clock_grid(log, clocks, revocations=index)))
+    want = {}
+    for va, ao in set(clocks):
+        for by_index in (None, index):
+            won = {(str(day(va)), str(day(ao)), r["subject"], r["slot"]): r["id"]
+                   for r in resolve.standing(log, va, ao, revocations=by_index).collect()}
+            assert by_index is None or all(want[k] == v for k, v in won.items())
+            want.update(won)
+    assert got == again == want and grid.count() == len(want)
+    pairs = log.where("subject = 's'").select("subject")
+    va, ao = clocks[0]
+    for slot in "xyz":
+        for by_index in (None, index):
+            point = resolve.resolve_point(log, "s", slot, va, ao, by_index).collect()
+            assert [r["id"] for r in point] == [v for k, v in want.items() if k == (
+                str(day(va)), str(day(ao)), "s", slot)]
+    subset = [sorted(r["id"] for r in resolve.standing_of(log, pairs, va, ao, i).collect())
+              for i in (None, index)]
+    assert subset[0] == subset[1]
+    assert resolve.clock_grid(log, []).count() == 0
+
+
+def test_grid_makes_no_row_for_a_claim_and_a_clock(spark):
+    """A long history of one pair meets many clocks as its few rectangles."""
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    log = spark.range(20_000).select(
+        F.col("id").cast("string").alias("id"), F.col("id").alias("seq"),
+        F.lit("s").alias("subject"), F.lit("p").alias("slot"), F.col("id").cast("string").alias("value"),
+        *[(at + F.make_dt_interval(mins=F.col("id").cast("int"))).alias(c)
+          for c in ("valid_from", "recorded_at")], F.lit(None).cast("string").alias("revokes"))
+    clocks = [(f"2026-01-{d:02d}T00:00", f"2026-01-{e:02d}T00:00")
+              for d in range(2, 12) for e in range(2, 12)]
+    grid = resolve.clock_grid(log, clocks)
+    assert grid.count() == 100
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == plan.count("WindowGroupLimit") / 2 == 1
+
+
+def test_a_point_reads_the_revocations_of_its_pair_alone(spark, claims, tmp_path):
+    from twoclock.sources import append_claims, append_indexed, read_claims, read_revocations
+    rows = [(f"s{k}", slot, f"v{k}", "2026-01-01", "2026-01-02", None)
+            for k in range(40) for slot in ("a", "b")]
+    rows += [(f"s{k}", "a", None, "2026-01-01", f"2026-01-{3 + k % 9:02d}", 2 * k) for k in range(40)]
+    whole = claims(rows)
+    log_path, index_path = f"{tmp_path}/log", f"{tmp_path}/index"
+    first = whole.where("seq <= 30 or seq > 85")
+    append_claims(first, log_path)
+    from twoclock.sources import write_revocations
+    write_revocations(first, index_path)
+    waiting = read_revocations(spark, index_path).where("slot is null").count()
+    assert waiting > 0
+    for _ in range(2):
+        append_indexed(whole.where("seq > 30 and seq <= 85"), log_path, index_path)
+    log, index = read_claims(spark, log_path), read_revocations(spark, index_path)
+    assert log.count() == len(rows)
+    for ao in ("2026-01-02", "2026-01-06T00:00", "2026-02-01"):
+        plain = resolve.standing(log, "2026-02-01", ao)
+        by_index = resolve.standing(log, "2026-02-01", ao, revocations=index)
+        assert sorted(plain.collect()) == sorted(by_index.select(*plain.columns).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        point = resolve.resolve_point(log, "s7", "a", "2026-02-01", "2026-02-01", index)
+        scans = [line for line in point._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+                 .splitlines() if "FileScan" in line]
+        assert len(scans) == 2
+        for scan in scans:
+            assert "EqualTo(subject,s7)" in scan.replace("IsNotNull", "") and "= a)" in scan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_hot_pair_is_cut_down_before_the_shuffle(spark):
     """A third of the log under one pair: each map task sends one of its rows."""
     log = spark.range(30_000).select(

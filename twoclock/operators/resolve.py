@@ -14,13 +14,11 @@ Two plans answer the same question and the caller picks by shape of the result:
   and one row per subject and map task whatever the subject's size.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.clocks import instant_column
+from ..functions.clocks import instant, instant_column
 from .versions import version_as_of  # noqa: F401  (part of this module's interface)
 
 RANK = ("valid_from", "recorded_at", "seq")
@@ -51,30 +49,42 @@ def as_claims(assertions: DataFrame) -> DataFrame:
 
 
 def revoked_ids(claims: DataFrame, as_of) -> DataFrame:
-    """Ids withdrawn by something already recorded at `as_of`. The revoker's own
-    fate and `valid_from` do not matter, and it may belong to any pair."""
+    """Ids withdrawn by something already recorded at `as_of`, for an anti-join. The
+    revoker's own fate and `valid_from` do not matter, and it may belong to any pair."""
     return (claims.where(F.col("revokes").isNotNull()
                          & (F.col("recorded_at") <= _clock(claims, "recorded_at", as_of)))
-            .select(F.col("revokes").alias("id")).distinct())
+            .select(F.col("revokes").alias("id")))
+
 
+def withdrawn_ids(revocations: DataFrame, as_of) -> DataFrame:
+    """The same from an index of revocations, or a part of one."""
+    return (revocations.where(F.col("revoked_at") <= _clock(revocations, "revoked_at", as_of))
+            .select("id"))
 
-def candidates(claims, valid_at, as_of, slots=None, revoking=None) -> DataFrame:
+
+def candidates(claims, valid_at, as_of, slots=None, revoking=None,
+               revocations=None) -> DataFrame:
     """Claims in the running at the two clocks. `slots` reaches the scan, where a
     log laid out by slot prunes whole folders. Where `claims` is only part of a log,
-    `revoking` is the whole of it: any row may revoke any other."""
+    `revoking` is the whole of it: any row may revoke any other. With an index,
+    `revocations`, only the folders of the wanted slots are read of that too."""
     wanted = claims if slots is None else claims.where(F.col("slot").isin(list(slots)))
+    if revocations is None:
+        gone = revoked_ids(claims if revoking is None else revoking, as_of)
+    else:
+        gone = withdrawn_ids(revocations if slots is None else revocations.where(
+            F.col("slot").isin(list(slots))), as_of)
     return (wanted.where(visible(claims, valid_at, as_of) & states_something(claims))
-            .join(revoked_ids(claims if revoking is None else revoking, as_of), "id",
-                  "left_anti"))
+            .join(gone, "id", "left_anti"))
 
 
 def _newest(keys):
     return W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in RANK])
 
 
-def standing(claims, valid_at, as_of, slots=None) -> DataFrame:
+def standing(claims, valid_at, as_of, slots=None, revocations=None) -> DataFrame:
     """The winner of every (subject, slot)."""
-    return (candidates(claims, valid_at, as_of, slots)
+    return (candidates(claims, valid_at, as_of, slots, revocations=revocations)
             .withColumn("_place", F.row_number().over(_newest(["subject", "slot"])))
             .where("_place = 1").drop("_place"))
 
@@ -88,66 +98,106 @@ def standing_by_aggregate(claims, valid_at, as_of, slots=None) -> DataFrame:
     return won.select("subject", "slot", "_row.*").select(*held.columns)
 
 
-def standing_of(claims, pairs, valid_at, as_of) -> DataFrame:
-    """`standing` for the given pairs only: a frame with `subject`, `slot` or both."""
+def standing_of(claims, pairs, valid_at, as_of, revocations=None) -> DataFrame:
+    """`standing` for the given pairs only: a frame with `subject`, `slot` or both. Without
+    an index, revocations are read from the whole log, since they may cross pairs; with
+    one, those of the given pairs."""
     keys = [k for k in ("subject", "slot") if k in pairs.columns]
-    # Revocations are read from the whole log, since they may cross pairs.
-    kept = claims.join(pairs.select(*keys).distinct(), keys, "left_semi")
-    held = (kept.where(visible(claims, valid_at, as_of) & states_something(claims))
-            .join(revoked_ids(claims, as_of), "id", "left_anti"))
+    wanted = pairs.select(*keys).distinct()
+    held = claims.join(wanted, keys, "left_semi")
+    gone = revoked_ids(claims, as_of) if revocations is None else withdrawn_ids(
+        revocations.join(wanted, keys, "left_semi"), as_of)
+    held = (held.where(visible(claims, valid_at, as_of) & states_something(claims))
+            .join(gone, "id", "left_anti"))
     return (held.withColumn("_place", F.row_number().over(_newest(["subject", "slot"])))
             .where("_place = 1").drop("_place"))
 
 
-def resolve_point(claims, subject, slot, valid_at, as_of) -> DataFrame:
-    """One pair; the key filter is pushed below the join, to the scan."""
-    held = (claims.where((F.col("subject") == subject) & (F.col("slot") == slot))
-            .where(visible(claims, valid_at, as_of) & states_something(claims))
-            .join(revoked_ids(claims, as_of), "id", "left_anti"))
+def resolve_point(claims, subject, slot, valid_at, as_of, revocations=None) -> DataFrame:
+    """One pair; the key filter is pushed below the join, to the scan of the log and, with
+    an index, to that of the revocations: nothing of another pair is read."""
+    def of_pair(df):
+        return df.where((F.col("subject") == subject) & (F.col("slot") == slot))
+
+    gone = revoked_ids(claims, as_of) if revocations is None else withdrawn_ids(
+        of_pair(revocations), as_of)
+    held = (of_pair(claims).where(visible(claims, valid_at, as_of) & states_something(claims))
+            .join(gone, "id", "left_anti"))
     return held.orderBy(*[F.col(c).desc() for c in RANK]).limit(1)
 
 
-def clock_grid(claims, clocks, slots=None) -> DataFrame:
-    """`standing` at many clock pairs, `clocks` being a list of (valid_at, as_of).
+def clock_grid(claims, clocks, slots=None, revocations=None) -> DataFrame:
+    """`standing` at many clock pairs, `clocks` being a list of (valid_at, as_of) that its
+    caller wrote down.
 
-    The pairs are written down by a caller, so they ride along as an array literal
-    instead of a join. Each claim carries the first moment it was revoked, found
-    once with an equi-join, and is expanded only to the pairs it is visible at.
+    The moments of the list cut both clocks into steps. A claim can win from the step it
+    becomes valid in, between the step it is learned in and the one it is withdrawn in:
+    a rectangle of whole steps. Of the claims of a pair with one rectangle only the newest
+    can win, so before anything is shuffled a pair is down to as many rows as there are
+    rectangles, however long its history; no row is made for a claim and a clock. The
+    rows of a pair, newest first, then meet the clocks within one row: the first rectangle
+    around a clock is the winner there, and one row leaves for every pair and clock that
+    has one.
     """
     va_type = claims.schema["valid_from"].dataType
     ra_type = claims.schema["recorded_at"].dataType
-    grid = F.array(*[
-        F.struct(instant_column(va, va_type).alias("valid_at"),
-                 instant_column(ao, ra_type).alias("as_of"))
-        for va, ao in clocks])
-    first_revoked = (claims.where(F.col("revokes").isNotNull())
-                     .groupBy(F.col("revokes").alias("id"))
-                     .agg(F.min("recorded_at").alias("_revoked_at")))
+    if not clocks:
+        return claims.limit(0).withColumns({"valid_at": F.lit(None).cast(va_type),
+                                            "as_of": F.lit(None).cast(ra_type)})
+    pairs = [(instant(va), instant(ao)) for va, ao in clocks]
+    valid_steps, known_steps = (sorted({p[k] for p in pairs}) for k in (0, 1))
+    withdrawn = (
+        claims.where(F.col("revokes").isNotNull()).groupBy(F.col("revokes").alias("id"))
+        .agg(F.min("recorded_at").alias("_revoked_at")) if revocations is None else
+        (revocations if slots is None else revocations.where(F.col("slot").isin(list(slots))))
+        .groupBy("id").agg(F.min("revoked_at").alias("_revoked_at")))
     wanted = claims if slots is None else claims.where(F.col("slot").isin(list(slots)))
-    # Visible at the latest clocks is necessary for being visible at any of them.
-    latest_valid = reduce(F.greatest, [instant_column(v, va_type) for v, _ in clocks]) \
-        if len(clocks) > 1 else instant_column(clocks[0][0], va_type)
-    latest_known = reduce(F.greatest, [instant_column(a, ra_type) for _, a in clocks]) \
-        if len(clocks) > 1 else instant_column(clocks[0][1], ra_type)
-    held = (wanted.where(states_something(claims)
-                         & (F.col("valid_from") <= latest_valid)
-                         & (F.col("recorded_at") <= latest_known))
-            .join(first_revoked, "id", "left"))
-    seen = F.filter(grid, lambda g: (
-        (F.col("valid_from") <= g["valid_at"]) & (F.col("recorded_at") <= g["as_of"])
-        & (F.col("_revoked_at").isNull() | (F.col("_revoked_at") > g["as_of"]))))
-    spread = (held.withColumn("_clock", F.explode(seen))
-              .withColumn("valid_at", F.col("_clock.valid_at"))
-              .withColumn("as_of", F.col("_clock.as_of"))
-              .drop("_clock", "_revoked_at"))
-    return (spread.withColumn("_place", F.row_number().over(
-                _newest(["valid_at", "as_of", "subject", "slot"])))
-            .where("_place = 1").drop("_place"))
-
-
-def standing_wide(claims, slots: dict, valid_at, as_of, revoking=None) -> DataFrame:
+    last = [instant_column(steps[-1], t) for steps, t in
+            ((valid_steps, va_type), (known_steps, ra_type))]
+    held = (wanted.where(states_something(claims) & (F.col("valid_from") <= last[0])
+                         & (F.col("recorded_at") <= last[1]))
+            .join(withdrawn, "id", "left"))
+
+    def step(column, steps, type_):
+        """The first step whose moment is not before the column."""
+        return sum((F.when(F.col(column) > instant_column(m, type_), 1).otherwise(0)
+                    for m in steps), F.lit(0))
+
+    held = held.withColumns({
+        "_valid": step("valid_from", valid_steps, va_type),
+        "_known": step("recorded_at", known_steps, ra_type),
+        "_gone": F.when(F.col("_revoked_at").isNull(), len(known_steps)).otherwise(
+            step("_revoked_at", known_steps, ra_type))}).where("_known < _gone")
+    rectangle = ["subject", "slot", "_valid", "_known", "_gone"]
+    newest = (held.withColumn("_place", F.row_number().over(_newest(rectangle)))
+              .where("_place = 1"))
+    rest = [c for c in claims.columns if c not in ("subject", "slot")]
+    row = F.struct(*[F.col(c).alias(f"r{n}") for n, c in enumerate(RANK)],
+                   *[F.col(c).alias(f"c{n}") for n, c in enumerate(rest)],
+                   *rectangle[2:])
+    by_pair = newest.groupBy("subject", "slot").agg(
+        F.sort_array(F.collect_list(row), asc=False).alias("_rows"))
+    asked = F.array(*[F.struct(
+        instant_column(va, va_type).alias("valid_at"), instant_column(ao, ra_type).alias("as_of"),
+        F.lit(valid_steps.index(va)).alias("valid"), F.lit(known_steps.index(ao)).alias("known"))
+        for va, ao in dict.fromkeys(pairs)])
+    won = F.transform(asked, lambda k: F.struct(
+        k["valid_at"].alias("valid_at"), k["as_of"].alias("as_of"),
+        F.get(F.filter("_rows", lambda r: (r["_valid"] <= k["valid"])
+                       & (r["_known"] <= k["known"]) & (r["_gone"] > k["known"])),
+              F.lit(0)).alias("row")))
+    return (by_pair.select("subject", "slot", F.explode(won).alias("_won"))
+            .where("_won.row is not null")
+            .select(*[F.col(c) if c in ("subject", "slot") else
+                      F.col(f"_won.row.c{rest.index(c)}").alias(c) for c in claims.columns],
+                    "_won.valid_at", "_won.as_of"))
+
+
+def standing_wide(claims, slots: dict, valid_at, as_of, revoking=None,
+                  revocations=None) -> DataFrame:
     """One row per subject, one text column per entry of `slots` (column -> slot)."""
-    held = candidates(claims, valid_at, as_of, sorted(set(slots.values())), revoking)
+    held = candidates(claims, valid_at, as_of, sorted(set(slots.values())), revoking,
+                      revocations)
     newest = F.struct(*RANK, "value")
     return held.groupBy("subject").agg(*[
         F.max(F.when(F.col("slot") == slot, newest)).getField("value").alias(name)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from twoclock.operators import resolve
 from twoclock.session import scratch_path
-from twoclock.sources import append_claims, read_claims, read_snapshot, write_snapshot
+from twoclock.sources import (append_claims, read_claims, read_revocations, read_snapshot,
+                              write_revocations, write_snapshot)
 
 URI_SLOT = "sys:uri"
 TYPE_SLOT = "kind_of_thing"
@@ -48,6 +49,13 @@ def event_log(spark, sf_dir):
         F.concat(F.lit("act:"), "event_id").alias("intent_id"))
 
 
+def event_revocations(spark, sf_dir):
+    """The index of what the event log withdraws, written once."""
+    return read_revocations(spark, _at_rest(
+        spark, sf_dir, "event-revocations",
+        lambda path: write_revocations(event_log(spark, sf_dir), path)))
+
+
 def event_intents(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select(
@@ -222,6 +230,13 @@ def stock_log(spark, sf_dir):
         spark, sf_dir, "stock", lambda path: append_claims(derive_stock(spark, sf_dir), path)))
 
 
+def stock_revocations(spark, sf_dir):
+    """The index of what the stock log withdraws, written once."""
+    return read_revocations(spark, _at_rest(
+        spark, sf_dir, "stock-revocations",
+        lambda path: write_revocations(stock_log(spark, sf_dir), path)))
+
+
 def stock_snapshot(spark, sf_dir, valid_at, as_of):
     """What stood in the stock log at two clocks, by slot: resolved once, read by every
     table derived at those clocks."""

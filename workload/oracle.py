@@ -446,6 +446,12 @@ LEFT JOIN lab b ON b.subject_id = s.predicate_id LEFT JOIN lab c ON c.subject_id
 SELECT subject, arg_max(value, seq) AS class FROM st
 WHERE slot = 'kind_of_thing' AND revokes IS NULL GROUP BY 1"""
     out["version_asof"] = _version_case()
+    out["revocation_index"] = "WITH " + _EVENTS + "," + _STOCK + "".join(f""",
+{src}_gone AS (SELECT revokes AS id, min(recorded_at) AS revoked_at FROM {src}
+               WHERE revokes IS NOT NULL GROUP BY revokes)""" for src in ("ev", "sd")) + " UNION ALL ".join(
+        f"""
+SELECT '{name}' AS log, subject, slot, g.id, revoked_at
+FROM {src}_gone g LEFT JOIN {src} c ON c.id = g.id""" for name, src in (("events", "ev"), ("stock", "sd")))
     out["version_of_lines"] = """
 WITH ver AS MATERIALIZED (SELECT 'list:' || c_custkey AS version, c_custkey,
        TIMESTAMP '1992-01-01 00:00:00' + to_days(CAST(c_custkey * 7919 % 2400 AS INT)) AS vf,

@@ -15,8 +15,9 @@ from twoclock.sources import refresh_all as refresh_every
 from twoclock.sources import refresh_table as refresh_one
 
 from . import stock
-from .logs import (REFS, SLOTS, TYPE_SLOT, URI_SLOT, event_intents, event_log,
-                   stock_assertions, stock_log, stock_snapshot, table, table_at_rest)
+from .logs import (REFS, SLOTS, TYPE_SLOT, URI_SLOT, event_intents, event_log, event_revocations,
+                   stock_assertions, stock_log, stock_revocations, stock_snapshot, table,
+                   table_at_rest)
 
 EV_VALID, EV_KNOWN = "2024-01-20 00:00:00", "2024-01-22 00:00:00"
 ST_VALID, ST_KNOWN = "2000-06-30", "2000-07-03 00:00:00"
@@ -72,13 +73,22 @@ def _big_spenders(spark, d, event_type):
 @query
 def standing_subset(spark, d):
     return resolve.standing_of(event_log(spark, d), _big_spenders(spark, d, "purchase"),
-                               EV_VALID, EV_KNOWN).select(*CLAIM)
+                               EV_VALID, EV_KNOWN, event_revocations(spark, d)).select(*CLAIM)
 
 
 @query
 def resolve_point(spark, d):
     return resolve.resolve_point(event_log(spark, d), "user:7", "purchase",
-                                 EV_VALID, EV_KNOWN).select(*CLAIM)
+                                 EV_VALID, EV_KNOWN, event_revocations(spark, d)).select(*CLAIM)
+
+
+@query
+def revocation_index(spark, d):
+    """Every withdrawn claim of both logs, by its own pair."""
+    logs = [("events", event_revocations(spark, d)), ("stock", stock_revocations(spark, d))]
+    return reduce(lambda a, b: a.unionByName(b), [
+        index.select(F.lit(name).alias("log"), "subject", "slot", "id", "revoked_at")
+        for name, index in logs])
 
 
 @query
