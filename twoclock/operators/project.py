@@ -19,11 +19,20 @@ from .resolve import standing_wide
 
 
 class LogView:
-    def __init__(self, claims, valid_at, as_of):
+    """`revocations` is the index of a log, needed where `claims` is a part of it."""
+
+    def __init__(self, claims, valid_at, as_of, revocations=None):
         self.claims, self.valid_at, self.as_of = claims, valid_at, as_of
+        self.revocations = revocations
 
     def wide(self, slots):
-        return standing_wide(self.claims, slots, self.valid_at, self.as_of)
+        return standing_wide(self.claims, slots, self.valid_at, self.as_of,
+                             revocations=self.revocations)
+
+    def about(self, subjects):
+        """The same view of some subjects only."""
+        return LogView(self.claims.join(subjects.select("subject"), "subject", "left_semi"),
+                       self.valid_at, self.as_of, self.revocations)
 
     def of_class(self, type_slot, classes, slots):
         """Rows of the subjects whose class at the clocks is one of `classes`.
@@ -42,7 +51,7 @@ class LogView:
                         | (typed & names_it)).select(*c.columns)
                 .unionByName(others.select(*c.columns)))
         won = standing_wide(kept, {**slots, "_type": type_slot}, self.valid_at, self.as_of,
-                            revoking=c)
+                            revoking=c, revocations=self.revocations)
         return won.where(F.col("_type").isin(list(classes))).drop("_type")
 
 
@@ -100,18 +109,23 @@ def grouped(view, spec: GroupedSpec) -> DataFrame:
     4. one groupBy on the keys with a conditional sum per aggregate. Grouping
        treats NULL keys as equal, which makes null-safe joins unnecessary.
     """
-    partial, checks, conversions = _partial_sums(view, spec)
+    spread, checks, conversions = contributions(view, spec)
+    at = [c for c in spread.columns if c != "_m"]
+    partial = spread.groupBy(*at).agg(F.sum("_m").alias("_m"))
     scoped = _apply_scopes(view, spec, partial, checks)
     converted = _apply_conversions(view, spec, scoped, conversions)
+    return _finish(view, spec, _totals(spec, converted, conversions))
+
+
+def _totals(spec, converted, conversions):
     amount = F.col("_m") * F.col("_f") if conversions else F.col("_m")
 
     names = list(spec.aggregates)
     totals = converted.groupBy(*spec.keys).agg(*[
         F.sum(F.when(F.col("_agg") == i, amount)).alias(name)
         for i, name in enumerate(names)])
-    totals = totals.select(*spec.keys, *[
+    return totals.select(*spec.keys, *[
         _total(F.col(n), spec, n).alias(n) for n in names])
-    return _finish(view, spec, totals)
 
 
 def _total(col, spec, name):
@@ -148,18 +162,25 @@ def _measure_type(spec):
     return f"decimal({min(38, whole + places)},{places})"
 
 
-def _partial_sums(view, spec):
-    model = spec.model
-    rules = list(spec.aggregates.values())
-    checks = _shared_checks(rules)
-    conversions = _shared_conversions(rules)
-
+def source_slots(spec):
+    """Column -> slot for all that is read of the entities summed over, but their class."""
     slots = {}
-    for rule in rules:
+    for rule in spec.aggregates.values():
         wanted = [*rule.by.values(), rule.measure, *rule.where,
                   *(rule.convert.on.values() if rule.convert else [])]
         for name in wanted:
-            slots[name] = model.slot_of(rule.over, name, "source").key
+            slots[name] = spec.model.slot_of(rule.over, name, "source").key
+    return slots
+
+
+def contributions(view, spec):
+    """(rows, scope checks, conversions): a row for every source entity and aggregate over
+    its class, with the keys, the columns later steps look at, and the amount `_m`."""
+    model = spec.model
+    rules = list(spec.aggregates.values())
+    checks = _shared_checks(rules)
+    conversions = _shared_conversions(rules)
+    slots = source_slots(spec)
     type_keys = {model.type_slot(rule.over).key for rule in rules}
     type_columns = {key: f"_type{i}" for i, key in enumerate(sorted(type_keys))}
     wide = view.wide({**slots, **{c: k for k, c in type_columns.items()}})
@@ -174,7 +195,7 @@ def _partial_sums(view, spec):
         everywhere = all(column["slots"])
         column["name"] = key if key and everywhere else f"_look{n}"
         column["copy"] = not (key and everywhere)
-    contributions = []
+    made = []
     for i, rule in enumerate(rules):
         slot = model.slot_of(rule.over, rule.measure, "measure")
         if rule.operator == "count":
@@ -188,11 +209,10 @@ def _partial_sums(view, spec):
         fields.append(amount.alias("_m"))
         of_class = F.col(type_columns[model.type_slot(rule.over).key]).isin(
             model.descendants(rule.over))
-        contributions.append(F.when(of_class, F.struct(*fields)))
-    spread = (wide.select(F.explode(F.array(*contributions)).alias("_c"))
+        made.append(F.when(of_class, F.struct(*fields)))
+    spread = (wide.select(F.explode(F.array(*made)).alias("_c"))
               .where("_c IS NOT NULL").select("_c.*"))
-    at = [c for c in spread.columns if c != "_m"]
-    return spread.groupBy(*at).agg(F.sum("_m").alias("_m")), checks, conversions
+    return spread, checks, conversions
 
 
 def _shared_checks(rules):

@@ -448,10 +448,10 @@ WHERE slot = 'kind_of_thing' AND revokes IS NULL GROUP BY 1"""
     out["version_asof"] = _version_case()
     out["revocation_index"] = "WITH " + _EVENTS + "," + _STOCK + "".join(f""",
 {src}_gone AS (SELECT revokes AS id, min(recorded_at) AS revoked_at FROM {src}
-               WHERE revokes IS NOT NULL GROUP BY revokes)""" for src in ("ev", "sd")) + " UNION ALL ".join(
+               WHERE revokes IS NOT NULL GROUP BY revokes)""" for src in ("ev", "st")) + " UNION ALL ".join(
         f"""
 SELECT '{name}' AS log, subject, slot, g.id, revoked_at
-FROM {src}_gone g LEFT JOIN {src} c ON c.id = g.id""" for name, src in (("events", "ev"), ("stock", "sd")))
+FROM {src}_gone g LEFT JOIN {src} c ON c.id = g.id""" for name, src in (("events", "ev"), ("stock", "st")))
     out["version_of_lines"] = """
 WITH ver AS MATERIALIZED (SELECT 'list:' || c_custkey AS version, c_custkey,
        TIMESTAMP '1992-01-01 00:00:00' + to_days(CAST(c_custkey * 7919 % 2400 AS INT)) AS vf,
@@ -604,6 +604,7 @@ SELECT part, place, brand, container, round(CAST(q AS DOUBLE), 2) AS counted
 FROM tcnt LEFT JOIN about ON subject = part"""
     out["reconciliation"] = _with(*_recon_ctes(ST)) + _REC_SELECT
     out["reconciliation_asof"] = _with(*_recon_ctes(EARLY)) + _REC_SELECT
+    out["refresh_advanced"] = out["reconciliation"]
     out["refresh_table"] = out["counted"]
     out["refresh_all"] = _with(*_recon_ctes(ST), _wide("ing")) + """
 SELECT 'p_trade_balance' AS "table", count(*) AS rows FROM rec

@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from twoclock.functions import end_of_day, json_row, num_nonnulls, uri_slug
-from twoclock.operators import (ingest, project, provenance, quality, report, resolve,
+from twoclock.operators import (ingest, maintain, project, provenance, quality, report, resolve,
                                 textmatch, triples)
 from twoclock.plans import Aggregate, Expression, GroupedSpec, Unfilled
 from twoclock.session import kept, scratch_path
@@ -410,6 +410,16 @@ def reconciliation_asof(spark, d):
     return _money(project.grouped(view, stock.RECONCILIATION), *_RECON)
 
 
+@query
+def refresh_advanced(spark, d):
+    """The balance derived at early clocks and moved to the usual ones."""
+    log, index = stock_log(spark, d), stock_revocations(spark, d)
+    path = scratch_path(spark, "advanced", d)
+    maintain.build(log, stock.RECONCILIATION, path, EARLY_VALID, EARLY_KNOWN, index)
+    maintain.advance(log, stock.RECONCILIATION, path, ST_VALID, ST_KNOWN, index)
+    return _money(maintain.read(spark, stock.RECONCILIATION, path), *_RECON)
+
+
 @query
 def refresh_table(spark, d):
     """The counted parts as a table, replaced whole and read back."""
