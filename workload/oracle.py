@@ -415,6 +415,7 @@ SELECT o.*, (SELECT arg_min(version, place) FROM ver
 def build():
     out = {}
     out["standing"] = _with(_EVENTS, _standing("s", "ev", EV)) + f"SELECT {_COLS} FROM s"
+    out["standing_stream"] = out["standing"]
     out["standing_stock"] = _with(_STOCK, _standing("s", "st", ST)) + """
 SELECT slot, count(*) AS pairs, count(DISTINCT value) AS different_values,
        max(valid_from) AS latest_valid_from, CAST(sum(seq) AS BIGINT) AS seq_total

@@ -13,6 +13,7 @@ from twoclock.session import kept, scratch_path
 from twoclock.sources import load_versions
 from twoclock.sources import refresh_all as refresh_every
 from twoclock.sources import refresh_table as refresh_one
+from twoclock.streaming import runnerups
 
 from . import stock
 from .logs import (REFS, SLOTS, TYPE_SLOT, URI_SLOT, event_intents, event_log, event_revocations,
@@ -97,6 +98,19 @@ def clock_grid(spark, d):
         "valid_at", "as_of", *CLAIM)
 
 
+@query
+def standing_stream(spark, d):
+    """The event log as a stream of four files, its state kept with runner-ups."""
+    path = scratch_path(spark, "stream", d)
+    log = event_log(spark, d).drop("intent_id")
+    log.repartitionByRange(4, "seq").write.parquet(f"{path}/log")
+    stream = (spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{path}/log"))
+    state = runnerups.RunnerUps(spark, f"{path}/state", EV_VALID, EV_KNOWN, buckets=8)
+    runnerups.follow(stream, state, f"{path}/checkpoint").awaitTermination()
+    return state.standing().select(*CLAIM)
+
+
 @query
 def replay_labels(spark, d):
     # The registry's own predicate names things here, itself included.
