@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -314,3 +315,16 @@ def test_contamination_with_empty_tables(spark):
     assert [(r["n_hit"], r["contaminated"]) for r in got] == [(0, False)] * 2
     assert decontam.contamination(docs.limit(0), none).count() == 0
     assert decontam.clean_documents(docs, none).columns == docs.columns
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    rng = random.Random(5)
+    for _ in range(200):
+        pool = [rng.getrandbits(63) - (1 << 62) for _ in range(rng.choice([3, 40, 900]))]
+        one, two = (np.array(sorted({h for h in pool if rng.random() < share}), np.int64)
+                    for share in (rng.random(), rng.random()))
+        x, y = similar.sketch_of(one), similar.sketch_of(two)
+        differ = len(np.setxor1d(one, two))
+        assert similar.sketches_differ(x, y) <= differ
+        assert (differ - similar.sketches_differ(x, y)) % 2 == 0
+    assert similar.sketches_differ(similar.sketch_of(one), similar.sketch_of(one)) == 0
