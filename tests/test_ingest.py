@@ -203,3 +203,20 @@ def test_correct_by_id(claims, spark):
     assert (row.subject, row.slot, row.value, row.revokes) == ("s", "p", "2", "c0")
     assert row.valid_from == day("2026-01-01")
     assert [r.claim_id for r in rejects.collect()] == ["c9"]
+
+
+def test_a_million_uris_under_one_prefix_use_all_ranges(spark):
+    """Texts that differ after 35 characters alone, short and missing ones among them."""
+    n = F.col("id")
+    uris = spark.range(1_000_000).select(
+        F.when(n % 1000 == 1, F.lit(None)).when(n % 1000 == 2, F.substring(n.cast("string"), 1, 3))
+        .otherwise(F.concat(F.lit("https://example.org/a/long/path/to/"), F.sha1(n.cast("string"))))
+        .alias("uri"), "id")
+    sizes = [r["count"] for r in ranking.with_piece(uris, ["uri", "id"], 16)
+             .groupBy("_piece").count().collect()]
+    assert len(sizes) == 16 and sum(sizes) == 1_000_000 and max(sizes) < 1.5 * 1_000_000 / 16
+    numbered = ranking.position(uris, [], ["uri", "id"], pieces=16)
+    assert numbered.agg(F.countDistinct("position"), F.min("position"), F.max("position")) \
+        .head()[:] == (1_000_000, 1, 1_000_000)
+    small = numbered.where("id % 5000 < 3").orderBy("position").select("uri", "id").collect()
+    assert small == sorted(small, key=lambda r: (r["uri"] is not None, r["uri"] or "", r["id"]))

@@ -1,83 +1,62 @@
 """Positions inside groups of any size.
 
-A window over a whole group puts the group in one task. Here a group is first cut
-along its order at boundaries taken from the data, each piece is ranked on its own,
-and the sizes of the earlier pieces are added. A value so common that several
-boundaries fall on it is a piece of its own, cut further along the next order column.
-Boundaries are literals by the time rows are assigned, so every pass cuts the same way.
+A window over a whole group puts the group in one task. Here the order is first cut into
+ranges at splitters drawn from the data: whole sort keys, of any types and lengths, so
+texts that differ after a long common beginning are told apart like any others. Each range
+of a group is ranked on its own, and the sizes of its earlier ranges are added. Splitters
+are literals by the time rows are assigned, so every pass cuts the same way.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
-_MOST = 2 ** 63 - 1
-
-
-def _numbers(df, column):
-    """Whole numbers that rank a column as it sorts: rows the first leaves tied are told
-    apart by the next. What all leave tied falls in one piece."""
-    kind, col = df.schema[column].dataType.typeName(), F.col(column)
-    if kind == "timestamp_ntz":
-        return [F.unix_micros(col.cast("timestamp"))]
-    if kind == "timestamp":
-        return [F.unix_micros(col)]
-    if kind == "date":
-        return [F.unix_date(col).cast("bigint")]
-    if kind in ("long", "integer", "short", "byte", "boolean"):
-        return [col.cast("bigint")]
-    if kind in ("double", "float", "decimal"):
-        x = col.cast("double")
-        large = F.isnan(x) | (x >= 9e18)
-        whole = F.when(large, F.lit(_MOST)).when(x <= -9e18, F.lit(-_MOST)).otherwise(
-            F.floor(F.greatest(F.least(x, F.lit(9e18)), F.lit(-9e18))))
-        rest = F.when(F.abs(x) < 9e15, F.floor((x - F.floor(F.greatest(F.least(
-            x, F.lit(9e15)), F.lit(-9e15)))) * float(2 ** 52))).otherwise(F.lit(0))
-        return [whole.cast("bigint"), rest.cast("bigint")]
-    if kind in ("string", "binary", "char", "varchar"):
-        # Seven bytes at a time, which is how text sorts.
-        code = F.rpad(F.hex(col.cast("binary")), 56, "0")
-        return [F.conv(F.substring(code, 1 + 14 * k, 14), 16, 10).cast("bigint")
-                for k in range(4)]
-    raise TypeError(f"rows cannot be cut along {column} of type {kind}")
-
-
-def _with_below(df, number, values, name):
-    """Adds how many of the sorted values are less than `number`: a binary search of a
-    constant array, one projection a step, so the plan grows with the logarithm of
-    the boundaries and so does the work a row costs."""
-    size = 1 << len(values).bit_length()
-    padded = values + [2 ** 63 - 1] * (size - len(values))
-    table = F.array(*[F.lit(v).cast("bigint") for v in padded])
+#: Sampled keys for each range; ranges then differ in size by little.
+_DRAWN = 50
+
+
+def splitters(df, order, pieces):
+    """At most `pieces` - 1 sort keys of the data that cut it into ranges of about one
+    size, ascending: every so manieth of a sample of about 50 keys a range."""
+    rows = df.select(*[F.col(c).alias(f"k{n}") for n, c in enumerate(order)])
+    total = rows.count()
+    share = _DRAWN * pieces / total if total else 1.0
+    drawn = rows if share >= 1 else rows.sample(share, seed=17)
+    names = rows.columns
+    whole = drawn.orderBy(*names).collect()
+    found = []
+    for k in range(1, pieces):
+        at = k * len(whole) // pieces
+        if at < len(whole) and (not found or whole[at] != found[-1]):
+            found.append(whole[at])
+    return found
+
+
+def _with_below(df, key, values, name):
+    """Adds how many of the ascending columns `values` are less than `key`: a binary
+    search of a constant array, one projection a step, so the plan grows with the
+    logarithm of the splitters and so does the work a row costs."""
     df = df.withColumn(name, F.lit(0))
-    step = size // 2
+    if not values:
+        return df
+    table = F.array(*values)
+    step = 1 << (len(values).bit_length() - 1)
     while step:
-        further = F.get(table, F.col(name) + (step - 1)) < number
+        # Past the end there is nothing less.
+        further = F.coalesce(F.get(table, F.col(name) + (step - 1)) < key, F.lit(False))
         df = df.withColumn(name, F.col(name) + F.when(further, step).otherwise(0))
         step //= 2
     return df
 
 
 def with_piece(df, order, pieces, name="_piece"):
-    """Adds the number of the piece each row falls in; pieces follow `order`."""
-    tied, code = F.lit(True), F.lit(0).cast("bigint")
-    ranked = [(f"{c}_{k}", n) for c in order for k, n in enumerate(_numbers(df, c))]
-    for column, number in ranked:
-        cuts = df.where(tied).agg(F.percentile_approx(
-            number, [i / pieces for i in range(1, pieces)], max(10_000, 10 * pieces))
-            .alias("c")).head()["c"] or []
-        values = sorted(set(cuts))
-        if not values:
-            break
-        # Even between boundaries, odd on one: rows on a boundary are by themselves.
-        df = _with_below(df, number, values, f"_below_{column}")
-        spot = 2 * F.col(f"_below_{column}") + number.isin(values).cast("int")
-        code = code * (2 * pieces + 2) + F.when(tied, F.coalesce(spot, F.lit(0))).otherwise(0)
-        crowded = [v for v in values if cuts.count(v) > 1]
-        if not crowded:
-            break
-        tied = tied & number.isin(crowded)
-    return df.withColumn(name, code).drop(*[f"_below_{c}" for c, _ in ranked])
+    """Adds the number of the range each row falls in; ranges follow `order`. Rows with
+    equal whole keys fall in one."""
+    types = [df.schema[c].dataType for c in order]
+    values = [F.struct(*[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(t).alias(f"k{n}")
+                         for n, (v, t) in enumerate(zip(row, types, strict=True))])
+              for row in splitters(df, order, pieces)]
+    key = F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(order)])
+    return _with_below(df, key, values, name)
 
 
 def position(df, keys, order, name="position", start=1, pieces=None):
@@ -100,13 +79,12 @@ def position(df, keys, order, name="position", start=1, pieces=None):
         for piece, n in sorted((r["_piece"], r["_n"]) for r in sizes.collect()):
             table[piece] = running
             running += n
-        placed = _with_below(cut, F.col("_piece") + 1, sorted(table), "_rank")
-        before = F.get(F.array(*[F.lit(table[p]).cast("bigint") for p in sorted(table)]
-                               or [F.lit(0).cast("bigint")]), F.col("_rank") - 1)
-        before = F.coalesce(before, F.lit(0))
+        placed = cut
+        before = F.coalesce(F.get(F.array(*[F.lit(table.get(p, 0)).cast("bigint") for p in range(
+            max(table, default=0) + 1)]), F.col("_piece")), F.lit(0))
     within = F.row_number().over(W.partitionBy(*at).orderBy(*order))
     return (placed.withColumn(name, (within + before + F.lit(start - 1)).cast("bigint"))
-            .drop("_piece", "_before", "_rank"))
+            .drop("_piece", "_before"))
 
 
 def running_max_before(df, keys, order, value, name, pieces=None):
