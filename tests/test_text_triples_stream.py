@@ -31,9 +31,9 @@ def _brute(subjects, texts):
     return out
 
 
-@pytest.mark.parametrize("rare", [0, 2, 6, 1000])
-def test_best_paragraph_is_exact_at_any_cut(spark, rare):
-    rng = random.Random(3)
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_best_paragraph_is_exact(spark, seed):
+    rng = random.Random(seed)
     stems = ["stock", "count", "line", "flavour", "batch", "freezer", "rota", "élan", "the"]
     ends = ["", "s", "ing", "_x", "é"]
     texts = [" ".join(rng.choice(stems) + rng.choice(ends) for _ in range(rng.randrange(0, 9)))
@@ -43,7 +43,7 @@ def test_best_paragraph_is_exact_at_any_cut(spark, rare):
     subjects += [(90, "Nothing", "matches here"), (91, "abc", "a bb ccc")]
     got = textmatch.best_paragraph(
         spark.createDataFrame(subjects, "key int, name string, description string"),
-        spark.createDataFrame(list(enumerate(texts)), "index int, text string"), rare=rare)
+        spark.createDataFrame(list(enumerate(texts)), "index int, text string"))
     expected = _brute(subjects, texts)
     assert {r.key: (r["index"], r.score and round(r.score, 6)) for r in got.collect()} == expected
 

@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def _failures(df, check, subject, detail):
     return df.select(F.lit(check).alias("check"), subject.cast("string").alias("subject"),
@@ -107,28 +109,29 @@ def stale_exemptions(exempt, parents, children) -> DataFrame:
 def unmentioned(names, bodies) -> DataFrame:
     """Names (name) that occur in no body (id, text), case aside, as substrings.
 
-    Testing every name on every text would be their product. Cut at single spaces, a
-    name of three words or more occurs exactly where its inner words stand as whole
-    words between a word ending in its first and one starting with its last; two
-    words, where a word ends in the first and the next starts with the second; one
-    word, inside a word. Each case is an equi-join on small pieces; texts stay whole.
+    Testing every name on every text would be their product. Cut at single spaces, a name
+    of one word occurs inside a word. A longer one occurs exactly where its inner words
+    stand as whole words between a word ending in its first and one starting with its
+    last. Of these pieces the one that fewest places of the texts hold is the name's
+    anchor; the other pieces are tested around the places of the anchor.
     """
     lowered = names.select("name", F.lower("name").alias("_low")).distinct()
     split = lowered.withColumn("_w", F.split("_low", " ")).withColumn("_k", F.size("_w"))
-    low = bodies.select("id", F.lower("text").alias("_text")).withColumn(
-        "_w", F.split("_text", " "))
-    kinds = {r["k"] for r in split.select(F.least("_k", F.lit(3)).alias("k"))
+    low = bodies.select(F.split(F.lower("text"), " ").alias("_w"))
+    kinds = {r["k"] for r in split.select(F.least("_k", F.lit(2)).alias("k"))
              .distinct().collect()}
-    found = [f(split, low) for k, f in
-             ((1, _inside_a_word), (2, _across_two_words), (3, _across_many_words))
-             if k in kinds]
+    vocabulary = kept(low.select(F.explode("_w").alias("_word")).groupBy("_word")
+                      .agg(F.count(F.lit(1)).alias("_n")))
+    found = [f(split, low, vocabulary) for k, f in
+             ((1, _inside_a_word), (2, _across_words)) if k in kinds]
+    if not found:
+        return lowered.select("name")
     named = reduce(lambda a, b: a.unionByName(b), found).distinct()
     return lowered.select("name").join(named, "name", "left_anti")
 
 
-def _inside_a_word(split, low):
+def _inside_a_word(split, low, vocabulary):
     single = split.where("_k = 1")
-    vocabulary = low.select(F.explode("_w").alias("_word")).distinct()
     # Every piece of a word that is as long as some name.
     pieces = (vocabulary.select("_word", F.explode(_lengths(single, "_low")).alias("_n"))
               .where(F.col("_n") <= F.length("_word"))
@@ -144,51 +147,75 @@ def _lengths(df, column):
     return F.lit(sorted(r["n"] for r in held) or [0])
 
 
-def _across_two_words(split, low):
-    """The words that end or start as some name does are found among distinct words;
-    only neighbours whose first word is one of them are looked at as a pair."""
-    double = split.where("_k = 2").select(
-        "name", F.col("_w")[0].alias("_end"), F.col("_w")[1].alias("_start"))
-    vocabulary = low.select(F.explode("_w").alias("_word")).distinct()
-    # Only endings and beginnings as long as some name's are cut, one of each length.
-    tails = (vocabulary.select(F.col("_word").alias("a"),
-                               F.explode(_lengths(double, "_end")).alias("_n"))
-             .where(F.col("_n") <= F.length("a"))
-             .select("a", F.expr("substring(a, length(a) - _n + 1)").alias("_end"))
-             .join(double.select("_end").distinct(), "_end", "left_semi"))
-    heads = (vocabulary.select(F.col("_word").alias("b"),
-                               F.explode(_lengths(double, "_start")).alias("_n"))
-             .where(F.col("_n") <= F.length("b"))
-             .select("b", F.expr("substring(b, 1, _n)").alias("_start"))
-             .join(double.select("_start").distinct(), "_start", "left_semi"))
-    pairs = (low.where(F.size("_w") > 1)
-             .select(F.explode(F.arrays_zip(
-                 F.expr("slice(_w, 1, size(_w) - 1)").alias("a"),
-                 F.expr("slice(_w, 2, size(_w) - 1)").alias("b"))).alias("p"))
-             .select("p.a", "p.b").join(tails.select("a").distinct(), "a", "left_semi")
-             .distinct())
-    met = pairs.join(tails, "a").join(heads, "b").select("_end", "_start").distinct()
-    return double.join(met, ["_end", "_start"], "left_semi").select("name").distinct()
-
-
-def _across_many_words(split, low):
-    inner = F.expr("slice(_w, 2, least(size(_w) - 2, 3))")
-    anchors = (split.where("_k >= 3")
-               .select("name", "_low", F.size(inner).alias("_n"),
-                       F.concat_ws(" ", inner).alias("_anchor")))
-    shingles = []
-    for n in sorted(r["_n"] for r in anchors.select("_n").distinct().collect()):
-        columns = [F.expr(f"slice(_w, {i + 1}, size(_w) - {n - 1})").alias(f"w{i}")
-                   for i in range(n)]
-        runs = (low.where(F.size("_w") >= n)
-                .select("id", F.explode(F.arrays_zip(*columns)).alias("z"))
-                .select("id", F.lit(n).alias("_n"), F.concat_ws(" ", "z.*").alias("_anchor")))
-        shingles.append(runs)
-    runs = reduce(lambda a, b: a.unionByName(b), shingles)
-    # Candidates carry ids only; a text is fetched for the few that have any.
-    candidates = runs.join(anchors, ["_n", "_anchor"]).select("id", "name", "_low").distinct()
-    return (candidates.join(low.select("id", "_text"), "id")
-            .where(F.col("_text").contains(F.col("_low"))).select("name").distinct())
+def _words_with(pieces, vocabulary):
+    """(kind, piece, _word, _n): the words of the texts that a piece fits, each with how
+    often it stands there. Only endings and beginnings as long as some piece's are cut."""
+    def cut(kind, expression):
+        wanted = pieces.where(F.col("kind") == kind).select("piece").distinct()
+        return (vocabulary.select("_word", "_n", F.explode(_lengths(wanted, "piece")).alias("_m"))
+                .where(F.col("_m") <= F.length("_word"))
+                .select("_word", "_n", F.expr(expression).alias("piece"))
+                .join(wanted, "piece", "left_semi"))
+
+    whole = vocabulary.join(
+        pieces.where("kind = 'whole'").select(F.col("piece").alias("_word")).distinct(),
+        "_word", "left_semi").withColumn("piece", F.col("_word"))
+    sides = [("whole", whole), ("end", cut("end", "substring(_word, length(_word) - _m + 1)")),
+             ("start", cut("start", "substring(_word, 1, _m)"))]
+    return reduce(lambda a, b: a.unionByName(b), [
+        df.select(F.lit(kind).alias("kind"), "piece", "_word", "_n") for kind, df in sides])
+
+
+def _fits(word, at, name, size):
+    """Whether a word of a text is what a name has at a place."""
+    piece = F.get(name, at)
+    return (F.when(at == 0, word.endswith(piece)).when(at == size - 1, word.startswith(piece))
+            .otherwise(word == piece))
+
+
+def _across_words(split, low, vocabulary):
+    pieces = (split.where("_k >= 2").select("name", "_k", F.posexplode("_w").alias("_at", "piece"))
+              .withColumn("kind", F.when(F.col("_at") == 0, "end")
+                          .when(F.col("_at") == F.col("_k") - 1, "start").otherwise("whole")))
+    fitting = kept(_words_with(pieces, vocabulary))
+    often = fitting.groupBy("kind", "piece").agg(F.sum("_n").alias("_often"))
+    # A name with a piece that fits nowhere is nowhere.
+    counted = pieces.join(often, ["kind", "piece"], "left").withColumn(
+        "_often", F.coalesce("_often", F.lit(0)))
+    anchors = (counted.groupBy("name").agg(F.min(F.struct("_often", "_at", "kind", "piece"))
+                                           .alias("_a"))
+               .where("_a._often > 0").select("name", "_a._at", "_a.kind", "_a.piece"))
+    anchored = kept(anchors.join(fitting, ["kind", "piece"]).join(
+        split.select("name", F.col("_w").alias("_name"), "_k"), "name")
+        .select("_word", "name", "_at", "_name", "_k"))
+
+    # Each word with its neighbours: most places of an anchor are settled by them alone.
+    beside = F.arrays_zip(
+        F.col("_w").alias("_word"),
+        F.concat(F.array(F.lit(None).cast("string")), "_w").alias("_before"),
+        F.concat(F.expr("slice(_w, 2, size(_w))"), F.array(F.lit(None).cast("string")))
+        .alias("_after"))
+    places = low.select(F.xxhash64("_w").alias("_text"), F.posexplode(beside).alias("_p", "_z")) \
+        .where("_z._word is not null").select("_text", "_p", "_z.*")
+    at, size = F.col("_at"), F.col("_k")
+    hits = (places.join(anchored, "_word").where(
+        ((at == 0) | _fits(F.col("_before"), at - 1, "_name", size))
+        & ((at == size - 1) | _fits(F.col("_after"), at + 1, "_name", size)))
+        .select("name", "_name", "_k", "_at", "_text", (F.col("_p") - at).alias("_first"))
+        .distinct())
+    hits = kept(hits.where("_first >= 0"))
+    settled = (at <= 1) & (size - 1 - at <= 1)
+    sure = hits.where(settled).select("name")
+    # A text meets all its open places at once, and only if it has one.
+    open_ = (hits.where(~settled).join(sure.distinct(), "name", "left_anti").groupBy("_text")
+             .agg(F.collect_set(F.struct("name", "_name", "_k", "_first")).alias("_open")))
+    tested = F.filter("_open", lambda h: (
+        (F.slice("_w", h["_first"] + 2, h["_k"] - 2) == F.slice(h["_name"], F.lit(2), h["_k"] - 2))
+        & F.get("_w", h["_first"]).endswith(F.get(h["_name"], F.lit(0)))
+        & F.get("_w", h["_first"] + h["_k"] - 1).startswith(F.get(h["_name"], h["_k"] - 1))))
+    rest = (low.withColumn("_text", F.xxhash64("_w")).join(open_, "_text")
+            .select(F.explode(tested).alias("_h")).select("_h.name"))
+    return sure.unionByName(rest).distinct()
 
 
 def incomplete(df, key, required: dict) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import SHORTEST_WORD, words
 from ..session import kept
@@ -40,25 +41,42 @@ def wanted_words(subjects) -> DataFrame:
 
 def word_starts(texts, vocabulary, longest) -> DataFrame:
     """(index, word) for every vocabulary word some token of the paragraph starts with.
-    Tokens are made distinct inside the row; a token offers its own beginnings."""
+
+    Tokens are made distinct inside the row. Of all distinct tokens, those that start with
+    a vocabulary word are found once; a token then meets its words in one step, wherever
+    it stands."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))
-    starts = (texts.select("index", F.explode(tokens).alias("token"))
-              .where(F.length("token") >= SHORTEST_WORD)
-              .select("index", "token", F.explode(F.sequence(
+    spots = (texts.select("index", F.explode(tokens).alias("token"))
+             .where(F.length("token") >= SHORTEST_WORD))
+    starts = (spots.select("token").distinct()
+              .select("token", F.explode(F.sequence(
                   F.lit(SHORTEST_WORD), F.least(F.length("token"), F.lit(longest)))).alias("n"))
-              .select("index", F.expr("substring(token, 1, n)").alias("word")))
-    return starts.join(vocabulary, "word", "left_semi").distinct()
+              .select("token", F.expr("substring(token, 1, n)").alias("word"))
+              .join(vocabulary, "word", "left_semi"))
+    return spots.join(kept(starts), "token").select("index", "word").distinct()
+
 
+def _bounds(terms):
+    """Adds `_first`, the units of a subject's weightiest word, and `_rest`, those of a
+    word and all that weigh less together: the most a paragraph can score that holds
+    none of the weightier ones."""
+    along = W.partitionBy("key").orderBy(F.col("units").desc(), "word")
+    return terms.withColumns({
+        "_first": F.first("units").over(along),
+        "_rest": F.sum("units").over(along.rowsBetween(0, W.unboundedFollowing))})
 
-def best_paragraph(subjects, texts, rare=1000) -> DataFrame:
+
+def best_paragraph(subjects, texts) -> DataFrame:
     """(key, index, score): the best-scoring paragraph of `texts` (index, text) for each
     subject, the lowest index on a tie, NULL where no word is found.
 
-    A common word meets too many paragraphs to be joined, and is worth too little to
-    matter: words in more than `rare` paragraphs are left out at first. If the best
-    partial score beats everything they could add, only paragraphs within that reach
-    are completed with them; the other subjects are scored in full. Either way the
-    answer is the exact one.
+    A word is worth its weight in the subject by the paragraphs that hold it, so a common
+    word is worth little and has long postings. A subject's words are taken by worth. Some
+    paragraph holds the first one, so the best scores at least its worth; once the words
+    that are left come to less together, a paragraph that holds only those cannot be best,
+    and their postings are not opened. Paragraphs found by the words before are scored in
+    part, and only those that the words left could lift to the best part score are
+    completed, by looking those words up in them. The answer is exact.
     """
     wanted = wanted_words(subjects)
     vocabulary = wanted.select("word").distinct()
@@ -66,27 +84,20 @@ def best_paragraph(subjects, texts, rare=1000) -> DataFrame:
     # Read several times below: texts are cut into words once, and the pairs kept.
     held = kept(word_starts(texts, vocabulary, longest))
     common = held.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    terms = kept(wanted.join(common, "word").select(
-        "key", "word", "_df", F.expr(f"weight * {UNIT} div _df").alias("units")))
-    few, many = terms.where(F.col("_df") <= rare), terms.where(F.col("_df") > rare)
-
-    partial = (few.join(held, "word").groupBy("key", "index")
-               .agg(F.sum("units").alias("units")))
-    reach = (terms.groupBy("key").agg(
-        F.coalesce(F.sum(F.when(F.col("_df") > rare, F.col("units"))), F.lit(0)).alias("_reach")))
-    best = partial.groupBy("key").agg(F.max("units").alias("_best"))
-    standing = reach.join(best, "key", "left")
-    settled = standing.where("_best > _reach")
-    open_ = standing.where("_best IS NULL OR _best <= _reach").select("key")
-
-    near = (partial.join(settled, "key").where("units + _reach >= _best")
-            .select("key", "index", "units"))
-    added = (near.select("key", "index").join(many.select("key", "word", "units"), "key")
+    terms = kept(_bounds(wanted.join(common, "word").select(
+        "key", "word", F.expr(f"weight * {UNIT} div _df").alias("units"))))
+    opened = terms.where("_rest >= _first").select("key", "word", "units")
+    closed = terms.where("_rest < _first")
+
+    partial = kept(opened.join(held, "word").groupBy("key", "index")
+                   .agg(F.sum("units").alias("units")))
+    best = (partial.groupBy("key").agg(F.max("units").alias("_best"))
+            .join(closed.groupBy("key").agg(F.max("_rest").alias("_rest")), "key", "left"))
+    near = kept(partial.join(best, "key").where("units + coalesce(_rest, 0) >= _best")
+                .select("key", "index", "units"))
+    added = (near.select("key", "index").join(closed.select("key", "word", "units"), "key")
              .join(held, ["index", "word"]).select("key", "index", "units"))
-    full = terms.join(open_, "key", "left_semi").join(held, "word").select(
-        "key", "index", "units")
-    scored = (near.unionByName(added).unionByName(full)
-              .groupBy("key", "index").agg(F.sum("units").alias("units")))
+    scored = near.unionByName(added).groupBy("key", "index").agg(F.sum("units").alias("units"))
     top = scored.groupBy("key").agg(
         F.max(F.struct("units", (-F.col("index")).alias("_minus"))).alias("_t"))
     return (subjects.select("key").join(top, "key", "left")
