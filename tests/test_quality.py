@@ -41,6 +41,9 @@ def test_balances(spark):
                                    "key string, total double")
     exempt = spark.createDataFrame([("c",)], "key string")
     assert [r.key for r in quality.parts_against_total(parts, totals, exempt).collect()] == ["b"]
+    parts = parts.union(spark.createDataFrame([("a", None), ("d", 1.0)], parts.schema))
+    off = {r.key: (r.worked, r.reason) for r in quality.parts_against_total(parts, totals).collect()}
+    assert off == {"a": (None, "no amount"), "b": (1.0, "differ"), "c": (9.0, "differ")}
 
 
 def test_rules(spark):

@@ -35,14 +35,19 @@ def mass_balance(outputs, weights, inputs, tolerance=0.005) -> DataFrame:
 
 
 def parts_against_total(parts, totals, exempt=None, tolerance=0.005) -> DataFrame:
-    """Groups whose parts (key, amount) do not sum to their total (key, total). Keys in
+    """Groups whose parts (key, amount) do not sum to their total (key, total), as (key,
+    total, worked, reason). A part without an amount makes its key fail as `no amount`,
+    with no sum: what is not priced cannot be checked. Other failures `differ`. Keys in
     `exempt` say so themselves. A key with no parts is not judged."""
-    summed = parts.groupBy("key").agg(F.sum("amount").alias("worked"))
-    off = (totals.join(summed, "key")
-           .where(F.abs(F.col("worked") - F.col("total")) > tolerance))
+    summed = parts.groupBy("key").agg(
+        F.sum("amount").alias("worked"), F.count_if(F.col("amount").isNull()).alias("_bare"))
+    reason = (F.when(F.col("_bare") > 0, "no amount")
+              .when(F.abs(F.col("worked") - F.col("total")) > tolerance, "differ"))
+    off = (totals.join(summed, "key").withColumn("reason", reason).where("reason IS NOT NULL")
+           .withColumn("worked", F.when(F.col("_bare") == 0, F.col("worked"))))
     if exempt is not None:
         off = off.join(exempt.select("key").distinct(), "key", "left_anti")
-    return off.select("key", "total", "worked")
+    return off.select("key", "total", "worked", "reason")
 
 
 def below_floor(observed, floors, acknowledged=None) -> DataFrame:

@@ -775,7 +775,12 @@ SELECT DISTINCT c_custkey AS key, CASE WHEN c_custkey NOT IN (SELECT doc_id FROM
 FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM documents)
    OR c_custkey IN (SELECT doc_id FROM labels)"""
     out["dq_parts_vs_total"] = _with(_TILL) + "SELECT key, " + _round("total", "worked") + \
-        " FROM till"
+        ", 'differ' AS reason FROM till"
+    out["dq_parts_unpriced"] = """
+SELECT l_orderkey AS key, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE), 2) AS total,
+       CAST(NULL AS DOUBLE) AS worked, 'no amount' AS reason
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 48
+GROUP BY l_orderkey HAVING count(*) > count(p_partkey)"""
     out["dq_rule_vs_observed"] = """
 WITH f(kind, floor) AS (VALUES ('R', CAST(5 AS DOUBLE)), ('A', 3), ('N', 2))
 SELECT f.kind, l_orderkey AS key, l_quantity AS amount, f.floor

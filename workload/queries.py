@@ -776,6 +776,20 @@ def dq_parts_vs_total(spark, d):
     return _money(quality.parts_against_total(*_till(spark, d)), "total", "worked")
 
 
+@query
+def dq_parts_unpriced(spark, d):
+    """Line prices against their sums where a price list lacks the largest parts."""
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    lines = l.select(F.col("l_orderkey").alias("key"), "l_partkey",
+                     F.col("l_extendedprice").cast("decimal(14,2)").alias("price"))
+    listed = p.where("p_size <= 48").select(F.col("p_partkey").alias("l_partkey"),
+                                            F.lit(True).alias("listed"))
+    parts = lines.join(listed, "l_partkey", "left").select(
+        "key", F.when(F.col("listed"), F.col("price")).alias("amount"))
+    totals = lines.groupBy("key").agg(F.sum("price").alias("total"))
+    return _money(quality.parts_against_total(parts, totals), "total", "worked")
+
+
 @query
 def dq_rule_vs_observed(spark, d):
     seen = table(spark, d, "lineitem").select(
