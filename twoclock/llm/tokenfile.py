@@ -162,15 +162,20 @@ class ChunkedEncoder:
     def encode(self, texts):
         """The ids of each text as little-endian bytes."""
         cut = [[c for c in self.chunks(t) if c] if t else [] for t in texts]
-        wanted = set().union(*cut)
         if len(self.known) > self.memory // 2:
             self.known, self.old = {}, self.known
-        missing = wanted - self.known.keys()
+        # One look-up a chunk; places of chunks not known are filled in afterwards.
+        coded = [list(map(self.known.get, parts)) for parts in cut]
+        gaps = [(found, n, parts[n]) for found, parts in zip(coded, cut, strict=True)
+                for n, ids in enumerate(found) if ids is None]
+        missing = {chunk for _, _, chunk in gaps}
         again = missing & self.old.keys()
         self.known.update((c, self.old[c]) for c in again)
         missing -= again
         self._learn(missing)
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for found, n, chunk in gaps:
+            found[n] = self.known[chunk]
+        out = [b"".join(ids) for ids in coded]
         for chunk in [c for c in missing if len(c) > 64]:
             del self.known[chunk]
         return out
