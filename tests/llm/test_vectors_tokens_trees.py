@@ -276,3 +276,13 @@ def test_native_operator_has_no_python_nodes(spark):
                                   "path string, text string")
     plan = licenses.scan(frame)._jdf.queryExecution().toString()
     assert not any(n in plan for n in ("Python", "Pandas", "Arrow", "MapPartitions"))
+
+
+def test_vectors_whose_squares_leave_the_range_of_doubles(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1.0, 1.0]),
+            (4, [5e-324, 0.0]), (5, [1.7e308, 0.0]), (6, [1e-200, -1e-200]), (7, [1e300, 1e-300]),
+            (8, [0.0, -0.0]), (9, [1e-160, 9e-161]), (10, [-1e200, -1e200])]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 9: (4, 0), 4: (2, 4), 5: (2, 4),
+                   7: (2, 4), 6: (0, 6), 8: (0, 8), 10: (0, 10)}

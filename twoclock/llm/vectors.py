@@ -201,7 +201,13 @@ def near_duplicates(vectors, vec_id="vec_id", vector="embedding", least=0.95, gr
            & F.coalesce(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v)
                                  & (F.abs(v) < float("inf"))), F.lit(False))
            & F.coalesce(F.exists("vector", lambda v: v != 0), F.lit(False)))
-    usable = row.where(fit)
+    # Squares of very large or small numbers leave the range of doubles; a power of two
+    # brings a whole vector back and changes no digit of its cosines.
+    most = F.array_max(F.transform("vector", F.abs))
+    scale = F.when(most > 1e150, 2.0 ** -600).when(most < 1e-150, 2.0 ** 600)
+    usable = row.where(fit).withColumn("scale", scale).withColumn("vector", F.when(
+        F.col("scale").isNull(), F.col("vector")).otherwise(
+            F.transform("vector", lambda v: v * F.col("scale")))).drop("scale")
     nodes = kept(usable.groupBy("vector").agg(F.min("vec_id").alias("node"),
                                               F.count(F.lit(1)).alias("copies"))
                  .withColumn("dim", F.size("vector")))
