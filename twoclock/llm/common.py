@@ -1,11 +1,13 @@
 """Helpers shared by the operators of this subpackage."""
 
+import ctypes
 import os
 import sys
 import types
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from twoclock.session import kept
@@ -49,6 +51,20 @@ def per_worker(key, make):
     return held[key]
 
 
+def tidy(run):
+    """A function of batches that gives memory no longer used back to the machine when its
+    task ends. A Python worker serves many tasks and would keep what its largest one took."""
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+    return through
+
+
 def _spanning_stars(batches):
     """The edges of one partition as (larger id, smallest id it reaches here)."""
     parent = {}

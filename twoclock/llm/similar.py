@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twoclock.session import kept
 
-from .common import OWN, components, drop_written
+from .common import OWN, components, drop_written, tidy
 from .simhash import fingerprint_of, links
 
 #: Rounding in products of `least` must lose no pair.
@@ -48,7 +48,7 @@ def _shingled(texts, words):
             sets = [shingles_of(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)],
                                              ["node", "shingles"])
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    return texts.mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def sketch_of(shingles):
@@ -105,7 +105,7 @@ def _marked(texts, threshold_words, words, least):
                 ["id", "node", "fingerprint", "size", "prefix", "sketch"])
     kind = texts.schema["id"].dataType.simpleString()
     return texts.select("id", "node", "text").mapInArrow(
-        run, f"id {kind}, node long, fingerprint long, size int, prefix array<long>, "
+        tidy(run), f"id {kind}, node long, fingerprint long, size int, prefix array<long>, "
              "sketch binary")
 
 
@@ -137,7 +137,7 @@ def _filtered(both, test):
             good = pa.array([test(p.as_py(), q.as_py()) for p, q in zip(x, y, strict=True)],
                             pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], ["a", "b"])
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _alike(pairs, rows, texts, words, least):
