@@ -5,6 +5,7 @@ about seven claims a line item; it is written once per session and folder, laid
 by slot, and every query reads the written log.
 """
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from twoclock.operators import resolve
@@ -70,7 +71,7 @@ def event_intents(spark, sf_dir):
 
 def _cell(subject, slot, value, kind, ordinal):
     return F.struct(F.lit(ordinal).alias("ordinal"), subject.alias("subject"),
-                    F.lit(slot).alias("slot"), value.cast("string").alias("value"),
+                    (slot if isinstance(slot, Column) else F.lit(slot)).alias("slot"), value.cast("string").alias("value"),
                     F.lit(kind).alias("kind"))
 
 
@@ -131,18 +132,25 @@ def _line_items(spark, sf_dir):
     ra = vf + F.make_dt_interval(days=F.col("l_linenumber"))
     ra = F.when(F.col("kind") == "base", ra).otherwise(ra + F.make_dt_interval(days=F.lit(10)))
 
-    def facts(prefix, name, to, frm, frm_slot, to_slot):
-        return [_cell(line, TYPE_SLOT, F.lit(name), "base", 1),
-                _cell(line, f"{prefix}_part", part, "base", 2),
-                _cell(line, f"{prefix}_{to_slot}", F.when(said, to), "base", 3),
-                _cell(line, f"{prefix}_{frm_slot}", frm, "base", 4),
-                _cell(line, f"{prefix}_pieces", pieces, "base", 5),
-                _cell(line, f"{prefix}_in", container, "base", 6),
-                F.when(late, _cell(line, f"{prefix}_pieces", pieces + 1, "fix", 21)),
-                F.when(dropped, _cell(line, f"{prefix}_pieces", F.lit(None), "drop", 22))]
+    # A line is one or the other, so the names of its slots are chosen once a row.
     back = F.col("l_returnflag") == "R"
-    cells = [F.when(~back, c) for c in facts("delivered", "Delivery", nation, supplier, "by", "to")]
-    cells += [F.when(back, c) for c in facts("returned", "Return", supplier, nation, "from", "to")]
+    rows = rows.withColumns({
+        "_said_as": F.when(back, "returned_").otherwise("delivered_"),
+        "_giver": F.when(back, "returned_from").otherwise("delivered_by"),
+        "_to": F.when(said, F.when(back, supplier).otherwise(nation)),
+        "_from": F.when(back, nation).otherwise(supplier)})
+
+    def named(name):
+        return F.concat("_said_as", F.lit(name))
+
+    cells = [_cell(line, TYPE_SLOT, F.when(back, "Return").otherwise("Delivery"), "base", 1),
+             _cell(line, named("part"), part, "base", 2),
+             _cell(line, named("to"), F.col("_to"), "base", 3),
+             _cell(line, F.col("_giver"), F.col("_from"), "base", 4),
+             _cell(line, named("pieces"), pieces, "base", 5),
+             _cell(line, named("in"), container, "base", 6),
+             F.when(late, _cell(line, named("pieces"), pieces + 1, "fix", 21)),
+             F.when(dropped, _cell(line, named("pieces"), F.lit(None), "drop", 22))]
     cells += [F.when(F.col("l_linestatus") == "F", c) for c in (
         _cell(count, TYPE_SLOT, F.lit("Inventory"), "base", 11),
         _cell(count, "counted_part", part, "base", 12),
