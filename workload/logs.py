@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twoclock.operators import resolve
 from twoclock.session import scratch_path
-from twoclock.sources import (append_claims, read_claims, read_revocations, read_snapshot,
+from twoclock.sources import (append_claims, ledger, read_claims, read_revocations, read_snapshot,
                               write_revocations, write_snapshot)
 
 URI_SLOT = "sys:uri"
@@ -233,9 +233,20 @@ def _at_rest(spark, sf_dir, name, write):
     return _written[key]
 
 
+def stock_path(spark, sf_dir):
+    return _at_rest(spark, sf_dir, "stock",
+                    lambda path: append_claims(derive_stock(spark, sf_dir), path))
+
+
 def stock_log(spark, sf_dir):
-    return read_claims(spark, _at_rest(
-        spark, sf_dir, "stock", lambda path: append_claims(derive_stock(spark, sf_dir), path)))
+    return read_claims(spark, stock_path(spark, sf_dir))
+
+
+def stock_ledger(spark, sf_dir):
+    """The ledger of the written stock log."""
+    path = _at_rest(spark, sf_dir, "ledger",
+                    lambda path: ledger.seal(spark, stock_path(spark, sf_dir), path))
+    return ledger.read_ledger(spark, path)
 
 
 def stock_revocations(spark, sf_dir):

@@ -453,6 +453,13 @@ WHERE slot = 'kind_of_thing' AND revokes IS NULL GROUP BY 1"""
         f"""
 SELECT '{name}' AS log, subject, slot, g.id, revoked_at
 FROM {src}_gone g LEFT JOIN {src} c ON c.id = g.id""" for name, src in (("events", "ev"), ("stock", "st")))
+    text = "concat_ws('|', " + ", ".join(
+        f"coalesce('=' || {c}, '')" for c in (
+            "id", "strftime(recorded_at, '%Y-%m-%d %H:%M:%S.%f')", "revokes", "seq", "slot",
+            "subject", "strftime(valid_from, '%Y-%m-%d %H:%M:%S.%f')", "value")) + ")"
+    out["append_ledger"] = _with(_STOCK) + "SELECT slot, count(*) AS rows, " + ", ".join(
+        f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT)) AS VARCHAR) AS part{k}"
+        for k in range(4)) + f" FROM (SELECT slot, sha256({text}) AS h FROM st) GROUP BY slot"
     out["version_of_lines"] = """
 WITH ver AS MATERIALIZED (SELECT 'list:' || c_custkey AS version, c_custkey,
        TIMESTAMP '1992-01-01 00:00:00' + to_days(CAST(c_custkey * 7919 % 2400 AS INT)) AS vf,

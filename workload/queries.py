@@ -17,7 +17,7 @@ from twoclock.streaming import runnerups
 
 from . import stock
 from .logs import (REFS, SLOTS, TYPE_SLOT, URI_SLOT, event_intents, event_log, event_revocations,
-                   stock_assertions, stock_log, stock_revocations, stock_snapshot, table,
+                   stock_assertions, stock_ledger, stock_log, stock_revocations, stock_snapshot, table,
                    table_at_rest)
 
 EV_VALID, EV_KNOWN = "2024-01-20 00:00:00", "2024-01-22 00:00:00"
@@ -77,6 +77,14 @@ def standing_subset(spark, d):
                                EV_VALID, EV_KNOWN, event_revocations(spark, d)).select(*CLAIM)
 
 
+@query
+def append_ledger(spark, d):
+    """What the ledger of the stock log holds of every slot, its files put together."""
+    sums = [F.sum(p).cast("string").alias(p) for p in ("part0", "part1", "part2", "part3")]
+    return (stock_ledger(spark, d).groupBy("slot")
+            .agg(F.sum("rows").cast("bigint").alias("rows"), *sums))
+
+
 @query
 def resolve_point(spark, d):
     return resolve.resolve_point(event_log(spark, d), "user:7", "purchase",
