@@ -264,7 +264,7 @@ def _rated(linear):
 
 
 def toxicity(docs, labels, doc_id="doc_id", text="text", label="toxic", modulus=5, held_out=0,
-             labelled=20_000, sample=6000):
+             labelled=20_000, sample=6000, share=0.005, most=4000):
     """(doc_id, score) for every row of `docs`: 0 to 1, higher is likelier toxic.
 
     Lexicon and pattern voters, given and mined from about `labelled` rows of the
@@ -272,7 +272,10 @@ def toxicity(docs, labels, doc_id="doc_id", text="text", label="toxic", modulus=
     every whole text. The label model is fitted on the counts of all vote patterns of the
     corpus, with all training labels as a prior; a linear classifier is fitted on the
     posterior labels of about `sample` documents, half of them likely toxic, and scores
-    all. The two bounds hold for fitting alone.
+    all. The two bounds hold for fitting alone. A word or word beginning becomes part of
+    the classifier if at least `share` of the toxic documents among the labelled ones hold
+    it; of those, the `most` with the heaviest odds do. They are parameters of the model,
+    like its regularisation, and cut no document and no text.
 
     Null and empty texts have no words and score like any text without a hit. Rows with
     no doc_id are scored and never used as labelled. Repeated rows give repeated results.
@@ -281,7 +284,8 @@ def toxicity(docs, labels, doc_id="doc_id", text="text", label="toxic", modulus=
     """
     spark = docs.sparkSession
     mined = spark.sparkContext.broadcast(
-        mine(_labelled(docs, labels, doc_id, text, label, modulus, held_out, labelled)))
+        mine(_labelled(docs, labels, doc_id, text, label, modulus, held_out, labelled),
+             share, most))
     kind = docs.schema[doc_id].dataType.simpleString()
     seen = kept(docs.select(F.col(text).cast("binary").alias(OWN + "text"),
                             F.col(doc_id).alias("doc_id"))
@@ -318,10 +322,14 @@ def _fitted(seen, patterns, n_tokens, sample):
         drawn = (seen.join(F.broadcast(keys), "votes")
                  .where(F.pmod(F.xxhash64("doc_id", "votes", "tokens"), F.lit(1 << 20))
                         < int(part * (1 << 20)) + 1)
-                 .select("votes", "tokens").sort("votes", "tokens").collect())
+                 .groupBy("votes", "tokens").agg(F.count(F.lit(1)).alias("n"))
+                 .sort("votes", "tokens").collect())
+        # Rows alike in both come as one with their number, so a text that many rows repeat,
+        # drawn with all of them, is one row here.
+        every = sum(r["n"] for r in drawn)
         for r in drawn:
             rows.append((r["votes"], r["tokens"]))
             target.append(post[tuple(r["votes"])])
-            weights.append(total / max(len(drawn), 1))
+            weights.append(total / every * r["n"])
     weights = np.array(weights)
     return linear.fit(rows, np.array(target), weights)
