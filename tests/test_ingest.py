@@ -220,3 +220,28 @@ def test_a_million_uris_under_one_prefix_use_all_ranges(spark):
         .head()[:] == (1_000_000, 1, 1_000_000)
     small = numbered.where("id % 5000 < 3").orderBy("position").select("uri", "id").collect()
     assert small == sorted(small, key=lambda r: (r["uri"] is not None, r["uri"] or "", r["id"]))
+
+
+def test_a_correction_act_is_whole_rows(spark):
+    from conftest import day
+    from twoclock.operators.ingest import correction_act
+    known = spark.createDataFrame(
+        [("a", "s", "p", "old", None, day("2026-01-01")), ("b", "s", "q", None, "ref", day("2026-01-02")),
+         ("c", "t", "p", "gone", None, day("2026-01-03"))],
+        "id string, subject_id string, predicate_id string, value_literal string, value_ref string, "
+        "valid_from timestamp_ntz")
+    fixes = spark.createDataFrame(
+        [("b", "other", None), ("a", "new", day("2026-02-01")), ("c", None, None), ("z", "x", None),
+         ("a", "newer", None)], "claim_id string, value string, valid_from timestamp_ntz")
+    intent, rows, rejects = correction_act(
+        fixes, known, intent_id="i", actor_id="me", occurred_at="2026-03-01 10:00:00",
+        recorded_at="2026-03-01 11:00:00", last_seq=7, reason_code="typo")
+    assert [(r["id"], r["action_name"], r["reason_code"]) for r in intent.collect()] == [
+        ("i", "correct", "typo")]
+    got = {r["revokes"]: (r["seq"], r["subject_id"], r["predicate_id"], r["value_literal"],
+                          r["value_ref"], str(r["valid_from"]), r["intent_id"], r["source"])
+           for r in rows.collect()}
+    assert got == {"a": (8, "s", "p", "new", None, "2026-02-01 00:00:00", "i", "imported"),
+                   "b": (9, "s", "q", None, "other", "2026-01-02 00:00:00", "i", "imported"),
+                   "c": (10, "t", "p", None, None, "2026-01-03 00:00:00", "i", "imported")}
+    assert sorted((r["claim_id"], r["value"]) for r in rejects.collect()) == [("a", "newer"), ("z", "x")]

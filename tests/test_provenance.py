@@ -98,3 +98,17 @@ def test_the_newest_rows_are_picked_before_any_join(spark, claims):
     assert sorted(r.seq for r in rows) == [24, 25, 26, 27, 28]
     assert {r.seq: r.revoked_by for r in rows}[27] == "c27"
     assert {r.agent_id for r in rows} == {"bot"}
+
+
+def test_a_strict_history_refuses_unknown_uris(claims, spark):
+    import pytest
+    from twoclock.operators import provenance
+    log = claims([("s", "p", "v", "2026-01-01", "2026-01-01", None)])
+    intents = spark.createDataFrame([], "id string, occurred_at timestamp_ntz, actor_id string, "
+                                    "agent_id string, action_name string, reason_code string, note string")
+    log = log.withColumn("intent_id", log["id"])
+    pairs = spark.createDataFrame([("s", "p"), ("nobody", "p")], "subject string, slot string")
+    assert provenance.history(log, intents, pairs).count() == 0
+    with pytest.raises(provenance.UnknownURI, match="nobody"):
+        provenance.history(log, intents, pairs, strict=True)
+    provenance.history(log, intents, pairs.where("subject = 's'"), strict=True)

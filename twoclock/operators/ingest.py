@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.clocks import instant_column
 from ..functions.scalars import stable_id
@@ -120,6 +121,33 @@ def correct_by_id(fixes, claims, *, recorded_at=None):
     return made, fixes.join(target.select("claim_id"), "claim_id", "left_anti")
 
 
+def correction_act(fixes, assertions, *, intent_id, actor_id, occurred_at, action_name="correct",
+                   reason_code=None, note=None, agent_id=None, **append):
+    """(intent, assertions, rejects) of an act that corrects claims named by their id, whole
+    rows to be appended in that order. `fixes`: claim_id, value (NULL withdraws), valid_from
+    (NULL: the target's own). A correction speaks of the target's pair and says its value
+    the way the target did, as a literal or a reference; rows take their `seq`, in the order
+    of the claims' ids, from `last_seq` on. A fix of an unknown claim is a reject, and so is
+    a second fix of one claim: the first by value and valid_from is made."""
+    target = assertions.select(
+        F.col("id").alias("claim_id"), "subject_id", "predicate_id",
+        F.col("valid_from").alias("_was"), F.col("value_ref").isNotNull().alias("_is_ref"))
+    placed = fixes.select("claim_id", "value", "valid_from").withColumn(
+        "_turn", F.row_number().over(W.partitionBy("claim_id").orderBy("value", "valid_from")))
+    first = placed.where("_turn = 1").drop("_turn")
+    made = first.join(target, "claim_id").select(
+        "subject_id", "predicate_id", F.when(~F.col("_is_ref"), F.col("value")).alias("value_literal"),
+        F.when(F.col("_is_ref"), F.col("value")).alias("value_ref"),
+        F.coalesce("valid_from", "_was").alias("valid_from"), F.col("claim_id").alias("revokes"))
+    made = made.withColumn("batch_order", F.col("revokes")).withColumn("mint", F.lit(False))
+    intent, _, rows = append_act(
+        made, intent_id=intent_id, actor_id=actor_id, action_name=action_name,
+        occurred_at=occurred_at, reason_code=reason_code, note=note, agent_id=agent_id, **append)
+    rejects = (first.join(target.select("claim_id"), "claim_id", "left_anti")
+               .unionByName(placed.where("_turn > 1").drop("_turn")))
+    return intent, rows, rejects
+
+
 def assign_seq(batch, batch_order, last_seq=0) -> DataFrame:
     """Dense `seq` in batch order; pieces of the order are numbered side by side."""
     return position(batch, [], [batch_order], name="seq", start=last_seq + 1)

@@ -37,9 +37,18 @@ def with_revoked_by(rows, claims, within_pair=False) -> DataFrame:
     return rows.join(found, F.col("id") == F.col("_target"), "left").drop("_target")
 
 
-def history(claims, intents, pairs) -> DataFrame:
-    """Everything ever said under the given pairs, whatever the clocks. Ask
-    `unregistered` first if a pair nobody ever spoke of should be an error."""
+class UnknownURI(LookupError):
+    """A URI that the log has never registered."""
+
+
+def history(claims, intents, pairs, strict=False) -> DataFrame:
+    """Everything ever said under the given pairs, whatever the clocks. A pair nobody ever
+    spoke of has no rows; with `strict`, a URI of it that the log does not know is an
+    error, found by a look at the log before anything is returned."""
+    if strict:
+        unknown = [r["uri"] for r in unregistered(pairs, claims).orderBy("uri").limit(5).collect()]
+        if unknown:
+            raise UnknownURI(f"never registered: {', '.join(map(str, unknown))}")
     keys = [k for k in ("subject", "slot") if k in pairs.columns]
     held = claims.join(pairs.select(*keys).distinct(), keys, "left_semi")
     return with_intent(with_revoked_by(held, held, within_pair=True), intents)

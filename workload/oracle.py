@@ -513,6 +513,18 @@ SELECT md5(claim_id || '|' || CASE WHEN v >= 50 THEN '0.00' ELSE '' END || '|cor
        TIMESTAMP '2024-03-01 12:00:00' AS recorded_at, claim_id AS revokes, 'typing error' AS reason
 FROM f JOIN events e ON CAST(event_id AS VARCHAR) = claim_id"""
     out["correct_by_id_rejects"] = fixes + "SELECT claim_id FROM f WHERE claim_id LIKE 'none-%'"
+    out["correction_act"] = """
+WITH f AS (SELECT md5('supplier:' || s_suppkey || '|registered') AS claim_id, s_suppkey, s_acctbal
+           FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT md5('act:names|' || claim_id) AS id, 500 + row_number() OVER (ORDER BY claim_id) AS seq,
+       md5('supplier:' || s_suppkey) AS subject_id, md5('sys:uri') AS predicate_id,
+       CASE WHEN s_acctbal >= 0 THEN 'new-' || s_suppkey END AS value_literal,
+       CAST(NULL AS VARCHAR) AS value_ref, TIMESTAMP '1995-01-01 00:00:00' AS valid_from,
+       TIMESTAMP '2000-01-02 09:00:00' AS recorded_at, claim_id AS revokes,
+       'act:names' AS intent_id, 'imported' AS source, CAST(NULL AS VARCHAR) AS confidence,
+       CAST(NULL AS VARCHAR) AS authority, 'v1' AS ontology_version,
+       CAST(NULL AS VARCHAR) AS subject_key_id
+FROM f"""
     out["append_act"] = """
 SELECT 'intent' AS kind, 'act:suppliers' AS id, TIMESTAMP '1995-01-01 09:00:00' AS occurred_at
 UNION ALL SELECT 'entity', md5('supplier:' || s_suppkey), TIMESTAMP '1995-01-01 09:00:00'

@@ -275,6 +275,21 @@ def correct_by_id_rejects(spark, d):
     return ingest.correct_by_id(_named_fixes(spark, d), event_log(spark, d))[1].select("claim_id")
 
 
+@query
+def correction_act(spark, d):
+    """One act that corrects the registered name of every third supplier, whole rows: the
+    ones with a negative balance are withdrawn."""
+    s = table(spark, d, "supplier").where("s_suppkey % 3 = 0")
+    fixes = s.select(
+        F.md5(F.concat(F.lit("supplier:"), "s_suppkey", F.lit("|registered"))).alias("claim_id"),
+        F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("new-"), "s_suppkey")).alias("value"),
+        F.lit(None).cast("timestamp_ntz").alias("valid_from"))
+    _, rows, _ = ingest.correction_act(
+        fixes, stock_assertions(spark, d), intent_id="act:names", actor_id="clerk",
+        occurred_at="2000-01-01 09:00:00", recorded_at="2000-01-02 09:00:00", last_seq=500)
+    return rows
+
+
 def _supplier_act(spark, d):
     batch = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("batch_order"), (F.col("s_acctbal") > 0).alias("mint"),
