@@ -59,7 +59,7 @@ su AS (SELECT *, 'supplier:' || s_suppkey AS uri, s_suppkey * 1000 AS base,
 un AS (SELECT DISTINCT 'container:' || l_returnflag AS uri, 'Flag ' || l_returnflag AS name,
               CAST(ascii(l_returnflag) AS BIGINT) * 1000 AS base, {_T0} AS vf, {_T0} AS ra
        FROM lineitem),
-st AS (
+st AS MATERIALIZED (
 """ + "\nUNION ALL\n".join([
     *[_claim("mv", "line", slot, value, n, kind, ra=ra, revokes=revokes,
              where=f"(l_returnflag = 'R') = {back} AND {cond}")
@@ -114,9 +114,9 @@ _REFS = ("'part_brand','part_container','packed_part','packed_in','delivered_par
          "'returned_in','counted_part','counted_at','counted_in'")
 
 _REGISTERED = f"""
-uris AS (SELECT subject AS uri FROM st UNION SELECT value FROM st WHERE slot IN ({_REFS})
+uris AS MATERIALIZED (SELECT subject AS uri FROM st UNION SELECT value FROM st WHERE slot IN ({_REFS})
          UNION SELECT slot FROM st UNION SELECT 'sys:uri'),
-asr AS (
+asr AS MATERIALIZED (
   SELECT id, seq + 1000 AS seq, md5(subject) AS subject_id, md5(slot) AS predicate_id,
          CASE WHEN slot NOT IN ({_REFS}) THEN value END AS value_literal,
          CASE WHEN slot IN ({_REFS}) THEN md5(value) END AS value_ref,
@@ -133,7 +133,7 @@ def _standing(name, src, clocks, where="TRUE", keys="subject, slot", value="valu
     """The winner of each pair at the clocks, as a CTE."""
     va, ao = (f"TIMESTAMP '{c}'" for c in clocks)
     return f"""
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT * EXCLUDE (rn) FROM (
     SELECT a.*, row_number() OVER (PARTITION BY {keys}
              ORDER BY valid_from DESC, recorded_at DESC, seq DESC) AS rn
@@ -429,7 +429,7 @@ FROM s GROUP BY slot"""
         f"SELECT TIMESTAMP '{va}' AS valid_at, TIMESTAMP '{ao}' AS as_of, {_COLS} FROM s{i}"
         for i, (va, ao) in enumerate(_GRID))
     out["replay_labels"] = _with(*_STATED) + """,
-lab AS (SELECT subject_id, value_literal AS label FROM sa WHERE predicate_id = md5('sys:uri'))
+lab AS MATERIALIZED (SELECT subject_id, value_literal AS label FROM sa WHERE predicate_id = md5('sys:uri'))
 SELECT coalesce(a.label, '<' || s.subject_id || '>') AS subject,
        coalesce(b.label, '<' || s.predicate_id || '>') AS predicate,
        CASE WHEN s.value_ref IS NOT NULL
