@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import OWN, per_worker
+from .common import OWN, per_worker, tidy
 
 _CHUNK = re.compile("\n| *[^ \n]+| +")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -217,7 +217,7 @@ def encode(docs, model_file, text="text", ids="ids", crc="ids_crc32", decoded=No
                            if c not in (text, ids, crc, decoded)])
     state = docs.select(F.col(text).alias(OWN + "text"), *[F.col(f"`{c}`") for c in others.columns])
     back = int(decoded is not None)
-    done = state.mapInArrow(_encoded(shared, back), ", ".join(
+    done = state.mapInArrow(tidy(_encoded(shared, back)), ", ".join(
         [*_kinds(others), f"`{OWN}ids` array<int>", f"`{OWN}crc` long"]
         + [f"`{OWN}text` string"] * back))
     names = {OWN + "ids": ids, OWN + "crc": crc}

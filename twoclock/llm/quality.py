@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import OWN, bucket_of
+from .common import OWN, bucket_of, tidy
 
 #: Words of a passage. A document is a bag of passages.
 PASSAGE = 60
@@ -175,7 +175,7 @@ def scored(docs, model, text="text", score="score"):
     state = docs.select(F.col(text).alias(OWN + "text"), *[F.col(f"`{c}`") for c in others],
                         F.col(text).cast("binary").alias(OWN + "bytes"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema)
-    done = state.mapInArrow(_scorer(model, len(state.columns) - 1),
+    done = state.mapInArrow(tidy(_scorer(model, len(state.columns) - 1)),
                             f"{kinds}, `{OWN}score` double")
     return done.select(*[F.col(OWN + "text").alias(c) if c == text else F.col(f"`{c}`")
                          for c in docs.columns if c != score],
