@@ -93,20 +93,22 @@ def recent(claims, intents, k=40, offset=0, kind=None, actor=None, search=None,
 
     `kind` is "revocations" (revoking or revoked) or a name in `action_groups`.
     """
-    if not actor and kind is None:
-        return _newest_alone(claims, intents, k, offset, search)
-    rows = with_intent(claims, intents)
+    rows = _searched(claims, search)
+    asked = None
     if action_groups and kind in action_groups:
-        rows = rows.where(F.col("action_name").isin(list(action_groups[kind])))
+        asked = F.col("action_name").isin(list(action_groups[kind]))
     if actor:
-        rows = rows.where(F.col("actor_id") == actor)
-    rows = _searched(rows, search)
+        own = F.col("actor_id") == actor
+        asked = own if asked is None else asked & own
+    if asked is not None:
+        acts = intents.where(asked).select(F.col("id").alias("intent_id"))
+        rows = rows.join(acts, "intent_id", "left_semi").select(*claims.columns)
     if kind == "revocations":
-        rows = (with_revoked_by(rows, claims)
-                .where(F.col("revokes").isNotNull() | F.col("revoked_by").isNotNull()))
-        return rows.orderBy(F.col("seq").desc()).offset(offset).limit(k)
-    # The k rows are picked before the log is searched for their revokers.
-    return with_revoked_by(rows.orderBy(F.col("seq").desc()).offset(offset).limit(k), claims)
+        withdrawn = claims.where(F.col("revokes").isNotNull()).select(F.col("revokes").alias("id"))
+        rows = rows.where(F.col("revokes").isNotNull()).unionByName(
+            rows.where(F.col("revokes").isNull()).join(withdrawn, "id", "left_semi")
+            .select(*claims.columns))
+    return _told(rows.orderBy(F.col("seq").desc()).offset(offset).limit(k), claims, intents)
 
 
 def _searched(rows, search):
@@ -117,11 +119,9 @@ def _searched(rows, search):
                       | F.coalesce(F.lower("value").contains(text), F.lit(False)))
 
 
-def _newest_alone(claims, intents, k, offset, search):
-    """The newest k where nothing depends on the intent: every claim has one, so the rows
-    are picked first, and only they meet intents and revokers. At most k rows are
-    broadcast; neither the log nor the intents are shuffled."""
-    rows = _searched(claims, search).orderBy(F.col("seq").desc()).offset(offset).limit(k)
+def _told(rows, claims, intents):
+    """The k rows that were picked, with their intents and first revokers: only they meet
+    those. At most k rows are broadcast; neither the log nor the intents are shuffled."""
     if intents is not None:
         acts = intents.join(F.broadcast(rows.select(F.col("intent_id").alias("id")).distinct()),
                             "id", "left_semi")
