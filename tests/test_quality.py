@@ -129,3 +129,28 @@ def test_every_name_length_is_searched(spark):
     names = spark.createDataFrame([("n" * k,) for k in range(1, 1102)], "name string")
     bodies = spark.createDataFrame([(1, "n" * 1101)], "id int, text string")
     assert quality.unmentioned(names, bodies).count() == 0
+
+
+def test_item_health_in_the_words_of_any_model(spark):
+    from twoclock.operators import report
+    named = report.Named("title", "shelf", "least", "cost", "shelf_name", "of", "on", "holds",
+                         "town", "sku", "site", "due", "seen", "off", "seen_worth", "off_worth")
+    items = spark.createDataFrame([("i1", "Nut", "s1", 3.0, 2.0), ("i2", "Bolt", "s2", None, 1.0)],
+                                  "entity_uri string, title string, shelf string, least double, cost double")
+    shelves = spark.createDataFrame([("s1", "Crate")], "entity_uri string, shelf_name string")
+    holds = spark.createDataFrame([("i1", "s1", 10)], "of string, on string, holds int")
+    towns = spark.createDataFrame([("p1", "Here")], "entity_uri string, town string")
+    balance = spark.createDataFrame(
+        [("i1", "p1", 50.0, 20.0, -30.0, 40.0, -60.0, 2.0), ("i2", "p2", 5.0, 5.0, 0.0, 5.0, 0.0, 1.0)],
+        "sku string, site string, due double, seen double, off double, seen_worth double, "
+        "off_worth double, cost double")
+    meta = report.item_metadata(items, shelves, holds, named)
+    assert [(r.entity_uri, r.factor, r.shelf_name) for r in meta.orderBy("entity_uri").collect()] == [
+        ("i1", 10.0, "Crate"), ("i2", 1.0, None)]
+    rows = {r.part: r for r in report.item_health(balance, meta, towns, named).collect()}
+    nut, bolt = rows["i1"], rows["i2"]
+    assert (nut.name, nut.location, nut.pack_unit, nut.reorder_base, nut.counted_packs) == (
+        "Nut", "Here", "Crate", 30.0, 2.0)
+    assert nut.is_anomaly and nut.is_reorder and nut.gap_value == -60.0
+    assert (bolt.location, bolt.pack_unit, bolt.is_anomaly, bolt.is_reorder) == (
+        "p2", "pieces", False, False)

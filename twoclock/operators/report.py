@@ -1,48 +1,79 @@
 """Stock reports over a reconciliation, and clock-free checks of the log's shape."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
 
 
-def item_metadata(items, units, conversions) -> DataFrame:
+@dataclass(frozen=True)
+class Named:
+    """Which columns of the tables a report is made from mean what it asks for. Of items:
+    their label, the unit they are kept in, the level to reorder at (in that unit) and the
+    price. Of units their label; of conversions the item, the unit and the factor; of
+    places their label. Of the reconciliation: both keys, what should remain, what was
+    counted, how they differ, and the values of the last two."""
+    label: str
+    unit: str
+    level: str
+    price: str
+    unit_label: str
+    converted_item: str
+    converted_unit: str
+    factor: str
+    place_label: str
+    item: str
+    place: str
+    remaining: str
+    counted: str
+    gap: str
+    counted_value: str
+    gap_value: str
+
+
+def item_metadata(items, units, conversions, named: Named) -> DataFrame:
     """Each item with the unit it is counted in and that unit's factor; every item
     stays, an unconverted one has factor 1."""
-    u = units.select(F.col("entity_uri").alias("_holder"), F.col("container_label"))
-    c = conversions.select(F.col("packed_part").alias("_item"),
-                           F.col("packed_in").alias("_cunit"), "pieces_each")
-    return (items.join(u, F.col("part_container") == F.col("_holder"), "left")
+    u = units.select(F.col("entity_uri").alias("_holder"), named.unit_label)
+    c = conversions.select(F.col(named.converted_item).alias("_item"),
+                           F.col(named.converted_unit).alias("_cunit"),
+                           F.col(named.factor).alias("_factor"))
+    return (items.join(u, F.col(named.unit) == F.col("_holder"), "left")
             .join(c, (F.col("entity_uri") == F.col("_item"))
-                  & (F.col("part_container") == F.col("_cunit")), "left")
-            .select("entity_uri", "part_name", "part_container", "floor_stock",
-                    "list_price",
-                    F.coalesce("pieces_each", F.lit(1)).cast("double").alias("factor"),
-                    "container_label"))
+                  & (F.col(named.unit) == F.col("_cunit")), "left")
+            .select("entity_uri", named.label, named.unit, named.level, named.price,
+                    F.coalesce("_factor", F.lit(1)).cast("double").alias("factor"),
+                    named.unit_label))
 
 
-def item_health(reconciliation, metadata, places, severe=-50.0) -> DataFrame:
-    """One row per (item, place): quantities, money, and the two flags.
+def item_health(reconciliation, metadata, places, named: Named, severe=-50.0) -> DataFrame:
+    """One row per (item, place), in the report's own words: quantities, money, and the
+    two flags.
 
     An anomaly lost `severe` or more in value. A reorder is counted below the level in
     base units while something should remain.
     """
-    m = metadata.select(F.col("entity_uri").alias("part"), "part_name", "factor",
-                        F.col("floor_stock").cast("double").alias("_level"),
-                        F.coalesce("container_label", F.lit("pieces")).alias("pack_unit"))
-    p = places.select(F.col("entity_uri").alias("place"), "place_name")
-    money = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in
-             ("list_price", "remaining", "counted", "gap")}
-    rows = (reconciliation.join(m, "part", "left").join(p, "place", "left")
+    m = metadata.select(F.col("entity_uri").alias("part"), F.col(named.label).alias("_label"),
+                        "factor", F.col(named.level).cast("double").alias("_level"),
+                        F.coalesce(named.unit_label, F.lit("pieces")).alias("pack_unit"))
+    p = places.select(F.col("entity_uri").alias("place"),
+                      F.col(named.place_label).alias("_where"))
+    money = {ours: F.coalesce(F.col(theirs).cast("double"), F.lit(0.0)) for ours, theirs in
+             (("list_price", named.price), ("remaining", named.remaining),
+              ("counted", named.counted), ("gap", named.gap))}
+    held = reconciliation.withColumnsRenamed({named.item: "part", named.place: "place"})
+    rows = (held.join(m, "part", "left").join(p, "place", "left")
             .select("part", "place",
-                    F.coalesce("part_name", "part").alias("name"),
-                    F.coalesce("place_name", "place").alias("location"),
+                    F.coalesce("_label", "part").alias("name"),
+                    F.coalesce("_where", "place").alias("location"),
                     F.coalesce("pack_unit", F.lit("pieces")).alias("pack_unit"),
                     F.coalesce("factor", F.lit(1.0)).alias("pack_factor"),
                     (F.col("_level") * F.coalesce("factor", F.lit(1.0))).alias("reorder_base"),
                     *[c.alias(n) for n, c in money.items()],
-                    F.col("counted_value").cast("double").alias("_sv"),
-                    F.col("gap_value").cast("double").alias("_vv")))
+                    F.col(named.counted_value).cast("double").alias("_sv"),
+                    F.col(named.gap_value).cast("double").alias("_vv")))
     return rows.select(
         "part", "place", "name", "location", "pack_unit", "pack_factor",
         "reorder_base", "list_price", "remaining", "counted", "gap",

@@ -648,13 +648,13 @@ def _items(spark, d):
     places = project.entities(view, stock.ENTITY_SPECS["HomeNation"])
     balance_ = table_at_rest(spark, d, "trade-balance",
                              lambda: project.grouped(view, stock.RECONCILIATION))
-    return report.item_health(balance_, meta, places)
+    return report.item_health(balance_, meta, places, stock.REPORTED)
 
 
 def _metadata(view):
     return report.item_metadata(project.entities(view, stock.ENTITY_SPECS["Part"]),
                                 project.entities(view, stock.ENTITY_SPECS["Container"]),
-                                project.entities(view, stock.ENTITY_SPECS["Packing"]))
+                                project.entities(view, stock.ENTITY_SPECS["Packing"]), stock.REPORTED)
 
 
 @query

@@ -5,6 +5,7 @@ return from that nation to the supplier. Finished lines were counted on arrival.
 say how many pieces of a part its containers hold.
 """
 
+from twoclock.operators import report
 from twoclock.plans import (Aggregate, Convert, EntitySpec, Expression, GroupedSpec, Model,
                             Parameter)
 
@@ -115,5 +116,13 @@ COUNTED_ON_HAND = GroupedSpec(MODEL, "CountedParts", {
     "counted": _ARRIVALS_COUNTED,
 })
 
+# What the reports over the balance are made from.
+REPORTED = report.Named(
+    label="part_name", unit="part_container", level="floor_stock", price="list_price",
+    unit_label="container_label", converted_item="packed_part", converted_unit="packed_in",
+    factor="pieces_each", place_label="place_name", item="part", place="place",
+    remaining="remaining", counted="counted", gap="gap", counted_value="counted_value",
+    gap_value="gap_value")
+
 ENTITY_SPECS = {c: EntitySpec(MODEL, c) for c in
                 ("Part", "Place", "HomeNation", "Supplier", "Container", "Packing")}
