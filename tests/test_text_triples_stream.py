@@ -82,6 +82,30 @@ def test_closure_of_a_deep_tree(spark):
     assert got.where("ancestor = 'n0'").count() == 39
 
 
+def test_ancestors_of_deep_and_circular_graphs(spark):
+    rng = random.Random(2)
+    deep = [(f"n{i}", f"n{i + 1}") for i in range(700)]
+    circle = [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("c3", "d"), ("d", "e"), ("n5", "c0")]
+    mixed = [(f"m{rng.randrange(30)}", f"m{rng.randrange(30)}") for _ in range(40)]
+    edges = deep + circle + mixed + [(None, "n0"), ("x", "x")]
+    above = {}
+    for parent, child in edges:
+        above.setdefault(child, set()).add(parent)
+    asked = ["n700", "n3", "e", "c4", "stranger", *[f"m{k}" for k in range(0, 30, 4)]]
+    want = set()
+    for node in asked:
+        seen, todo = {node}, [node]
+        while todo:
+            for up in above.get(todo.pop(), ()):
+                if up is not None and up not in seen:
+                    seen.add(up)
+                    todo.append(up)
+        want |= {(a, node) for a in seen}
+    got = triples.ancestors_of(spark.createDataFrame(edges, "parent string, child string"),
+                               spark.createDataFrame([(a,) for a in asked + [None]], "node string"))
+    assert sorted((r["ancestor"], r["descendant"]) for r in got.collect()) == sorted(want)
+
+
 def test_state_follows_the_log(spark, tmp_path):
     log_path, state, va = str(tmp_path / "log"), str(tmp_path / "state"), "2026-12-31"
 

@@ -921,6 +921,8 @@ t(ancestor, descendant) AS (
   SELECT parent, parent FROM e UNION SELECT child, child FROM e
   UNION SELECT t.ancestor, e.child FROM t JOIN e ON e.parent = t.descendant)
 SELECT ancestor, descendant FROM t"""
+    out["class_ancestors"] = out["class_closure"] + """
+WHERE descendant IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_acctbal < 0)"""
 
     # ---- scalar functions
     out["uri_slugs"] = r"""

@@ -1041,17 +1041,28 @@ def drawable_edges(spark, d):
     return triples.drawable_edges(triples.with_inferred(t, triples.inferred(t)))
 
 
-@query
-def class_closure(spark, d):
+def _places_below(spark, d):
     n, s, c = (table(spark, d, t) for t in ("nation", "supplier", "customer"))
     nation = F.concat(F.lit("nation:"), F.col("n_nationkey"))
-    edges = (n.select(F.concat(F.lit("region:"), "n_regionkey").alias("parent"),
-                      nation.alias("child"))
-             .union(s.select(F.concat(F.lit("nation:"), "s_nationkey"),
-                             F.concat(F.lit("supplier:"), "s_suppkey")))
-             .union(c.select(F.concat(F.lit("nation:"), "c_nationkey"),
-                             F.concat(F.lit("customer:"), "c_custkey"))))
-    return triples.closure(edges)
+    return (n.select(F.concat(F.lit("region:"), "n_regionkey").alias("parent"),
+                     nation.alias("child"))
+            .union(s.select(F.concat(F.lit("nation:"), "s_nationkey"),
+                            F.concat(F.lit("supplier:"), "s_suppkey")))
+            .union(c.select(F.concat(F.lit("nation:"), "c_nationkey"),
+                            F.concat(F.lit("customer:"), "c_custkey"))))
+
+
+@query
+def class_closure(spark, d):
+    return triples.closure(_places_below(spark, d))
+
+
+@query
+def class_ancestors(spark, d):
+    """What lies above every customer who owes money."""
+    owing = table(spark, d, "customer").where("c_acctbal < 0").select(
+        F.concat(F.lit("customer:"), "c_custkey").alias("node"))
+    return triples.ancestors_of(_places_below(spark, d), owing)
 
 
 # ---- scalar functions -----------------------------------------------------
