@@ -17,12 +17,26 @@ from .log import append_claims, read_claims
 def revocations_of(claims, targets=None) -> DataFrame:
     """(slot, subject, id, revoked_at) for every id that `claims` revoke; slot and subject
     are those of the claim with that id in `targets` (`claims` itself, unless given), NULL
-    where there is none."""
+    where there is none.
+
+    A claim mostly withdraws one of its own slot, so the claims of the slots that withdraw
+    anything are looked through first, and the others only for ids not found there."""
+    names = claims.where(F.col("revokes").isNotNull()).select("slot").distinct()
+    slots = [r["slot"] for r in names.collect() if r["slot"] is not None]
     withdrawn = (claims.where(F.col("revokes").isNotNull())
                  .groupBy(F.col("revokes").alias("id"))
                  .agg(F.min("recorded_at").alias("revoked_at")))
     owners = (claims if targets is None else targets).select("id", "subject", "slot")
-    return withdrawn.join(owners, "id", "left").select("slot", "subject", "id", "revoked_at")
+    among = F.coalesce(F.col("slot").isin(slots), F.lit(False))
+    columns = ["slot", "subject", "id", "revoked_at", "_met"]
+    owners = owners.withColumn("_met", F.lit(True))
+    first = kept(withdrawn.join(owners.where(among), "id", "left").select(*columns))
+    found = first.where("_met").drop("_met")
+    unmet = first.where("_met is null").select("id", "revoked_at")
+    if unmet.isEmpty():
+        return found
+    rest = unmet.join(owners.where(~among), "id", "left").select(*columns).drop("_met")
+    return found.unionByName(rest)
 
 
 def _append(rows, path):
