@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twoclock.operators import project, report, resolve
 from twoclock.sources.revocations import revocations_of
-from workload import logs
+from workload import logs, queries
 
 SF = "/root/testdata/sf0.001"
 SHAPE = ("id string, seq bigint, subject string, slot string, value string, "
@@ -72,3 +72,60 @@ def test_claims_in_slots_without_withdrawals_are_not_met_by_id(spark):
     index = logs.stock_revocations(spark, SF)
     plan = resolve.standing(log, *CLOCKS, ["counted_at", "place_name"], index)
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_stand_alone_are_resolved_where_they_are(spark):
+    log = spark.createDataFrame([
+        claim(1, "a", "size", "1"), claim(2, "a", "size", "2", 2), claim(3, "b", "size", "7"),
+        claim(4, "c", "kind", "Thing")], SHAPE)
+    at = F.lit("2000-01-03").cast("timestamp_ntz")
+    rows = spark.createDataFrame([("d", "3", "4", True), ("e", "5", None, False),
+                                  ("f", "6", None, True)],
+                                 "subject string, first string, then string, undone boolean")
+    same = [F.lit(1).alias("seq"), at.alias("valid_from"), at.alias("recorded_at")]
+    claims = {"size": [
+        F.struct(F.col("first").alias("value"), *same, F.col("undone").alias("revoked"),
+                 F.when(F.col("undone"), at).alias("revoked_at")),
+        F.struct(F.col("then").alias("value"), *same, F.lit(False).alias("revoked"),
+                 F.lit(None).cast("timestamp_ntz").alias("revoked_at"))]}
+    view = project.PackedView(lambda slots: packed(log, slots), *CLOCKS, revocations_of(log),
+                              lambda slots: [(rows, claims)])
+    assert rows_of(view.wide({"s": "size"})) == [("a", "2"), ("b", "7"), ("d", "4"), ("e", "5")]
+    alone = project.PackedView(lambda slots: [], *CLOCKS, revocations_of(log),
+                               lambda slots: [(rows, claims)])
+    assert "Exchange" not in alone.wide({"s": "size"})._jdf.queryExecution().toString()
+
+
+def test_lines_of_one_name_are_resolved_together(spark, tmp_path):
+    for name in ("nation", "supplier", "customer", "part", "orders"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey < 300")
+    again = lines.where("l_linenumber % 2 = 0")
+    kind = lines.schema["l_tax"].dataType
+    (lines.unionByName(again.withColumn("l_returnflag", F.lit("R")))
+     .unionByName(again.withColumn("l_tax", F.lit(0.08).cast(kind)))
+     .write.parquet(f"{tmp_path}/lineitem.parquet"))
+    d = str(tmp_path)
+    log = logs.stock_log(spark, d)
+    assert not logs.line_rows(spark, d).where("_alone").isEmpty()
+    assert not logs.line_rows(spark, d).where("not _alone").isEmpty()
+    slots = {s: s for s in ("delivered_pieces", "returned_pieces", "delivered_in",
+                            "counted_pieces", logs.TYPE_SLOT)}
+    view, plain = queries._view(spark, d), project.LogView(log, *CLOCKS)
+    assert rows_of(view.wide(slots)) == rows_of(plain.wide(slots))
+    for kinds in (["Return"], ["Part", "PromoPart"], ["Inventory"]):
+        asked = (logs.TYPE_SLOT, kinds, {"p": "returned_pieces", "n": "part_name"})
+        assert rows_of(view.of_class(*asked)) == rows_of(plain.of_class(*asked))
+    assert rows_of(queries.attribute_pivot(spark, d)) == rows_of(
+        report.attribute_pivot(log, queries._DELIVERED))
+    assert rows_of(queries.class_counts(spark, d)) == rows_of(
+        report.class_counts(log, logs.TYPE_SLOT))
+    assert set(rows_of(logs.stock_revocations(spark, d).select("slot", "subject", "id"))) == set(
+        rows_of(revocations_of(log).select("slot", "subject", "id")))
+
+
+def test_what_is_asked_of_parts_reads_no_lines(spark):
+    plan = queries.cell_evidence(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan and "lineitem" not in plan
+    claims = logs.stock_log(spark, SF, [logs.TYPE_SLOT], ["Part"])
+    assert claims.where("not subject like 'part:%'").isEmpty()
