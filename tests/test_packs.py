@@ -129,3 +129,12 @@ def test_what_is_asked_of_parts_reads_no_lines(spark):
     assert "l_linenumber" not in plan and "lineitem" not in plan
     claims = logs.stock_log(spark, SF, [logs.TYPE_SLOT], ["Part"])
     assert claims.where("not subject like 'part:%'").isEmpty()
+
+
+def test_lists_of_parts_and_places_write_no_lines(spark, tmp_path):
+    for name in ("nation", "supplier", "part", "lineitem"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    # There are no orders here, so lines cannot be read.
+    assert queries.entities_part(spark, str(tmp_path)).count() == 200
+    assert queries.entities_location(spark, str(tmp_path)).count() == 35
+    assert queries.corrections(spark, str(tmp_path)).count() == 64
