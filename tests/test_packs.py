@@ -1,6 +1,7 @@
 """Claims that stay packed in the rows they are made from."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -138,3 +139,23 @@ def test_lists_of_parts_and_places_write_no_lines(spark, tmp_path):
     assert queries.entities_part(spark, str(tmp_path)).count() == 200
     assert queries.entities_location(spark, str(tmp_path)).count() == 35
     assert queries.corrections(spark, str(tmp_path)).count() == 64
+
+
+def test_sums_of_lines_are_dealt_once_for_all_that_meets_them(spark):
+    def exchanges(name):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not any(re.fullmatch(r"part#\d+, place#\d+|_look0#\d+, part#\d+", e)
+                       for e in exchanges("on_hand"))
+        assert not any(e.startswith("_agg#") for e in exchanges("on_hand_by_unit"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_lines_carry_what_tax_and_discount_decide(spark):
+    columns = logs.line_rows(spark, SF).columns
+    assert not {"l_tax", "l_discount", "l_linestatus"}.intersection(columns)
