@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,17 @@ def test_vectors_whose_squares_leave_the_range_of_doubles(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
     assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 9: (4, 0), 4: (2, 4), 5: (2, 4),
                    7: (2, 4), 6: (0, 6), 8: (0, 8), 10: (0, 10)}
+
+
+def test_each_chunk_of_a_column_is_looked_up_once_and_odd_spaces_give_the_library_s_ids():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(BYTE_BPE)
+    texts = ["the cat, the cat", "the cat\nthe cat.", None, "", " a  b ", "a\u00a0 b\u2003c", "e\u0301 \u4e2d",
+             "x<|endo", "ftext|> y <|endoftext|> z", "tab\t end\n", "\0 nul\n\nline"] * 3
+    coder = tokenfile.ChunkedEncoder(BYTE_BPE, 2)
+    asked, look_up = [], coder._look_up
+    coder._look_up = lambda chunks: asked.append(list(chunks)) or look_up(chunks)
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["-", *texts])[1:]):
+        got = [np.frombuffer(ids, "<u2").tolist() for ids in coder.encode_column(column)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert all(len(chunks) == len(set(chunks)) for chunks in asked)

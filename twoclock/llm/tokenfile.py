@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -99,7 +100,10 @@ class ChunkedEncoder:
 
     A byte-level tokenizer cuts a text before a space that a non-space follows, around a
     lone line end, and between a letter or digit and a comma or full stop, so the chunks
-    between are encoded by themselves. Many new ones go into one string, parted by a special token, whose id then parts their ids. The ids of
+    between are encoded by themselves. Texts are cut in one pass over their bytes, and each
+    different chunk of a column is looked up once. New ones that begin with a space go into one
+    string, whose ids are parted by the bytes they stand for; others are parted there by a
+    special token. The ids of
     short chunks are kept in two generations, about `memory` of them: a full one becomes
     the old one, and what is met again moves on to the new.
     """
@@ -111,11 +115,19 @@ class ChunkedEncoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.kind, self.width, self.memory = f"<u{width}", width, memory
         self.known, self.old = {}, {}
-        marks = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items()
+        added = self.tokenizer.get_added_tokens_decoder()
+        marks = [(k, t.content) for k, t in added.items()
                  if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = min(marks, default=(None, None))
         self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids,
                                   self.kind).tobytes() for c in ",."}
+        # A byte-level token has a character a byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token)
+        for k, token in added.items():
+            self.bytes_of[k] = len(token.content.encode())
 
     @staticmethod
     def chunks(text):
@@ -130,6 +142,25 @@ class ChunkedEncoder:
                 out[-1] += " " + part
         return out
 
+    def _parted(self, found, ends):
+        """The ids of an encoded string between the places `ends` that cut it."""
+        data = np.array(found, self.kind).tobytes()
+        ends = (np.asarray(ends) * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn_spaced(self, chunks):
+        """Adds chunks that begin with one space and end with none; gives those back whose
+        ends are not ends of tokens, as with a tokenizer that is not byte-level."""
+        found = self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.int64)
+        at = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        last = np.searchsorted(at, ends)
+        if not len(at) or at[-1] != ends[-1] or (at[last] != ends).any():
+            return chunks
+        self.known.update(zip(chunks, self._parted(ids, last + 1), strict=True))
+        return []
+
     def _learn(self, chunks):
         """Adds the ids of chunks not met before."""
         alone, ended, whole = [], [], set()
@@ -143,7 +174,17 @@ class ChunkedEncoder:
                     whole.add(base)
             else:
                 whole.add(chunk)
-        plain = [c for c in whole if self.mark and self.mark not in c or alone.append(c)]
+        plain, spaced = [], []
+        for chunk in whole:
+            if not self.mark or self.mark in chunk:
+                alone.append(chunk)
+            elif len(chunk) > 1 and chunk[0] == " " and not (
+                    chunk[1].isspace() or chunk[-1].isspace()):
+                spaced.append(chunk)
+            else:
+                plain.append(chunk)
+        for lo in range(0, len(spaced), 5000):
+            plain += self._learn_spaced(spaced[lo:lo + 5000])
         for lo in range(0, len(plain), 5000):
             part = plain[lo:lo + 5000]
             found = self.tokenizer.encode_batch_fast([self.mark.join(part)],
@@ -159,30 +200,100 @@ class ChunkedEncoder:
         for chunk in ended:
             self.known[chunk] = self.known[chunk[:-1]] + self.stops[chunk[-1]]
 
+    def _look_up(self, chunks):
+        """The ids of different chunks, new ones learnt."""
+        if len(self.known) > self.memory // 2:
+            self.known, self.old = {}, self.known
+        found = list(map(self.known.get, chunks))
+        missing = {c for c, ids in zip(chunks, found, strict=True) if ids is None}
+        if missing:
+            again = missing & self.old.keys()
+            self.known.update((c, self.old[c]) for c in again)
+            missing -= again
+            self._learn(missing)
+            found = [self.known[c] if ids is None else ids
+                     for c, ids in zip(chunks, found, strict=True)]
+            for chunk in [c for c in missing if len(c) > 64]:
+                del self.known[chunk]
+        return found
+
     def encode(self, texts):
         """The ids of each text as little-endian bytes."""
         cut = [[c for c in self.chunks(t) if c] if t else [] for t in texts]
-        if len(self.known) > self.memory // 2:
-            self.known, self.old = {}, self.known
-        # One look-up a chunk; places of chunks not known are filled in afterwards.
-        coded = [list(map(self.known.get, parts)) for parts in cut]
-        gaps = [(found, n, parts[n]) for found, parts in zip(coded, cut, strict=True)
-                for n, ids in enumerate(found) if ids is None]
-        missing = {chunk for _, _, chunk in gaps}
-        again = missing & self.old.keys()
-        self.known.update((c, self.old[c]) for c in again)
-        missing -= again
-        self._learn(missing)
-        for found, n, chunk in gaps:
-            found[n] = self.known[chunk]
-        out = [b"".join(ids) for ids in coded]
-        for chunk in [c for c in missing if len(c) > 64]:
-            del self.known[chunk]
-        return out
+        different = list({c for parts in cut for c in parts})
+        ids = dict(zip(different, self._look_up(different), strict=True))
+        return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
+
+    def encode_column(self, column):
+        """The same of an Arrow column of texts. Chunks follow each other, so their places
+        make a column of the same bytes, whose different values Arrow finds."""
+        column = column.cast(pa.string()).fill_null("")
+        ends, data = _text_bytes(column)
+        odd = _oddly_spaced(ends, data)
+        if odd.any():
+            rest = iter(self.encode_column(column.filter(pa.array(~odd))))
+            found = iter(self.encode(column.filter(pa.array(odd)).to_pylist()))
+            return [next(found) if o else next(rest) for o in odd.tolist()]
+        if not len(data):
+            return [b""] * len(column)
+        starts = np.zeros(len(data) + 1, bool)
+        lines = np.flatnonzero(data == 10)
+        for places in (data == 32).nonzero()[0], lines, lines + 1, ends:
+            starts[places] = True
+        places = np.flatnonzero(starts).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(
+            len(places) - 1, pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
+        found = self._look_up(chunks.dictionary.to_pylist())
+        # Each chunk gives the ids of its value, from where they stand among all values'.
+        which = chunks.indices.to_numpy()
+        size = np.array([len(ids) for ids in found], np.int64) // self.width
+        first, size = (np.cumsum(size) - size)[which], size[which]
+        before = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(first - before[:-1], size)
+        at += np.arange(before[-1])
+        ids = np.frombuffer(b"".join(found), self.kind)[at].tobytes()
+        cuts = (before[np.searchsorted(places, ends)] * self.width).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _text_bytes(column):
+    """(n + 1 places, bytes) of a column of texts without nulls."""
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[places[0]:places[-1]]
+    return places.astype(np.int64) - places[0], data
+
+
+def _oddly_spaced(ends, data):
+    """Which texts hold white space beside white space, or a space at their end, as
+    `_SPACED` finds them."""
+    white = _WHITE[data]
+    inner = np.zeros(len(data), bool)
+    for code in _WIDE_WHITE:
+        found = np.flatnonzero(data[:len(data) - len(code) + 1] == code[0])
+        for n, byte in enumerate(code[1:], 1):
+            found = found[data[found + n] == byte]
+        for n in range(len(code)):
+            white[found + n] = True
+            inner[found + n] = n < len(code) - 1
+    beside = np.flatnonzero(white[:-1] & white[1:] & ~inner[:-1])
+    of = np.searchsorted(ends, beside, "right") - 1
+    odd = np.zeros(len(ends) - 1, bool)
+    odd[of[beside + 1 < ends[of + 1]]] = True
+    last = ends[1:][ends[1:] > ends[:-1]] - 1
+    odd[ends[1:] > ends[:-1]] |= data[last] == 32
+    return odd
 
 
 #: White space beside white space, or a space at the end: no plain cut.
 _SPACED = re.compile(r"\s\s| \Z")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_WHITE = np.isin(np.arange(256), [ord(c) for c in _SPACES if c < "\x80"])
+_WIDE_WHITE = [c.encode() for c in _SPACES if c >= "\x80"]
+#: Texts are encoded together up to so many bytes.
+_PIECE = 1 << 23
 
 
 def _block(part, number, before, keys, ids, width):
@@ -204,6 +315,18 @@ _BLOCK_SQL = ("part int, block int, part_start long, n_docs long, n_null long, n
               "width int, ids binary, ends binary, first_id long, keys binary")
 
 
+def _pieces(batch):
+    """Slices of at most `_PIECE` bytes of text, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(
+        zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + _PIECE, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _blocks(file, end_id, width, block_tokens):
     def run(batches):
         coder = per_worker(("tokens", file, width), lambda: ChunkedEncoder(file, width))
@@ -215,9 +338,8 @@ def _blocks(file, end_id, width, block_tokens):
             row = _block(part, number, before, keys, ids, width)
             return pa.RecordBatch.from_pylist([row], _BLOCK)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                piece = batch.slice(lo, 200)
-                coded = coder.encode(piece.column(1).to_pylist())
+            for piece in _pieces(batch):
+                coded = coder.encode_column(piece.column(1))
                 for key, data in zip(piece.column(0).to_pylist(), coded, strict=True):
                     if keys and size + len(data) // width + 1 > block_tokens:
                         yield out()
