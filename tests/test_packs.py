@@ -159,3 +159,31 @@ def test_sums_of_lines_are_dealt_once_for_all_that_meets_them(spark):
 def test_lines_carry_what_tax_and_discount_decide(spark):
     columns = logs.line_rows(spark, SF).columns
     assert not {"l_tax", "l_discount", "l_linestatus"}.intersection(columns)
+
+
+def test_classes_of_lines_are_read_without_writing_the_lines(spark, tmp_path):
+    """Repeated names, orders there twice or not at all, and lines without one."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").orderBy("l_orderkey").limit(60)
+    wanting = lines.limit(4).withColumn("l_orderkey", F.lit(None).cast("bigint"))
+    unknown = lines.limit(3).withColumn("l_orderkey", F.lit(-1).cast("bigint"))
+    again = lines.limit(20).withColumn("l_linestatus", F.lit("F"))
+    nameless = lines.limit(2).withColumn("l_linenumber", F.lit(None).cast("int"))
+    (lines.unionByName(wanting).unionByName(unknown).unionByName(again).unionByName(nameless)
+     .coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet")))
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.unionByName(orders.where("o_orderkey % 7 = 0")).where("o_orderkey % 5 > 0").write \
+        .parquet(str(tmp_path / "orders.parquet"))
+    for name in ("customer", "part", "supplier", "nation"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    folder = str(tmp_path)
+    direct = logs.stock_classes(spark, folder)
+    assert logs._rest_key(spark, folder, "lines") not in logs._written
+    written = [logs.stock_log(spark, folder, [logs.TYPE_SLOT], alone=a) for a in (False, True)]
+    said = [sorted(r["id"] for r in a.unionByName(b).collect()) for a, b in (direct, written)]
+    assert said[0] == said[1] and said[0]
+    counted = [rows_of(report.class_counts(a, logs.TYPE_SLOT, b)) for a, b in (direct, written)]
+    assert counted[0] == counted[1]
+    last = [{r["subject"] for r in resolve.latest_class(a, logs.TYPE_SLOT, b).collect()}
+            for a, b in (direct, written)]
+    assert last[0] == last[1]
+    assert direct[1].count() == written[1].count() > 0
