@@ -187,3 +187,15 @@ def test_classes_of_lines_are_read_without_writing_the_lines(spark, tmp_path):
             for a, b in (direct, written)]
     assert last[0] == last[1]
     assert direct[1].count() == written[1].count() > 0
+
+
+def test_counts_move_finished_lines_alone(spark, tmp_path):
+    for name in ("nation", "supplier", "customer", "part", "orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    folder = str(tmp_path)
+    view = queries._view(spark, folder)
+    slots = {s: s for s in ("counted_part", "counted_at", "counted_pieces", logs.TYPE_SLOT)}
+    counts = rows_of(view.wide(slots, {"Inventory"}))
+    assert logs._rest_key(spark, folder, "lines") not in logs._written
+    assert counts and counts == rows_of(
+        view.wide(slots).where(F.col(logs.TYPE_SLOT) == "Inventory"))
