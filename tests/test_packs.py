@@ -199,3 +199,75 @@ def test_counts_move_finished_lines_alone(spark, tmp_path):
     assert logs._rest_key(spark, folder, "lines") not in logs._written
     assert counts and counts == rows_of(
         view.wide(slots).where(F.col(logs.TYPE_SLOT) == "Inventory"))
+
+
+def test_packed_entities_are_stated_and_replayed_as_the_whole_log_is(spark):
+    """Names that differ from their URI, ids nothing names, and withdrawn claims included."""
+    def assertion(n, subject, slot, literal, ref=None, revokes=None, day=1):
+        at = dt.datetime(2000, 1, day)
+        return (f"a{n}", n, subject, slot, literal, ref, at, at, revokes)
+
+    shape = ("id string, seq bigint, subject string, slot string, literal string, ref string, "
+             "valid_from timestamp_ntz, recorded_at timestamp_ntz, revokes string")
+
+    def under_ids(rows):
+        return spark.createDataFrame(rows, shape).select(
+            "id", "seq", F.md5("subject").alias("subject_id"), F.md5("slot").alias("predicate_id"),
+            F.col("literal").alias("value_literal"), F.md5("ref").alias("value_ref"),
+            "valid_from", "recorded_at", "revokes")
+
+    others = [assertion(1, "name", "name", "name"), assertion(2, "size", "name", "measure"),
+              assertion(3, "in", "name", "in"), assertion(4, "box", "name", "crate"),
+              assertion(5, "box", "name", "box", day=2), assertion(6, "box", "size", "9"),
+              assertion(7, "size", "name", None, revokes="a2", day=3),
+              assertion(8, "size", "name", "size", day=3)]
+    packed_ = [assertion(11, "x", "name", "X"), assertion(12, "x", "size", "1"),
+               assertion(13, "x", "size", "2", revokes="a12", day=2),
+               assertion(14, "x", "in", None, "box"), assertion(15, "x", "odd", "o"),
+               assertion(16, "y", "size", "5"), assertion(17, "y", "in", None, "lid")]
+    rows = spark.createDataFrame(
+        [("x", "X", "1", "2", "box", "o"), ("y", None, "5", None, "lid", None)],
+        "subject string, named string, first string, then string, inside string, odd string")
+
+    def one(n, value, day=1, undone=False):
+        at = F.lit(f"2000-01-0{day}").cast("timestamp_ntz")
+        return F.struct((n if not isinstance(n, int) else F.lit(n)).cast("bigint").alias("seq"),
+                        value.alias("value"), at.alias("valid_from"), at.alias("recorded_at"),
+                        F.lit(undone).alias("revoked") if isinstance(undone, bool)
+                        else undone.alias("revoked"),
+                        F.lit("2000-01-02").cast("timestamp_ntz").alias("revoked_at"))
+
+    x = F.col("subject") == "x"
+    claims = {"name": [one(11, F.col("named"))],
+              "size": [one(F.when(x, 12).otherwise(16), F.col("first"), undone=x),
+                       F.when(x, one(13, F.col("then"), 2))],
+              "in": [one(F.when(x, 14).otherwise(17), F.col("inside"))],
+              "odd": [one(15, F.col("odd"))]}
+
+    def read(slots=None):
+        return [(rows, {s: c for s, c in claims.items()
+                        if slots is None or s in slots or s == "name"})]
+
+    uris = spark.createDataFrame([(u,) for u in ("name", "size", "in", "odd", "box", "lid")],
+                                 "uri string")
+    alone = resolve.PackedEntities(read, "name", ["in"], uris)
+    whole, rest = under_ids(others + packed_), under_ids(others)
+    for valid, known in (("2000-01-05", "2000-01-05"), ("2000-01-01", "2000-01-01")):
+        for slots in (None, ["measure", "in"], ["size"]):
+            apart = resolve.stated(rest, "name", valid, known, slots, alone)
+            assert rows_of(apart) == rows_of(resolve.stated(whole, "name", valid, known, slots))
+        apart = resolve.replay(rest, "name", valid, known, alone)
+        assert rows_of(apart) == rows_of(resolve.replay(whole, "name", valid, known))
+
+
+def test_entities_of_lines_that_stand_alone_are_not_shuffled(spark):
+    rest = logs.stock_assertions(spark, SF, alone=False)
+    named = {r["value_literal"] for r in rest.where(
+        F.col("predicate_id") == F.md5(F.lit(logs.URI_SLOT))).collect()}
+    assert not any(n.startswith(("line:", "count:")) for n in named)
+    entities = logs.stock_entities(spark, SF)
+    won = resolve.standing_alone(entities.read(), *CLOCKS)
+    assert "Exchange" not in won._jdf.queryExecution().executedPlan().toString()
+    assert won.where(F.col("slot") == logs.TYPE_SLOT).count() == logs.stock_log(
+        spark, SF, [logs.TYPE_SLOT], alone=True).where(
+            "valid_from < '2000-07-01' and recorded_at <= '2000-07-03'").count()
