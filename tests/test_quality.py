@@ -154,3 +154,15 @@ def test_item_health_in_the_words_of_any_model(spark):
     assert nut.is_anomaly and nut.is_reorder and nut.gap_value == -60.0
     assert (bolt.location, bolt.pack_unit, bolt.is_anomaly, bolt.is_reorder) == (
         "p2", "pieces", False, False)
+
+
+def test_results_are_compared_by_digest_and_those_that_differ_by_row(spark):
+    a = spark.range(500).selectExpr("id", "if(id % 7 = 0, null, cast(id as string)) as name")
+    same = quality.same_results(a, a.repartition(5), "run")
+    assert same.first() == ("run", 500, 0)
+    plan = same._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "name" not in plan
+    assert quality.same_results(a, a.unionByName(a.where("id < 3")), "run").first() == (
+        "run", 500, 3)
+    other = a.withColumn("name", F.when(F.col("id") != 9, F.col("name")))
+    assert quality.same_results(a, other, "run", buckets=3).first() == ("run", 500, 2)
