@@ -290,6 +290,25 @@ def test_version_tree_matches_brute_force(spark, count, fanout):
     assert got[900] == got[901] == newest
 
 
+def test_each_pair_of_clocks_goes_down_the_version_tree_once(spark, monkeypatch):
+    from twoclock.operators.versions import VersionTree
+    at = day("2020-01-01")
+    versions = [(n, f"v{n}", at + timedelta(days=n % 7), at + timedelta(days=n % 5))
+                for n in range(40)]
+    tree = VersionTree(spark.createDataFrame(
+        versions, "ordinal int, version string, valid_from timestamp_ntz, "
+                  "sealed_at timestamp_ntz"), 4)
+    down, sent = VersionTree._down, []
+    monkeypatch.setattr(VersionTree, "_down",
+                        lambda self, rows: sent.append(rows) or down(self, rows))
+    rows = [(n, at + timedelta(days=n % 3), at + timedelta(days=n % 2) if n % 50 else None)
+            for n in range(600)]
+    frame = spark.createDataFrame(rows, "n int, va timestamp_ntz, ao timestamp_ntz")
+    got = {r["n"]: r["version"] for r in tree.choose(frame, "va", "ao").collect()}
+    assert got == {n: plain_version(versions, va, ao) if ao else None for n, va, ao in rows}
+    assert [clocks.count() for clocks in sent] == [6]
+
+
 def test_a_hundred_thousand_versions(spark):
     from twoclock.operators.versions import VersionTree
     day0 = F.lit("1990-01-01 00:00:00").cast("timestamp_ntz")
