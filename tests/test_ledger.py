@@ -69,3 +69,19 @@ def test_digests_do_not_depend_on_order_or_files(claims, spark, tmp_path):
     assert multiset(log.repartition(5), "slot").collect() == whole
     assert multiset(log.unionByName(log.limit(1)), "slot").collect() != whole
     assert read_claims(spark, f"{tmp_path}/log").count() == 50
+
+
+def test_parts_are_summed_exactly_as_whole_numbers(spark):
+    import hashlib
+    df = spark.createDataFrame([("a", "1"), ("a", None), ("b", "3"), ("a", "1")],
+                               "slot string, value string")
+    texts = [("a", "=a|=1"), ("a", "=a|"), ("b", "=b|=3"), ("a", "=a|=1")]
+    found = {r["slot"]: r for r in multiset(df, "slot").collect()}
+    for slot in "ab":
+        digests = [hashlib.sha256(t.encode()).hexdigest() for s, t in texts if s == slot]
+        assert found[slot]["rows"] == len(digests)
+        assert [int(found[slot][f"part{k}"]) for k in range(4)] == [
+            sum(int(d[15 * k:15 * k + 15], 16) for d in digests) for k in range(4)]
+    plan = multiset(df, "slot")._jdf.queryExecution().executedPlan().toString()
+    partial = next(line for line in plan.splitlines() if "partial_sum" in line)
+    assert "decimal" not in partial
