@@ -271,3 +271,14 @@ def test_entities_of_lines_that_stand_alone_are_not_shuffled(spark):
     assert won.where(F.col("slot") == logs.TYPE_SLOT).count() == logs.stock_log(
         spark, SF, [logs.TYPE_SLOT], alone=True).where(
             "valid_from < '2000-07-01' and recorded_at <= '2000-07-03'").count()
+
+
+def test_standing_stock_shuffles_no_claim_of_lines_that_stand_alone(spark):
+    held = logs.stock_standing(spark, SF, *CLOCKS)
+    whole = resolve.standing(logs.stock_log(spark, SF), *CLOCKS,
+                             revocations=logs.stock_revocations(spark, SF))
+    assert held.exceptAll(whole.select(*held.columns)).isEmpty()
+    assert held.count() == whole.count()
+    alone = resolve.standing_alone(logs.stock_alone(spark, SF, [logs.TYPE_SLOT, *logs.SLOTS]),
+                                   *CLOCKS)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
