@@ -282,3 +282,12 @@ def test_standing_stock_shuffles_no_claim_of_lines_that_stand_alone(spark):
     alone = resolve.standing_alone(logs.stock_alone(spark, SF, [logs.TYPE_SLOT, *logs.SLOTS]),
                                    *CLOCKS)
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_refreshed_from_a_view_without_a_snapshot(spark):
+    from twoclock.sources import refresh_all
+    from workload import stock
+    built = refresh_all(queries._view(spark, SF), [stock.ENTITY_SPECS["Packing"]], prefix="v_")
+    held = project.entities(queries._view(spark, SF), stock.ENTITY_SPECS["Packing"])
+    assert rows_of(built["p_packing"]) == rows_of(held)
+    spark.sql("DROP TABLE v_p_packing")
