@@ -291,3 +291,18 @@ def test_tables_are_refreshed_from_a_view_without_a_snapshot(spark):
     held = project.entities(queries._view(spark, SF), stock.ENTITY_SPECS["Packing"])
     assert rows_of(built["p_packing"]) == rows_of(held)
     spark.sql("DROP TABLE v_p_packing")
+
+
+def test_references_of_assertions_that_stand_alone(spark):
+    from twoclock.operators import ingest
+    shape = ("id string, subject_id string, predicate_id string, value_ref string, "
+             "revokes string, intent_id string")
+    rest = [("c1", "box", "in", "shelf", None, "i1"), ("c2", "box", "in", None, "c9", "i9")]
+    more = [("c3", "line", "in", "box", None, "i3"), ("c4", "line", "to", "lost", "c3", "i3")]
+    known = spark.createDataFrame([("box",), ("in",)], "id string")
+    acts = spark.createDataFrame([("i1",)], "id string")
+    found = ingest.dangling_references(spark.createDataFrame(rest, shape), known, acts,
+                                       spark.createDataFrame(more, shape))
+    assert rows_of(found) == [("intent_id", "c2", "i9"), ("predicate_id", "c4", "to"),
+                              ("revokes", "c2", "c9"), ("value_ref", "c1", "shelf"),
+                              ("value_ref", "c4", "lost")]
